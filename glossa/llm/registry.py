@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
+    "op2_simhash": simhash.op2,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import quality, sharding, simhash, tokens
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
     "op2_simhash": simhash.op2,
+    "op3_token_files": tokens.op3,
+    "op10_sharding": sharding.op10,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, simhash, tokens, toxicity
+from . import pii, quality, secrets, sharding, simhash, tokens, toxicity
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
     "op2_simhash": simhash.op2,
     "op3_token_files": tokens.op3,
+    "op4_pii": pii.op4,
+    "op6_secrets": secrets.op6,
     "op8_toxicity": toxicity.op8,
     "op10_sharding": sharding.op10,
 }

@@ -78,7 +78,8 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, round
     cells = propagate(spark, cells, share, rounds)
     # one row for each group: where it starts in the ranking, and the shards that take its rows in turn
     taken = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "shard")), asc=False).alias("_cells"))
-    firsts = ranked.groupBy("g").agg(F.min("_r").alias("_first")).join(taken, "g")
+    # written, so that the join below deals both sides out itself and can split a group of any size
+    firsts = staged(spark, ranked.groupBy("g").agg(F.min("_r").alias("_first")).join(taken, "g"), "firsts")
     place = F.col("_r") - F.col("_first")
     chosen = F.aggregate("_cells", F.struct(place.alias("left"), F.lit(None).cast("int").alias("shard")), lambda a, c: F.struct((a["left"] - c["n"]).alias("left"), F.when(a["shard"].isNull() & (a["left"] < c["n"]), c["shard"]).otherwise(a["shard"]).alias("shard")), lambda a: a["shard"])
     named = ranked.join(firsts, "g", "left").withColumn("_to", F.coalesce(F.when(F.col("_cells").isNotNull(), chosen), F.lit(shards))).drop("_cells", "_first", "_r")

@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 N-grams stay within a word and its borders; a document holds an n-gram or does not, so long texts don't dilute what
-they contain. Document counts by class are taken over all labelled training rows; n-grams whose share differs between
-the classes beyond chance become features, scaled by the log-ratio of their smoothed counts. A logistic regression is
-fitted on them from at most SAMPLE_ROWS labelled rows of each class, then moved to the true share of toxic rows.
+they contain. Document counts by class are taken over about SAMPLE_ROWS labelled training rows, picked by a hash of the
+doc_id (all, if there are fewer); n-grams whose share differs between the classes beyond chance and by a factor of
+EFFECT become features, scaled by the log-ratio of their smoothed counts. A logistic regression on them is fitted from
+the same rows. So the labels that travel are bounded and the texts aren't shuffled.
 
 Defined cases: null and empty texts are scored by the intercept; without labelled rows of both classes the score is 0;
 repeated label rows count as often as they occur; a label that is null or belongs to no document is left out; repeated
@@ -12,6 +13,7 @@ documents are each scored; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,15 +23,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, crc32_of_id, table
+from .common import clip_columns, crc32_of_id, staged, table
 
 SIZES = (4, 5, 6)
 #: N-grams are counted in so many hashed places.
 PLACES_LOG2 = 20
-#: At most so many labelled rows of each class fit the weights; counts are taken over all of them.
-SAMPLE_ROWS = 10_000
-#: Standard errors by which a feature's shares must differ.
+#: About so many labelled rows train the model.
+SAMPLE_ROWS = 40_000
+#: Standard errors, and the factor, by which a feature's shares must differ.
 Z = 4.5
+EFFECT = 3.0
 RIDGE = 1e-4
 THRESHOLD = 0.7
 CHUNK_BYTES = 4 << 20
@@ -91,14 +94,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, t, y) of the labelled documents."""
-    known = labels.where("toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).join(known, "doc_id")
+def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, t, y) of about ``most`` labelled documents, written once."""
+    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
+    n = known.count()
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(known), "doc_id")
+    return staged(spark, rows, "labelled")
 
 
-def fit(spark: SparkSession, rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """rows: (doc_id, t, y), training rows only."""
+def fit(spark: SparkSession, rows: DataFrame) -> Model:
+    """rows: (doc_id, t, y), training rows only, of bounded number."""
     ship(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +126,8 @@ def fit(spark: SparkSession, rows: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counts = rows.mapInArrow(count, "place long, p long, q long").groupBy("place").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     share = (F.col("p") + F.col("q") + 1) / F.lit(size[0] + size[1] + 2.0)
     differs = F.abs(F.col("p") / size[1] - F.col("q") / size[0]) / F.sqrt(share * (1 - share) * (1 / size[1] + 1 / size[0]))
-    chosen = counts.where(differs > Z).toPandas().sort_values("place")  # at most one row for each place
+    factor = F.abs(F.log((F.col("p") + 1) / (size[1] + 2.0) / ((F.col("q") + 1) / (size[0] + 2.0))))
+    chosen = counts.where((differs > Z) & (factor > math.log(EFFECT))).toPandas().sort_values("place")  # at most one row for each place
     places, p, q = (chosen[c].to_numpy() for c in ("place", "p", "q"))
     ratio = np.log(((p + 1) / (size[1] + 2)) / ((q + 1) / (size[0] + 2)))
 
@@ -135,30 +143,22 @@ def fit(spark: SparkSession, rows: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     hits.append((doc[on] << PLACES_LOG2) | place[on])
                 once = np.unique(np.concatenate(hits))
                 cut = np.searchsorted(once, np.arange(len(part) + 1) << PLACES_LOG2)
-                found += [once[i:j] & ((1 << PLACES_LOG2) - 1) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([b.column("y"), pa.array(found, pa.list_(pa.int64()))], names=["y", "at"])
-
-    sample = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y)
-        keep = min(1.0, 1.2 * sample_rows / size[y])
-        part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1).limit(sample_rows)
-        sample = part if sample is None else sample.union(part)
-    got = sample.mapInArrow(present, "y int, at array<long>").toPandas()
+                found += [(once[i:j] & ((1 << PLACES_LOG2) - 1)).astype(np.int32) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.record_batch([b.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "at"])
+
+    got = rows.mapInArrow(present, "y int, at array<int>").toPandas()
     y = got["y"].to_numpy(float)
     n = np.array([len(x) for x in got["at"]])
     row = np.repeat(np.arange(len(n)), n)
     col = np.searchsorted(places, np.concatenate([*got["at"], np.zeros(0, np.int64)]).astype(np.int64))
     w, b = np.zeros(len(places)), 0.0
     step_w, step_b = np.full(len(places), 1e-8), 1e-8
-    for _ in range(1000):  # AdaGrad on the whole sample
+    for _ in range(400):  # AdaGrad on the whole sample
         z = np.bincount(row, w[col] * ratio[col], len(n)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / max(len(n), 1)
         gw = np.bincount(col, g[row] * ratio[col], len(places)) + RIDGE * w / max(len(places), 1)
         step_w, step_b = step_w + gw**2, step_b + g.sum() ** 2
         w, b = w - 0.5 * gw / np.sqrt(step_w), b - 0.5 * g.sum() / np.sqrt(step_b)
-    # the sample has its own share of toxic rows
-    b += np.log(size[1] / size[0]) - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
     return Model(places, w * ratio, float(b))
 
 
@@ -183,7 +183,7 @@ def held_out() -> Column:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows that aren't held out."""
-    return fit(spark, labelled(docs, labels).where(~held_out()))
+    return fit(spark, labelled(spark, docs, labels.where(~held_out())))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,17 @@ def texts_of(column) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose values in a binary column hold about ``most`` bytes together, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def bounded_rows(df: DataFrame, most: int) -> DataFrame | None:
     """``df`` marked for broadcast if it has at most ``most`` rows, else None. One count of a bounded prefix decides."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else None

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality, secrets, sharding, simhash, tokens, toxicity
+from . import decontaminate, pieces, pii, quality, secrets, sharding, simhash, tokens, toxicity
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
     "op2_simhash": simhash.op2,
     "op3_token_files": tokens.op3,
     "op4_pii": pii.op4,
+    "op5_pieces": pieces.op5,
     "op6_secrets": secrets.op6,
     "op8_toxicity": toxicity.op8,
     "op9_decontamination": decontaminate.op9,

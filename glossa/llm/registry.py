@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, pii, quality, secrets, sharding, simhash, tokens, toxicity
+from . import decontaminate, lm, pieces, pii, quality, secrets, sharding, simhash, tokens, toxicity
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op4_pii": pii.op4,
     "op5_pieces": pieces.op5,
     "op6_secrets": secrets.op6,
+    "op7_ctw_scores": lm.op7,
     "op8_toxicity": toxicity.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_sharding": sharding.op10,

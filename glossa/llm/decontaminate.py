@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows of item size.
 
-Texts and items are read as runs of letters and digits in lower case. A window of a document has as many words as the
+Texts and items are read as runs of letters, digits and characters beyond ASCII, A-Z and the Latin-1 capitals in lower
+case. A window of a document has as many words as the
 item it is held against. Its fingerprint is the SimHash of its five-word shingles, each weighted by how often it occurs;
 the fingerprints of the items of that size are indexed by four blocks of 16 bits: two fingerprints within RADIUS differ
 by at most RADIUS // 4 bits in some block, so looking up the neighbours of each block finds all of them. What is found
@@ -20,19 +21,17 @@ ignored, or kept by ``clean``.
 from __future__ import annotations
 
 import functools
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, table
+from .common import clip_columns, slices, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,22 +39,39 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 ITEM_WORDS = 2_000_000
-TOKEN = re.compile(r"[^\W_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[str, int] = {}
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word; frequent words are remembered by the process."""
-    if len(_WORDS) > 200_000:
-        _WORDS.clear()
-    held, out = _WORDS, []
-    for w in TOKEN.findall(text.lower()):
-        h = held.get(w)
-        if h is None:
-            h = held[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+#: Base of the polynomial hash of a word's bytes, and its inverse modulo 2^64.
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
+SOLID = np.zeros(256, bool)
+SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+@functools.lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and how many words each text has."""
+    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    low = LOWER[raw]
+    lead = np.nonzero(raw[:-1] == 0xC3)[0]
+    tail = raw[lead + 1]
+    low[lead[(tail >= 0x80) & (tail < 0x9F) & (tail != 0x97)] + 1] += 0x20
+    solid = SOLID[raw]
+    start = np.nonzero(solid[1:] & ~solid[:-1])[0] + 1
+    end = np.nonzero(solid[:-1] & ~solid[1:])[0] + 1
+    up, down = powers(1 << max(20, len(raw).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
+    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+    first = np.cumsum(size + 1) - size
+    return mixed(h), np.diff(np.searchsorted(start, np.append(first, len(raw))))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -133,7 +149,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.sizes: dict[int, Sized] = defaultdict(Sized)
         for item_id, text in items:
-            words = word_hashes(text or "")
+            words, _ = word_hashes([(text or "").encode()])
             if len(words):
                 self.sizes[len(words)].ids.append(item_id)
                 self.sizes[len(words)].shingles.append(shingle_hashes(words))
@@ -145,6 +161,27 @@ class Index:
         self.table[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.short = {n: s for n, s in self.sizes.items() if n < SHINGLE}
 
+    def touched(self, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold any shingle of any item; all others match nothing."""
+        ends = np.cumsum(n)
+        found = []
+        for k, known in ((SHINGLE, self.known), *((k, s.known) for k, s in self.short.items())):
+            if len(known) and len(words) >= k:
+                h = shingle_hashes(words, k)
+                at = np.arange(len(h)) if k < SHINGLE else np.nonzero(self.table[(h >> np.uint64(44)).astype(np.int64)])[0]
+                at = at[np.isin(h[at], known)]
+                text = np.searchsorted(ends, at, "right")
+                found.append(text[at + k <= ends[text]])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def search(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
+        """(number of the text, its hits) for the texts that have any."""
+        words, n = word_hashes(texts)
+        ends = np.cumsum(n)
+        for k in self.touched(words, n).tolist():
+            if hits := self.hits(words[ends[k] - n[k] : ends[k]]):
+                yield k, hits
+
     def hits(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, first word, end word, similarity): the best window of each item."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -215,11 +252,12 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for b in batches:
-                rows = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t for hit in index.hits(word_hashes(t))]
+            for b in (b for whole in batches for b in slices(whole, "_t")):
+                ids = b.column("doc_id").to_pylist()
+                rows = [(ids[k], *hit) for k, hits in index.search([t or b"" for t in b.column("_t").to_pylist()]) for hit in hits]
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((*[pa.int64()] * 4, pa.float64()))], names=["doc_id", "item_id", "start_word", "end_word", "similarity"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", F.col("text").cast("binary").alias("_t")).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -235,11 +273,12 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for b in batches:
-                free = [not t or not index.hits(word_hashes(t)) for t in b.column("text").to_pylist()]
-                yield b.filter(pa.array(free, pa.bool_()))
+            for b in (b for whole in batches for b in slices(whole, "_t")):
+                free = np.ones(b.num_rows, bool)
+                free[[k for k, _ in index.search([t or b"" for t in b.column("_t").to_pylist()])]] = False
+                yield b.drop_columns(["_t"]).filter(pa.array(free))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.withColumn("_t", F.col("text").cast("binary")).mapInArrow(run, docs.schema)
     return docs
 
 

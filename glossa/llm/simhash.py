@@ -22,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, staged, table
+from .common import bounded_rows, clip_columns, slices, staged, table
 from .components import components
 
 RADIUS = 2
@@ -96,29 +97,37 @@ class GrayIndex:
             ones, some = np.bitwise_and.reduceat(ones, cuts), np.bitwise_or.reduceat(some, cuts)
         self.levels.reverse()
 
-    def search(self, q: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, leaf) whose difference on the leaf's shared bits is within the radius, in bounded portions."""
+    def search(self, q: np.ndarray, radius: int, lead: tuple[np.uint64, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, leaf) whose difference on the leaf's shared bits is within the radius, in bounded portions.
+
+        lead: a mask of leading bits, and how many of them may differ.
+        """
         n = len(self.levels[-1][0])
         for at in range(0, len(q) if n else 0, step := max(1, (1 << 21) // max(n, 1))):
             part = q[at : at + step]
             who, node = np.arange(len(part)), np.zeros(len(part), np.int64)
             spent, known = np.zeros(len(part), np.uint8), np.zeros(len(part), np.uint64)
+            first = np.zeros(len(part), np.uint8)
             for depth, (pattern, shared) in enumerate(self.levels):
                 if depth:
-                    who, spent, known = (np.repeat(x, FANOUT) for x in (who, spent, known))
+                    who, spent, known, first = (np.repeat(x, FANOUT) for x in (who, spent, known, first))
                     node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                     real = node < len(pattern)
-                    who, node, spent, known = who[real], node[real], spent[real], known[real]
-                spent = spent + np.bitwise_count((part[who] ^ pattern[node]) & shared[node] & ~known)
+                    who, node, spent, known, first = who[real], node[real], spent[real], known[real], first[real]
+                new = (part[who] ^ pattern[node]) & shared[node] & ~known
+                spent = spent + np.bitwise_count(new)
                 near = spent <= radius
-                who, node, spent = who[near], node[near], spent[near]
+                if lead is not None:
+                    first = first + np.bitwise_count(new & lead[0])
+                    near &= first <= lead[1]
+                who, node, spent, first = who[near], node[near], spent[near], first[near]
                 known = shared[node]
             yield who + at, node
 
 
-def gray_cuts(fps: DataFrame, n: int) -> np.ndarray:
+def gray_cuts(fps: DataFrame, n: int, block: int = BLOCK) -> np.ndarray:
     """Lowest Gray rank of each block, from a histogram that is refined where it is dense. fps: distinct, (fp, ...)."""
-    most = max(BLOCK, n >> BLOCKS_LOG2)
+    most = max(block, n >> BLOCKS_LOG2)
     ranks = fps.select(gray_rank_column(F.col("fp")).alias("r"))
     bins: list[tuple[int, int]] = []
     bits, dense = 16, None
@@ -157,9 +166,9 @@ def local_stars(pairs: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[
     return ids[moved], label[moved]
 
 
-def links(spark: SparkSession, nodes: DataFrame, radius: int) -> DataFrame:
+def links(spark: SparkSession, nodes: DataFrame, radius: int, lead: tuple[np.uint64, int] | None = None, block: int = BLOCK) -> DataFrame:
     """(u, v): links between ids whose fingerprints differ in at most radius bits, as stars. nodes: (fp, id), fp distinct."""
-    cuts = spark.sparkContext.broadcast(gray_cuts(nodes, nodes.count()))
+    cuts = spark.sparkContext.broadcast(gray_cuts(nodes, nodes.count(), block))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,7 +184,7 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int) -> DataFrame:
         for b in batches:
             own, fp, ids = (b[c].to_numpy(np.int64) for c in ("block", "fp", "id"))
             yield b.assign(asks=False)
-            for who, leaf in index.search(fp.view(np.uint64), radius):
+            for who, leaf in index.search(fp.view(np.uint64), radius, lead):
                 on = block[leaf] > own[who]
                 yield pd.DataFrame({"fp": fp[who[on]], "id": ids[who[on]], "block": block[leaf[on]], "asks": True})
 
@@ -184,7 +193,7 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int) -> DataFrame:
         fp, ids = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(np.int64)
         own = fp[: int((~pdf["asks"]).sum())]
         found_u, found_v = [], []
-        for who, leaf in GrayIndex(own, own).search(fp, radius):
+        for who, leaf in GrayIndex(own, own).search(fp, radius, lead):
             on = who != leaf
             u, v = local_stars((who[on], leaf[on]), ids)
             found_u.append(u)
@@ -206,6 +215,88 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: For near copies by shingle similarity: five words, similarity 0.8; candidates differ in at most WIDE bits, so in at most
+#: WIDE // TURNS bits of some quarter. The index is built once for each quarter, turned to the front.
+WORDS = 5
+SIMILARITY = 0.8
+WIDE = 11
+TURNS = 4
+WIDE_BLOCK = 8192
+#: Row numbers are broadcast up to so many; beyond that the join is dealt out.
+BROADCAST_ROWS = 2_000_000
+
+
+def wide_links(spark: SparkSession, nodes: DataFrame, radius: int = WIDE, turns: int = TURNS) -> DataFrame:
+    """Like ``links`` for a large radius: one index for each turn of the fingerprints, pruned on the leading bits too."""
+    bits = 64 // turns
+    lead = (np.uint64(2**64 - 2 ** (64 - bits)), radius // turns)
+    out = None
+    for k in range(turns):
+        fp = F.col("fp") if not k else F.shiftleft("fp", k * bits).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * bits))
+        part = links(spark, nodes.select(fp.alias("fp"), "id"), radius, lead, WIDE_BLOCK)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def similar(a: bytes, b: bytes, n: int = WORDS, least: float = SIMILARITY) -> bool:
+    """Jaccard similarity of the sets of word shingles; texts without words are alike."""
+    x, y = set(shingles(a, n)), set(shingles(b, n))
+    both = len(x & y)
+    return both >= least * (len(x) + len(y) - both)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, all columns.
+
+    ``docs`` is read several times and numbered by its order, so it must read alike each time, as a Parquet read does.
+    Equal texts are one candidate. Candidates whose fingerprints link form components; in each, the least doc_id stays,
+    and those similar to it go; of the others again the least stays, until none are left. So every document that goes is
+    similar to one that stays, whatever the size of its component, and no pairs are formed but with those that stay.
+    """
+    ship(spark)
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t or b"", WORDS) for t in b.column("t").to_pylist()], np.uint64)
+            yield pa.record_batch([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(fps.view(np.int64))], names=["row", "doc_id", "h", "fp"])
+
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    marked = staged(spark, numbered.select(F.col("_row").alias("row"), "doc_id", text.alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).mapInArrow(mark, "row long, doc_id long, h long, fp long"), "marked")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = staged(spark, marked.groupBy("fp", "h").agg(F.min_by("row", order).alias("row"), F.min("doc_id").alias("doc_id")), "first")
+    nodes = staged(spark, first.groupBy("fp").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("texts")), "nodes")
+    roots = components(spark, wide_links(spark, nodes.select("fp", "id"))).withColumnRenamed("u", "id")
+    # a component is a root with other nodes, or one node with several texts
+    many = roots.select("id", "root").union(roots.select(F.col("root").alias("id"), "root").distinct()).distinct()
+    many = nodes.join(many, "id", "left").where("root is not null or texts > 1").select("fp", F.coalesce("root", "id").alias("group"))
+    members = staged(spark, first.join(many, "fp").select("row", "group"), "members")
+    wanted = members if (small := bounded_rows(members, BROADCAST_ROWS)) is None else small
+    left = numbered.select(F.col("_row").alias("row"), "doc_id", text.alias("t")).join(wanted, "row")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for whole in batches for b in slices(whole, "t")):
+            lead = np.asarray(b.column("row")) == np.asarray(b.column("lead_row"))
+            alike = [bool(one) or similar(t, s) for one, t, s in zip(lead, b.column("t").to_pylist(), b.column("lead").to_pylist(), strict=True)]
+            undecided = pa.array(np.array(alike, bool) == False)  # noqa: E712
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("group"), pc.if_else(undecided, b.column("t"), None), pa.array(lead)], names=["row", "doc_id", "group", "t", "stays"])
+
+    gone = None
+    left = staged(spark, left.select("row", "doc_id", "group", "t"), "candidates")
+    while True:
+        leads = staged(spark, left.groupBy("group").agg(F.min_by(F.struct("row", "t"), order).alias("x")).select("group", F.col("x.row").alias("lead_row"), F.col("x.t").alias("lead")), "leads")
+        judged = staged(spark, left.join(leads, "group").mapInArrow(judge, "row long, doc_id long, group long, t binary, stays boolean"), "judged")
+        part = judged.where("t is null and not stays").select("row")
+        gone = part if gone is None else gone.union(part)
+        left = judged.where("t is not null").drop("stays")
+        if not left.limit(1).count():
+            break
+    copies = marked.select("row", "fp", "h").join(first.select("fp", "h", F.col("row").alias("kept")), ["fp", "h"]).where("row <> kept").select("row")
+    gone = staged(spark, gone.union(copies).withColumnRenamed("row", "_row"), "gone")
+    gone = gone if (small := bounded_rows(gone, BROADCAST_ROWS)) is None else small
+    return numbered.join(gone, "_row", "left_anti").drop("_row")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark, clip_columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -34,9 +34,9 @@ from ..session import ship
 from .common import clip_columns, crc32_of_id, slices, staged, table
 
 DEPTH = 5
-HOT_GRAMS_LOG2 = 21
+HOT_GRAMS_LOG2 = 20
 HOT_WORDS_LOG2 = 19
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 END = 10  # the byte for the end, and for what precedes a text; words hold no line break
 #: The nearest bytes by which the deep part of the tree is dealt out.
 SPLIT = 3
@@ -300,15 +300,26 @@ def probabilities(spark: SparkSession, ngrams: DataFrame) -> DataFrame:
     return dealt.select("key", "n").mapInPandas(value, "key long, value double")
 
 
-def most_frequent(rows: DataFrame, n: str, most: int) -> pd.DataFrame:
-    """At most ``most`` rows, down to a count that a histogram of counts gives."""
+def least_of_most(rows: DataFrame, n: str, most: int) -> int:
+    """The lowest count such that at most ``most`` rows have it or more, from a histogram of counts."""
     size = F.length(F.bin(n)) * 8 + F.call_function("shiftright", F.col(n) * 8, F.length(F.bin(n)) - 1) % 8  # eight steps for each doubling
-    held, least = 0, None
+    held, least = 0, 1 << 62
     for r in rows.groupBy(size.alias("k")).agg(F.count(F.lit(1)).alias("c"), F.min(n).alias("least")).orderBy(F.desc("least")).collect():
         if held + r.c > most:
             break
         held, least = held + r.c, r.least
-    return rows.where(F.col(n) >= least).toPandas() if held else rows.limit(0).toPandas()
+    return least
+
+
+def collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a bounded table, packed by the tasks, so that the driver holds two arrays and no rows. rows: (key long, value double)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array([np.asarray(b.column(0)).tobytes()]), pa.array([np.asarray(b.column(1)).tobytes()])], names=["k", "v"])
+
+    got = rows.mapInArrow(pack, "k binary, v binary").collect()
+    return np.frombuffer(b"".join(bytes(r.k) for r in got), np.uint64), np.frombuffer(b"".join(bytes(r.v) for r in got), np.float64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -324,11 +335,10 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     train_tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = words.where(F.col("key") == END_HASH).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     grams = staged(spark, probabilities(spark, counted.where("kind = 0").select("key", "n")), "grams")
-    frequent = most_frequent(counted.where("kind = 0").select("key", "every"), "every", 1 << HOT_GRAMS_LOG2)
-    least = int(frequent["every"].min()) if len(frequent) else 1 << 62
-    hot_grams = grams.join(counted.where((F.col("kind") == 0) & (F.col("every") >= least)).select("key"), "key", "left_semi").toPandas()
-    hot_words = most_frequent(words, "n", 1 << HOT_WORDS_LOG2)
-    hot = [(h["key"].to_numpy(np.int64).view(np.uint64), v) for h, v in ((hot_grams, hot_grams["value"].to_numpy(np.float32)), (hot_words, hot_words["n"].to_numpy(float)))]
+    every = counted.where("kind = 0").select("key", "every")
+    least_gram, least_word = least_of_most(every, "every", 1 << HOT_GRAMS_LOG2), least_of_most(words, "n", 1 << HOT_WORDS_LOG2)
+    hot_grams = collected(grams.join(every.where(F.col("every") >= least_gram), "key").select("key", "value"))
+    hot = [(hot_grams[0], hot_grams[1].astype(np.float32)), collected(words.where(F.col("n") >= least_word).select("key", F.col("n").cast("double")))]
     shared = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,9 +276,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for whole in batches for b in slices(whole, "t")):
             lead = np.asarray(b.column("row")) == np.asarray(b.column("lead_row"))
-            alike = [bool(one) or similar(t, s) for one, t, s in zip(lead, b.column("t").to_pylist(), b.column("lead").to_pylist(), strict=True)]
-            undecided = pa.array(np.array(alike, bool) == False)  # noqa: E712
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("group"), pc.if_else(undecided, b.column("t"), None), pa.array(lead)], names=["row", "doc_id", "group", "t", "stays"])
+            texts = [None if one or similar(t, s) else t for one, t, s in zip(lead.tolist(), b.column("t").to_pylist(), b.column("lead").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("group"), pa.array(texts, pa.binary()), pa.array(lead)], names=["row", "doc_id", "group", "t", "stays"])
 
     gone = None
     left = staged(spark, left.select("row", "doc_id", "group", "t"), "candidates")

@@ -2,5 +2,832 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import functools
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import losses
+from .functions import text as T
+from .operators import lexicon, linear, selection, sequence, stats, subspace, templates, vocab
+from .plans import clscl, tagger
+from .session import shared_dir
+from .sources import readers
+from .streaming.history import running_history
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- inputs, on both sides
+
+BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def tokens(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    """Lines of documents as sentences, blank-separated tokens; a token in title case after the first is an entity."""
+    d = read(spark, sf_dir, table).where("text is not null").select(F.col(key).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
+    t = d.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.posexplode(F.filter(F.split("line", BLANKS), lambda x: x != "")).alias("tok_idx", "word"))
+    entity = (F.col("tok_idx") > 0) & F.col("word").rlike("^[A-Z][a-z]+$")
+    w = W.partitionBy("doc_id", "sent_id").orderBy("tok_idx")
+    t = t.withColumn("_e", entity).withColumn("_b", F.coalesce(F.lag("_e").over(w), F.lit(False)))
+    return t.select("doc_id", "sent_id", "tok_idx", "word", F.when(F.col("_e") & F.col("_b"), "I-CAP").when(F.col("_e"), "B-CAP").otherwise("O").alias("tag"))
+
+
+TOKENS = r"""
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_id FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, sent_id, list_filter(string_split_regex(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM lines),
+plain AS (SELECT doc_id, sent_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS tok_idx FROM split),
+marked AS (SELECT *, tok_idx > 0 AND regexp_matches(word, '^[A-Z][a-z]+$') AS e FROM plain),
+tokens AS (SELECT doc_id, sent_id, tok_idx, word, CASE WHEN e AND coalesce(lag(e) OVER s, false) THEN 'I-CAP' WHEN e THEN 'B-CAP' ELSE 'O' END AS tag FROM marked WINDOW s AS (PARTITION BY doc_id, sent_id ORDER BY tok_idx))
+"""
+
+
+def bow(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    return vocab.bag_of_words(docs if lang is None else docs.where(F.col("lang") == lang))
+
+
+def bow_sql(name: str = "bow", where: str = "true") -> str:
+    return rf"""{name} AS (SELECT doc_id, term, count(*) AS freq FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS term FROM documents WHERE text IS NOT NULL AND {where}) GROUP BY doc_id, term)"""
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(-1).alias("y"))
+
+
+QUALITY = "ex AS (SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS y FROM labels WHERE quality IS NOT NULL)"
+
+
+def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir).select("word").distinct()
+
+
+WORDS = f"{TOKENS}, words AS (SELECT DISTINCT word FROM tokens)"
+
+
+def global_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.dense_ids(vocab.document_frequency(bow(spark, sf_dir)).select("term"), "term", "fid")
+
+
+VOCAB = bow_sql() + ", voc AS (SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS fid FROM (SELECT term FROM bow GROUP BY term HAVING count(*) >= 2))"
+FEATURES = VOCAB + ", feats AS (SELECT doc_id, fid, freq::DOUBLE AS val FROM bow JOIN voc USING (term))"
+
+
+def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.vectorize(bow(spark, sf_dir), global_vocab(spark, sf_dir))
+
+
+def normal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.l2_normalize(raw_features(spark, sf_dir))
+
+
+NORMAL = FEATURES + ", normed AS (SELECT doc_id, fid, val / sqrt(sum(val * val) OVER (PARTITION BY doc_id)) AS val FROM feats)"
+
+# ---------------------------------------------------------------- vocabularies and bags of words
+
+
+@query(f"WITH {bow_sql()} SELECT term, count(*) AS df FROM bow GROUP BY term HAVING count(*) >= 2")
+def df_vocab(spark, sf_dir):
+    return vocab.document_frequency(bow(spark, sf_dir))
+
+
+SIDES = f"""{bow_sql('bs', "lang = 'en'")}, {bow_sql('bt', "lang = 'de'")},
+s AS (SELECT term, count(*) AS df FROM bs GROUP BY term HAVING count(*) >= 2), t AS (SELECT term, count(*) AS df FROM bt GROUP BY term HAVING count(*) >= 2),
+voc AS (SELECT 's' AS side, term, row_number() OVER (ORDER BY encode(term)) - 1 AS fid FROM s UNION ALL SELECT 't', term, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY encode(term)) - 1 FROM t)"""
+
+
+def sides(spark, sf_dir):
+    return vocab.disjoint_vocabularies(*(vocab.document_frequency(bow(spark, sf_dir, x)) for x in ("en", "de")))
+
+
+@query(f"WITH {SIDES} SELECT side, term, fid::BIGINT AS fid FROM voc")
+def disjoint_vocab(spark, sf_dir):
+    return sides(spark, sf_dir)
+
+
+LINE = "SELECT doc_id, string_agg(term || ':' || freq, ' ' ORDER BY encode(term)) || ' #label#:' || (CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END) AS line FROM bow GROUP BY doc_id"
+
+
+@query(f"WITH {bow_sql()} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label, term, freq::INTEGER AS freq FROM bow WHERE position(':' IN term) = 0")
+def bow_parse(spark, sf_dir):
+    label = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
+    items = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "term", "freq"))), " ")
+    lines = bow(spark, sf_dir).groupBy("doc_id").agg(items.alias("items")).select("doc_id", F.concat(F.col("items"), F.lit(" #label#:"), label).alias("line"))
+    return readers.parse_bow(lines).select("doc_id", "label", F.inline("terms"))
+
+
+@query(f"WITH {FEATURES} SELECT doc_id, fid::BIGINT AS fid, val FROM feats")
+def bow_vectorize(spark, sf_dir):
+    return raw_features(spark, sf_dir)
+
+
+@query(f"WITH {NORMAL} SELECT doc_id, fid::BIGINT AS fid, round(val, 6) AS val FROM normed")
+def l2_normalize(spark, sf_dir):
+    return normal_features(spark, sf_dir).withColumn("val", F.round("val", 6))
+
+
+@query("""SELECT d.doc_id, (dense_rank() OVER (ORDER BY lang) - 1)::INTEGER AS y_lang, CASE WHEN quality = 1 THEN 1 ELSE -1 END::INTEGER AS y_quality
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE lang IS NOT NULL AND quality IS NOT NULL""")
+def label_encode(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").where("lang is not null and quality is not null")
+    d = vocab.encode_labels(d, "lang").withColumnRenamed("y", "y_lang")
+    return vocab.encode_labels(d, "quality").select("doc_id", "y_lang", F.col("y").alias("y_quality"))
+
+
+@query(f"WITH {FEATURES} SELECT fid::BIGINT AS fid, count(*) AS n FROM (SELECT * FROM feats UNION ALL SELECT * FROM feats WHERE doc_id % 2 = 0) GROUP BY fid")
+def feature_counts(spark, sf_dir):
+    f = raw_features(spark, sf_dir)
+    return vocab.feature_counts(f, f.where("doc_id % 2 = 0"))
+
+
+@query(f"WITH {FEATURES} SELECT doc_id, fid::BIGINT AS fid, val FROM feats UNION ALL SELECT doc_id, fid + (SELECT count(*) FROM voc), val FROM feats")
+def view_concat(spark, sf_dir):
+    f, n = raw_features(spark, sf_dir), global_vocab(spark, sf_dir).count()
+    return vocab.concat_views(f, f, n)
+
+
+@query(f"WITH {FEATURES} SELECT round(sum(b) / (1024.0 * 1024.0), 6) AS mb FROM (SELECT 8 * count(*) + 8 AS b FROM feats GROUP BY doc_id)")
+def dataset_size(spark, sf_dir):
+    return vocab.size_mb(raw_features(spark, sf_dir)).select(F.round("mb", 6).alias("mb"))
+
+
+@query(f"WITH {bow_sql()} SELECT term FROM bow GROUP BY term HAVING count(*) >= 20 UNION SELECT word FROM (SELECT lower(n_name) AS word FROM nation)")
+def vocab_union(spark, sf_dir):
+    a = vocab.document_frequency(bow(spark, sf_dir), 20).select("term")
+    return a.union(read(spark, sf_dir, "nation").select(F.lower("n_name").alias("term"))).distinct()
+
+
+@query(f"WITH {FEATURES} SELECT doc_id, fid::BIGINT AS fid, val FROM feats WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, fid::BIGINT AS fid, val FROM feats WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def dataset_merge(spark, sf_dir):
+    f, known = raw_features(spark, sf_dir), read(spark, sf_dir, "labels").select("doc_id")
+    return vocab.merge(f.join(known, "doc_id", "left_semi"), f.join(known, "doc_id", "left_anti"))
+
+
+# ---------------------------------------------------------------- statistics and selection
+
+COUNTS = f"""{bow_sql()}, {QUALITY}, tot AS (SELECT sum((y = 1)::INT) AS n_pos, sum((y <> 1)::INT) AS n_neg FROM ex),
+counts AS (SELECT term, sum((y = 1)::INT)::BIGINT AS p, sum((y <> 1)::INT)::BIGINT AS q, count(*) AS c, any_value(n_pos)::BIGINT AS n_pos, any_value(n_neg)::BIGINT AS n_neg FROM bow JOIN ex USING (doc_id) CROSS JOIN tot GROUP BY term)"""
+
+
+def mi_sql(key: str, source: str, name: str = "mi") -> str:
+    part = lambda nij, ni, nj: f"CASE WHEN {nij} = 0 THEN 0.0 ELSE ({nij})::DOUBLE / n * log2(n * ({nij})::DOUBLE / (({ni})::DOUBLE * {nj})) END"
+    return f"{name} AS (SELECT {key}, {part('p + 1', 'c + 2', 'n_pos')} + {part('n_pos - p', 'n - c - 2', 'n_pos')} + {part('q + 1', 'c + 2', 'n_neg')} + {part('n_neg - q', 'n - c - 2', 'n_neg')} AS mi FROM (SELECT *, n_pos + n_neg + 2 AS n FROM {source}))"
+
+
+def counts(spark, sf_dir):
+    return stats.contingency(bow(spark, sf_dir).select("doc_id", "term"), quality(spark, sf_dir))
+
+
+@query(f"WITH {COUNTS} SELECT * FROM counts")
+def contingency(spark, sf_dir):
+    return counts(spark, sf_dir)
+
+
+@query(f"WITH {COUNTS}, {mi_sql('term', 'counts')} SELECT term, round(mi, 6) AS mi FROM mi")
+def mutual_information(spark, sf_dir):
+    return stats.mutual_information(counts(spark, sf_dir)).withColumn("mi", F.round("mi", 6))
+
+
+@query(f"WITH {COUNTS}, {mi_sql('term', 'counts')} SELECT term, round(mi, 6) AS mi FROM mi ORDER BY round(mi, 9) DESC, encode(term) LIMIT 50")
+def mi_topk(spark, sf_dir):
+    return stats.mutual_information(counts(spark, sf_dir)).orderBy(F.desc(F.round("mi", 9)), "term").limit(50).withColumn("mi", F.round("mi", 6))
+
+
+MULTI = f"""{FEATURES}, ex AS (SELECT doc_id, lang AS label FROM documents WHERE lang IS NOT NULL), seen AS (SELECT DISTINCT doc_id, fid, label FROM feats JOIN ex USING (doc_id)),
+every AS (SELECT fid, count(*) AS c FROM seen GROUP BY fid), own AS (SELECT fid, label AS class, count(*) AS p FROM seen GROUP BY fid, label), tot AS (SELECT label AS class, count(*) AS n_pos FROM ex GROUP BY label),
+pairs AS (SELECT fid, class, coalesce(p, 0) AS p, c - coalesce(p, 0) AS q, c, n_pos, (SELECT count(*) FROM ex) - n_pos AS n_neg FROM every CROSS JOIN tot LEFT JOIN own USING (fid, class)),
+{mi_sql('fid, class', 'pairs')}, ranked AS (SELECT fid, class, row_number() OVER (PARTITION BY class ORDER BY round(mi, 9) DESC, fid) AS rank FROM mi)"""
+
+
+@query(f"WITH {MULTI} SELECT fid::BIGINT AS fid, t.rank::INTEGER AS rank, t.class AS class FROM (SELECT fid, min({{'rank': rank, 'class': class}}) AS t FROM ranked WHERE rank <= 1000 GROUP BY fid)")
+def mi_multiclass_roundrobin(spark, sf_dir):
+    ex = read(spark, sf_dir, "documents").where("lang is not null").select("doc_id", F.col("lang").alias("label"))
+    classes = [r.label for r in ex.select("label").distinct().collect()]
+    return selection.mi_multiclass(raw_features(spark, sf_dir), ex, classes, 1000)
+
+
+@query(f"WITH {FEATURES} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats GROUP BY fid HAVING count(*) >= 10")
+def freq_select(spark, sf_dir):
+    return selection.frequency_selector(raw_features(spark, sf_dir), 10)
+
+
+@query()
+def random_select(spark, sf_dir):
+    return selection.random_selector(raw_features(spark, sf_dir), 7)
+
+
+@query(f"WITH {FEATURES} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats WHERE fid IN (SELECT fid FROM voc WHERE starts_with(term, 'th')) GROUP BY fid HAVING count(*) >= 3")
+def preselection(spark, sf_dir):
+    pre = global_vocab(spark, sf_dir).where(F.col("term").startswith("th"))
+    return selection.frequency_selector(raw_features(spark, sf_dir), 3, pre)
+
+
+@query()
+def seeded_shuffle(spark, sf_dir):
+    ex = quality(spark, sf_dir)
+    return ex.select("doc_id", "y", vocab.shuffled(ex, 13).alias("place"))
+
+
+@query()
+def sample_probe(spark, sf_dir):
+    return selection.sample_probe(quality(spark, sf_dir))
+
+
+@query("SELECT doc_id, line_no::BIGINT AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) WHERE line_no < 2")
+def line_limit(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where("line_no < 2").withColumn("line_no", F.col("line_no").cast("long"))
+
+
+# ---------------------------------------------------------------- string functions
+
+NUM = lambda w: f"CASE WHEN length(regexp_replace({w}, '[0-9]', '', 'g')) > 2 THEN {w} ELSE regexp_replace({w}, '[0-9]', '*d*', 'g') END"
+TITLE = lambda w: f"regexp_matches({w}, '^[^A-Za-z]*([A-Z][a-z]*([^A-Za-z]+|$))+$')"
+UPPER = lambda w: f"(regexp_matches({w}, '[A-Z]') AND NOT regexp_matches({w}, '[a-z]'))"
+LOWER = lambda w: f"(regexp_matches({w}, '[a-z]') AND NOT regexp_matches({w}, '[A-Z]'))"
+HYPHEN = lambda w: f"regexp_matches({w}, '(?s)^.+-.+$')"
+
+
+@query(f"WITH {WORDS} SELECT word, {NUM('word')} AS num FROM words")
+def numify(spark, sf_dir):
+    return distinct_words(spark, sf_dir).select("word", T.numify(F.col("word")).alias("num"))
+
+
+@query(rf"""WITH {WORDS} SELECT word, translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '[^A-Za-z0-9]', chr(1), 'g'), '[0-9]', chr(2), 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), chr(1) || chr(2), 'SD') AS abstract FROM words""")
+def caseabstract(spark, sf_dir):
+    return distinct_words(spark, sf_dir).select("word", T.caseabstract(F.col("word")).alias("abstract"))
+
+
+@query(f"WITH {WORDS}, dated AS (SELECT word FROM words UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders) SELECT word, CASE WHEN regexp_matches(word, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '*date*' ELSE word END AS dated FROM dated")
+def datify(spark, sf_dir):
+    dated = distinct_words(spark, sf_dir).union(read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return dated.select("word", T.datify(F.col("word")).alias("dated"))
+
+
+@query(rf"""WITH {WORDS} SELECT word, {TITLE('word')} AS istitle, {UPPER('word')} AS isupper, {LOWER('word')} AS islower, regexp_matches(word, '^[0-9]+$') AS isdigit, regexp_matches(word, '^[A-Za-z0-9]+$') AS isalnum, {HYPHEN('word')} AS hyphen,
+regexp_matches(word, '^[A-Z][A-Za-z0-9_]+[A-Z][A-Za-z0-9_]*$') AS mixedcase, regexp_matches(word, '^[A-Z]\.$') AS ccwp, regexp_matches(word, '^[A-Z][a-z]+-[A-Z][a-z]+$') AS tcsh, length(word) = 1 AND regexp_matches(word, '^[!-/:-@\[-`{{-~]$') AS punct,
+regexp_matches(word, '^[0-9]{{2}}$') AS is2digit, regexp_matches(word, '^[0-9]{{4}}$') AS is4digit, length(word)::INTEGER AS wlen FROM words""")
+def shape_flags(spark, sf_dir):
+    w = F.col("word")
+    return distinct_words(spark, sf_dir).select("word", T.istitle(w).alias("istitle"), T.isupper(w).alias("isupper"), T.islower(w).alias("islower"), T.isdigit(w).alias("isdigit"), T.isalnum(w).alias("isalnum"), T.inner_hyphen(w).alias("hyphen"), T.mixedcase(w).alias("mixedcase"), T.capital_period(w).alias("ccwp"), T.title_hyphen(w).alias("tcsh"), T.ispunctuation(w).alias("punct"), T.isdigit(w, 2).alias("is2digit"), T.isdigit(w, 4).alias("is4digit"), F.length(w).alias("wlen"))
+
+
+@query(f"WITH {WORDS}, t AS (SELECT word, [{{'k': 'istitle', 'b': {TITLE('word')}}}, {{'k': 'isdigit', 'b': regexp_matches(word, '^[0-9]+$')}}, {{'k': 'isupper', 'b': {UPPER('word')}}}, {{'k': 'inhyphen', 'b': {HYPHEN('word')}}}, {{'k': 'isalnum', 'b': regexp_matches(word, '^[A-Za-z0-9]+$')}}] AS x FROM words) SELECT word, s.k AS shape FROM (SELECT word, unnest(x) AS s FROM t) WHERE s.b")
+def shape_extractor(spark, sf_dir):
+    return distinct_words(spark, sf_dir).select("word", F.explode(T.shapes(F.col("word"))).alias("shape"))
+
+
+@query(f"WITH {WORDS}, n AS (SELECT word, {NUM('word')} AS w FROM words) SELECT word, right(w, 1) AS s1, right(w, 2) AS s2, right(w, 3) AS s3, right(w, 4) AS s4, left(w, 3) AS p3, left(w, 4) AS p4 FROM n")
+def affixes(spark, sf_dir):
+    w = T.numify(F.col("word"))
+    return distinct_words(spark, sf_dir).select("word", *(T.suffix(w, n).alias(f"s{n}") for n in (1, 2, 3, 4)), *(T.prefix(w, n).alias(f"p{n}") for n in (3, 4)))
+
+
+@query()
+def tokenize_full(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH {TOKENS} SELECT tag, list_extract(string_split(tag, '-'), -1) AS name, count(*) AS n FROM tokens GROUP BY tag")
+def tag_names(spark, sf_dir):
+    return tokens(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select("tag", T.tag_name(F.col("tag")).alias("name"), "n")
+
+
+@query("SELECT p_partkey, lower(list_extract(string_split(p_name, ' '), 1)) AS first_word, 'p=' || p_name AS fname FROM part")
+def dictionary_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.first_word(F.col("p_name")).alias("first_word"), T.feature_name(F.lit("p"), F.col("p_name")).alias("fname"))
+
+
+# ---------------------------------------------------------------- context, history, lexicons
+
+WIN = "WINDOW s AS (PARTITION BY doc_id, sent_id ORDER BY tok_idx)"
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word, lag(word, 1, '<s>') OVER s AS pre, lag(word, 2, '<s>') OVER s AS pre2, lead(word, 1, '</s>') OVER s AS post, lead(word, 2, '</s>') OVER s AS post2 FROM tokens {WIN}")
+def context_window(spark, sf_dir):
+    t = templates.with_neighbours(tokens(spark, sf_dir))
+    return t.select("doc_id", "sent_id", "tok_idx", "word", *(templates.at("word", p).alias(n) for p, n in (("pre", "pre"), ("2pre", "pre2"), ("post", "post"), ("2post", "post2"))))
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT doc_id, sent_id, tok_idx, {NUM('word')} AS w FROM tokens) SELECT lag(w, 1, '<s>') OVER s || '/' || w AS bigram, count(*) AS n FROM n GROUP BY ALL".replace("SELECT lag(w, 1, '<s>') OVER s || '/' || w AS bigram, count(*) AS n FROM n GROUP BY ALL", f"SELECT bigram, count(*) AS n FROM (SELECT lag(w, 1, '<s>') OVER s || '/' || w AS bigram FROM n {WIN}) GROUP BY bigram"))
+def word_bigrams(spark, sf_dir):
+    t = templates.with_neighbours(tokens(spark, sf_dir), kind="num")
+    return t.select(T.joined(templates.at("num", "pre"), templates.at("num", "cur")).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TOKENS}, h AS (SELECT lag(tag, 1, '<s>') OVER s AS one, lag(tag, 2, '<s>') OVER s AS two FROM tokens {WIN}) SELECT one AS pre, two AS pre2, two || '/' || one AS bigram, count(*) AS n FROM h GROUP BY ALL")
+def history_gold(spark, sf_dir):
+    h = templates.history(tokens(spark, sf_dir), "zj03").groupBy("doc_id", "sent_id", "tok_idx").agg(*(F.max(F.when(F.col("ftype") == f, F.col("fval"))).alias(n) for f, n in (("pre_tag", "pre"), ("pre_pre_tag", "pre2"), ("tag_bigram", "bigram"))))
+    return h.groupBy("pre", "pre2", "bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TOKENS}, b AS (SELECT unnest(list(word) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS fval FROM tokens) SELECT 'bow-4--1' AS ftype, fval, count(*) AS n FROM b GROUP BY fval")
+def bow_window(spark, sf_dir):
+    return templates.bag_window(tokens(spark, sf_dir), -4, -1).groupBy("ftype", "fval").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT *, lag(word, 1, '<s>') OVER s AS pre FROM tokens {WIN}) SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word FROM n WHERE ({NUM('pre')}) IN ('the.', 'of.', 'and.', 'a.') AND {TITLE(f'({NUM(chr(119) + chr(111) + chr(114) + chr(100))})')}")
+def trigger_words(spark, sf_dir):
+    t = templates.with_neighbours(tokens(spark, sf_dir))
+    hit = T.numify(templates.at("word", "pre")).isin("the.", "of.", "and.", "a.") & T.istitle(T.numify(F.col("word")))
+    return t.where(hit).select("doc_id", "sent_id", "tok_idx", "word")
+
+
+def gaz_sql(code: str) -> str:
+    return f"WITH p AS (SELECT string_split_regex(trim(p_name), '\\s+') AS t FROM part), e AS (SELECT len(t) AS n, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM p), c AS (SELECT DISTINCT token, {code} AS code FROM e WHERE token <> ''), gaz AS (SELECT token, string_agg(code, '' ORDER BY code) AS codes FROM c GROUP BY token)"
+
+
+IOB, BILOU = "CASE WHEN i = 0 THEN 'B' ELSE 'I' END", "CASE WHEN n = 1 THEN 'U' WHEN i = 0 THEN 'B' WHEN i = n - 1 THEN 'L' ELSE 'I' END"
+
+
+def parts(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_name").alias("entry"))
+
+
+@query(f"{gaz_sql(IOB)} SELECT * FROM gaz")
+def gazetteer_codes_iob(spark, sf_dir):
+    return lexicon.gazetteer(parts(spark, sf_dir))
+
+
+@query(f"{gaz_sql(BILOU)} SELECT * FROM gaz")
+def gazetteer_codes_bilou(spark, sf_dir):
+    return lexicon.gazetteer(parts(spark, sf_dir), "bilou")
+
+
+@query("SELECT c_custkey, c_mktsegment, c_mktsegment IN (SELECT DISTINCT c_mktsegment FROM customer WHERE c_nationkey = 1) AS known FROM customer")
+def simple_gazetteer(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    words = lexicon.simple_gazetteer(c.where("c_nationkey = 1").select(F.col("c_mktsegment").alias("entry")))
+    return lexicon.member(c.select("c_custkey", "c_mktsegment"), words, "c_mktsegment")
+
+
+@query(f"{gaz_sql(BILOU)}, w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT p_partkey, word, 'gaz_cur' AS ftype, unnest(string_split(codes, '')) AS fval FROM w JOIN gaz ON word = token")
+def gazetteer_features(spark, sf_dir):
+    w = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    return lexicon.gazetteer_features(w, lexicon.gazetteer(parts(spark, sf_dir), "bilou"), "gaz_cur")
+
+
+BITS = "translate(md5(word), '0123456789abcdef', '0101010101010101')"
+
+
+@query(f"WITH {WORDS}, b AS (SELECT word, {BITS} AS bits FROM words WHERE length(word) > 3) SELECT word, 'brown_' || p || '_cur' AS ftype, left(bits, p) AS fval FROM b CROSS JOIN (SELECT unnest([4, 6, 10, 20]) AS p)")
+def brown_prefixes(spark, sf_dir):
+    w = distinct_words(spark, sf_dir)
+    bits = F.translate(F.md5("word"), "0123456789abcdef", "0101010101010101")
+    clusters = w.where(F.length("word") > 3).select(F.col("word").alias("token"), bits.alias("bits"))
+    return lexicon.brown_features(w, clusters)
+
+
+# ---------------------------------------------------------------- feature vocabulary, examples, blocks, tasks
+
+FNAMES = f"""{TOKENS}, nb AS (SELECT *, lag(word, 1, '<s>') OVER s AS pre, lead(word, 1, '</s>') OVER s AS post, lag(word, 2, '<s>') OVER s AS pre2, lead(word, 2, '</s>') OVER s AS post2 FROM tokens {WIN}),
+rows AS (SELECT unnest(['uword_cur', 'uword_pre', 'uword_2pre', 'uword_post', 'uword_2post', 'bword_pre_cur', 'bword_cur_post']) AS ftype, unnest([a, b, c, d, e, b || '/' || a, a || '/' || d]) AS fval FROM (SELECT {NUM('word')} AS a, {NUM('pre')} AS b, {NUM('pre2')} AS c, {NUM('post')} AS d, {NUM('post2')} AS e FROM nb)),
+fn AS (SELECT ftype || '=' || fval AS fname, count(*) AS n FROM rows GROUP BY ALL HAVING count(*) >= 5), fvoc AS (SELECT fname, n, row_number() OVER (ORDER BY encode(fname)) - 1 AS fid FROM fn)"""
+
+
+def word_features(spark, sf_dir):
+    """The word templates of the subspace set, counted."""
+    rows = sequence.named(templates.features(tokens(spark, sf_dir), "rr09_aso")).where(F.col("ftype").startswith("uword") | F.col("ftype").startswith("bword"))
+    return rows
+
+
+def word_vocab(spark, sf_dir):
+    n = word_features(spark, sf_dir).groupBy("fname").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return vocab.dense_ids(n, "fname", "fid")
+
+
+@query(f"WITH {FNAMES} SELECT fname, n, fid::BIGINT AS fid FROM fvoc")
+def feature_vocab(spark, sf_dir):
+    return word_vocab(spark, sf_dir).select("fname", "n", "fid")
+
+
+def _template_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tokens(spark, sf_dir).withColumn("pos", F.upper(T.suffix(F.col("word"), 2))).withColumn("chunk", F.when(F.col("tag") == "O", "O").otherwise("I-NP"))
+        lex = {"brown": distinct_words(spark, sf_dir).where(F.length("word") > 3).select(F.col("word").alias("token"), F.translate(F.md5("word"), "0123456789abcdef", "0101010101010101").alias("bits")), "places": lexicon.gazetteer(parts(spark, sf_dir), "bilou"), "orgs": lexicon.gazetteer(parts(spark, sf_dir), "bilou"), "firstnames": lexicon.simple_gazetteer(read(spark, sf_dir, "nation").select(F.initcap(F.lower("n_name")).alias("entry"))), "lastnames": lexicon.simple_gazetteer(read(spark, sf_dir, "region").select(F.initcap(F.lower("r_name")).alias("entry")))}
+        return templates.features(t, name, lex).groupBy("ftype").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("fval")).alias("chars"))
+
+    return run
+
+
+for _name in templates.SETS:
+    QUERIES[f"templates_{_name}"] = _template_query(_name)
+
+
+@query(f"WITH {FNAMES} SELECT list_extract(string_split(fname, '='), 1) AS ftype, min(fid)::BIGINT AS f_min, max(fid)::BIGINT AS f_max, count(*) AS n, max(fid) - min(fid) + 1 = count(*) AS contiguous FROM fvoc GROUP BY 1")
+def feature_type_blocks(spark, sf_dir):
+    return selection.feature_type_blocks(word_vocab(spark, sf_dir))
+
+
+@query(f"WITH {FNAMES} SELECT fid::BIGINT AS fid, fname FROM fvoc WHERE list_contains(list_slice(string_split_regex(fname, '[_=]'), 2, -2), 'pre')")
+def location_masks(spark, sf_dir):
+    return selection.location_mask(word_vocab(spark, sf_dir), "pre").select("fid", "fname")
+
+
+@query(f"WITH {FNAMES}, k AS (SELECT *, CASE WHEN starts_with(fname, 'uword_cur=') THEN 'uword_cur=' WHEN starts_with(fname, 'uword_pre=') THEN 'uword_pre=' WHEN starts_with(fname, 'uword_post=') THEN 'uword_post=' END AS prefix FROM fvoc), r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, fid) AS rank FROM k WHERE prefix IS NOT NULL) SELECT prefix, fid::BIGINT AS fid, fname, n, rank::INTEGER AS rank FROM r WHERE rank <= 20")
+def aux_tasks(spark, sf_dir):
+    return selection.auxiliary_tasks(word_vocab(spark, sf_dir), ["uword_cur=", "uword_pre=", "uword_post="], 20)
+
+
+@query(f"WITH {FNAMES} SELECT fid::BIGINT AS fid, fname FROM fvoc WHERE starts_with(fname, 'bword_pre_cur=')")
+def prefix_preselection(spark, sf_dir):
+    return selection.with_prefix(word_vocab(spark, sf_dir), "bword_pre_cur=").select("fid", "fname")
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, count(*) AS n FROM tokens WHERE upper(right(word, 2)) LIKE 'TH%' OR upper(right(word, 2)) LIKE 'E%' GROUP BY doc_id")
+def pos_prefix_filter(spark, sf_dir):
+    t = tokens(spark, sf_dir).withColumn("pos", F.upper(T.suffix(F.col("word"), 2)))
+    return selection.pos_filter(t, ["TH", "E"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def feature_examples(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    tags = ["B-CAP", "I-CAP", "O"]
+    voc = sequence.feature_vocabulary([(t, 10)], "zj03", None, tags, True)
+    rows, labels = sequence.examples(t, "zj03", voc, tags, None, True)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("val"), 6).alias("total")).join(labels.groupBy("doc_id").agg(F.sum("y").alias("y")), "doc_id")
+
+
+# ---------------------------------------------------------------- across languages
+
+PAIRS = f"{SIDES}, rs AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM s), rt AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM t), pairs AS (SELECT rs.term AS ws, upper(rt.term) || ' x' AS wt FROM rs JOIN rt USING (r) WHERE regexp_matches(rt.term, '^[a-z]+$'))"
+
+
+def dictionary(spark, sf_dir):
+    """The i-th most frequent terms of the two languages, as pairs of a made-up dictionary."""
+    ranked = [vocab.document_frequency(bow(spark, sf_dir, x)).withColumn("r", F.row_number().over(W.orderBy(F.desc("df"), "term"))) for x in ("en", "de")]
+    return ranked[0].select(F.col("term").alias("ws"), "r").join(ranked[1].select("term", "r").where(F.col("term").rlike("^[a-z]+$")), "r").select("ws", F.concat(F.upper("term"), F.lit(" x")).alias("wt"))
+
+
+TRANSLATED = f"{PAIRS}, tr AS (SELECT a.fid AS fid_s, b.fid AS fid_t, ws, lower(list_extract(string_split(wt, ' '), 1)) AS wt FROM pairs JOIN voc a ON a.side = 's' AND a.term = ws JOIN voc b ON b.side = 't' AND b.term = lower(list_extract(string_split(wt, ' '), 1)))"
+
+
+@query(f"WITH {TRANSLATED} SELECT fid_s::BIGINT AS fid_s, fid_t::BIGINT AS fid_t, ws, wt FROM tr")
+def dict_translate(spark, sf_dir):
+    v = sides(spark, sf_dir).persist()
+    return lexicon.translate(dictionary(spark, sf_dir), *(v.where(F.col("side") == x) for x in "st"))
+
+
+BOTH = "feats AS (SELECT doc_id, fid, freq::DOUBLE AS val FROM bs JOIN voc ON side = 's' AND voc.term = bs.term UNION ALL SELECT doc_id, fid, freq::DOUBLE FROM bt JOIN voc ON side = 't' AND voc.term = bt.term)"
+
+
+def both_features(spark, sf_dir):
+    v = sides(spark, sf_dir).persist()
+    return v, vocab.merge(*(vocab.vectorize(bow(spark, sf_dir, x), v.where(F.col("side") == y)) for x, y in (("en", "s"), ("de", "t"))))
+
+
+@query(f"WITH {SIDES}, {BOTH} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats GROUP BY fid HAVING count(*) >= 5")
+def pivot_support(spark, sf_dir):
+    return vocab.feature_counts(both_features(spark, sf_dir)[1]).where("n >= 5")
+
+
+PIVOTS = f"""{TRANSLATED}, {BOTH}, {QUALITY}, tot AS (SELECT sum((y = 1)::INT) AS n_pos, sum((y <> 1)::INT) AS n_neg FROM ex WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
+sf AS (SELECT doc_id, fid FROM bs JOIN voc ON side = 's' AND voc.term = bs.term), counts AS (SELECT fid, sum((y = 1)::INT)::BIGINT AS p, sum((y <> 1)::INT)::BIGINT AS q, count(*) AS c, any_value(n_pos) AS n_pos, any_value(n_neg) AS n_neg FROM sf JOIN ex USING (doc_id) CROSS JOIN tot GROUP BY fid),
+{mi_sql('fid', 'counts')}, sup AS (SELECT fid FROM feats GROUP BY fid HAVING count(*) >= 5), pivots AS (SELECT fid_s, fid_t, mi FROM mi JOIN tr ON fid = fid_s WHERE fid_s IN (SELECT fid FROM sup) AND fid_t IN (SELECT fid FROM sup) ORDER BY round(mi, 9) DESC, fid_s LIMIT 40)"""
+
+
+def english_labels(spark, sf_dir):
+    return quality(spark, sf_dir).join(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+
+
+def pivots(spark, sf_dir, m: int = 40):
+    v, every = both_features(spark, sf_dir)
+    rows = vocab.vectorize(bow(spark, sf_dir, "en"), v.where("side = 's'"))
+    ranking = selection.mi_selector(rows, english_labels(spark, sf_dir))
+    return every, selection.select_pivots(ranking, lexicon.translate(dictionary(spark, sf_dir), *(v.where(F.col("side") == x) for x in "st")), every, m, 5)
+
+
+@query(f"WITH {PIVOTS} SELECT fid_s::BIGINT AS fid_s, fid_t::BIGINT AS fid_t, round(mi, 6) AS mi FROM pivots")
+def select_pivots(spark, sf_dir):
+    return pivots(spark, sf_dir)[1].withColumn("mi", F.round("mi", 6))
+
+
+TASKS = f"{PIVOTS}, tasks AS (SELECT fid_s AS task_id, unnest([fid_s, fid_t]) AS fid FROM pivots)"
+
+
+def tasks(p: DataFrame) -> DataFrame:
+    return p.select(F.col("fid_s").alias("task_id"), F.explode(F.array("fid_s", "fid_t")).alias("fid"))
+
+
+@query(f"WITH {TASKS} SELECT task_id::BIGINT AS task_id, count(DISTINCT doc_id) AS n, min(doc_id) AS low, max(doc_id) AS high FROM feats JOIN tasks USING (fid) GROUP BY task_id")
+def inverted_index(spark, sf_dir):
+    every, p = pivots(spark, sf_dir)
+    return subspace.inverted_index(every, tasks(p)).select("task_id", F.size("doc_ids").cast("long").alias("n"), F.array_min("doc_ids").alias("low"), F.array_max("doc_ids").alias("high"))
+
+
+@query(f"WITH {TASKS}, h AS (SELECT DISTINCT task_id, doc_id FROM feats JOIN tasks USING (fid)) SELECT t.task_id::BIGINT AS task_id, doc_id, CASE WHEN h.task_id IS NULL THEN -1 ELSE 1 END::INTEGER AS y FROM (SELECT DISTINCT task_id FROM tasks) t CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN h USING (task_id, doc_id)")
+def autolabel(spark, sf_dir):
+    every, p = pivots(spark, sf_dir)
+    return subspace.autolabel(read(spark, sf_dir, "documents").select("doc_id"), every, tasks(p.persist()))
+
+
+@query(f"WITH {TASKS} SELECT doc_id, fid::BIGINT AS fid, val FROM feats WHERE fid NOT IN (SELECT fid FROM tasks)")
+def mask_antijoin(spark, sf_dir):
+    every, p = pivots(spark, sf_dir)
+    return subspace.masked(every, tasks(p))
+
+
+# ---------------------------------------------------------------- prediction history
+
+EPH = f"{TOKENS}, o AS (SELECT *, coalesce(sum((tag <> 'O')::INT) OVER (ORDER BY doc_id, sent_id, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k FROM tokens), eph AS (SELECT doc_id, sent_id, tok_idx, word, tag, coalesce(sum((tag = 'B-CAP')::INT) OVER w, 0)::BIGINT AS b, coalesce(sum((tag = 'I-CAP')::INT) OVER w, 0)::BIGINT AS i FROM o WINDOW w AS (PARTITION BY word ORDER BY k RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING))"
+
+
+def history_counts(spark, sf_dir):
+    return sequence.extended_history(tokens(spark, sf_dir), ["B-CAP", "I-CAP"])
+
+
+@query(f"WITH {EPH} SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word, b, i FROM eph")
+def eph_counts(spark, sf_dir):
+    return history_counts(spark, sf_dir).select("doc_id", "sent_id", "tok_idx", "word", F.col("eph_B-CAP").alias("b"), F.col("eph_I-CAP").alias("i"))
+
+
+@query(f"WITH {EPH} SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word, round(b / (b + i), 6) AS b FROM eph WHERE b + i > 0")
+def eph_distribution(spark, sf_dir):
+    d = sequence.history_distribution(history_counts(spark, sf_dir), ["B-CAP", "I-CAP"])
+    return d.where(F.col("`eph_B-CAP`").isNotNull()).select("doc_id", "sent_id", "tok_idx", "word", F.round("eph_B-CAP", 6).alias("b"))
+
+
+@query("""WITH o AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT event_id, user_id, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS purchases FROM o""")
+def eph_stream(spark, sf_dir):
+    """The events as a stream of files: state in the checkpoint, rows into a Parquet sink, which is then read."""
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    e = stream.select(F.col("user_id").alias("word"), F.col("event_type").alias("tag"), F.col("event_id").alias("at"))
+    seen = F.regexp_extract("seen", "purchase:([0-9]+)", 1)
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    running_history(e, 5).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(F.col("at").alias("event_id"), F.col("word").alias("user_id"), F.when(seen == "", 0).otherwise(seen.cast("long")).cast("long").alias("purchases"))
+
+
+# ---------------------------------------------------------------- vectors
+
+WEIGHT = "((fid * 31) % 101 - 50) / 101.0"
+
+
+def weights(spark, sf_dir):
+    return global_vocab(spark, sf_dir).select("fid", (((F.col("fid") * 31) % 101 - 50) / 101.0).alias("w"))
+
+
+@query(f"WITH {NORMAL} SELECT doc_id, round(sum(val * {WEIGHT}) + 0.5, 6) AS score FROM normed GROUP BY doc_id")
+def sparse_dot(spark, sf_dir):
+    return subspace.sparse_dot(normal_features(spark, sf_dir), weights(spark, sf_dir), 0.5).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {NORMAL}, p AS (SELECT doc_id, dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL) SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p")
+def project_theta(spark, sf_dir):
+    return subspace.project(normal_features(spark, sf_dir), theta(spark, sf_dir)).withColumn("v", F.round("v", 6))
+
+
+def theta(spark, sf_dir):
+    return global_vocab(spark, sf_dir).select("fid", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((F.col("fid") * 31 + d * 17) % 101) / F.lit(101.0)).alias("vec"))
+
+
+@query(f"WITH {NORMAL}, b AS (SELECT 0 AS block_id, 0 AS f_min, 999 AS f_max UNION ALL SELECT 1, 1000, 100000000), p AS (SELECT doc_id, block_id * 4 + dim AS dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed JOIN b ON fid BETWEEN f_min AND f_max CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL) SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p")
+def project_blocks(spark, sf_dir):
+    blocks = spark.createDataFrame([(0, 0, 999), (1, 1000, 100_000_000)], "block_id int, f_min long, f_max long")
+    return subspace.project(normal_features(spark, sf_dir), theta(spark, sf_dir), blocks).withColumn("v", F.round("v", 6))
+
+
+def vectors(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+FLAT = "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE embedding IS NOT NULL), st AS (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS std FROM v GROUP BY dim)"
+
+
+@query(f"WITH {FLAT} SELECT dim::INTEGER AS dim, round(mean, 6) AS mean, round(std, 6) AS std FROM st")
+def column_stats(spark, sf_dir):
+    return stats.column_stats(vectors(spark, sf_dir)).select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"WITH {FLAT} SELECT vec_id AS doc_id, dim::BIGINT AS fid, round((x - mean) / std * 2, 5) AS val FROM v JOIN st USING (dim) WHERE (x - mean) / std * 2 <> 0")
+def standardize(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return subspace.to_sparse(stats.standardize(v, stats.column_stats(v), 2.0)).withColumn("val", F.round("val", 5))
+
+
+@query(f"WITH {FLAT} SELECT round(avg(n), 6) AS beta FROM (SELECT sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id)")
+def avg_norm(spark, sf_dir):
+    return stats.average_norm(vectors(spark, sf_dir)).select(F.round("beta", 6).alias("beta"))
+
+
+@query(f"WITH {FEATURES}, {FLAT} SELECT round((SELECT avg(n) FROM (SELECT sqrt(sum(val * val)) AS n FROM feats GROUP BY doc_id)) / (SELECT avg(n) FROM (SELECT sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id)) * 10, 6) AS scale")
+def scaling_factor(spark, sf_dir):
+    return stats.scaling_factor(raw_features(spark, sf_dir), vectors(spark, sf_dir)).select(F.round("scale", 6).alias("scale"))
+
+
+@query(f"WITH {VOCAB}, w AS (SELECT {WEIGHT} AS w FROM voc) SELECT count(*) FILTER (w <> 0) AS nnz, round(count(*) FILTER (w <> 0) / (count(*) * 1.0), 6) AS density FROM w")
+def weight_density(spark, sf_dir):
+    w = weights(spark, sf_dir)
+    return stats.density(w, w.count(), 1).withColumn("density", F.round("density", 6))
+
+
+@query(f"WITH {NORMAL}, sc AS (SELECT doc_id, class_id, round(sum(val * (((fid * 31 + class_id * 17) % 101) / 101.0)), 9) AS s FROM normed CROSS JOIN (SELECT unnest([0, 1, 2]) AS class_id) GROUP BY ALL) SELECT doc_id, class_id::INTEGER AS class_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, class_id DESC) AS r FROM sc) WHERE r = 1")
+def argmax_class(spark, sf_dir):
+    w = global_vocab(spark, sf_dir).select("fid", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("class_id")).withColumn("w", ((F.col("fid") * 31 + F.col("class_id") * 17) % 101) / F.lit(101.0))
+    return subspace.argmax_class(normal_features(spark, sf_dir), w)
+
+
+@query(f"WITH {VOCAB}, w AS (SELECT fid % 3 AS class_id, fid, {WEIGHT} AS w FROM voc), r AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY w DESC, fid) AS rank FROM w) SELECT class_id::BIGINT AS class_id, fid::BIGINT AS fid, round(w, 6) AS w, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+def top_weights(spark, sf_dir):
+    return selection.top_weights(weights(spark, sf_dir).withColumn("class_id", F.col("fid") % 3), 10).select("class_id", "fid", F.round("w", 6).alias("w"), "rank")
+
+
+@query()
+def truncated_svd(spark, sf_dir):
+    w = subspace.to_sparse(vectors(spark, sf_dir)).select(F.col("doc_id").alias("fid"), F.col("fid").alias("task_id"), F.col("val").alias("w"))
+    t, _ = subspace.truncated_svd(spark, w, 5)
+    return t.select("fid", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))
+
+
+# ---------------------------------------------------------------- learners
+
+GRID = "g AS (SELECT p::DOUBLE / 4 AS p, y::DOUBLE AS y FROM (SELECT unnest(range(-100, 101)) AS p) CROSS JOIN (SELECT unnest([-1, 1]) AS y))"
+
+
+@query(f"""WITH {GRID}, z AS (SELECT *, p * y AS z FROM g) SELECT p, y, round(CASE WHEN z >= 1 THEN 0 WHEN z >= -1 THEN (1 - z) * (1 - z) ELSE -4 * z END, 6) + 0.0 AS modified_huber, round(CASE WHEN z >= 1 THEN 0 WHEN z >= -1 THEN 2 * (1 - z) * y ELSE 4 * y END, 6) + 0.0 AS modified_huber_pull,
+round(greatest(0, 1 - z), 6) + 0.0 AS hinge, round(CASE WHEN z < 1 THEN y ELSE 0 END, 6) + 0.0 AS hinge_pull, round(CASE WHEN z > 18 THEN exp(-z) WHEN z < -18 THEN -z ELSE ln(1 + exp(-z)) END, 6) + 0.0 AS log, round(CASE WHEN z > 18 THEN exp(-z) * y WHEN z < -18 THEN y ELSE y / (exp(z) + 1) END, 6) + 0.0 AS log_pull,
+round(0.5 * (p - y) * (p - y), 6) + 0.0 AS squared, round(y - p, 6) + 0.0 AS squared_pull, round(CASE WHEN abs(p - y) <= 0.1 THEN 0.5 * (p - y) * (p - y) ELSE 0.1 * abs(p - y) - 0.005 END, 6) + 0.0 AS huber, round(greatest(-0.1, least(0.1, y - p)), 6) + 0.0 AS huber_pull FROM z""")
+def loss_table(spark, sf_dir):
+    g = spark.range(-100, 101).select((F.col("id") / 4).alias("p"), F.explode(F.array(F.lit(-1.0), F.lit(1.0))).alias("y"))
+    p, y = F.col("p"), F.col("y")
+    return g.select("p", "y", *((F.round(f(p, y), 6) + 0.0).alias(n) for name, loss in losses.LOSSES.items() for n, f in ((name, loss.loss), (f"{name}_pull", loss.pull))))
+
+
+def _rows(spark, sf_dir, lang: str = "en", mindf: int = 20) -> tuple[linear.Rows, DataFrame]:
+    v = vocab.dense_ids(vocab.document_frequency(bow(spark, sf_dir, lang), mindf).select("term"), "term", "fid").persist()
+    f = vocab.l2_normalize(vocab.vectorize(bow(spark, sf_dir, lang), v)).join(read(spark, sf_dir, "labels").where("toxic is not null").select("doc_id"), "doc_id", "left_semi")
+    return linear.gather(f, v.count()), read(spark, sf_dir, "labels")
+
+
+def _learned(learn: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(learn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, labels = _rows(spark, sf_dir)
+        toxic = {r.doc_id: r.toxic for r in labels.select("doc_id", "toxic").collect()}
+        import numpy as np
+
+        y = np.array([1.0 if toxic[int(i)] else -1.0 for i in rows.ids])
+        score, name = learn(rows, y)
+        return spark.createDataFrame([(name, int(rows.n), float(100 * (score == y).mean()), float(100 * (y == -1).mean()))], "learner string, n long, accuracy double, majority double")
+
+    QUERIES[learn.__name__] = run
+    return run
+
+
+@_learned
+def sgd(rows, y):
+    w, b = linear.sgd(rows, y, 1e-4, 20, seed=1, bias=True)
+    return (2 * ((rows.dot(w) + b) > 0) - 1), "sgd"
+
+
+@_learned
+def sgd_elastic(rows, y):
+    w, b = linear.sgd(rows, y, 1e-5, 20, norm="elastic", alpha=0.85, seed=1, bias=True)
+    return (2 * ((rows.dot(w) + b) > 0) - 1), "sgd_elastic"
+
+
+@_learned
+def pegasos(rows, y):
+    w, b = linear.pegasos(rows, y, 1e-3, 20, seed=1, bias=True)
+    return (2 * ((rows.dot(w) + b) > 0) - 1), "pegasos"
+
+
+@_learned
+def averaged_perceptron(rows, y):
+    w = linear.averaged_perceptron(rows, (y > 0).astype(int), 2, 20, seed=1)
+    return (2 * (rows.dot(w[1]) >= rows.dot(w[0])) - 1), "averaged_perceptron"
+
+
+@_learned
+def maxent(rows, y):
+    w, b = linear.maxent(rows, (y > 0).astype(int), 2, 1e-4, 5)
+    return (2 * (rows.dot(w[1]) + b[1] >= rows.dot(w[0]) + b[0]) - 1), "maxent"
+
+
+@query()
+def one_vs_all(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    rows = linear.gather(subspace.to_sparse(stats.standardize(v, stats.column_stats(v))), 64)
+    y = v.orderBy("doc_id").select("label").toPandas()["label"].to_numpy()
+    w = linear.one_vs_all(spark, rows, y, sorted(set(y.tolist())), 1e-3, 5)
+    sparse = subspace.to_sparse(stats.standardize(v, stats.column_stats(v)))
+    pred = subspace.argmax_class(sparse, w.where("fid >= 0"))
+    return sequence.accuracy(pred.join(v.select("doc_id", F.col("label").cast("long").alias("gold")), "doc_id"), "gold", "class_id")
+
+
+# ---------------------------------------------------------------- reading, writing, evaluation
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, sent_id::BIGINT AS sent_id, count(*) AS n, string_agg(word, ' ' ORDER BY tok_idx) AS words FROM tokens GROUP BY doc_id, sent_id")
+def sentences(spark, sf_dir):
+    s = readers.sentences(tokens(spark, sf_dir))
+    return s.select("doc_id", "sent_id", F.size("tokens").cast("long").alias("n"), F.array_join(F.transform("tokens", lambda t: t["word"]), " ").alias("words"))
+
+
+@query(f"WITH {TOKENS}, st AS (SELECT doc_id, sent_id, '<s> ' || string_agg(word, ' ' ORDER BY tok_idx) || ' </s>' AS s FROM tokens GROUP BY doc_id, sent_id) SELECT doc_id, string_agg(s, ' ' ORDER BY sent_id) AS words FROM st GROUP BY doc_id")
+def documents_marked(spark, sf_dir):
+    return readers.documents(tokens(spark, sf_dir)).select("doc_id", F.array_join("words", " ").alias("words"))
+
+
+def predicted(spark, sf_dir):
+    """A made-up prediction: words in title case of more than four letters."""
+    t = tokens(spark, sf_dir)
+    w = W.partitionBy("doc_id", "sent_id").orderBy("tok_idx")
+    t = t.withColumn("_e", F.col("word").rlike("^[A-Z][a-z]{4,}$")).withColumn("_b", F.coalesce(F.lag("_e").over(w), F.lit(False)))
+    return t.withColumn("pred", F.when(F.col("_e") & F.col("_b"), "I-CAP").when(F.col("_e"), "B-CAP").otherwise("O")).drop("_e", "_b")
+
+
+PRED = f"{TOKENS}, pm AS (SELECT *, regexp_matches(word, '^[A-Z][a-z]{{4,}}$') AS e FROM tokens), pr AS (SELECT doc_id, sent_id, tok_idx, word, tag, CASE WHEN e AND coalesce(lag(e) OVER s, false) THEN 'I-CAP' WHEN e THEN 'B-CAP' ELSE 'O' END AS pred FROM pm {WIN})"
+
+
+def chunk_sql(tag: str, name: str) -> str:
+    return f"{name} AS (SELECT doc_id, sent_id, min(tok_idx) AS a, max(tok_idx) AS z, string_agg(word, ' ' ORDER BY tok_idx) AS phrase FROM (SELECT *, sum(new) OVER s AS c FROM (SELECT *, ({tag} <> 'O' AND (starts_with({tag}, 'B-') OR coalesce(lag({tag}) OVER s, 'O') = 'O'))::INT AS new FROM pr {WIN}) {WIN}) WHERE {tag} <> 'O' GROUP BY doc_id, sent_id, c)"
+
+
+@query(f"WITH {PRED}, {chunk_sql('tag', 'g')} SELECT doc_id, sent_id::BIGINT AS sent_id, a::INTEGER AS start, z::INTEGER AS \"end\", 'CAP' AS type, phrase FROM g")
+def conll_chunks(spark, sf_dir):
+    return sequence.chunks(tokens(spark, sf_dir))
+
+
+@query(f"""WITH {PRED}, {chunk_sql('tag', 'g')}, {chunk_sql('pred', 'p')}, n AS (SELECT (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM p) AS found, (SELECT count(*) FROM g JOIN p USING (doc_id, sent_id, a, z)) AS correct)
+SELECT t AS type, gold, found, correct, round(100.0 * correct / found, 6) AS "precision", round(100.0 * correct / gold, 6) AS recall, round(2 * (100.0 * correct / found) * (100.0 * correct / gold) / (100.0 * correct / found + 100.0 * correct / gold), 6) AS f1 FROM n CROSS JOIN (SELECT unnest(['ALL', 'CAP']) AS t)""")
+def conll_prf(spark, sf_dir):
+    return sequence.chunk_scores(predicted(spark, sf_dir)).select("type", "gold", "found", "correct", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"WITH {PRED} SELECT count(*) AS n, round(100.0 - 100.0 * avg((tag <> pred)::INT), 6) AS accuracy FROM pr")
+def token_accuracy(spark, sf_dir):
+    return sequence.accuracy(predicted(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {PRED}, o AS (SELECT *, row_number() OVER d AS n FROM pr WINDOW d AS (PARTITION BY doc_id ORDER BY sent_id, tok_idx)), m AS (SELECT *, (tag <> 'O' AND (starts_with(tag, 'B') OR coalesce(lag(tag) OVER d, 'O') = 'O'))::INT AS new FROM o WINDOW d AS (PARTITION BY doc_id ORDER BY n)), c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS c FROM m) SELECT doc_id, min(n)::INTEGER AS start, string_agg(word, ' ' ORDER BY n) AS phrase FROM c WHERE tag <> 'O' GROUP BY doc_id, c")
+def entities(spark, sf_dir):
+    return sequence.entities(tokens(spark, sf_dir))
+
+
+@query(f"WITH {PRED} SELECT doc_id, sent_id::BIGINT AS sent_id, chr(10) || string_agg(word || ' ' || tag || ' ' || pred, chr(10) ORDER BY tok_idx) AS text FROM pr GROUP BY doc_id, sent_id")
+def conll_write(spark, sf_dir):
+    t = predicted(spark, sf_dir).withColumn("pos", F.lit(None).cast("string")).withColumn("chunk", F.lit(None).cast("string"))
+    return readers.prediction_lines(t)
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, count(*) AS tokens, count(DISTINCT sent_id) AS sentences, count(*) FILTER (tag <> 'O') AS entities FROM tokens GROUP BY doc_id")
+def conll_read(spark, sf_dir):
+    """The tokens as lines of a file, read again."""
+    t = tokens(spark, sf_dir)
+    s = readers.sentences(t).select("doc_id", F.array_join(F.transform("tokens", lambda x: F.concat_ws(" ", x["word"], F.lit("NN"), F.lit("O"), x["tag"])), "\n").alias("s"), "sent_id")
+    d = s.groupBy("doc_id").agg(F.concat(F.lit("-DOCSTART- -X- O O\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "s"))), lambda x: x["s"]), "\n\n")).alias("text"))
+    each = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = vocab.dense_ids(each.withColumn("k", F.struct("doc_id", "i")), "k", "line_no").select("line_no", "line")
+    names = vocab.dense_ids(d.select(F.col("doc_id").alias("original")), "original", "doc_id")
+    got = readers.conll_tokens(lines)
+    n = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("sent_id").alias("sentences"), F.count(F.when(F.col("tag") != "O", 1)).alias("entities"))
+    return n.join(names, "doc_id").select(F.col("original").alias("doc_id"), "tokens", "sentences", "entities")
+
+
+# ---------------------------------------------------------------- whole plans
+
+
+@query()
+def clscl_accuracy(spark, sf_dir):
+    en, de = bow(spark, sf_dir, "en"), bow(spark, sf_dir, "de")
+    labels = quality(spark, sf_dir)
+    known = labels.select("doc_id")
+    source = en.join(known, "doc_id", "left_semi")
+    model = clscl.train(spark, source, english_labels(spark, sf_dir), en.join(known, "doc_id", "left_anti"), de, dictionary(spark, sf_dir), m=20, phi=5, k=8, visits=5e3)
+    return clscl.evaluate(spark, model, source, labels, de.join(known, "doc_id", "left_semi"), labels, 3, visits=2e4)
+
+
+@query()
+def ner_tagging(spark, sf_dir):
+    """A tagger of the made-up entities of the benchmark items, trained on the even ones and held against the odd ones."""
+    t = tokens(spark, sf_dir, "benchmark", "item_id").persist()
+    model = tagger.train(spark, t.where("doc_id % 2 = 0"), "zj03", "perceptron", least=2, epochs=3)
+    return sequence.chunk_scores(model.tag(t.where("doc_id % 2 = 1")))
+
+
+@query()
+def aso_subspace(spark, sf_dir):
+    theta, blocks = tagger.aso(spark, tokens(spark, sf_dir, "benchmark", "item_id"), 3, 2, least=5, visits=5e3)
+    return theta.join(blocks, theta["fid"].between(blocks["f_min"], blocks["f_max"])).groupBy("ftype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("vec", 1) ** 2), 4).alias("first"))

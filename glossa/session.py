@@ -10,11 +10,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 _SHIPPED: set[tuple[str, str]] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package as a zip, once for each application; nothing has to be installed there."""
+    """Give the executors this package as a zip, once for each application; nothing has to be installed there.
+
+    Rows may hold long texts, so Arrow batches are also cut at BATCH_BYTES, unless the session sets a size of its own.
+    """
+    if spark.conf.get(BATCH_KEY, "") == "67108864b":
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if any(a == app for a, _ in _SHIPPED):
         return
@@ -30,6 +37,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add((app, name))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    It is read from ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a local folder is used.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = "file://" + tempfile.mkdtemp(prefix="glossa-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("glossa")

@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
 
     Rows may hold long texts, so Arrow batches are also cut at BATCH_BYTES, unless the session sets a size of its own.
     """
-    if spark.conf.get(BATCH_KEY, "") == "67108864b":
+    if spark.conf.get(BATCH_KEY) == "67108864b":
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if any(a == app for a, _ in _SHIPPED):

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import decontaminate, pieces, secrets, simhash, toxicity
-from glossa.llm.common import clip_columns, staged, table
+from glossa.llm.common import clip_columns, spare, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows that aren't held out."""
     model = toxicity.train(spark, clip_columns(docs, "doc_id", "text"), clip_columns(table(spark, sf_dir, "labels"), "doc_id", "toxic"))
-    return toxicity.score(spark, docs, model, "_toxic").where(F.col("_toxic") < toxicity.THRESHOLD).drop("_toxic")
+    out = spare(docs, "_toxic")
+    return toxicity.score(spark, docs, model, out).where(F.col(out) < toxicity.THRESHOLD).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, and the texts that they decode to."""
-    encoded = pieces.encode(spark, clip_columns(docs, "doc_id", "text"))
-    return pieces.decode(spark, encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"))
+    encoded = pieces.encode(spark, clip_columns(docs, "doc_id", "text"), back="decoded")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

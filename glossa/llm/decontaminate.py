@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, slices, table
+from .common import clip_columns, slices, spare, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -268,17 +268,18 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     A verdict for each row, not a join on ids: rows without a doc_id and repeated ids are judged each on its own text.
     """
     ship(spark)
+    own = spare(docs, "_t")
     for portion in portions(items):
         shared = spark.sparkContext.broadcast(portion)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for b in (b for whole in batches for b in slices(whole, "_t")):
+            for b in (b for whole in batches for b in slices(whole, own)):
                 free = np.ones(b.num_rows, bool)
-                free[[k for k, _ in index.search([t or b"" for t in b.column("_t").to_pylist()])]] = False
-                yield b.drop_columns(["_t"]).filter(pa.array(free))
+                free[[k for k, _ in index.search([t or b"" for t in b.column(own).to_pylist()])]] = False
+                yield b.drop_columns([own]).filter(pa.array(free))
 
-        docs = docs.withColumn("_t", F.col("text").cast("binary")).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(own, F.col("text").cast("binary")).mapInArrow(run, docs.schema)
     return docs
 
 

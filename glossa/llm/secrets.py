@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, table
+from .common import clip_columns, spare, table
 from .spans import Span, found_in, free_of
 
 KINDS = ("assign", "access", "hex", "random")
@@ -88,15 +88,16 @@ def finder(path: str | None = None):
     return find
 
 
-def scan(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``_found`` to all columns of ``docs``."""
+def scan(spark: SparkSession, docs: DataFrame, path: str | None = None, out: str = "_found") -> DataFrame:
+    """Adds ``out`` to all columns of ``docs``."""
     ship(spark)
-    return found_in(docs, finder(path), KINDS)
+    return found_in(docs, finder(path), KINDS, out=out)
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The same rows and columns; every secret in the text is replaced by its kind."""
-    return scan(spark, docs).withColumn("text", F.coalesce("_found.clean", "text")).drop("_found")
+    out = spare(docs, "_found")
+    return scan(spark, docs, out=out).withColumn("text", F.coalesce(F.col(out)["clean"], "text")).drop(out)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

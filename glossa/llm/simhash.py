@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import bounded_rows, clip_columns, slices, staged, table
+from .common import bounded_rows, clip_columns, slices, spare, staged, table
 from .components import components
 
 RADIUS = 2
@@ -253,7 +253,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     similar to one that stays, whatever the size of its component, and no pairs are formed but with those that stay.
     """
     ship(spark)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    number = spare(docs, "_row")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,7 +262,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(fps.view(np.int64))], names=["row", "doc_id", "h", "fp"])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    marked = staged(spark, numbered.select(F.col("_row").alias("row"), "doc_id", text.alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).mapInArrow(mark, "row long, doc_id long, h long, fp long"), "marked")
+    marked = staged(spark, numbered.select(F.col(number).alias("row"), "doc_id", text.alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).mapInArrow(mark, "row long, doc_id long, h long, fp long"), "marked")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = staged(spark, marked.groupBy("fp", "h").agg(F.min_by("row", order).alias("row"), F.min("doc_id").alias("doc_id")), "first")
     nodes = staged(spark, first.groupBy("fp").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("texts")), "nodes")
@@ -271,7 +272,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     many = nodes.join(many, "id", "left").where("root is not null or texts > 1").select("fp", F.coalesce("root", "id").alias("group"))
     members = staged(spark, first.join(many, "fp").select("row", "group"), "members")
     wanted = members if (small := bounded_rows(members, BROADCAST_ROWS)) is None else small
-    left = numbered.select(F.col("_row").alias("row"), "doc_id", text.alias("t")).join(wanted, "row")
+    left = numbered.select(F.col(number).alias("row"), "doc_id", text.alias("t")).join(wanted, "row")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for whole in batches for b in slices(whole, "t")):
@@ -290,9 +291,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if not left.limit(1).count():
             break
     copies = marked.select("row", "fp", "h").join(first.select("fp", "h", F.col("row").alias("kept")), ["fp", "h"]).where("row <> kept").select("row")
-    gone = staged(spark, gone.union(copies).withColumnRenamed("row", "_row"), "gone")
+    gone = staged(spark, gone.union(copies).withColumnRenamed("row", number), "gone")
     gone = gone if (small := bounded_rows(gone, BROADCAST_ROWS)) is None else small
-    return numbered.join(gone, "_row", "left_anti").drop("_row")
+    return numbered.join(gone, number, "left_anti").drop(number)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 Span = tuple[str, int, int]
 
 
@@ -37,21 +39,22 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def found_in(docs: DataFrame, find: Callable[[str], tuple[list[Span], list[Span]]], kinds: tuple[str, ...], text: str = "text") -> DataFrame:
-    """Adds ``_found``: counts of base spans by kind, the digest of base spans, all spans, and the redacted text if any span was found."""
+def found_in(docs: DataFrame, find: Callable[[str], tuple[list[Span], list[Span]]], kinds: tuple[str, ...], text: str = "text", out: str = "_found") -> DataFrame:
+    """Adds ``out``: counts of base spans by kind, the digest of base spans, all spans, and the redacted text if any span was found."""
+    own = spare(docs, "_t")
     counted = kinds[: len(kinds) - (kinds[-1] == "random")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column("_t").to_pylist():
+            for t in b.column(own).to_pylist():
                 base, added = find(t or "")
                 every = base + added
                 rows.append({f"n_{k}": sum(x[0] == k for x in base) for k in counted} | {"base_sha256": hashlib.sha256(written(base, kinds).encode()).hexdigest(), "spans": written(every, kinds), "clean": redacted(t, every) if every else None})
-            names = [n for n in b.schema.names if n != "_t"]
-            yield pa.record_batch([*(b.column(n) for n in names), pa.array(rows, shape)], names=[*names, "_found"])
+            names = [n for n in b.schema.names if n != own]
+            yield pa.record_batch([*(b.column(n) for n in names), pa.array(rows, shape)], names=[*names, out])
 
     shape = pa.struct([*((f"n_{k}", pa.int64()) for k in counted), ("base_sha256", pa.string()), ("spans", pa.string()), ("clean", pa.string())])
     inner = ", ".join([*(f"n_{k}: bigint" for k in counted), "base_sha256: string", "spans: string", "clean: string"])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"_found struct<{inner}>"])
-    return docs.withColumn("_t", F.col(text)).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` struct<{inner}>"])
+    return docs.withColumn(own, F.col(text)).mapInArrow(run, schema)

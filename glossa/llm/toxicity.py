@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, crc32_of_id, staged, table
+from .common import clip_columns, crc32_of_id, spare, staged, table
 
 SIZES = (4, 5, 6)
 #: N-grams are counted in so many hashed places.
@@ -35,7 +35,7 @@ Z = 4.5
 EFFECT = 3.0
 RIDGE = 1e-4
 THRESHOLD = 0.7
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def ngrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,16 +165,16 @@ def fit(spark: SparkSession, rows: DataFrame) -> Model:
 def score(spark: SparkSession, docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
     """Adds the score to all columns of ``docs``."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, own = spark.sparkContext.broadcast(model), spare(docs, "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column("_t").to_pylist()]
-            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "_t"]
-            yield pa.record_batch([*columns, pa.array(shared.value.score(texts))], names=[*(x for x in b.schema.names if x != "_t"), out])
+            texts = [t or b"" for t in b.column(own).to_pylist()]
+            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != own]
+            yield pa.record_batch([*columns, pa.array(shared.value.score(texts))], names=[*(x for x in b.schema.names if x != own), out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"])
-    return docs.withColumn("_t", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(own, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def held_out() -> Column:

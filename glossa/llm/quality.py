@@ -76,7 +76,7 @@ def default_rules(text: str = "text") -> list[Rule]:
     t = F.coalesce(F.col(text), F.lit(""))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))
-    closed = F.regexp_count(t, F.lit(r"[.!?:;,]" + SPACE + r"|[.!?:;,]$"))
+    closed = F.regexp_count(t, F.lit(r"[.!?:;,]" + SPACE + r"|[.!?:;,]\z"))
     return [
         Rule("symbols", 100 * F.col("n_symbols") > 25 * F.col("n_words")),
         Rule("duplicate_lines", 100 * F.col("n_dup_lines") > 50 * F.col("n_lines")),
@@ -121,3 +121,17 @@ def quality(spark: SparkSession, docs: DataFrame, rules: list[Rule] | None = Non
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(spark, clip_columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: op1 with the default rules, for DuckDB.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1) GROUP BY rid),
+m AS (SELECT doc_id, t, len(ws)::BIGINT AS n_words, length(list_aggregate(ws, 'string_agg', ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT * REPLACE (coalesce(word_chars, 0) AS word_chars), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 100 * n_symbols > 25 * n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+  OR 100 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > 50 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) OR (n_words > 200 AND NOT regexp_matches(t, '[.!?:;,][\x20\x09-\x0D]|[.!?:;,]\z'))) AS kept FROM b
+"""

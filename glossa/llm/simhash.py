@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,15 +49,23 @@ def shingles(text: bytes, n: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(w[i:] for i in range(n)), strict=False)]
 
 
-def fingerprint(text: bytes, n: int = SHINGLE) -> int:
-    """Bit i is one if it is one in over half of the shingles' hashes."""
-    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, n)], np.uint64)
+def fingerprint(text: bytes, n: int = SHINGLE, once: bool = False) -> int:
+    """Bit i is one if it is one in over half of the shingles' hashes.
+
+    once: repeated shingles count once, and where as many are one as zero, the least hash decides; else short texts of an
+    even number of shingles would have few ones, and be near each other for that alone.
+    """
+    found = shingles(text, n)
+    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in (set(found) if once else found)], np.uint64)
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    set_ = 2 * ones > len(h)
+    if once:
+        set_ |= (2 * ones == len(h)) & np.unpackbits(h.min(keepdims=True).view(np.uint8), bitorder="little").astype(bool)
+    return int(np.packbits(set_, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -221,22 +230,111 @@ SIMILARITY = 0.8
 WIDE = 11
 TURNS = 4
 WIDE_BLOCK = 8192
+#: In the first round, candidates with fewer lower ones near them lead; twice as many in each later round.
+LEADS = 8
 #: Row numbers are broadcast up to so many; beyond that the join is dealt out.
 BROADCAST_ROWS = 2_000_000
 
 
-def wide_links(spark: SparkSession, nodes: DataFrame, radius: int = WIDE, turns: int = TURNS) -> DataFrame:
-    """Like ``links`` for a large radius: one index for each turn of the fingerprints, pruned on the leading bits too."""
-    bits = 64 // turns
-    lead = (np.uint64(2**64 - 2 ** (64 - bits)), radius // turns)
-    out = None
-    for k in range(turns):
-        fp = F.col("fp") if not k else F.shiftleft("fp", k * bits).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * bits))
-        part = links(spark, nodes.select(fp.alias("fp"), "id"), radius, lead, WIDE_BLOCK)
-        out = part if out is None else out.union(part)
+def turned_cuts(turns: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """Cuts of the Gray ranks for each turn of the fingerprints, in one pass of the histogram for all turns. turns: (turn, fp)."""
+    ranks = turns.select("turn", gray_rank_column(F.col("fp")).alias("r"))
+    bins: dict[int, list[tuple[int, int]]] = {}
+    bits, dense = 16, None
+    while True:
+        level = ranks.select("turn", F.shiftrightunsigned("r", 64 - bits).alias("b"))
+        if dense is not None:
+            level = level.withColumn("p", F.shiftrightunsigned("b", 8)).join(F.broadcast(dense), ["turn", "p"], "left_semi")
+        heavy = []
+        for t, b, c in level.groupBy("turn", "b").count().collect():
+            if c > most and bits < 64:
+                heavy.append((t, b))
+            else:
+                bins.setdefault(t, []).append(((int(b) & (2**64 - 1)) << (64 - bits), c))
+        if not heavy:
+            break
+        dense, bits = turns.sparkSession.createDataFrame(heavy, "turn int, p long"), bits + 8
+    out = {}
+    for t, each in bins.items():
+        cuts, held = [0], 0
+        for low, c in sorted(each):
+            if held and held + c > most:
+                cuts.append(low)
+                held = 0
+            held += c
+        out[t] = np.array(cuts, np.uint64)
     return out
 
 
+def wide_search(spark: SparkSession, nodes: DataFrame, mutual: bool, radius: int = WIDE, turns: int = TURNS, block: int = WIDE_BLOCK) -> DataFrame:
+    """Searches for a large radius: the index is built for each turn of the fingerprints, and pruned on the leading bits too.
+
+    nodes: (fp, id, rank, lead), fp distinct. Mutual: (id, below) for each node that has neighbours: how many of them rank
+    below it, where one that several turns find counts for each. Otherwise (id, other): the leads near each node that rank
+    below it, and for nodes that are no leads all leads near them.
+    """
+    step = 64 // turns
+    lead = (np.uint64(2**64 - 2 ** (64 - step)), radius // turns)
+    turned = None
+    for k in range(turns):
+        fp = F.col("fp") if not k else F.shiftleft("fp", k * step).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * step))
+        part = nodes.select(F.lit(k).alias("turn"), fp.alias("fp"), "id", "rank", "lead")
+        turned = part if turned is None else turned.union(part)
+    index = turned if mutual else turned.where("lead")
+    n = max(1, index.count() // turns)
+    cuts = spark.sparkContext.broadcast(turned_cuts(index, max(block, n >> BLOCKS_LOG2)))
+    fields = "turn int, fp long, id long, rank long, lead boolean, block long"
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rank, turn = gray_rank(b["fp"].to_numpy(np.int64).view(np.uint64)), b["turn"].to_numpy()
+            at = np.zeros(len(b), np.int64)
+            for t in np.unique(turn).tolist():
+                at[turn == t] = np.searchsorted(cuts.value.get(t, np.zeros(1, np.uint64)), rank[turn == t], "right") - 1
+            yield b.assign(block=at)
+
+    placed = staged(spark, turned.mapInPandas(place, fields), "gray")
+    shared = (placed if mutual else placed.where("lead")).groupBy("turn", "block").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o")).toPandas().sort_values(["turn", "block"])
+    upper = spark.sparkContext.broadcast({int(t): tuple(g[c].to_numpy(np.int64) for c in ("block", "a", "o")) for t, g in shared.groupby("turn")})
+
+    def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indexes = {t: (block, GrayIndex(a.view(np.uint64), o.view(np.uint64))) for t, (block, a, o) in upper.value.items()}
+        for b in batches:
+            b = b.reset_index(drop=True)
+            stays = b if mutual else b[b["lead"]]
+            yield stays.assign(asks=False)
+            for t, (block, index) in indexes.items():
+                q = b[b["turn"] == t]
+                for who, leaf in index.search(q["fp"].to_numpy(np.int64).view(np.uint64), radius, lead):
+                    out = q.iloc[who].assign(block=block[leaf], asks=True)
+                    yield out[block[leaf] > q["block"].to_numpy()[who]] if mutual else out
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(r=gray_rank(pdf["fp"].to_numpy(np.int64).view(np.uint64))).sort_values(["asks", "r"], kind="stable")
+        fp, ids, rank = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
+        n = int((~pdf["asks"]).sum())
+        own = GrayIndex(fp[:n], fp[:n])
+        if mutual:
+            below, met = np.zeros(len(fp), np.int64), np.zeros(len(fp), bool)
+            for who, leaf in own.search(fp, radius, lead):
+                on = who != leaf
+                who, leaf = who[on], leaf[on]
+                lower = rank[leaf] < rank[who]
+                np.add.at(below, who[lower], 1)
+                asked = who >= n  # a visitor is met once; pairs at home are seen from both sides
+                np.add.at(below, leaf[asked & ~lower], 1)
+                met[who], met[leaf] = True, True
+            return pd.DataFrame({"id": ids[met], "other": below[met]})
+        found = []
+        for who, leaf in own.search(fp[n:], radius, lead):
+            low = (ids[n:][who] != ids[leaf]) & (~pdf["lead"].to_numpy()[n:][who] | (rank[leaf] < rank[n:][who]))
+            found.append((ids[n:][who[low]], ids[leaf[low]]))
+        return pd.DataFrame({"id": np.concatenate([f[0] for f in found]), "other": np.concatenate([f[1] for f in found])}) if found else pd.DataFrame({"id": [], "other": []}, dtype="int64")
+
+    met = placed.mapInPandas(travel, fields + ", asks boolean").groupBy("turn", "block").applyInPandas(search, "id long, other long")
+    return met.groupBy("id").agg(F.sum("other").alias("below")) if mutual else met.distinct()
+
+
 def similar(a: bytes, b: bytes, n: int = WORDS, least: float = SIMILARITY) -> bool:
     """Jaccard similarity of the sets of word shingles; texts without words are alike."""
     x, y = set(shingles(a, n)), set(shingles(b, n))
@@ -248,9 +346,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, all columns.
 
     ``docs`` is read several times and numbered by its order, so it must read alike each time, as a Parquet read does.
-    Equal texts are one candidate. Candidates whose fingerprints link form components; in each, the least doc_id stays,
-    and those similar to it go; of the others again the least stays, until none are left. So every document that goes is
-    similar to one that stays, whatever the size of its component, and no pairs are formed but with those that stay.
+    Fingerprints are those of the sets of shingles, as is the similarity: else texts that repeat one line look alike.
+    Equal texts are one candidate, and the first text of a fingerprint stands for it. In rounds, the candidates
+    that have few candidates near them (by fingerprint) of lower random rank are leads; leads that are similar to no lower
+    lead stay, what is similar to one that stays goes, and the rest goes into the next round, in which more may lead. So
+    every document that goes is similar to one of its group that stands, candidates meet leads only, and as the number of
+    leads doubles, a few rounds settle even groups in which hardly any two are similar.
+    Texts that share a fingerprint with the one that stands for it go if they are similar to it.
     """
     ship(spark)
     number = spare(docs, "_row")
@@ -258,38 +360,44 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", WORDS) for t in b.column("t").to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t or b"", WORDS, True) for t in b.column("t").to_pylist()], np.uint64)
             yield pa.record_batch([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(fps.view(np.int64))], names=["row", "doc_id", "h", "fp"])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     marked = staged(spark, numbered.select(F.col(number).alias("row"), "doc_id", text.alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).mapInArrow(mark, "row long, doc_id long, h long, fp long"), "marked")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = staged(spark, marked.groupBy("fp", "h").agg(F.min_by("row", order).alias("row"), F.min("doc_id").alias("doc_id")), "first")
-    nodes = staged(spark, first.groupBy("fp").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("texts")), "nodes")
-    roots = components(spark, wide_links(spark, nodes.select("fp", "id"))).withColumnRenamed("u", "id")
-    # a component is a root with other nodes, or one node with several texts
-    many = roots.select("id", "root").union(roots.select(F.col("root").alias("id"), "root").distinct()).distinct()
-    many = nodes.join(many, "id", "left").where("root is not null or texts > 1").select("fp", F.coalesce("root", "id").alias("group"))
-    members = staged(spark, first.join(many, "fp").select("row", "group"), "members")
-    wanted = members if (small := bounded_rows(members, BROADCAST_ROWS)) is None else small
-    left = numbered.select(F.col(number).alias("row"), "doc_id", text.alias("t")).join(wanted, "row")
+    nodes = staged(spark, first.groupBy("fp").agg(F.min("row").alias("id")).select("fp", "id", F.xxhash64("id").alias("rank"), F.lit(False).alias("lead")), "nodes")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b for whole in batches for b in slices(whole, "t")):
-            lead = np.asarray(b.column("row")) == np.asarray(b.column("lead_row"))
-            texts = [None if one or similar(t, s) else t for one, t, s in zip(lead.tolist(), b.column("t").to_pylist(), b.column("lead").to_pylist(), strict=True)]
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("group"), pa.array(texts, pa.binary()), pa.array(lead)], names=["row", "doc_id", "group", "t", "stays"])
-
-    gone = None
-    left = staged(spark, left.select("row", "doc_id", "group", "t"), "candidates")
-    while True:
-        leads = staged(spark, left.groupBy("group").agg(F.min_by(F.struct("row", "t"), order).alias("x")).select("group", F.col("x.row").alias("lead_row"), F.col("x.t").alias("lead")), "leads")
-        judged = staged(spark, left.join(leads, "group").mapInArrow(judge, "row long, doc_id long, group long, t binary, stays boolean"), "judged")
-        part = judged.where("t is null and not stays").select("row")
-        gone = part if gone is None else gone.union(part)
-        left = judged.where("t is not null").drop("stays")
-        if not left.limit(1).count():
-            break
+        for b in (b for whole in batches for b in slices(whole, "a")):
+            alike = [similar(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+            alike = pa.array(alike, pa.bool_())
+            yield pa.record_batch([b.column(c).filter(alike) for c in ("id", "other")], names=["id", "other"])
+
+    def similar_ones(pairs: DataFrame) -> DataFrame:
+        """The pairs (id, other) whose texts are similar."""
+        a, b = (texts.select(F.col("id").alias(k), F.col("t").alias(t)) for k, t in (("id", "a"), ("other", "b")))
+        return staged(spark, pairs.join(b, "other").join(a, "id").select("id", "other", "a", "b").mapInArrow(judge, "id long, other long"), "similar")
+
+    lows = staged(spark, wide_search(spark, nodes, True), "lows")
+    same = staged(spark, first.join(nodes.select("fp", F.col("id").alias("other")), "fp").where("row <> other").select(F.col("row").alias("id"), "other"), "same")
+    wanted = staged(spark, lows.select("id").union(same.select("id")).union(same.select("other")).distinct(), "wanted")
+    wanted = wanted if (small := bounded_rows(wanted, BROADCAST_ROWS)) is None else small
+    texts = staged(spark, numbered.select(F.col(number).alias("id"), text.alias("t")).join(wanted, "id"), "texts")
+    gone = [similar_ones(same).select("id")]
+    active = staged(spark, nodes.drop("lead").join(lows, "id"), "active")
+    most = LEADS
+    while active.where("below > 0").limit(1).count():
+        marks = staged(spark, active.withColumn("lead", F.col("below") < most).drop("below"), "marks")
+        alike = similar_ones(wide_search(spark, marks, False))
+        stay = marks.where("lead").join(alike.select("id"), "id", "left_anti").select(F.col("id").alias("other"))
+        gone.append(staged(spark, alike.join(stay, "other").select("id").distinct(), "part"))
+        left = marks.join(stay.withColumnRenamed("other", "id"), "id", "left_anti").join(gone[-1], "id", "left_anti")
+        left = staged(spark, left.withColumn("lead", F.lit(False)), "left")
+        active = staged(spark, left.drop("lead").join(wide_search(spark, left, True), "id"), "active")
+        most *= 2
+    gone = functools.reduce(DataFrame.union, gone).withColumnRenamed("id", "row")
     copies = marked.select("row", "fp", "h").join(first.select("fp", "h", F.col("row").alias("kept")), ["fp", "h"]).where("row <> kept").select("row")
     gone = staged(spark, gone.union(copies).withColumnRenamed("row", number), "gone")
     gone = gone if (small := bounded_rows(gone, BROADCAST_ROWS)) is None else small

@@ -17,6 +17,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,11 +31,11 @@ from .common import clip_columns, offsets, shared_dir, slices, table
 
 END_ID = 2
 #: Text bytes that are encoded together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Pieces that a process keeps encoded, in each of two generations.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 150_000
 _LOADED: dict = {}
 
 
@@ -91,7 +92,11 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.visible = {b: 256 + k for k, b in enumerate(hidden)}  # the byte-level alphabet
 
-    def _piece(self, p: bytes) -> list[int]:
+    def _piece(self, p: bytes) -> array:
+        """Packed: a list of numbers takes several times the space."""
+        return array("i", self._ids(p))
+
+    def _ids(self, p: bytes) -> list[int]:
         if not p.translate(None, self.SIMPLE):
             return [t.id for t in self.model.tokenize(p.decode("ascii"))]
         if self.PLAIN.fullmatch(p):

@@ -17,14 +17,13 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -56,7 +55,10 @@ def fingerprint(text: bytes, n: int = SHINGLE, once: bool = False) -> int:
     even number of shingles would have few ones, and be near each other for that alone.
     """
     found = shingles(text, n)
-    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in (set(found) if once else found)], np.uint64)
+    return fingerprint_of(np.array([xxhash.xxh64_intdigest(s, SEED) for s in (set(found) if once else found)], np.uint64), once)
+
+
+def fingerprint_of(h: np.ndarray, once: bool = False) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -223,151 +225,103 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: For near copies by shingle similarity: five words, similarity 0.8; candidates differ in at most WIDE bits, so in at most
-#: WIDE // TURNS bits of some quarter. The index is built once for each quarter, turned to the front.
+#: For near copies by shingle similarity: five words, similarity 0.8.
 WORDS = 5
 SIMILARITY = 0.8
-WIDE = 11
-TURNS = 4
-WIDE_BLOCK = 8192
-#: In the first round, candidates with fewer lower ones near them lead; twice as many in each later round.
-LEADS = 8
+#: Shingles that are common in about so many documents go last in the order of shingles; at most COMMON of them.
+SAMPLE_DOCS = 20_000
+COMMON = 100_000
+#: In each round, so many times as many members of a bucket lead.
+MORE_LEADS = 4
 #: Row numbers are broadcast up to so many; beyond that the join is dealt out.
 BROADCAST_ROWS = 2_000_000
 
 
-def turned_cuts(turns: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """Cuts of the Gray ranks for each turn of the fingerprints, in one pass of the histogram for all turns. turns: (turn, fp)."""
-    ranks = turns.select("turn", gray_rank_column(F.col("fp")).alias("r"))
-    bins: dict[int, list[tuple[int, int]]] = {}
-    bits, dense = 16, None
-    while True:
-        level = ranks.select("turn", F.shiftrightunsigned("r", 64 - bits).alias("b"))
-        if dense is not None:
-            level = level.withColumn("p", F.shiftrightunsigned("b", 8)).join(F.broadcast(dense), ["turn", "p"], "left_semi")
-        heavy = []
-        for t, b, c in level.groupBy("turn", "b").count().collect():
-            if c > most and bits < 64:
-                heavy.append((t, b))
-            else:
-                bins.setdefault(t, []).append(((int(b) & (2**64 - 1)) << (64 - bits), c))
-        if not heavy:
-            break
-        dense, bits = turns.sparkSession.createDataFrame(heavy, "turn int, p long"), bits + 8
-    out = {}
-    for t, each in bins.items():
-        cuts, held = [0], 0
-        for low, c in sorted(each):
-            if held and held + c > most:
-                cuts.append(low)
-                held = 0
-            held += c
-        out[t] = np.array(cuts, np.uint64)
-    return out
-
-
-def wide_search(spark: SparkSession, nodes: DataFrame, mutual: bool, radius: int = WIDE, turns: int = TURNS, block: int = WIDE_BLOCK) -> DataFrame:
-    """Searches for a large radius: the index is built for each turn of the fingerprints, and pruned on the leading bits too.
-
-    nodes: (fp, id, rank, lead), fp distinct. Mutual: (id, below) for each node that has neighbours: how many of them rank
-    below it, where one that several turns find counts for each. Otherwise (id, other): the leads near each node that rank
-    below it, and for nodes that are no leads all leads near them.
-    """
-    step = 64 // turns
-    lead = (np.uint64(2**64 - 2 ** (64 - step)), radius // turns)
-    turned = None
-    for k in range(turns):
-        fp = F.col("fp") if not k else F.shiftleft("fp", k * step).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * step))
-        part = nodes.select(F.lit(k).alias("turn"), fp.alias("fp"), "id", "rank", "lead")
-        turned = part if turned is None else turned.union(part)
-    index = turned if mutual else turned.where("lead")
-    n = max(1, index.count() // turns)
-    cuts = spark.sparkContext.broadcast(turned_cuts(index, max(block, n >> BLOCKS_LOG2)))
-    fields = "turn int, fp long, id long, rank long, lead boolean, block long"
+def similar(a: bytes, b: bytes, n: int = WORDS, least: float = SIMILARITY) -> bool:
+    """Jaccard similarity of the sets of word shingles; texts without words are alike."""
+    x, y = set(shingles(a, n)), set(shingles(b, n))
+    both = len(x & y)
+    return both >= least * (len(x) + len(y) - both)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rank, turn = gray_rank(b["fp"].to_numpy(np.int64).view(np.uint64)), b["turn"].to_numpy()
-            at = np.zeros(len(b), np.int64)
-            for t in np.unique(turn).tolist():
-                at[turn == t] = np.searchsorted(cuts.value.get(t, np.zeros(1, np.uint64)), rank[turn == t], "right") - 1
-            yield b.assign(block=at)
 
-    placed = staged(spark, turned.mapInPandas(place, fields), "gray")
-    shared = (placed if mutual else placed.where("lead")).groupBy("turn", "block").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o")).toPandas().sort_values(["turn", "block"])
-    upper = spark.sparkContext.broadcast({int(t): tuple(g[c].to_numpy(np.int64) for c in ("block", "a", "o")) for t, g in shared.groupby("turn")})
+def set_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the set of word shingles, sorted; a text without words has one of its own."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles(text, WORDS)) or [b""]], np.uint64))
 
-    def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        indexes = {t: (block, GrayIndex(a.view(np.uint64), o.view(np.uint64))) for t, (block, a, o) in upper.value.items()}
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most common shingles in a sample of the texts. Any such table gives right results."""
+    keep = min(1.0, SAMPLE_DOCS / max(texts.count(), 1))
+    sample = texts.where(F.pmod("h", F.lit(1 << 20)) < int(keep * (1 << 20))) if keep < 1 else texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.reset_index(drop=True)
-            stays = b if mutual else b[b["lead"]]
-            yield stays.assign(asks=False)
-            for t, (block, index) in indexes.items():
-                q = b[b["turn"] == t]
-                for who, leaf in index.search(q["fp"].to_numpy(np.int64).view(np.uint64), radius, lead):
-                    out = q.iloc[who].assign(block=block[leaf], asks=True)
-                    yield out[block[leaf] > q["block"].to_numpy()[who]] if mutual else out
+            for t in b.column("t").to_pylist():
+                yield pa.record_batch([pa.array(set_hashes(t).view(np.int64))], names=["s"])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(r=gray_rank(pdf["fp"].to_numpy(np.int64).view(np.uint64))).sort_values(["asks", "r"], kind="stable")
-        fp, ids, rank = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
-        n = int((~pdf["asks"]).sum())
-        own = GrayIndex(fp[:n], fp[:n])
-        if mutual:
-            below, met = np.zeros(len(fp), np.int64), np.zeros(len(fp), bool)
-            for who, leaf in own.search(fp, radius, lead):
-                on = who != leaf
-                who, leaf = who[on], leaf[on]
-                lower = rank[leaf] < rank[who]
-                np.add.at(below, who[lower], 1)
-                asked = who >= n  # a visitor is met once; pairs at home are seen from both sides
-                np.add.at(below, leaf[asked & ~lower], 1)
-                met[who], met[leaf] = True, True
-            return pd.DataFrame({"id": ids[met], "other": below[met]})
-        found = []
-        for who, leaf in own.search(fp[n:], radius, lead):
-            low = (ids[n:][who] != ids[leaf]) & (~pdf["lead"].to_numpy()[n:][who] | (rank[leaf] < rank[n:][who]))
-            found.append((ids[n:][who[low]], ids[leaf[low]]))
-        return pd.DataFrame({"id": np.concatenate([f[0] for f in found]), "other": np.concatenate([f[1] for f in found])}) if found else pd.DataFrame({"id": [], "other": []}, dtype="int64")
-
-    met = placed.mapInPandas(travel, fields + ", asks boolean").groupBy("turn", "block").applyInPandas(search, "id long, other long")
-    return met.groupBy("id").agg(F.sum("other").alias("below")) if mutual else met.distinct()
+    top = sample.select("h", "t").dropDuplicates(["h"]).select("t").mapInArrow(run, "s long").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
+    s, n = top["s"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
 
 
-def similar(a: bytes, b: bytes, n: int = WORDS, least: float = SIMILARITY) -> bool:
-    """Jaccard similarity of the sets of word shingles; texts without words are alike."""
-    x, y = set(shingles(a, n)), set(shingles(b, n))
-    both = len(x & y)
-    return both >= least * (len(x) + len(y) - both)
+def leading(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a set that come first in the order of all shingles: rare ones by hash, then common ones by count.
+
+    Two sets of similarity 0.8 share at least 4/5 of each, so each one's first fifth and one more hold a shared shingle.
+    """
+    known, n = common
+    level = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        level = np.where(known[at] == h, n[at], 0)
+    return h[np.lexsort((h, level))[: len(h) - -(-4 * len(h) // 5) + 1]]
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, all columns.
+    """One document of each group of near copies, all columns; groups are components of the pairs of similarity 0.8 or more.
 
     ``docs`` is read several times and numbered by its order, so it must read alike each time, as a Parquet read does.
     Fingerprints are those of the sets of shingles, as is the similarity: else texts that repeat one line look alike.
-    Equal texts are one candidate, and the first text of a fingerprint stands for it. In rounds, the candidates
-    that have few candidates near them (by fingerprint) of lower random rank are leads; leads that are similar to no lower
-    lead stay, what is similar to one that stays goes, and the rest goes into the next round, in which more may lead. So
-    every document that goes is similar to one of its group that stands, candidates meet leads only, and as the number of
-    leads doubles, a few rounds settle even groups in which hardly any two are similar.
-    Texts that share a fingerprint with the one that stands for it go if they are similar to it.
+    Equal texts are one candidate. Links of the fingerprint index, verified by exact similarity, join most of each group.
+    What they miss is found exactly: similar sets share one of their leading shingles, so candidates meet in the bucket of
+    each leading shingle. In rounds, members of a bucket lead, those with the most company first, and all members that
+    aren't joined to a lead yet are held against it, unless sizes and positions rule the similarity out. Components join
+    what is similar; a bucket whose members are all joined is done, and every other one ends with all its pairs held.
     """
     ship(spark)
     number = spare(docs, "_row")
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    keyed = numbered.select(F.col(number).alias("row"), "doc_id", text.alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+    common = spark.sparkContext.broadcast(common_shingles(keyed))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t or b"", WORDS, True) for t in b.column("t").to_pylist()], np.uint64)
-            yield pa.record_batch([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(fps.view(np.int64))], names=["row", "doc_id", "h", "fp"])
+        for b in (b for whole in batches for b in slices(whole, "t")):
+            sets = [(t, set_hashes(t)) for t in b.column("t").to_pylist()]
+            fps = np.array([fingerprint_of(h, True) if t.split() else 0 for t, h in sets], np.uint64)
+            first = [leading(h, common.value).view(np.int64) for _, h in sets]
+            yield pa.record_batch([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(fps.view(np.int64)), pa.array([len(h) for _, h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["row", "doc_id", "h", "fp", "n", "first"])
 
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    marked = staged(spark, numbered.select(F.col(number).alias("row"), "doc_id", text.alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).mapInArrow(mark, "row long, doc_id long, h long, fp long"), "marked")
+    marked = staged(spark, keyed.mapInArrow(mark, "row long, doc_id long, h long, fp long, n long, first array<long>"), "marked")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = staged(spark, marked.groupBy("fp", "h").agg(F.min_by("row", order).alias("row"), F.min("doc_id").alias("doc_id")), "first")
-    nodes = staged(spark, first.groupBy("fp").agg(F.min("row").alias("id")).select("fp", "id", F.xxhash64("id").alias("rank"), F.lit(False).alias("lead")), "nodes")
+    kept = staged(spark, marked.groupBy("fp", "h").agg(F.min_by("row", order).alias("row")), "kept")
+    copies = staged(spark, marked.select("row", "fp", "h").join(kept.withColumnRenamed("row", "kept"), ["fp", "h"]).where("row <> kept").select("row"), "copies")
+    few = copies if (small := bounded_rows(copies, BROADCAST_ROWS)) is None else small
+
+    nodes = staged(spark, kept.groupBy("fp").agg(F.min("row").alias("id")), "nodes")
+    same = kept.join(nodes.select("fp", F.col("id").alias("other")), "fp").where("row <> other").select(F.col("row").alias("id"), "other")
+    close = staged(spark, same.union(links(spark, nodes, RADIUS).select(F.col("u").alias("id"), F.col("v").alias("other"))), "close")
+
+    own = Window.partitionBy("s")
+    met = marked.join(few, "row", "left_anti").select(F.col("row").alias("id"), "n", F.posexplode("first").alias("at", "s"))
+    met = staged(spark, met.withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "met")
+    company = met.groupBy("id").agg((F.sum(F.log("m")) / F.first("n")).alias("company"))
+    buckets = staged(spark, met.drop("m").join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).drop("company"), "buckets")
+
+    wanted = staged(spark, buckets.select("id").union(close.select("id")).union(close.select("other")).distinct(), "wanted")
+    narrow = wanted if (small := bounded_rows(wanted, BROADCAST_ROWS)) is None else small
+    texts = staged(spark, numbered.select(F.col(number).alias("id"), text.alias("t")).join(narrow, "id"), "texts")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for whole in batches for b in slices(whole, "a")):
@@ -375,31 +329,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             alike = pa.array(alike, pa.bool_())
             yield pa.record_batch([b.column(c).filter(alike) for c in ("id", "other")], names=["id", "other"])
 
-    def similar_ones(pairs: DataFrame) -> DataFrame:
-        """The pairs (id, other) whose texts are similar."""
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The labels after the pairs whose texts are similar are joined."""
         a, b = (texts.select(F.col("id").alias(k), F.col("t").alias(t)) for k, t in (("id", "a"), ("other", "b")))
-        return staged(spark, pairs.join(b, "other").join(a, "id").select("id", "other", "a", "b").mapInArrow(judge, "id long, other long"), "similar")
-
-    lows = staged(spark, wide_search(spark, nodes, True), "lows")
-    same = staged(spark, first.join(nodes.select("fp", F.col("id").alias("other")), "fp").where("row <> other").select(F.col("row").alias("id"), "other"), "same")
-    wanted = staged(spark, lows.select("id").union(same.select("id")).union(same.select("other")).distinct(), "wanted")
-    wanted = wanted if (small := bounded_rows(wanted, BROADCAST_ROWS)) is None else small
-    texts = staged(spark, numbered.select(F.col(number).alias("id"), text.alias("t")).join(wanted, "id"), "texts")
-    gone = [similar_ones(same).select("id")]
-    active = staged(spark, nodes.drop("lead").join(lows, "id"), "active")
-    most = LEADS
-    while active.where("below > 0").limit(1).count():
-        marks = staged(spark, active.withColumn("lead", F.col("below") < most).drop("below"), "marks")
-        alike = similar_ones(wide_search(spark, marks, False))
-        stay = marks.where("lead").join(alike.select("id"), "id", "left_anti").select(F.col("id").alias("other"))
-        gone.append(staged(spark, alike.join(stay, "other").select("id").distinct(), "part"))
-        left = marks.join(stay.withColumnRenamed("other", "id"), "id", "left_anti").join(gone[-1], "id", "left_anti")
-        left = staged(spark, left.withColumn("lead", F.lit(False)), "left")
-        active = staged(spark, left.drop("lead").join(wide_search(spark, left, True), "id"), "active")
-        most *= 2
-    gone = functools.reduce(DataFrame.union, gone).withColumnRenamed("id", "row")
-    copies = marked.select("row", "fp", "h").join(first.select("fp", "h", F.col("row").alias("kept")), ["fp", "h"]).where("row <> kept").select("row")
-    gone = staged(spark, gone.union(copies).withColumnRenamed("row", number), "gone")
+        alike = staged(spark, pairs.join(b, "other").join(a, "id").select("id", "other", "a", "b").mapInArrow(judge, "id long, other long"), "similar")
+        ends = alike.join(labels.select("id", F.col("c").alias("u")), "id").join(labels.select(F.col("id").alias("other"), F.col("c").alias("v")), "other").select("u", "v")
+        roots = components(spark, ends).withColumnRenamed("u", "c")
+        return staged(spark, labels.join(roots, "c", "left").select("id", F.coalesce("root", "c").alias("c")), "labels")
+
+    labels = joined(wanted.withColumn("c", F.col("id")), close)
+    low, high = 1, 2
+    while True:
+        open_ = buckets.join(labels, "id").withColumn("mixed", F.min("c").over(own) < F.max("c").over(own)).where("mixed").drop("mixed")
+        open_ = staged(spark, open_, "open")
+        if not open_.where(F.col("k") > low).limit(1).count():
+            break
+        leads = open_.where((F.col("k") >= low) & (F.col("k") < high)).select("s", *(F.col(x).alias(f"lead_{x}") for x in ("id", "n", "at", "k", "c")))
+        # shared shingles: this one, those before it in both, those behind it in both; 4/5 of the union means 9 shared >= 4 (n + n)
+        most = F.least("at", "lead_at") + 1 + F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")) - 1
+        fits = (F.col("k") > F.col("lead_k")) & (F.col("c") != F.col("lead_c")) & (9 * most >= 4 * (F.col("n") + F.col("lead_n")))
+        pairs = leads.join(open_, "s").where(fits).select("id", F.col("lead_id").alias("other")).distinct()
+        labels = joined(labels, staged(spark, pairs, "pairs"))
+        low, high = high, high * MORE_LEADS
+    gone = staged(spark, labels.where("id <> c").select(F.col("id").alias("row")).union(copies).withColumnRenamed("row", number), "gone")
     gone = gone if (small := bounded_rows(gone, BROADCAST_ROWS)) is None else small
     return numbered.join(gone, number, "left_anti").drop(number)
 

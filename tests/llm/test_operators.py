@@ -117,6 +117,34 @@ def test_near_dedup(spark, docs, odd_docs):
     assert ids[7] + ids[None] == 2 and sum(ids[i] for i in (0, 1, 2)) == 1  # repeated rows; texts without words
 
 
+def test_near_dedup_joins_groups_and_finds_all_pairs(spark):
+    rnd = random.Random(21)
+
+    def edited(w, at, n):
+        return w[:at] + [f"e{rnd.random()}" for _ in range(n)] + w[at + n :]
+
+    texts, group = [], []
+    for g in range(150):  # pairs just above 0.8: 178 of 222 shingles, often beyond 11 bits
+        w = [f"w{rnd.random()}" for _ in range(204)]
+        texts += [w, edited(w, 90, 18)]
+        group += [g, g]
+    w = [f"w{rnd.random()}" for _ in range(204)]
+    star = [edited(w, 10 + 20 * k, 8) for k in range(8)] + [w]  # each near the last, none near each other
+    chain = [[f"c{rnd.random()}" for _ in range(204)]]
+    for k in range(5):
+        chain.append(edited(chain[-1], 10 + 30 * k, 12))
+    texts += star + chain
+    group += [1000] * len(star) + [1001] * len(chain)
+    a, b = (" ".join(x).encode() for x in (star[0], star[1]))
+    assert not simhash.similar(a, b) and simhash.similar(a, " ".join(w).encode())
+    line = [f"l{k}" for k in range(120)]  # a common passage is no similarity
+    texts += [line + [f"o{rnd.random()}" for _ in range(60)] for _ in range(30)]
+    group += range(2000, 2030)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).persist()
+    kept = Counter(group[r.doc_id] for r in simhash.near_dedup(spark, d).collect())
+    assert kept == Counter(set(group))
+
+
 def test_token_files(spark, tables, odd_docs, tmp_path):
     from tokenizers import Tokenizer
 

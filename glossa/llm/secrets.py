@@ -1,8 +1,10 @@
 """Secrets: fixed patterns, and a token-efficiency test for random strings.
 
 A byte-pair vocabulary learned on ordinary text spells ordinary words with few tokens and random strings with many. A
-string of key characters with fewer than CHARS_PER_TOKEN characters for each token is taken for a secret, unless it has
-the form of something that is random but public (a digest of a usual length, a UUID) or is an identifier of plain words.
+string of key characters with fewer than CHARS_PER_TOKEN characters for each token is taken for a secret, unless it is
+random but public (a digest of a usual length, a UUID) or a name made of words of the vocabulary. Strings below SURE
+characters need more tokens, the shorter the more, as chance weighs more. A run of key characters is tested whole, and
+otherwise by the stretches between its words, so a key behind a path is found.
 
 Defined cases: null and empty texts hold no spans; repeated rows are each searched; an empty table gives an empty
 result; other columns are ignored (op6) or kept (redact).
@@ -22,17 +24,22 @@ from .spans import Span, found_in, free_of
 
 KINDS = ("assign", "access", "hex", "random")
 CHARS_PER_TOKEN = 2.0
-LEAST = 20
+#: Below so many characters a string needs one token more for every four that are missing.
+SURE = 20
 #: Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-PUBLIC = re.compile(rf"(?:[0-9a-f]+|[0-9A-F]+)|[0-9A-Fa-f]{{8}}(?:-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}")
-#: Words, in any case, joined by separators or capitals, perhaps with a short number: names of things.
-IDENTIFIER = re.compile(r"(?:[A-Za-z][a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/+=]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}(?![A-Za-z]*[0-9])))*[-_/+=]*")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{7,}")
+UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])"
+PART = re.compile(rf"{UUID}|[A-Za-z0-9]+")
+HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: Words within a name, by capitals and digits.
+PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Numbers, perhaps with a unit or a mark.
+NUMBER = re.compile(r"[A-Za-z]{0,2}[0-9]{1,8}(?:[A-Za-z][0-9]{1,8})?[A-Za-z]?")
 _LOADED: dict = {}
 
 
@@ -61,20 +68,60 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def public(s: str) -> bool:
+    return "-" in s or len(s) in DIGESTS and HEXADECIMAL.fullmatch(s) is not None
+
+
+def is_word(s: str, path: str) -> bool:
+    """One token behind a space, in lower case or with a capital."""
+    low, known = s.lower(), vocabulary(path)
+    return any(len(known.encode_ordinary(x)) == 1 for x in (f" {low}", f" {low.capitalize()}", s))
+
+
+def is_name(s: str, path: str) -> bool:
+    """Made of words, most of it of words of three letters or more, perhaps with short numbers."""
+    pieces = PIECE.findall(s)
+    letters = [p for p in pieces if p.isalpha()]
+    long = sum(len(p) for p in letters if len(p) > 2)
+    if not letters or 5 * long < 3 * sum(map(len, letters)) or any(len(p) > 4 for p in pieces if p.isdigit()):
+        return False
+    return all(is_word(p, path) for p in letters)
+
+
+def plain(s: str) -> bool:
+    """Without digits and in one case, or with one capital in front: no key."""
+    return s.isalpha() and (s.islower() or s.isupper() or s[1:].islower())
+
+
+def random_ratio(s: str, path: str) -> float | None:
+    """Characters for each token, if so few that the string is random."""
+    tokens = len(vocabulary(path).encode_ordinary(s))
+    return len(s) / tokens if CHARS_PER_TOKEN * (tokens - max(0, SURE - len(s)) / 4) > len(s) else None
+
+
 def random_spans(text: str, held: list[Span], path: str) -> list[Span]:
     """Strings that the vocabulary spells badly."""
     found = []
     for m in RUN.finditer(text):
-        s = m[0].strip("=-_/+")
-        digits, letters = sum(c.isdigit() for c in s), {c.isupper() for c in s if c.isalpha()}
-        if len(s) < LEAST or not digits and len(letters) < 2 or not letters:
+        if plain(m[0]):
             continue
-        if PUBLIC.fullmatch(s) and (len(s) in DIGESTS or "-" in s) or IDENTIFIER.fullmatch(s):
+        # parts that hold no key; a long or public one ends a stretch, a short one may stand within a key
+        parts = [(p.start(), p.end(), public(p[0]), public(p[0]) or plain(p[0]) or NUMBER.fullmatch(p[0]) is not None or is_name(p[0], path)) for p in PART.finditer(m[0])]
+        known = any(p[2] for p in parts)
+        whole, stretches = [p for p in parts if not p[3]], [[]]
+        if not whole:
             continue
-        ratio = len(s) / len(vocabulary(path).encode_ordinary(s))
-        if ratio < CHARS_PER_TOKEN:
-            at = m.start() + m[0].index(s)
-            found.append((-ratio, ("random", at, at + len(s))))
+        for p in parts:
+            if p[2] or p[3] and p[1] - p[0] > 3:
+                stretches.append([])
+            else:
+                stretches[-1].append(p)
+        lead = [] if known else [(len(m[0]) - len(m[0].lstrip("=-_/+")), len(m[0].rstrip("=-_/+")))]
+        for spans in (lead, [(own[0][0], own[-1][1]) for x in stretches if (own := [p for p in x if not p[3]])]):
+            good = [(-r, ("random", m.start() + i, m.start() + j)) for i, j in spans if (r := random_ratio(m[0][i:j], path)) is not None]
+            found += good
+            if good:
+                break
     return free_of(found, held)
 
 

@@ -229,6 +229,25 @@ def test_secrets():
         assert find(public)[1] == [], public
 
 
+def test_random_strings_of_all_forms():
+    find = secrets.finder()
+    rnd = random.Random(17)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def share(alphabet, n, before=""):
+        hits = 0
+        for _ in range(300):
+            s = rnd.choice(base62) + "".join(rnd.choice(alphabet) for _ in range(n - 2)) + rnd.choice(base62)
+            at = len(before) + 4
+            hits += any(i < at + n and at < j and min(j, at + n) - max(i, at) > 0.8 * n for _, i, j in find(f"key {before}{s} end")[1])
+        return hits / 300
+
+    for alphabet, n, before, least in ((base62, 20, "", 0.98), (base62, 24, "", 0.98), (base62, 32, "", 0.98), (base62 + "+/", 20, "", 0.95), (base62 + "+/", 32, "", 0.95), (base62, 16, "", 0.9), (base62, 24, "services/notifications/incoming/", 0.95), (base62, 24, "documents/downloads/", 0.95)):
+        assert share(alphabet, n, before) >= least, (len(alphabet), n, before)
+    for name in ("services/notifications/incoming/handler", "files/123e4567-e89b-12d3-a456-426614174000/report", "2021-03-04T12", "MAX_RETRY_COUNT_2", "XMLHttpRequest", "https/example/page2"):
+        assert find(name)[1] == [], name
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(0, "x token=abcdefgh y", 18), (1, None, 0), (2, "clean", 5)], "doc_id long, text string, n_chars long")
     assert [r.text for r in secrets.redact(spark, d).orderBy("doc_id").collect()] == ["x [ASSIGN] y", None, "clean"]

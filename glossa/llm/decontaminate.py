@@ -2,7 +2,7 @@
 
 Texts and items are read as runs of letters, digits and characters beyond ASCII, A-Z and the Latin-1 capitals in lower
 case. A window of a document has as many words as the
-item it is held against. Its fingerprint is the SimHash of its five-word shingles, each weighted by how often it occurs;
+item it is held against; a document shorter than the item is one window, held against all items it could be similar to. Its fingerprint is the SimHash of its five-word shingles, each weighted by how often it occurs;
 the fingerprints of the items of that size are indexed by four blocks of 16 bits: two fingerprints within RADIUS differ
 by at most RADIUS // 4 bits in some block, so looking up the neighbours of each block finds all of them. What is found
 within the radius is verified exactly: weighted Jaccard similarity of the shingles, at least SIMILARITY.
@@ -191,6 +191,7 @@ class Index:
             maybe = maybe[np.isin(h[maybe], self.known)]
         for n, s in self.sizes.items():
             if n > len(words):
+                self._whole(s, n, len(words), h, best)
                 continue
             if n < SHINGLE:
                 at = np.nonzero(np.isin(shingle_hashes(words, n), s.known))[0]
@@ -214,6 +215,18 @@ class Index:
                     self._verify(s, n, span, hashes, run[k : k + 4096], best)
         return [(item, i, j, sim) for item, (sim, i, j) in sorted(best.items())]
 
+    def _whole(self, s: Sized, n: int, words: int, h: np.ndarray, best: dict) -> None:
+        """A text shorter than the item: all of it is the window."""
+        if words < SHINGLE or len(h) < SIMILARITY * (n - SHINGLE + 1) - 1e-9:
+            return
+        if np.isin(h, s.known).sum() < (len(h) + n - SHINGLE + 1) * SIMILARITY / (1 + SIMILARITY) - 1e-9:
+            return
+        window = Counter(h.tolist())
+        for item, counts in zip(s.ids, s.counts, strict=True):
+            sim = similarity(window, counts)
+            if sim >= SIMILARITY:
+                best[item] = (sim, 0, words)
+
     def _verify(self, s: Sized, n: int, span: int, h: np.ndarray, at: np.ndarray, best: dict) -> None:
         low = int(at[0])
         ones = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(bits_of(np.ascontiguousarray(h[low : int(at[-1]) + span])), 0, dtype=np.int64)])

@@ -400,6 +400,14 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in want} and left.columns == ["doc_id", "text", "item_id"]
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    w = [f"w{k}" for k in range(60)]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "one two three")], "item_id long, text string")
+    docs = [(0, w[:-1]), (1, w[1:]), (2, w[:50]), (3, w[:48]), (4, w[:3]), (5, w[:30] + w[31:])]
+    got = decontaminate.matches(spark, spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.end_word, round(r.similarity, 6)) for r in got) == [(0, 1, 0, 59, round(55 / 56, 6)), (1, 1, 0, 59, round(55 / 56, 6)), (2, 1, 0, 50, round(46 / 56, 6)), (5, 1, 0, 59, round(51 / 60, 6))]
+
+
 def test_block_lookup_finds_the_whole_radius():
     s = decontaminate.Sized()
     r = np.random.default_rng(3)

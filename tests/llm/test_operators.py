@@ -204,6 +204,22 @@ def test_pii_model_adds_without_touching(spark):
     assert all(f"{k}:{i}:{j}" in r["_found"].spans for r in got for k, i, j in pii.base_spans(r.text))
 
 
+def test_pii_finds_spans_among_neighbours(spark):
+    got = set(pii.candidates("+1 415 555 0100 / 415-555-0199"))
+    assert ("phone", 18, 30) in got
+    assert {("ip", 16 * k, 16 * k + 15) for k in range(5)} <= set(pii.candidates("10[.]0[.]0[.]10 " * 5))
+    assert ("phone", 0, 12) in set(pii.candidates("415-555-0199 2019-03-04 12.50"))
+    rnd = random.Random(4)
+    texts = [f"{prose(rnd, 12)} +1 ({rnd.randint(200, 999)}) {rnd.randint(200, 999)}-{rnd.randint(1000, 9999)} {prose(rnd, 8)} version 2.{i}" for i in range(600)]
+    m = pii.fit(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "phone" in m.thresholds
+    hits = 0
+    for _ in range(40):
+        n = f"{rnd.randint(200, 999)}-{rnd.randint(200, 999)}-{rnd.randint(1000, 9999)}"
+        hits += ("phone", 24, 36) in m.find(f"the +1 (415) 555-0100 / {n} or")[1]
+    assert hits > 30
+
+
 def test_pii_and_secret_queries(spark, tables, odd_docs):
     for op, base in ((pii.op4, pii.base_spans), (secrets.op6, secrets.base_spans)):
         got = op(spark, tables[0]).collect()

@@ -1,20 +1,27 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text becomes the library's form (a space in front, every space a word mark) and is cut into units wherever two
-neighbouring characters stand together inside no piece: no edge of the lattice crosses such a place, so units are
-encoded on their own. ``encode_units`` is the relational encoder: it explodes the substrings of distinct units up to the
-longest piece, joins them to the piece table, groups the edges by unit and folds them with a higher-order aggregate.
-
-The fold depends on the model. A Viterbi fold over scores is right for unigram models only; the models at hand are byte-
-pair models, whose scores are ranks, and there the best path by score is not the library's encoding. So the fold makes
-the library's merges: in each step the best-ranked edge that spans exactly two present segments, leftmost first.
-
-Applying the encodings: the HOT most frequent units of a bounded sample of documents are encoded relationally and
-broadcast (bounded); units beyond them are unbounded in number and nearly all occur once or twice, so a task makes the
-same merges over the same edges on the spot instead of shuffling the texts to a joined table. Texts aren't shuffled.
+A text becomes the library's form (a space in front, every space a word mark) and is cut into units: in front of every
+space behind another character, and wherever two neighbouring ASCII characters stand together inside no piece. No edge
+of the lattice crosses such a place, so units are encoded on their own, each distinct one once (``encode_units``): its
+substrings up to the longest piece are exploded, joined to the piece table, grouped by unit, and a Viterbi fold
+(``aggregate``) walks from the first character to the last with the best last piece of every prefix as its state.
+
+The models at hand are byte-pair models, whose scores are ranks of merges, so the path of the highest sum of scores is
+not the library's encoding. Its encoding has a path property of its own: a sequence of pieces is the encoding if and only
+if no merge crosses the border of any two neighbours, encoded together. So an edge costs nothing or everything, by its
+predecessor alone, and every prefix has exactly one best last piece, as Viterbi needs. Whether a merge crosses a border
+is read off the lattice: it is an edge across the border whose left part was at some time the last segment of the left
+piece, whose right part was at that time the first segment of the right one, and whose rank is better than the next
+merges on both sides. When segments stand at the border of a piece, and what merges follow, is part of the piece table.
+
+Applying the encodings: the most frequent units, up to HOT_BYTES, travel to the tasks; if they aren't all, every text asks for the
+others it holds, a join answers, and the answers meet the compressed text by a hash of its row. An answer names its
+unit, so rows that share a hash get too many answers, never wrong ones. Units beyond LONG characters without a blank
+don't become rows of the lattice, which would have to hold them whole; the merges of the library encode them.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the word mark in a text decodes to a space,
-as in the library; repeated rows are each encoded; an empty table gives an empty result; extra columns are kept.
+as in the library; texts of any length are encoded whole; repeated rows are each encoded; an empty table gives an empty
+result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -26,21 +33,32 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import clip_columns, slices, spare, staged, table
-from .tokens import Recent
 
 MARK = "▁"
-SAMPLE_DOCS = 5_000
-HOT = 60_000
+#: Bytes of units that travel to the tasks, with UNIT_BYTES more for each unit.
+HOT_BYTES = 48 << 20
+UNIT_BYTES = 24
 #: Text bytes that are encoded together.
-SLICE_BYTES = 1 << 20
-CACHED_UNITS = 80_000
-#: A unit of so many characters at most is folded over a mask of boundaries in one long.
-MASKED = 62
+SLICE_BYTES = 4 << 20
+#: Distinct units that a task counts before it hands them on.
+COUNTED_UNITS = 400_000
+#: Distinct units that one task folds.
+UNITS_A_TASK = 50_000
+LONG = 20_000
+#: Places of the parts of a packed segment: its length, when it came about, the next merge, the highest merge by then.
+LENGTH, BORN, NEXT, HIGHEST = 54, 36, 18, 0
+NEVER = (1 << 18) - 1
+#: Positions that a fold appends one by one before it starts another array.
+CHUNK = 512
+#: In a path, a character that is no piece stands as its code point beyond this number.
+NO_PIECE = 1 << 30
 _LOADED: dict = {}
 
 
@@ -60,48 +78,32 @@ class Pieces:
         n = sp.vocab_size()
         self.names = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.rank = {self.names[i]: -sp.get_score(i) for i in plain}
         self.id = {self.names[i]: i for i in plain}
+        # 1 for the best score; equal scores share a rank
+        ranks = np.unique(np.array([-sp.get_score(i) for i in plain]), return_inverse=True)[1] + 1
+        self.rank = dict(zip(self.id, ranks.tolist(), strict=True))
         self.byte = {int(self.names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.longest = max(map(len, self.id))
+        if len(plain) >= NEVER or self.longest >= 1 << 9:
+            raise ValueError("too many or too long pieces for packed segments")
         #: What an id decodes to.
         self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
-        # two ASCII characters that stand together in no piece; a character beyond ASCII is never cut off
+        # two ASCII characters that stand together in no piece; other characters are cut off by spaces only
         joined = {a + b for p in self.id for a, b in zip(p, p[1:], strict=False)}
         cut = np.zeros((256, 256), bool)
         for a in range(128):
             for b in range(128):
                 cut[a, b] = (chr(a) + chr(b)).replace(" ", MARK) not in joined
+        cut[128:, 32] = not any(x[1] == MARK and ord(x[0]) > 127 and x[0] != MARK for x in joined)
         self.cut = cut.ravel()
 
-    def table(self) -> list[tuple[str, float, int]]:
-        return [(p, self.rank[p], i) for p, i in self.id.items()]
-
-    def encode_unit(self, unit: str) -> list[int]:
-        """The merges of one unit."""
-        rank, parts = self.rank, list(unit)
-        if len(parts) > MASKED:
-            parts = self._agenda(parts)
-        else:
-            while len(parts) > 1:
-                best, at = None, 0
-                for i in range(len(parts) - 1):
-                    r = rank.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        out: list[int] = []
-        for p in parts:
-            i = self.id.get(p)
-            out += [i] if i is not None else [self.byte[b] for b in p.encode()]
-        return out
-
-    def _agenda(self, parts: list[str | None]) -> list[str]:
-        n = len(parts)
+    def merges(self, text: str) -> list[tuple[int, int, int]]:
+        """(rank, length of the first segment, length of the last) after each merge of a text."""
+        parts: list[str | None] = list(text)
+        n, log = len(parts), []
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        agenda: list[tuple[float, int, str]] = []
+        agenda: list[tuple[int, int, str]] = []
+        last = n - 1
 
         def offer(i: int, j: int) -> None:
             if 0 <= i and j < n and (r := self.rank.get(s := parts[i] + parts[j])) is not None:
@@ -110,16 +112,47 @@ class Pieces:
         for i in range(n - 1):
             offer(i, i + 1)
         while agenda:
-            _, i, s = heapq.heappop(agenda)
+            r, i, s = heapq.heappop(agenda)
             if parts[i] is None or (j := after[i]) >= n or len(parts[i]) + len(parts[j]) != len(s) or parts[i] + parts[j] != s:
                 continue
             parts[i], parts[j] = s, None
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
+            else:
+                last = i
+            log.append((r, len(parts[0]), len(parts[last])))
             offer(before[i], i)
             offer(i, after[i])
-        return [p for p in parts if p is not None]
+        self.parts = [p for p in parts if p is not None]
+        return log
+
+    def encode_unit(self, unit: str) -> list[int]:
+        """The ids of one unit by its merges."""
+        self.merges(unit)
+        return list(chain.from_iterable([i] if (i := self.id.get(p)) is not None else [self.byte[b] for b in p.encode()] for p in self.parts))
+
+    def segments(self, piece: str) -> tuple[list[int], list[int]]:
+        """Segments that stand at the left and the right border of a piece while it is merged, packed."""
+        log = self.merges(piece)
+        ranks = [r for r, *_ in log]
+        highest = np.maximum.accumulate(ranks).tolist() if ranks else []
+        out = []
+        for side in (1, 2):
+            held, size, since = [], 1, 0
+            for i in range(len(log) + 1):
+                # before merge i the segment has this size since merge `since`
+                size, since = (log[i - 1][side], i) if i and log[i - 1][side] != size else (size, since)
+                born = highest[since - 1] if since else 0
+                nxt, top = (ranks[i], highest[i]) if i < len(log) else (NEVER, NEVER)
+                held.append((size, born, nxt, top))
+            # of the merges to come while a segment stands, one that is behind another in both respects decides nothing
+            kept = [a for a in held if not any(a != b and a[:2] == b[:2] and b[2] >= a[2] and b[3] >= a[3] for b in held)]
+            out.append([k << LENGTH | b << BORN | n << NEXT | h << HIGHEST for k, b, n, h in dict.fromkeys(kept)])
+        return out[0], out[1]
+
+    def table(self) -> list[tuple[str, int, int, list[int], list[int]]]:
+        return [(p, i, self.rank[p], *self.segments(p)) for p, i in self.id.items()]
 
 
 def pieces(path: str) -> Pieces:
@@ -144,119 +177,251 @@ def cut_units(model: Pieces, texts: list[bytes]) -> tuple[pa.DictionaryArray, np
     return units, np.diff(np.searchsorted(start, np.append(first, len(raw))))
 
 
-def gathered(lists: list, at: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """The lists numbered ``at`` in a row, and where each ends."""
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat, base = np.fromiter(chain.from_iterable(lists), dtype, int(n.sum())), np.cumsum(n) - n
-    count = n[at]
+def runs(base: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions base[i], base[i] + 1, ... (count[i] of them), for all i in a row."""
     after = np.cumsum(count)
-    total = int(after[-1]) if len(after) else 0
-    return flat[np.repeat(base[at] - (after - count), count) + np.arange(total)], after
+    return np.repeat(base - (after - count), count) + np.arange(int(after[-1]) if len(after) else 0)
 
 
 class Encoder:
-    """Ids of texts, with the hot units given and the others kept for a while."""
+    """Ids of texts from the hot units and those that answers name."""
 
-    def __init__(self, path: str, hot: dict[bytes, list[int]]) -> None:
-        self.model, self.hot, self.known = pieces(path), hot, Recent(CACHED_UNITS)
+    def __init__(self, model: Pieces, units: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.model, self.units, self.ids = model, units, ids
+        self.start, self.count = ends[:-1], np.diff(ends)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def missing(self, units: pa.Array) -> np.ndarray:
+        """Numbers of the units that aren't hot and have to be asked for."""
+        gone = pc.is_null(pc.index_in(units, value_set=self.units)).to_numpy(zero_copy_only=False)
+        return np.nonzero(gone & ~beyond(units))[0]
+
+    def encode(self, texts: list[bytes], answers: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
         units, n = cut_units(self.model, texts)
-        distinct = units.dictionary.to_pylist()
-        hot = self.hot
-        self.known.turn()
-        young, old, lists = self.known.young, self.known.old, []
-        for u in distinct:
-            ids = hot.get(u) or young.get(u)
-            if ids is None:
-                ids = young[u] = old.get(u) or self.model.encode_unit(u.decode().replace(" ", MARK))
-            lists.append(ids)
-        ids, after = gathered(lists, np.asarray(units.indices), np.int32)
-        return ids, np.diff(np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(n)])])
+        distinct = units.dictionary
+        at = pc.index_in(distinct, value_set=self.units)
+        hot = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
+        rest = np.nonzero(~hot)[0]
+        others = [answers[u] if u in answers else self.model.encode_unit(u.decode().replace(" ", MARK)) if len(u) > LONG else None for u in distinct.take(pa.array(rest)).to_pylist()]
+        if any(x is None for x in others):
+            raise RuntimeError("a unit has no answer")
+        count = np.zeros(len(distinct), np.int64)
+        count[hot] = self.count[at[hot]]
+        count[rest] = [len(x) for x in others]
+        base = np.cumsum(count) - count
+        flat = np.zeros(int(count.sum()), np.int32)
+        flat[runs(base[hot], count[hot])] = self.ids[runs(self.start[at[hot]], count[hot])]
+        flat[runs(base[rest], count[rest])] = np.fromiter(chain.from_iterable(others), np.int32, int(count[rest].sum()))
+        index = np.asarray(units.indices)
+        ids = flat[runs(base[index], count[index])]
+        after = np.concatenate([[0], np.cumsum(count[index])])
+        return ids, np.diff(after[np.concatenate([[0], np.cumsum(n)])])
+
+
+def beyond(units: pa.Array) -> np.ndarray:
+    """Which units are too long for the lattice."""
+    return np.greater(pc.binary_length(units).to_numpy(zero_copy_only=False), LONG)
+
+
+def count_units(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """(unit, n): the distinct units of all texts, word marks in place of spaces, and how often they occur."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, size = pieces(path), [], 0
 
-def encode_units(spark: SparkSession, units: DataFrame, path: str) -> DataFrame:
-    """(unit, ids) for distinct units (word marks, not spaces): the relational lattice and its fold."""
-    model = pieces(path)
-    names = F.broadcast(spark.createDataFrame(model.table(), "piece string, rank double, id int"))  # as many rows as the vocabulary
-    n = F.length("unit")
-    spans = F.expr(f"flatten(transform(sequence(0, length(unit) - 1), i -> transform(sequence(1, least({model.longest}, length(unit) - i)), l -> struct(i AS s, i + l AS e, substring(unit, i + 1, l) AS piece))))")
-    edges = units.select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece").join(names, "piece")
-    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("rank", "s", "e", "id"))).alias("edges"))
-    lattice = units.join(lattice, "unit", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() AS array<struct<rank: double, s: int, e: int, id: int>>)")))
-    # bounds: bit i is set where a segment starts or ends. An edge applies if it starts and ends at bounds and has one inside
-    masked = F.expr("""
-        aggregate(sequence(1, length(unit)), shiftleft(1L, length(unit) + 1) - 1L, (bounds, step) ->
-            coalesce(bounds & ~try_element_at(
-                transform(
-                    filter(edges, x -> x.e - x.s > 1 AND (shiftright(bounds, x.s) & 1L) = 1L AND (shiftright(bounds, x.e) & 1L) = 1L
-                        AND bit_count(bounds & (shiftleft(1L, x.e) - shiftleft(2L, x.s))) = 1),
-                    x -> bounds & (shiftleft(1L, x.e) - shiftleft(2L, x.s))), 1), bounds))
-    """)
-    at = F.when(n <= MASKED, F.expr("filter(sequence(0, length(unit)), i -> (shiftright(bounds, i) & 1L) = 1L)"))
-    # longer units: the same steps on an array of bounds
-    arrayed = F.expr("""
-        aggregate(sequence(1, length(unit)), sequence(0, length(unit)), (b, step) ->
-            coalesce(get(transform(slice(filter(edges, x -> x.e - x.s > 1 AND array_contains(b, x.s) AND array_contains(b, x.e) AND array_position(b, x.e) - array_position(b, x.s) = 2), 1, 1),
-                x -> array_remove(b, b[cast(array_position(b, x.s) AS int)])), 0), b))
-    """)
-    solved = lattice.withColumn("bounds", F.when(n <= MASKED, masked)).withColumn("at", F.coalesce(at, F.when(n > MASKED, arrayed)))
-    # an id for each segment, or one for each byte of a character that is no piece
-    fallback = "transform(sequence(1, octet_length(substring(unit, at[k] + 1, 1))), j -> cast(conv(substring(hex(encode(substring(unit, at[k] + 1, 1), 'UTF-8')), 2 * j - 1, 2), 16, 10) AS int) + first_byte)"
-    ids = F.expr(f"flatten(transform(sequence(0, size(at) - 2), k -> if(exists(edges, x -> x.s = at[k] AND x.e = at[k + 1]), transform(slice(filter(edges, x -> x.s = at[k] AND x.e = at[k + 1]), 1, 1), x -> x.id), {fallback.replace('first_byte', str(model.byte[0]))})))")
-    return solved.select("unit", ids.alias("ids"))
-
-
-def hot_units(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", most: int = HOT) -> dict[bytes, list[int]]:
-    """Encodings of the most frequent units of a bounded sample of documents; they save work and decide nothing."""
-    n = docs.count()
-    part = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(SAMPLE_DOCS / n * (1 << 30))) if n > SAMPLE_DOCS else docs
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
+
+        def sent(counted: pa.Table) -> Iterator[pa.RecordBatch]:
+            units = pc.replace_substring(counted["unit"].cast(pa.string()), " ", MARK)
+            yield from pa.table({"unit": units, "n": counted["n"]}).to_batches(1 << 16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
         for whole in batches:
             for b in slices(whole, "_t", SLICE_BYTES):
                 units, _ = cut_units(model, [t or b"" for t in b.column("_t").to_pylist()])
                 n = np.bincount(np.asarray(units.indices), minlength=len(units.dictionary))
-                yield pa.record_batch([units.dictionary.cast(pa.string()), pa.array(n.astype(np.int64))], names=["unit", "n"])
+                short = pa.array(~beyond(units.dictionary))
+                held.append(pa.table({"unit": units.dictionary, "n": pa.array(n.astype(np.int64))}).filter(short))
+                size += len(held[-1])
+                if size > COUNTED_UNITS:
+                    held = [summed()]
+                    size = len(held[0])
+                    if size > COUNTED_UNITS // 2:
+                        yield from sent(held[0])
+                        held, size = [], 0
+        if held:
+            yield from sent(summed())
+
+    return docs.select(F.col(text).cast("binary").alias("_t")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def lattice(spark: SparkSession, units: DataFrame, path: str) -> DataFrame:
+    """(unit, n, steps): for each end position the edges that end there; characters that are no piece have an edge without id."""
+    model = pieces(path)
+    key = ("table", path)
+    if key not in _LOADED:
+        _LOADED[key] = model.table()
+    names = F.broadcast(spark.createDataFrame(_LOADED[key], "piece string, id int, rank int, l array<long>, r array<long>"))  # as many rows as the vocabulary
+    spans = F.expr(f"""flatten(transform(sequence(0, length(unit) - 1), i -> transform(sequence(1, least({model.longest}, length(unit) - i)), k ->
+        struct(i + k AS e, k AS k, substring(substring(unit, i + 1, {model.longest}), 1, k) AS piece))))""")
+    edges = units.select("unit", "n", F.explode(spans).alias("x")).select("unit", "n", "x.*").join(names, "piece", "left").where("id is not null or k = 1")
+    # the partitioning by unit serves both groupings
+    ends = edges.groupBy("unit", "e").agg(F.first("n").alias("n"), F.collect_list(F.struct("k", "id", "rank", "l", "r")).alias("c"))
+    return ends.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("e", "c"))).alias("steps"))
+
 
-    counted = part.select(F.col(text).cast("binary").alias("_t")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = staged(spark, counted.where("n > 1").orderBy(F.desc("n"), "unit").limit(most).select(F.regexp_replace("unit", " ", MARK).alias("unit")), "units")
-    return {r.unit.replace(MARK, " ").encode(): list(r.ids) for r in encode_units(spark, top.repartition("unit"), path).collect()}  # at most HOT rows
+def part(x: str, place: int) -> str:
+    return f"(shiftright({x}, {place}) & {NEVER})"
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+def encode_units(spark: SparkSession, units: DataFrame, path: str) -> DataFrame:
+    """(unit, n, ids) for distinct units (word marks, not spaces) and any n: the relational lattice and its Viterbi fold."""
+    model = pieces(path)
+    alone = f"array({1 << LENGTH | NEVER << NEXT | NEVER << HIGHEST}L)"  # the segments of a single character
+    # g is an edge across the start of d; a a segment at the end of the piece in front of d, b one at the start of d
+    crossed = f"""
+        exists(sequence(x.e - d.k + 1, x.e), v -> exists(steps[v - 1].c, g -> v - g.k < x.e - d.k AND
+            exists(st.win[size(st.win) - d.k], a -> shiftright(a, {LENGTH}) = x.e - d.k - v + g.k AND {part("a", NEXT)} > g.rank AND
+                exists(d.l, b -> shiftright(b, {LENGTH}) = v - x.e + d.k AND {part("b", NEXT)} >= g.rank AND {part("a", HIGHEST)} > {part("b", BORN)} AND {part("b", HIGHEST)} >= {part("a", BORN)}))))"""
+    # win: the segments at the end of the last piece of each of the latest prefixes; now, done: length and id of the last piece of every prefix
+    appended = f"""
+        transform(filter(x.c, d -> d.k = x.e OR NOT {crossed}), d -> named_struct(
+            'win', concat(if(size(st.win) < {model.longest}, st.win, slice(st.win, 2, {model.longest - 1})), array(coalesce(d.r, {alone}))),
+            'now', concat(if(size(st.now) < {CHUNK}, st.now, cast(array() AS array<bigint>)), array(shiftleft(cast(d.k AS bigint), 32) + coalesce(cast(d.id AS bigint), {NO_PIECE}L + ascii(substring(unit, x.e, 1))))),
+            'done', if(size(st.now) < {CHUNK}, st.done, concat(st.done, array(st.now)))))[0]"""
+    forward = f"""
+        aggregate(steps, named_struct('win', cast(array() AS array<array<bigint>>), 'now', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
+            (st, x) -> {appended}, st -> reverse(flatten(concat(st.done, array(st.now)))))"""
+    # from the end: take a piece, pass over the prefixes that end inside it
+    backward = f"""
+        aggregate(latest, named_struct('skip', 0L, 'now', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
+            (st, p) -> if(st.skip > 0, named_struct('skip', st.skip - 1, 'now', st.now, 'done', st.done), named_struct(
+                'skip', shiftright(p, 32) - 1,
+                'now', concat(if(size(st.now) < {CHUNK}, st.now, cast(array() AS array<bigint>)), array(p & {(1 << 32) - 1}L)),
+                'done', if(size(st.now) < {CHUNK}, st.done, concat(st.done, array(st.now))))),
+            st -> reverse(flatten(concat(st.done, array(st.now)))))"""
+    c = f"cast(v - {NO_PIECE} AS int)"
+    tail = lambda at: f"{model.byte[0]} + 128 + (shiftright({c}, {at}) & 63)"
+    # the bytes of a character that is no piece
+    ids = f"""
+        flatten(transform(path, v -> CASE WHEN v < {NO_PIECE} THEN array(cast(v AS int))
+            WHEN {c} < 128 THEN array({model.byte[0]} + {c})
+            WHEN {c} < 2048 THEN array({model.byte[0]} + 192 + shiftright({c}, 6), {tail(0)})
+            WHEN {c} < 65536 THEN array({model.byte[0]} + 224 + shiftright({c}, 12), {tail(6)}, {tail(0)})
+            ELSE array({model.byte[0]} + 240 + shiftright({c}, 18), {tail(12)}, {tail(6)}, {tail(0)}) END))"""
+    solved = lattice(spark, units, path).withColumn("latest", F.expr(forward)).withColumn("path", F.expr(backward))
+    return solved.select("unit", "n", F.expr(ids).alias("ids"))
+
+
+def hot_from(coded: DataFrame, most: int) -> int:
+    """The least count such that all units of that count or more take at most ``most`` bytes, from a histogram of counts."""
+    size = F.length(F.bin("n")) * 8 + F.call_function("shiftright", F.col("n") * 8, F.length(F.bin("n")) - 1) % 8  # eight steps for each doubling
+    held, least = 0, 1 << 62
+    for r in coded.groupBy(size.alias("k")).agg(F.sum(F.octet_length("unit") + F.lit(UNIT_BYTES)).alias("b"), F.min("n").alias("least")).orderBy(F.desc("least")).collect():
+        if held + r.b > most:
+            break
+        held, least = held + r.b, r.least
+    return least
+
+
+def packed(hot: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Units, their ends, their ids and the ends of those, of a bounded table; the tasks pack it, so the driver holds no rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            units = pc.replace_substring(b.column("unit"), MARK, " ").to_pylist()
+            lists = b.column("ids")
+            ends = np.asarray(lists.offsets)
+            row = [b"".join(u := [x.encode() for x in units]), np.array([len(x) for x in u], np.int32).tobytes(), np.asarray(lists.values)[ends[0] : ends[-1]].astype(np.uint32).tobytes(), np.diff(ends).astype(np.int32).tobytes()]
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in row], names=["u", "un", "i", "n"])
+
+    got = hot.select("unit", "ids").mapInArrow(pack, "u binary, un binary, i binary, n binary").collect()
+    whole = [b"".join(bytes(r[k]) for r in got) for k in range(4)]
+    ends = lambda x: np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int32))])
+    ids = np.frombuffer(whole[2], np.uint32)
+    return whole[0], ends(whole[1]).astype(np.int32), ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, ends(whole[3]).astype(np.int64)
+
+
+def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Adds the ids of a text column to all columns of ``docs``; with ``back`` also the text decoded from them, in the same pass."""
     ship(spark)
     path = path or model_path()
-    own = spare(docs, "_t")
-    hot = spark.sparkContext.broadcast(hot_units(spark, docs, path, text))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("encoder", path, hot.id if hasattr(hot, "id") else id(hot))
-        if key not in _LOADED:
-            for k in [k for k in _LOADED if isinstance(k, tuple)]:
-                del _LOADED[k]
-            _LOADED[key] = Encoder(path, hot.value)
-        enc = _LOADED[key]
+    units = staged(spark, count_units(docs, path, text), "units")
+    n = units.count()
+    coded = staged(spark, encode_units(spark, units.repartition(max(1, -(-n // UNITS_A_TASK)), "unit"), path), "coded")
+    least = hot_from(coded, hot_bytes)
+    shared = spark.sparkContext.broadcast(packed(coded.where(F.col("n") >= least)))
+
+    def encoder() -> Encoder:
+        if _LOADED.get("for") is not shared.value:
+            raw, ends, ids, id_ends = shared.value
+            hot = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            _LOADED.update({"for": shared.value, "encoder": Encoder(pieces(path), hot, ids, id_ends)})
+        return _LOADED["encoder"]
+
+    own, key, found = spare(docs, "_t"), spare(docs, "_key"), spare(docs, "_found")
+    kept = [c for c in docs.columns if c != text]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder()
+        for whole in batches:
+            for b in slices(whole, own, SLICE_BYTES // 4 if rare else SLICE_BYTES):
+                texts = b.column(own).to_pylist()
+                if rare:
+                    texts = [t and zstandard.decompress(t) for t in texts]
+                answers = {a["unit"].replace(MARK, " ").encode(): a["ids"] for x in b.column(found).to_pylist() if x for a in x} if rare else {}
+                ids, count = enc.encode([t or b"" for t in texts], answers)
+                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                made = {text: pa.array(texts, pa.binary()).cast(b_type[text]), out: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+                if back:
+                    made[back] = pa.array([t.decode(errors="replace") for t in decoded(enc.model, ids, ends)])
+                yield pa.record_batch([made[c] if c in made else b.column(c) for c in names], names=names)
+
+    names = [*docs.columns, out, *([back] if back else [])]
+    b_type = {text: pa.binary() if docs.schema[text].dataType.typeName() == "binary" else pa.string()}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` array<int>", *([f"`{back}` string"] if back else [])])
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("binary").alias(own))
+    unknown = coded.where(F.col("n") < least)
+    rare = not unknown.isEmpty()
+    if not rare:
+        return rows.mapInArrow(finish, schema)
+    rows = rows.withColumn(key, F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString())))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder()
         for whole in batches:
             for b in slices(whole, own, SLICE_BYTES):
-                ids, n = enc.encode([t or b"" for t in b.column(own).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                keep = [name for name in b.schema.names if name != own]
-                again = [pa.array([t.decode(errors="replace") for t in decoded(enc.model, ids, ends)])] if back else []
-                yield pa.record_batch([*(b.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), *again], names=[*keep, out, *([back] if back else [])])
+                units, n = cut_units(enc.model, [t or b"" for t in b.column(own).to_pylist()])
+                gone = np.zeros(len(units.dictionary), bool)
+                gone[enc.missing(units.dictionary)] = True
+                at = np.nonzero(gone[np.asarray(units.indices)])[0]
+                once = np.unique(np.searchsorted(np.cumsum(n), at, "right") * len(units.dictionary) + np.asarray(units.indices)[at])
+                who, which = once // max(len(units.dictionary), 1), once % max(len(units.dictionary), 1)
+                asked = pc.replace_substring(units.dictionary.take(pa.array(which)).cast(pa.string()), " ", MARK)
+                yield pa.record_batch([b.column(key).take(pa.array(who)), asked], names=["key", "unit"])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeezer = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for b in slices(whole, own, SLICE_BYTES):
+                small = pa.array([t and squeezer.compress(t) for t in b.column(own).to_pylist()], pa.binary())
+                yield b.set_column(b.schema.names.index(own), own, small)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` array<int>", *([f"`{back}` string"] if back else [])])
-    return docs.withColumn(own, F.col(text).cast("binary")).mapInArrow(run, schema)
+    asked = rows.select(own, key).mapInArrow(ask, "key long, unit string")
+    answers = asked.join(unknown.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias(found)).withColumnRenamed("key", key)
+    return rows.mapInArrow(squeeze, rows.schema).join(answers, key, "left").mapInArrow(finish, schema)
 
 
 def decoded(model: Pieces, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """The texts of runs of ids."""
-    out, after = gathered(model.bytes, ids, np.uint8)
-    cut = np.concatenate([[0], after])[ends]
-    whole = out.tobytes()
+    if "bytes" not in model.__dict__.get("_flat", {}):
+        size = np.array([len(x) for x in model.bytes], np.int64)
+        model._flat = {"bytes": np.frombuffer(b"".join(model.bytes), np.uint8), "start": np.cumsum(size) - size, "size": size}
+    flat = model._flat
+    count = flat["size"][ids]
+    whole = flat["bytes"][runs(flat["start"][ids], count)].tobytes()
+    cut = np.concatenate([[0], np.cumsum(count)])[ends]
     return [whole[i + 1 if whole[i : i + 1] == b" " else i : j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 

@@ -269,22 +269,73 @@ def test_redaction(spark):
     assert [r.text for r in secrets.redact(spark, d).orderBy("doc_id").collect()] == ["x [ASSIGN] y", None, "clean"]
 
 
+def viterbi(model, unit):
+    """The path through all substrings whose neighbours are each encoded as the two pieces that they are."""
+    alone = {}
+
+    def fits(x, y):
+        if (x, y) not in alone:
+            alone[x, y] = model.encode_unit(x + y) == model.encode_unit(x) + model.encode_unit(y)
+        return alone[x, y]
+
+    last = {0: None}
+    for e in range(1, len(unit) + 1):
+        for s in range(max(0, e - model.longest), e):
+            x = unit[s:e]
+            if (x in model.id or e - s == 1) and (s == 0 or fits(unit[s - len(last[s]) : s], x)):
+                assert e not in last
+                last[e] = x
+    out, e = [], len(unit)
+    while e:
+        out = model.encode_unit(last[e]) + out
+        e -= len(last[e])
+    return out
+
+
+SCRIPTS = ["abcdefghijklmnop", "the quick ", "aeiourstln", "абвгдежзик", "абвг деж ", "中文字的是了我", "éèàçñüöß abc", "0123456789", "ab\t\n (){}<>=+-*/;:", "  a", "ا ب ت", "😀 x́"]
+
+
 def test_pieces_are_the_library(spark):
     import sentencepiece
 
     path = pieces.model_path()
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    model, enc = pieces.pieces(path), pieces.Encoder(path, {})
+    model = pieces.pieces(path)
     rnd = random.Random(3)
     parts = ["a", "the", "B", "É", "ß", "'s", "1", "23", "<s>", "<0x41>", " ", "  ", "\n", "\t", "é", "▁", "x́", "漢", "😀", "\x00", "ing", ".", "(", "//", "    ", "　"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(2000)] + ["a" * 300, " " * 100, "=-" * 70]
-    ids, n = enc.encode([x.encode() for x in texts])
-    ends = np.concatenate([[0], np.cumsum(n)])
-    assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)] == sp.encode(texts)
-    assert [t.decode(errors="replace") for t in pieces.decoded(model, ids, ends)] == [x.replace("▁", " ") for x in texts]
-    units = sorted({u.decode().replace(" ", "▁") for u in pieces.cut_units(model, [x.encode() for x in texts[:400]])[0].dictionary.to_pylist()} | {"a" * 80, "▁" * 66})
-    got = {r.unit: list(r.ids) for r in pieces.encode_units(spark, spark.createDataFrame([(u,) for u in units], "unit string"), path).collect()}
-    assert got == {u: model.encode_unit(u) for u in units}
+    texts += ["".join(rnd.choice(a) for _ in range(rnd.randint(1, 60))) for a in SCRIPTS for _ in range(60)]
+    texts += ["".join(rnd.choice(list(model.id)) for _ in range(rnd.randint(1, 6))).replace("▁", " ") for _ in range(1500)]
+    texts += ["".join(rnd.choice(a) for _ in range(10_000)) for a in ("abcdefghijklmnopqrstuvwxyz", "中文字的是了我", "абвгдежзик")]  # one unit of 10,000 characters each
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).persist()
+    want = dict(enumerate(sp.encode(texts)))
+    for hot in (pieces.HOT_BYTES, 3000, 0):  # all units travel, some do, none does
+        got = {r.doc_id: r for r in pieces.encode(spark, d, back="decoded", hot_bytes=hot).collect()}
+        assert {i: list(r.ids) for i, r in got.items()} == want
+        assert all(r.text == t and r.decoded == t.replace("▁", " ") for i, t in enumerate(texts) for r in [got[i]])
+
+
+def test_lattice_is_the_path_by_brute_force(spark):
+    path = pieces.model_path()
+    model, rnd = pieces.pieces(path), random.Random(9)
+    units = sorted({"".join(rnd.choice(a.replace(" ", "▁")) for _ in range(rnd.randint(1, 40))) for a in SCRIPTS for _ in range(25)} | {"▁" * k for k in range(1, 40)})
+    got = {r.unit: list(r.ids) for r in pieces.encode_units(spark, spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), path).collect()}
+    assert got == {u: viterbi(model, u) for u in units}
+
+
+def test_long_units_beside_the_lattice(spark):
+    model = pieces.pieces(pieces.model_path())
+    t = "x" + "ab" * pieces.LONG + " short"
+    assert max(r.unit for r in pieces.count_units(spark.createDataFrame([(t,)], "text string"), pieces.model_path()).collect()) == "▁short"
+    r = pieces.encode(spark, spark.createDataFrame([(t,)], "text string")).first()
+    assert list(r.ids) == model.encode_unit("▁x" + "ab" * pieces.LONG + "▁short")
+
+
+def test_units_end_at_spaces_in_every_script():
+    model = pieces.pieces(pieces.model_path())
+    text = "déjà vu, мир и дом 中文 字 a  b"
+    units = [u.decode() for u in pieces.cut_units(model, [text.encode()])[0].to_pylist()]
+    assert "".join(units) == " " + text and {" déjà", " vu", " мир", " и", " дом", " 中文", " 字"} <= set(units)
 
 
 def test_piece_query(spark, tables, odd_docs):
@@ -294,6 +345,8 @@ def test_piece_query(spark, tables, odd_docs):
     got = pieces.op5(spark, tables[0]).collect()
     assert all(r.exact for r in got)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in odd_docs for x in [sp.encode(t or "")])
+    rare = pieces.encode(spark, spark.read.parquet(f"{tables[0]}/documents.parquet"), hot_bytes=100)
+    assert Counter((r.doc_id, r.kept, tuple(r.ids)) for r in rare.collect()) == Counter((i, "k", tuple(sp.encode(t or ""))) for i, t in odd_docs)
 
 
 def test_decode_gives_back_the_texts(spark, docs):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
@@ -51,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder and read back: what follows starts from files, not from its lineage."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("glossa")

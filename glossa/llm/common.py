@@ -73,6 +73,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         at = to
 
 
+def picked(df: DataFrame, h: Column, most: int) -> DataFrame:
+    """About ``most`` rows, the same ones each time, or all if there are no more. h: a 64-bit hash, fine enough for any number of rows."""
+    n = df.count()
+    return df if n <= most else df.where(F.shiftrightunsigned(h, 1) < int(most / n * (1 << 53)) << 10)
+
+
 def bounded_rows(df: DataFrame, most: int) -> DataFrame | None:
     """``df`` marked for broadcast if it has at most ``most`` rows, else None. One count of a bounded prefix decides."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else None

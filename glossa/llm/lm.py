@@ -8,8 +8,9 @@ prediction mixes the estimates along the context path by these weights, from the
 so the code length of a byte is proper: over all bytes the probabilities add up to one.
 
 Nothing is estimated from a part of the corpus. Byte n-grams and words are counted by shuffles that grow with it; block
-probabilities go from the leaves to the root in partitions by the nearest bytes; there, every n-gram of the corpus, seen
-in training or not, gets its probability. Texts aren't shuffled: the HOT most frequent n-grams and words travel to the
+probabilities go from the leaves to the root, one depth after another, in partitions by the nearest bytes; from the root
+down each node meets its parent by a join and learns what all above it make of a probability; with that, every n-gram of
+the corpus, seen in training or not, gets its probability where its context is. No part of the tree reaches the driver. Texts aren't shuffled: the HOT most frequent n-grams and words travel to the
 tasks (bounded), and what a text holds beyond them is joined to the full tables and added up by document.
 
 Defined cases: null and empty texts hold the end alone; an empty training set gives base scores of N = 0, V = 0 and even
@@ -38,8 +39,11 @@ HOT_GRAMS_LOG2 = 20
 HOT_WORDS_LOG2 = 19
 SLICE_BYTES = 1 << 20
 END = 10  # the byte for the end, and for what precedes a text; words hold no line break
-#: The nearest bytes by which the deep part of the tree is dealt out.
+#: The nearest bytes by which the deep part of the tree is dealt out, and those by which a task takes it in portions.
 SPLIT = 3
+CUT = 4
+#: A task holds about so many n-grams at once, or those of one context of CUT bytes (2^16 at most).
+PORTION = 1 << 17
 LOG_HALF = math.log(0.5)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOADED: dict = {}
@@ -101,44 +105,58 @@ def parents(ids: np.ndarray, depth: int, *values: np.ndarray) -> tuple[np.ndarra
     return summed(ids & ~gone, *values)
 
 
-def climb(ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray, depth: int, to: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(depth, ids, n0, n1, log weight ratio, log weighted probability) from ``depth`` - 1 up to depth ``to``."""
-    for d in range(depth, to, -1):
-        ids, n0, n1, below = parents(ids, d, n0, n1, weighted)
-        own = block(n0, n1)
-        weighted = np.logaddexp(LOG_HALF + own, LOG_HALF + below)
-        yield d - 1, ids, n0, n1, own - below, weighted
+def weighted_of(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log weight ratio, log weighted probability) of nodes whose children's weighted probabilities have the product ``below``."""
+    own = block(n0, n1)
+    return own - below, np.logaddexp(LOG_HALF + own, LOG_HALF + below)
 
 
 @dataclass(frozen=True)
 class Level:
-    """The nodes of one depth: sorted ids, log-odds of a one, weight of the own estimate."""
+    """The nodes of one depth: sorted ids, probability of a one, weight of the own estimate."""
 
     ids: np.ndarray
-    odds: np.ndarray
+    one: np.ndarray
     weight: np.ndarray
 
     @classmethod
     def of(cls, ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, ratio: np.ndarray) -> Level:
-        return cls(ids, np.log((n1 + 0.5) / (n0 + 0.5)), 1 / (1 + np.exp(-np.clip(ratio, -500, 500))))
+        return cls(ids, (n1 + 0.5) / (n0 + n1 + 1), 1 / (1 + np.exp(-np.clip(ratio, -500, 500))))
+
 
+@dataclass(frozen=True)
+class Base:
+    """What the depths up to SPLIT make of a probability p from below: shift + scale * p, or ``alone`` if there is none below."""
+
+    ids: np.ndarray
+    shift: np.ndarray
+    scale: np.ndarray
+    alone: np.ndarray
 
-def log10_of(keys: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
+
+def log10_of(keys: np.ndarray, levels: dict[int, Level], base: Base) -> np.ndarray:
     """Logarithm of the probability of each key's byte in its context."""
     out = np.zeros(len(keys))
     context, byte = keys >> np.uint64(8), keys & np.uint64(255)
+
+    def place(d: int, node: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = np.uint64(8 * (DEPTH - d))
+        wanted = (((context >> low) << low) << np.uint64(8)) | node
+        at = np.searchsorted(ids, wanted).clip(max=len(ids) - 1)
+        return at, ids[at] == wanted
+
     for i in range(8):
         node = np.uint64(1 << i) | (byte >> np.uint64(8 - i))
         p = np.full(len(keys), np.nan)
-        for d in range(DEPTH, -1, -1):
-            if d not in levels or not len(levels[d].ids):
-                continue
-            low = np.uint64(8 * (DEPTH - d))
-            ids, level = (((context >> low) << low) << np.uint64(8)) | node, levels[d]
-            at = np.searchsorted(level.ids, ids).clip(max=len(level.ids) - 1)
-            own, w = 1 / (1 + np.exp(-level.odds[at])), level.weight[at]
-            p = np.where(level.ids[at] != ids, p, np.where(np.isnan(p), own, w * own + (1 - w) * p))
-        p = np.where(np.isnan(p), 0.5, p)
+        for d in range(DEPTH, SPLIT, -1):
+            if len(levels[d].ids):
+                at, seen = place(d, node, levels[d].ids)
+                own, w = levels[d].one[at], levels[d].weight[at]
+                p = np.where(~seen, p, np.where(np.isnan(p), own, w * own + (1 - w) * p))
+        at, seen = place(SPLIT, node, base.ids)
+        if not seen.all():
+            raise RuntimeError("a context has no base")
+        p = np.where(np.isnan(p), base.alone[at], base.shift[at] + base.scale[at] * p)
         out += np.log10(np.where((byte >> np.uint64(7 - i)) & np.uint64(1) == 1, p, 1 - p))
     return out
 
@@ -231,73 +249,135 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, key long, n long, every long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
-NEAR = 8 * (DEPTH - SPLIT + 1)  # below these bits of a key lie its nearest SPLIT bytes
+def low_bits(depth: int) -> int:
+    """So many bits of a key or node lie below its nearest ``depth`` bytes of context."""
+    return 8 * (DEPTH - depth + 1)
+
+
+def whole_contexts(keys: np.ndarray, depth: int, most: int) -> int:
+    """How many of the sorted keys, if they are more than ``most``, belong to contexts of ``depth`` bytes that are complete."""
+    low = np.uint64(low_bits(depth))
+    return int(np.searchsorted(keys, (keys[-1] >> low) << low)) if len(keys) > most else 0
 
 
 def portions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and training counts in portions that never divide a context of SPLIT bytes. batches: sorted by key."""
+    """Sorted keys and training counts in portions that never divide a context of CUT bytes. batches: sorted by key."""
     keys, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     for b in batches:
         keys = np.concatenate([keys, b["key"].to_numpy(np.int64).view(np.uint64)])
         n = np.concatenate([n, b["n"].to_numpy(np.int64).view(np.uint64)])
-        if len(keys) > 1 << 17:
-            cut = int(np.searchsorted(keys, (keys[-1] >> np.uint64(NEAR)) << np.uint64(NEAR)))
-            if cut:
-                yield keys[:cut], n[:cut]
-                keys, n = keys[cut:], n[cut:]
+        if cut := whole_contexts(keys, CUT, PORTION):
+            yield keys[:cut], n[:cut]
+            keys, n = keys[cut:], n[cut:]
     if len(keys):
         yield keys, n
 
 
 def deep_levels(keys: np.ndarray, n: np.ndarray) -> tuple[dict[int, Level], tuple[np.ndarray, ...]]:
-    """Levels DEPTH to SPLIT of complete contexts, and the nodes of depth SPLIT with their weighted probabilities."""
-    seen = n > 0
-    ids, n0, n1 = nodes_of(keys[seen], n[seen])
-    levels = {DEPTH: Level.of(ids, n0, n1, np.zeros(len(ids)))}
-    last = (ids, n0, n1, block(n0, n1))
-    for d, ids, n0, n1, ratio, weighted in climb(*last, DEPTH, SPLIT):
-        levels[d], last = Level.of(ids, n0, n1, ratio), (ids, n0, n1, weighted)
-    return levels, last
+    """Levels DEPTH to CUT of complete contexts, and the nodes of depth CUT with their weighted probabilities, seen in training or not."""
+    ids, n0, n1 = nodes_of(keys, n)
+    seen = n0 + n1 > 0
+    levels = {DEPTH: Level.of(ids[seen], n0[seen], n1[seen], np.zeros(int(seen.sum())))}
+    weighted = block(n0, n1)
+    for d in range(DEPTH, CUT, -1):
+        ids, n0, n1, below = parents(ids, d, n0, n1, weighted)
+        ratio, weighted = weighted_of(n0, n1, below)
+        seen = n0 + n1 > 0
+        levels[d - 1] = Level.of(ids[seen], n0[seen], n1[seen], ratio[seen])
+    return levels, (ids, n0, n1, weighted)
+
+
+def climbed(parts: Iterator[tuple[np.ndarray, ...]], depth: int) -> Iterator[pd.DataFrame]:
+    """The nodes of ``depth`` - 1 from those of ``depth`` (ids, n0, n1, weighted), which come in order; only the open context is held."""
+    low = np.uint64(low_bits(depth - 1))
+    held: tuple[np.ndarray, ...] | None = None
+
+    def frame(ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> pd.DataFrame:
+        ratio, weighted = weighted_of(n0, n1, below)
+        return pd.DataFrame({"id": ids.view(np.int64), "n0": n0, "n1": n1, "weighted": weighted, "ratio": ratio})
+
+    for part in parts:
+        if len(part[0]):
+            up = parents(part[0], depth, *part[1:])
+            held = up if held is None else summed(*(np.concatenate(x) for x in zip(held, up, strict=True)))
+            cut = int(np.searchsorted(held[0], (part[0][-1] >> low) << low))
+            if cut:
+                yield frame(*(x[:cut] for x in held))
+                held = tuple(x[cut:] for x in held)
+    if held is not None:
+        yield frame(*held)
+
+
+NODES = "id long, n0 double, n1 double, weighted double, ratio double"
 
 
 def probabilities(spark: SparkSession, ngrams: DataFrame) -> DataFrame:
-    """(key, every, value): the log10 probability of each n-gram's last byte. ngrams: (key, n, every)."""
-    nodes = "id long, n0 double, n1 double, weighted double"
+    """(key, value): the log10 probability of each n-gram's last byte. ngrams: (key, n)."""
 
-    def frame(ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"id": ids.view(np.int64), "n0": n0, "n1": n1, "weighted": weighted})
+    def above(nodes: DataFrame, depth: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from climbed(((b["id"].to_numpy(np.int64).view(np.uint64), *(b[c].to_numpy(float) for c in ("n0", "n1", "weighted"))) for b in batches), depth)
+
+        dealt = nodes.select("id", "n0", "n1", "weighted").repartition(F.shiftright("id", low_bits(depth - 1))).sortWithinPartitions("id")
+        return staged(spark, dealt.mapInPandas(run, NODES), f"depth{depth - 1}")
 
     def deep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for keys, n in portions(batches):
-            yield frame(*deep_levels(keys, n)[1])
-
-    def upper(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        level = (pdf["id"].to_numpy(np.int64).view(np.uint64), *(pdf[c].to_numpy(float) for c in ("n0", "n1", "weighted")))
-        return pd.concat([pd.DataFrame({"d": d, "id": ids.view(np.int64), "n0": n0, "n1": n1, "weighted": weighted, "ratio": ratio}) for d, ids, n0, n1, ratio, weighted in climb(*level, SPLIT, 1)])
-
-    dealt = ngrams.repartition(F.shiftright("key", NEAR)).sortWithinPartitions("key")
-    third = dealt.select("key", "n").mapInPandas(deep, nodes)
-    second = staged(spark, third.groupBy(F.shiftrightunsigned("id", 8 * DEPTH)).applyInPandas(upper, "d int, " + nodes + ", ratio double"), "upper").toPandas()  # contexts of two bytes and one: at most 2^16 + 2^8
-    high: dict[int, Level] = {}
-    for d in (2, 1):
-        at = second[second["d"] == d].sort_values("id")
-        ids, order = np.unique(at["id"].to_numpy(np.int64).view(np.uint64), return_index=True)
-        at = at.iloc[order]
-        high[d] = Level.of(ids, at["n0"].to_numpy(float), at["n1"].to_numpy(float), at["ratio"].to_numpy(float))
-    if len(at):
-        for d, ids, n0, n1, ratio, _ in climb(high[1].ids, *(at[c].to_numpy(float) for c in ("n0", "n1", "weighted")), 1, 0):
-            high[d] = Level.of(ids, n0, n1, ratio)
-    shared = spark.sparkContext.broadcast(high)
+        yield from climbed((deep_levels(keys, n)[1] for keys, n in portions(batches)), CUT)
+
+    context = F.shiftright("key", low_bits(SPLIT))
+    dealt = ngrams.select("key", "n").repartition(context).sortWithinPartitions("key")
+    depths = {SPLIT: staged(spark, dealt.mapInPandas(deep, NODES), f"depth{SPLIT}")}
+    for d in range(SPLIT, 0, -1):
+        depths[d - 1] = above(depths[d], d)
+    # from the root: what a node and those above it make of a probability from below; each node meets its parent by an equi-join
+    mixed = None
+    for d in range(SPLIT + 1):
+        own, w, seen = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1), 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), "ratio")))), F.col("n0") + F.col("n1") > 0
+        if mixed is None:
+            nodes = depths[0].withColumns({"shift": F.lit(0.0), "scale": F.lit(1.0), "alone": F.lit(0.5)})
+        else:
+            gone = 0xFF << low_bits(d)
+            nodes = depths[d].withColumn("up", F.col("id").bitwiseAND(F.lit(~gone))).join(mixed.withColumnRenamed("id", "up"), "up")
+        mixed = nodes.select(
+            "id",
+            F.when(seen, F.col("shift") + F.col("scale") * w * own).otherwise(F.col("shift")).alias("shift"),
+            F.when(seen, F.col("scale") * (1 - w)).otherwise(F.col("scale")).alias("scale"),
+            F.when(seen, F.col("shift") + F.col("scale") * own).otherwise(F.col("alone")).alias("alone"),
+        )
 
     def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for keys, n in portions(batches):
-            levels = deep_levels(keys, n)[0] | shared.value
+        columns = ("key", "n", "shift", "scale", "alone")
+        nodes, grams = [], []
+        low = np.uint64(low_bits(SPLIT))
+
+        def valued(keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+            whole = pd.concat(nodes)
+            base = Base(whole["key"].to_numpy(np.int64).view(np.uint64), *(whole[c].to_numpy(float) for c in columns[2:]))
+            levels = deep_levels(keys, n)[0]
             for k in range(0, len(keys), 1 << 16):
                 part = keys[k : k + (1 << 16)]
-                yield pd.DataFrame({"key": part.view(np.int64), "value": log10_of(part, levels)})
-
-    return dealt.select("key", "n").mapInPandas(value, "key long, value double")
+                yield pd.DataFrame({"key": part.view(np.int64), "value": log10_of(part, levels, base)})
+            # contexts behind the last key are done with
+            nodes[:] = [whole[base.ids >= (keys[-1] >> low) << low]]
+
+        for b in batches:  # by context: its nodes, then its n-grams
+            nodes.append(b[b["n"] < 0][list(columns)])
+            grams.append(b[b["n"] >= 0])
+            if sum(map(len, grams)) > PORTION:
+                keys = np.concatenate([x["key"].to_numpy(np.int64).view(np.uint64) for x in grams])
+                n = np.concatenate([x["n"].to_numpy(np.int64).view(np.uint64) for x in grams])
+                if cut := whole_contexts(keys, CUT, PORTION):
+                    yield from valued(keys[:cut], n[:cut])
+                    grams = [pd.DataFrame({"key": keys[cut:].view(np.int64), "n": n[cut:].view(np.int64)})]
+                else:
+                    grams = [pd.DataFrame({"key": keys.view(np.int64), "n": n.view(np.int64)})]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(x["key"].to_numpy(np.int64).view(np.uint64) for x in grams)])
+        if len(keys):
+            yield from valued(keys, np.concatenate([x["n"].to_numpy(np.int64).view(np.uint64) for x in grams]))
+
+    none = F.lit(None).cast("double")
+    both = mixed.select(F.col("id").alias("key"), F.lit(-1).cast("long").alias("n"), "shift", "scale", "alone").union(ngrams.select("key", F.col("n").cast("long"), none, none, none))
+    return both.repartition(context).sortWithinPartitions(context, F.col("n") >= 0, "key").mapInPandas(value, "key long, value double")
 
 
 def least_of_most(rows: DataFrame, n: str, most: int) -> int:
@@ -347,7 +427,12 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         by_gram, by_word = _LOADED["by"]
 
         def lists(doc: np.ndarray, keys: np.ndarray, n: int) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)), pa.array(keys.view(np.int64)))
+            """For each text the distinct keys, and how often it holds them."""
+            order = np.lexsort((keys, doc))
+            doc, keys = doc[order], keys[order]
+            first = np.nonzero(np.append(True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])))[0] if len(keys) else np.zeros(0, np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))).astype(np.int64))], ["key", "n"])
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=n))]).astype(np.int32)), pairs)
 
         for whole in batches:
             for b in slices(whole, "t", SLICE_BYTES):
@@ -371,14 +456,14 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     names=["row", "doc_id", "held_out", "n_tokens", "hot", "base", "score", "grams", "words"],
                 )
 
-    scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, hot long, base double, score double, grams array<long>, words array<long>")
+    scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, hot long, base double, score double, grams array<struct<key: long, n: long>>, words array<struct<key: long, n: long>>")
     scored = staged(spark, scored, "scored")
-    asked = scored.select("row", F.lit(0).alias("kind"), F.explode("grams").alias("key")).union(scored.select("row", F.lit(1), F.explode("words")))
+    asked = scored.select("row", F.lit(0).alias("kind"), F.inline("grams").alias("key", "times")).union(scored.select("row", F.lit(1), F.inline("words")))
     values = grams.select(F.lit(0).alias("kind"), "key", "value").union(words.select(F.lit(1), "key", F.log10(F.col("n") + 0.5)))
     rest = asked.join(values, ["kind", "key"], "left").groupBy("row").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("value"))).alias("more_score"),
-        F.sum(F.when(F.col("kind") == 1, F.coalesce("value", F.lit(math.log10(0.5))))).alias("more_base"),
-        F.count(F.when(F.col("kind") == 1, F.col("value"))).alias("more"),
+        F.sum(F.when(F.col("kind") == 0, F.col("times") * F.col("value"))).alias("more_score"),
+        F.sum(F.when(F.col("kind") == 1, F.col("times") * F.coalesce("value", F.lit(math.log10(0.5))))).alias("more_base"),
+        F.sum(F.when((F.col("kind") == 1) & F.col("value").isNotNull(), F.col("times"))).alias("more"),
     )
     z = math.log10(train_tokens + 0.5 * (distinct + 1))
     return scored.drop("grams", "words").join(rest, "row", "left").select(

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import bounded_rows, clip_columns, slices, spare, staged, table
+from .common import bounded_rows, clip_columns, picked, slices, spare, staged, table
 from .components import components
 
 RADIUS = 2
@@ -251,8 +251,7 @@ def set_hashes(text: bytes) -> np.ndarray:
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the most common shingles in a sample of the texts. Any such table gives right results."""
-    keep = min(1.0, SAMPLE_DOCS / max(texts.count(), 1))
-    sample = texts.where(F.pmod("h", F.lit(1 << 20)) < int(keep * (1 << 20))) if keep < 1 else texts
+    sample = picked(texts, F.col("h"), SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,12 +20,36 @@ def written(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{i}:{j}" for k, i, j in sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2])))
 
 
+class Taken:
+    """Disjoint intervals in order, asked and added to in logarithmic time."""
+
+    def __init__(self, held: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for i, j in sorted((i, j) for _, i, j in held):
+            if self.ends and i < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], j)
+            else:
+                self.starts.append(i)
+                self.ends.append(j)
+
+    def free(self, i: int, j: int) -> bool:
+        k = bisect_right(self.ends, i)
+        return k == len(self.starts) or j <= self.starts[k]
+
+    def add(self, i: int, j: int) -> None:
+        """A free interval."""
+        k = bisect_right(self.ends, i)
+        self.starts.insert(k, i)
+        self.ends.insert(k, j)
+
+
 def free_of(added: list[tuple[float, Span]], held: list[Span]) -> list[Span]:
     """Of scored spans, those that overlap neither a held one nor a better one."""
-    taken, out = sorted((i, j) for _, i, j in held), []
+    taken, out = Taken(held), []
     for _, (kind, i, j) in sorted(added, key=lambda s: (-s[0], s[1][1], s[1][0])):
-        if all(j <= a or b <= i for a, b in taken):
-            taken.append((i, j))
+        if taken.free(i, j):
+            taken.add(i, j)
             out.append((kind, i, j))
     return out
 

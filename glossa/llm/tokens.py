@@ -7,7 +7,8 @@ and pages are small enough that the column and page indexes which the writer add
 documents, or the metadata without any ids. ``local_start`` counts ids within the shard, so the place of a document in
 the whole stream is one bounded table of shard totals away.
 
-Defined cases: null and empty texts hold the end id alone; repeated doc_ids keep all rows, in order of their text; a null
+Defined cases: null and empty texts hold the end id alone; repeated doc_ids keep all rows, in order of the hash of their
+text and of the text; a null
 doc_id sorts first; an empty table writes no rows; other columns are ignored.
 """
 
@@ -185,8 +186,9 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
                 )
                 start += int(ends[-1])
 
-    # UTF-8 bytes sort as the code points do
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
+    # rows that share a doc_id are dealt out by their hash, so any number of them is spread over the tasks
+    order = [F.col("doc_id"), F.xxhash64("t"), F.col("t")]
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     # packed ids hardly shrink further: the light codec is enough
     rows.mapInArrow(run, "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>").write.options(
         **{"compression": "snappy", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.dictionary.page.size": 1 << 20, "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0"}

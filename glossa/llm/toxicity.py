@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, crc32_of_id, spare, staged, table
+from .common import bounded_rows, clip_columns, crc32_of_id, picked, spare, staged, table
 
 SIZES = (4, 5, 6)
 #: N-grams are counted in so many hashed places.
@@ -95,32 +95,32 @@ class Model:
 
 
 def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, t, y) of about ``most`` labelled documents, written once."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(known), "doc_id")
+    """(doc_id, t, y, n) of about ``most`` labelled documents, written once; n tells how often the label occurs."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    known = picked(known, F.xxhash64("doc_id"), most)
+    few = known if (small := bounded_rows(known, 2 * most)) is None else small
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).join(few, "doc_id")
     return staged(spark, rows, "labelled")
 
 
 def fit(spark: SparkSession, rows: DataFrame) -> Model:
-    """rows: (doc_id, t, y), training rows only, of bounded number."""
+    """rows: (doc_id, t, y, n), training rows only, of bounded number; a row counts n times."""
     ship(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 1 << PLACES_LOG2), np.int32)
+        held = np.zeros((2, 1 << PLACES_LOG2), np.int64)
         for b in batches:
-            texts, y = b.column("t").to_pylist(), np.asarray(b.column("y"))
+            texts, y, weight = b.column("t").to_pylist(), np.asarray(b.column("y")), np.asarray(b.column("n"))
             for at, part in chunks(texts):
                 once = np.unique(np.concatenate([(doc << PLACES_LOG2) | place for place, doc in ngrams(part)]))
-                np.add.at(held, (y[at + (once >> PLACES_LOG2)], once & ((1 << PLACES_LOG2) - 1)), 1)
+                doc = at + (once >> PLACES_LOG2)
+                np.add.at(held, (y[doc], once & ((1 << PLACES_LOG2) - 1)), weight[doc])
         at = np.nonzero(held.any(0))[0]
         for i in range(0, len(at), 1 << 16):
             k = at[i : i + (1 << 16)]
             yield pa.record_batch([pa.array(k), pa.array(held[1, k].astype(np.int64)), pa.array(held[0, k].astype(np.int64))], names=["place", "p", "q"])
 
-    size = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     if len(size) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), float("-inf"))
     counts = rows.mapInArrow(count, "place long, p long, q long").groupBy("place").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -144,10 +144,10 @@ def fit(spark: SparkSession, rows: DataFrame) -> Model:
                 once = np.unique(np.concatenate(hits))
                 cut = np.searchsorted(once, np.arange(len(part) + 1) << PLACES_LOG2)
                 found += [(once[i:j] & ((1 << PLACES_LOG2) - 1)).astype(np.int32) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([b.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "at"])
+            yield pa.record_batch([b.column("y"), b.column("n"), pa.array(found, pa.list_(pa.int32()))], names=["y", "n", "at"])
 
-    got = rows.mapInArrow(present, "y int, at array<int>").toPandas()
-    y = got["y"].to_numpy(float)
+    got = rows.mapInArrow(present, "y int, n long, at array<int>").toPandas()
+    y, weight = got["y"].to_numpy(float), got["n"].to_numpy(float)
     n = np.array([len(x) for x in got["at"]])
     row = np.repeat(np.arange(len(n)), n)
     col = np.searchsorted(places, np.concatenate([*got["at"], np.zeros(0, np.int64)]).astype(np.int64))
@@ -155,7 +155,7 @@ def fit(spark: SparkSession, rows: DataFrame) -> Model:
     step_w, step_b = np.full(len(places), 1e-8), 1e-8
     for _ in range(400):  # AdaGrad on the whole sample
         z = np.bincount(row, w[col] * ratio[col], len(n)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / max(len(n), 1)
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / max(weight.sum(), 1)
         gw = np.bincount(col, g[row] * ratio[col], len(places)) + RIDGE * w / max(len(places), 1)
         step_w, step_b = step_w + gw**2, step_b + g.sum() ** 2
         w, b = w - 0.5 * gw / np.sqrt(step_w), b - 0.5 * g.sum() / np.sqrt(step_b)

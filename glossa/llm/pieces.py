@@ -46,17 +46,15 @@ MARK = "▁"
 HOT_BYTES = 48 << 20
 UNIT_BYTES = 24
 #: Text bytes that are encoded together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct units that a task counts before it hands them on.
-COUNTED_UNITS = 400_000
+COUNTED_UNITS = 200_000
 #: Distinct units that one task folds.
-UNITS_A_TASK = 50_000
+UNITS_A_TASK = 20_000
 LONG = 20_000
 #: Places of the parts of a packed segment: its length, when it came about, the next merge, the highest merge by then.
 LENGTH, BORN, NEXT, HIGHEST = 54, 36, 18, 0
 NEVER = (1 << 18) - 1
-#: Positions that a fold appends one by one before it starts another array.
-CHUNK = 512
 #: In a path, a character that is no piece stands as its code point beyond this number.
 NO_PIECE = 1 << 30
 _LOADED: dict = {}
@@ -151,8 +149,9 @@ class Pieces:
             out.append([k << LENGTH | b << BORN | n << NEXT | h << HIGHEST for k, b, n, h in dict.fromkeys(kept)])
         return out[0], out[1]
 
-    def table(self) -> list[tuple[str, int, int, list[int], list[int]]]:
-        return [(p, i, self.rank[p], *self.segments(p)) for p, i in self.id.items()]
+    def table(self) -> list[tuple[str, int, int, list[int] | None, list[int] | None]]:
+        """(piece, id, rank, segments at its left, at its right); a single character is the only segment of itself."""
+        return [(p, i, self.rank[p], *(self.segments(p) if len(p) > 1 else (None, None))) for p, i in self.id.items()]
 
 
 def pieces(path: str) -> Pieces:
@@ -257,18 +256,19 @@ def count_units(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def lattice(spark: SparkSession, units: DataFrame, path: str) -> DataFrame:
-    """(unit, n, steps): for each end position the edges that end there; characters that are no piece have an edge without id."""
+    """(unit, n, edges): by end, the longest first; a character that is no piece has an edge without id."""
     model = pieces(path)
     key = ("table", path)
     if key not in _LOADED:
         _LOADED[key] = model.table()
     names = F.broadcast(spark.createDataFrame(_LOADED[key], "piece string, id int, rank int, l array<long>, r array<long>"))  # as many rows as the vocabulary
-    spans = F.expr(f"""flatten(transform(sequence(0, length(unit) - 1), i -> transform(sequence(1, least({model.longest}, length(unit) - i)), k ->
-        struct(i + k AS e, k AS k, substring(substring(unit, i + 1, {model.longest}), 1, k) AS piece))))""")
-    edges = units.select("unit", "n", F.explode(spans).alias("x")).select("unit", "n", "x.*").join(names, "piece", "left").where("id is not null or k = 1")
-    # the partitioning by unit serves both groupings
-    ends = edges.groupBy("unit", "e").agg(F.first("n").alias("n"), F.collect_list(F.struct("k", "id", "rank", "l", "r")).alias("c"))
-    return ends.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("e", "c"))).alias("steps"))
+    starts = units.select("unit", "n", F.length("unit").alias("size"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
+    spans = starts.select("unit", "n", "s", F.explode(F.expr(f"sequence(1, least({model.longest}, size - s))")).alias("k"))
+    spans = spans.select("unit", "n", "s", (F.col("s") + F.col("k")).alias("e"), F.expr("substring(unit, s + 1, k)").alias("piece"))
+    edges = spans.join(names, "piece", "left").where("id is not null or e - s = 1")
+    # the partitioning by unit serves the grouping
+    each = F.struct("e", "s", "id", "rank", "l", "r")
+    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(each)).alias("edges"))
 
 
 def part(x: str, place: int) -> str:
@@ -279,41 +279,46 @@ def encode_units(spark: SparkSession, units: DataFrame, path: str) -> DataFrame:
     """(unit, n, ids) for distinct units (word marks, not spaces) and any n: the relational lattice and its Viterbi fold."""
     model = pieces(path)
     alone = f"array({1 << LENGTH | NEVER << NEXT | NEVER << HIGHEST}L)"  # the segments of a single character
-    # g is an edge across the start of d; a a segment at the end of the piece in front of d, b one at the start of d
+    # t holds the places and ranks of the edges, first where the edges of each end start: as lambda variables they are read fastest.
+    # q, an edge before d, is across the start of d; a is a segment at the end of the piece in front, b one at the start of d
     crossed = f"""
-        exists(sequence(x.e - d.k + 1, x.e), v -> exists(steps[v - 1].c, g -> v - g.k < x.e - d.k AND
-            exists(st.win[size(st.win) - d.k], a -> shiftright(a, {LENGTH}) = x.e - d.k - v + g.k AND {part("a", NEXT)} > g.rank AND
-                exists(d.l, b -> shiftright(b, {LENGTH}) = v - x.e + d.k AND {part("b", NEXT)} >= g.rank AND {part("a", HIGHEST)} > {part("b", BORN)} AND {part("b", HIGHEST)} >= {part("a", BORN)}))))"""
-    # win: the segments at the end of the last piece of each of the latest prefixes; now, done: length and id of the last piece of every prefix
-    appended = f"""
-        transform(filter(x.c, d -> d.k = x.e OR NOT {crossed}), d -> named_struct(
-            'win', concat(if(size(st.win) < {model.longest}, st.win, slice(st.win, 2, {model.longest - 1})), array(coalesce(d.r, {alone}))),
-            'now', concat(if(size(st.now) < {CHUNK}, st.now, cast(array() AS array<bigint>)), array(shiftleft(cast(d.k AS bigint), 32) + coalesce(cast(d.id AS bigint), {NO_PIECE}L + ascii(substring(unit, x.e, 1))))),
-            'done', if(size(st.now) < {CHUNK}, st.done, concat(st.done, array(st.now)))))[0]"""
+        exists(sequence(first[d.s], i - 1), q -> t.s[q] < d.s AND
+            exists(coalesce(edges[last[d.s - 1]].r, {alone}), a -> shiftright(a, {LENGTH}) = d.s - t.s[q] AND {part("a", NEXT)} > t.rank[q] AND
+                exists(coalesce(d.l, {alone}), b -> shiftright(b, {LENGTH}) = t.e[q] - d.s AND {part("b", NEXT)} >= t.rank[q] AND {part("a", HIGHEST)} > {part("b", BORN)} AND {part("b", HIGHEST)} >= {part("a", BORN)})))"""
+    # last: the edge that is the last piece of each prefix; a prefix that has one looks at no other
     forward = f"""
-        aggregate(steps, named_struct('win', cast(array() AS array<array<bigint>>), 'now', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
-            (st, x) -> {appended}, st -> reverse(flatten(concat(st.done, array(st.now)))))"""
-    # from the end: take a piece, pass over the prefixes that end inside it
+        transform(array(named_struct('s', edges.s, 'e', edges.e, 'rank', edges.rank)), t ->
+            transform(array(filter(sequence(0, size(t.e) - 1), i -> i = 0 OR t.e[i] <> t.e[i - 1])), first ->
+                aggregate(sequence(0, size(t.e) - 1), cast(array() AS array<int>), (last, i) -> if(size(last) = t.e[i], last,
+                    transform(array(edges[i]), d -> if(d.s = 0 OR first[d.s] >= i OR NOT {crossed}, concat(last, array(i)), last))[0])))[0])[0]"""
+    # from the end: the place where the latest piece starts is where the one before ends
     backward = f"""
-        aggregate(latest, named_struct('skip', 0L, 'now', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
-            (st, p) -> if(st.skip > 0, named_struct('skip', st.skip - 1, 'now', st.now, 'done', st.done), named_struct(
-                'skip', shiftright(p, 32) - 1,
-                'now', concat(if(size(st.now) < {CHUNK}, st.now, cast(array() AS array<bigint>)), array(p & {(1 << 32) - 1}L)),
-                'done', if(size(st.now) < {CHUNK}, st.done, concat(st.done, array(st.now))))),
-            st -> reverse(flatten(concat(st.done, array(st.now)))))"""
-    c = f"cast(v - {NO_PIECE} AS int)"
+        aggregate(sequence(size(last), 1), array(size(last)), (ends, e) -> if(element_at(ends, -1) = e, concat(ends, array(edges[last[e - 1]].s)), ends),
+            ends -> transform(reverse(slice(ends, 1, size(ends) - 1)), e -> coalesce(edges[last[e - 1]].id, {NO_PIECE} + ascii(substring(unit, e, 1)))))"""
+    c = f"(v - {NO_PIECE})"
     tail = lambda at: f"{model.byte[0]} + 128 + (shiftright({c}, {at}) & 63)"
     # the bytes of a character that is no piece
     ids = f"""
-        flatten(transform(path, v -> CASE WHEN v < {NO_PIECE} THEN array(cast(v AS int))
+        flatten(transform(path, v -> CASE WHEN v < {NO_PIECE} THEN array(v)
             WHEN {c} < 128 THEN array({model.byte[0]} + {c})
             WHEN {c} < 2048 THEN array({model.byte[0]} + 192 + shiftright({c}, 6), {tail(0)})
             WHEN {c} < 65536 THEN array({model.byte[0]} + 224 + shiftright({c}, 12), {tail(6)}, {tail(0)})
             ELSE array({model.byte[0]} + 240 + shiftright({c}, 18), {tail(12)}, {tail(6)}, {tail(0)}) END))"""
-    solved = lattice(spark, units, path).withColumn("latest", F.expr(forward)).withColumn("path", F.expr(backward))
+    solved = lattice(spark, units, path).withColumn("last", F.expr(forward)).withColumn("path", F.expr(backward))
     return solved.select("unit", "n", F.expr(ids).alias("ids"))
 
 
+def folded(spark: SparkSession, coded: DataFrame) -> DataFrame:
+    """The encoded units, written. A task's units are few enough for a hash table, so it needn't fall back on sorting the edges."""
+    fallback = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(fallback)
+    spark.conf.set(fallback, str(2 * UNITS_A_TASK))
+    try:
+        return staged(spark, coded, "coded")
+    finally:
+        spark.conf.set(fallback, before)
+
+
 def hot_from(coded: DataFrame, most: int) -> int:
     """The least count such that all units of that count or more take at most ``most`` bytes, from a histogram of counts."""
     size = F.length(F.bin("n")) * 8 + F.call_function("shiftright", F.col("n") * 8, F.length(F.bin("n")) - 1) % 8  # eight steps for each doubling
@@ -349,7 +354,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
     path = path or model_path()
     units = staged(spark, count_units(docs, path, text), "units")
     n = units.count()
-    coded = staged(spark, encode_units(spark, units.repartition(max(1, -(-n // UNITS_A_TASK)), "unit"), path), "coded")
+    coded = folded(spark, encode_units(spark, units.repartition(max(1, -(-n // UNITS_A_TASK)), "unit"), path))
     least = hot_from(coded, hot_bytes)
     shared = spark.sparkContext.broadcast(packed(coded.where(F.col("n") >= least)))
 

@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,6 +232,9 @@ SIMILARITY = 0.8
 #: Shingles that are common in about so many documents go last in the order of shingles; at most COMMON of them.
 SAMPLE_DOCS = 20_000
 COMMON = 100_000
+#: The share of a set's shingles, first in the order, by which it is looked for; more of them tell more about a set before any pair is made.
+PREFIX = 0.3
+PEELS = 4
 #: In each round, so many times as many members of a bucket lead.
 MORE_LEADS = 4
 #: Row numbers are broadcast up to so many; beyond that the join is dealt out.
@@ -267,30 +271,54 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def leading(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The shingles of a set that come first in the order of all shingles: rare ones by hash, then common ones by count.
 
-    Two sets of similarity 0.8 share at least 4/5 of each, so each one's first fifth and one more hold a shared shingle.
+    Of two sets of similarity 0.8, with n the size of either, at least 4/5 n are shared. So of the first PREFIX n of either
+    at most n/5 aren't, and the first shared ones, (PREFIX - 1/5) n of the smaller set at least, are in both prefixes.
     """
     known, n = common
     level = np.zeros(len(h), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         level = np.where(known[at] == h, n[at], 0)
-    return h[np.lexsort((h, level))[: len(h) - -(-4 * len(h) // 5) + 1]]
+    long = max(len(h) - -(-4 * len(h) // 5) + 1, math.ceil(PREFIX * len(h)))
+    return h[np.lexsort((h, level))[:long]]
+
+
+def least_shared(n: Column) -> Column:
+    """So many of the leading shingles of a set of n it shares with any set of similarity 0.8, whose size is 4/5 n at least."""
+    return F.greatest(F.lit(1), F.ceil((PREFIX - 0.2) * 0.8 * n - 1e-6))
+
+
+def met_by_others(spark: SparkSession, first: DataFrame) -> DataFrame:
+    """(id, n, at, s, m) of the leading shingles that m > 1 sets lead with, without sets that share too few of theirs.
+
+    A set that has no partner is dropped with all its shingles, so that others' shingles are alone in turn, and so on;
+    after PEELS rounds what is left is looked at pair by pair. first: (id, n, at, s).
+    """
+    own = Window.partitionBy("s")
+    met = staged(spark, first.withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "met")
+    for _ in range(PEELS):
+        before = met.count()
+        rich = met.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least_shared(F.col("n"))).select("id")
+        met = staged(spark, met.drop("m").join(rich, "id", "left_semi").withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "met")
+        if met.count() > 0.9 * before:
+            break
+    return met
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, all columns; groups are components of the pairs of similarity 0.8 or more.
 
-    ``docs`` is read several times and numbered by its order, so it must read alike each time, as a Parquet read does.
+    The documents are numbered and written once, so every later read sees the same numbers, whatever executors are lost.
     Fingerprints are those of the sets of shingles, as is the similarity: else texts that repeat one line look alike.
     Equal texts are one candidate. Links of the fingerprint index, verified by exact similarity, join most of each group.
-    What they miss is found exactly: similar sets share one of their leading shingles, so candidates meet in the bucket of
-    each leading shingle. In rounds, members of a bucket lead, those with the most company first, and all members that
+    What they miss is found exactly: similar sets share some of their leading shingles, so candidates meet in the bucket of
+    each leading shingle, but for sets that share too few of theirs with all others together. In rounds, members of a bucket lead, those with the most company first, and all members that
     aren't joined to a lead yet are held against it, unless sizes and positions rule the similarity out. Components join
     what is similar; a bucket whose members are all joined is done, and every other one ends with all its pairs held.
     """
     ship(spark)
     number = spare(docs, "_row")
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    numbered = staged(spark, docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = numbered.select(F.col(number).alias("row"), "doc_id", text.alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
     common = spark.sparkContext.broadcast(common_shingles(keyed))
@@ -313,8 +341,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     close = staged(spark, same.union(links(spark, nodes, RADIUS).select(F.col("u").alias("id"), F.col("v").alias("other"))), "close")
 
     own = Window.partitionBy("s")
-    met = marked.join(few, "row", "left_anti").select(F.col("row").alias("id"), "n", F.posexplode("first").alias("at", "s"))
-    met = staged(spark, met.withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "met")
+    first = marked.join(few, "row", "left_anti").select(F.col("row").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "s"))
+    met = met_by_others(spark, first)
     company = met.groupBy("id").agg((F.sum(F.log("m")) / F.first("n")).alias("company"))
     buckets = staged(spark, met.drop("m").join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).drop("company"), "buckets")
 

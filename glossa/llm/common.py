@@ -23,7 +23,17 @@ def staged(spark: SparkSession, df: DataFrame, name: str, compression: str = "zs
     """Write ``df`` as Parquet to the shared folder and read it back: later stages survive lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged = path
+    return back
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove the folders of staged tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_staged", None):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

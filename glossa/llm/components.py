@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _hook(links: DataFrame, larger: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
     links = staged(spark, links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     state = None
     for _ in range(rounds):
-        links = staged(spark, _hook(_hook(links, True), False), "links")
+        before, links = links, staged(spark, _hook(_hook(links, True), False), "links")
+        discard(spark, before)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return links.select("u", F.col("v").alias("root"))

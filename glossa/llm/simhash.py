@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import bounded_rows, clip_columns, picked, slices, spare, staged, table
+from .common import bounded_rows, clip_columns, discard, picked, slices, spare, staged, table
 from .components import components
 
 RADIUS = 2
@@ -283,24 +283,25 @@ def leading(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return h[np.lexsort((h, level))[:long]]
 
 
-def least_shared(n: Column) -> Column:
-    """So many of the leading shingles of a set of n it shares with any set of similarity 0.8, whose size is 4/5 n at least."""
-    return F.greatest(F.lit(1), F.ceil((PREFIX - 0.2) * 0.8 * n - 1e-6))
+def least_shared(n: Column, prefix: float) -> Column:
+    """Of the first ``prefix`` of its n shingles, a set shares so many with any set of similarity 0.8, whose size is 4/5 n at least."""
+    return F.greatest(F.lit(1), F.ceil((prefix - 0.2) * (0.8 if prefix < 1 else 1.0) * n - 1e-6))
 
 
-def met_by_others(spark: SparkSession, first: DataFrame) -> DataFrame:
-    """(id, n, at, s, m) of the leading shingles that m > 1 sets lead with, without sets that share too few of theirs.
+def met_by_others(spark: SparkSession, first: DataFrame, prefix: float) -> DataFrame:
+    """(id, n, s, m) of the shingles that m > 1 sets have in their prefixes, without sets that share too few of theirs.
 
     A set that has no partner is dropped with all its shingles, so that others' shingles are alone in turn, and so on;
-    after PEELS rounds what is left is looked at pair by pair. first: (id, n, at, s).
+    after PEELS rounds what is left is looked at pair by pair. first: (id, n, s).
     """
     own = Window.partitionBy("s")
     met = staged(spark, first.withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "met")
     for _ in range(PEELS):
-        before = met.count()
-        rich = met.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least_shared(F.col("n"))).select("id")
-        met = staged(spark, met.drop("m").join(rich, "id", "left_semi").withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "met")
-        if met.count() > 0.9 * before:
+        size = met.count()
+        rich = met.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least_shared(F.col("n"), prefix)).select("id")
+        before, met = met, staged(spark, met.drop("m").join(rich, "id", "left_semi").withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "met")
+        discard(spark, before)
+        if met.count() > 0.9 * size:
             break
     return met
 
@@ -311,10 +312,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     The documents are numbered and written once, so every later read sees the same numbers, whatever executors are lost.
     Fingerprints are those of the sets of shingles, as is the similarity: else texts that repeat one line look alike.
     Equal texts are one candidate. Links of the fingerprint index, verified by exact similarity, join most of each group.
-    What they miss is found exactly: similar sets share some of their leading shingles, so candidates meet in the bucket of
-    each leading shingle, but for sets that share too few of theirs with all others together. In rounds, members of a bucket lead, those with the most company first, and all members that
-    aren't joined to a lead yet are held against it, unless sizes and positions rule the similarity out. Components join
-    what is similar; a bucket whose members are all joined is done, and every other one ends with all its pairs held.
+    What they miss is found exactly. Similar sets share some of their leading shingles, and four fifths of all: sets that
+    share too few leading ones with all others together have no partner, nor have, of the rest, sets that share too few of
+    all their shingles. Sets that are left meet in the bucket of each of their rarest shingles that could be the first
+    shared one. In rounds, members of a bucket lead, those with the most company first, and all members that aren't joined
+    to a lead yet are held against it, unless sizes and positions rule the similarity out. Components join what is similar;
+    a bucket whose members are all joined is done, and every other one ends with all its pairs held.
+
+    Defined cases: null, empty and blank texts are one group; equal texts go without a comparison; a text of fewer than
+    five words is one shingle; of a group the least doc_id stays (null ids last), of equal ids the first row; texts of any
+    length are compared whole; an empty table stays empty; columns of any name are kept.
     """
     ship(spark)
     number = spare(docs, "_row")
@@ -340,15 +347,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     same = kept.join(nodes.select("fp", F.col("id").alias("other")), "fp").where("row <> other").select(F.col("row").alias("id"), "other")
     close = staged(spark, same.union(links(spark, nodes, RADIUS).select(F.col("u").alias("id"), F.col("v").alias("other"))), "close")
 
-    own = Window.partitionBy("s")
-    first = marked.join(few, "row", "left_anti").select(F.col("row").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "s"))
-    met = met_by_others(spark, first)
-    company = met.groupBy("id").agg((F.sum(F.log("m")) / F.first("n")).alias("company"))
-    buckets = staged(spark, met.drop("m").join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).drop("company"), "buckets")
-
-    wanted = staged(spark, buckets.select("id").union(close.select("id")).union(close.select("other")).distinct(), "wanted")
+    first = marked.join(few, "row", "left_anti").select(F.col("row").alias("id"), "n", F.explode("first").alias("s"))
+    met = met_by_others(spark, first, PREFIX)
+    wanted = staged(spark, met.select("id").union(close.select("id")).union(close.select("other")).distinct(), "wanted")
     narrow = wanted if (small := bounded_rows(wanted, BROADCAST_ROWS)) is None else small
     texts = staged(spark, numbered.select(F.col(number).alias("id"), text.alias("t")).join(narrow, "id"), "texts")
+    discard(spark, marked, met, nodes)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for whole in batches for b in slices(whole, "t", 1 << 18)):
+            sets = [set_hashes(t) for t in b.column("t").to_pylist()]
+            n = np.array([len(h) for h in sets], np.int32)
+            yield pa.record_batch([b.column("id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "s"])
+
+    met = met_by_others(spark, texts.mapInArrow(whole, "id long, n int, s long"), 1.0)
+    # the order of all shingles from here on: those that only one set has, then by the number of sets. A set's first one
+    # that it shares with a similar set is among its first fifth and one more
+    own, alone = Window.partitionBy("s"), F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    placed = met.withColumn("at", alone + F.row_number().over(Window.partitionBy("id").orderBy("m", "s")) - 1).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-6))
+    placed = staged(spark, placed.withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "placed")
+    company = placed.groupBy("id").agg((F.sum(F.log("m")) / F.first("n")).alias("company"))
+    buckets = staged(spark, placed.drop("m").join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).drop("company"), "buckets")
+    discard(spark, met, placed)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for whole in batches for b in slices(whole, "a")):
@@ -365,10 +385,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return staged(spark, labels.join(roots, "c", "left").select("id", F.coalesce("root", "c").alias("c")), "labels")
 
     labels = joined(wanted.withColumn("c", F.col("id")), close)
-    low, high = 1, 2
+    low, high, open_ = 1, 2, buckets
     while True:
-        open_ = buckets.join(labels, "id").withColumn("mixed", F.min("c").over(own) < F.max("c").over(own)).where("mixed").drop("mixed")
-        open_ = staged(spark, open_, "open")
+        # a bucket that is done stays done, as components only grow
+        before, mixed = open_, open_.drop("c").join(labels, "id").withColumn("mixed", F.min("c").over(own) < F.max("c").over(own)).where("mixed").drop("mixed")
+        open_ = staged(spark, mixed, "open")
+        discard(spark, before)
         if not open_.where(F.col("k") > low).limit(1).count():
             break
         leads = open_.where((F.col("k") >= low) & (F.col("k") < high)).select("s", *(F.col(x).alias(f"lead_{x}") for x in ("id", "n", "at", "k", "c")))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, crc32_of_id, slices, staged, table
+from .common import Lookup, clip_columns, crc32_of_id, slices, staged, table
 
 DEPTH = 5
 HOT_GRAMS_LOG2 = 20
@@ -45,7 +45,6 @@ CUT = 4
 #: A task holds about so many n-grams at once, or those of one context of CUT bytes (2^16 at most).
 PORTION = 1 << 17
 LOG_HALF = math.log(0.5)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOADED: dict = {}
 
 
@@ -161,38 +160,6 @@ def log10_of(keys: np.ndarray, levels: dict[int, Level], base: Base) -> np.ndarr
     return out
 
 
-class Lookup:
-    """Values by 64-bit key: open addressing with linear probes, built and asked in bulk."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, np.nan, values.dtype)
-        at, left = self._at(keys), np.arange(len(keys))
-        while len(left):
-            free = np.isnan(self.values[at])
-            who, first = np.unique(at[free], return_index=True)
-            chosen = left[free][first]
-            self.keys[who], self.values[who] = keys[chosen], values[chosen]
-            rest = self.keys[at] != keys[left]
-            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The values; NaN where there is none."""
-        at = self._at(keys)
-        out = self.values[at]
-        left = np.nonzero((self.keys[at] != keys) & ~np.isnan(out))[0]
-        at = at[left]
-        while len(left):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            out[left] = self.values[at]
-            on = (self.keys[at] != keys[left]) & ~np.isnan(out[left])
-            left, at = left[on], at[on]
-        return out
-
-
 def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of normal texts, distinct, and how many each has."""
     n = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)

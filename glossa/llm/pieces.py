@@ -34,12 +34,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import clip_columns, slices, spare, staged, table
+from .common import Lookup, clip_columns, discard, slices, spare, staged, table
 
 MARK = "▁"
 #: Bytes of units that travel to the tasks, with UNIT_BYTES more for each unit.
@@ -48,7 +49,7 @@ UNIT_BYTES = 24
 #: Text bytes that are encoded together.
 SLICE_BYTES = 2 << 20
 #: Distinct units that a task counts before it hands them on.
-COUNTED_UNITS = 200_000
+COUNTED_UNITS = 800_000
 #: Distinct units that one task folds.
 UNITS_A_TASK = 20_000
 LONG = 20_000
@@ -188,20 +189,27 @@ class Encoder:
     def __init__(self, model: Pieces, units: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
         self.model, self.units, self.ids = model, units, ids
         self.start, self.count = ends[:-1], np.diff(ends)
+        self.places = Lookup(hashed(units), np.arange(len(units), dtype=np.float64))
+
+    def hot(self, units: pa.Array) -> np.ndarray:
+        """Where each of the units stands among the hot ones, or -1. A hash finds the place, the bytes decide."""
+        at = self.places.get(hashed(units)) if len(self.units) else np.full(len(units), np.nan)
+        maybe = np.nonzero(~np.isnan(at))[0]
+        out = np.full(len(units), -1, np.int64)
+        same = pc.equal(units.take(pa.array(maybe)), self.units.take(pa.array(at[maybe].astype(np.int64)))).to_numpy(zero_copy_only=False).astype(bool)
+        out[maybe[same]] = at[maybe[same]].astype(np.int64)
+        return out
 
     def missing(self, units: pa.Array) -> np.ndarray:
         """Numbers of the units that aren't hot and have to be asked for."""
-        gone = pc.is_null(pc.index_in(units, value_set=self.units)).to_numpy(zero_copy_only=False)
-        return np.nonzero(gone & ~beyond(units))[0]
+        return np.nonzero((self.hot(units) < 0) & ~beyond(units))[0]
 
     def encode(self, texts: list[bytes], answers: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
         units, n = cut_units(self.model, texts)
         distinct = units.dictionary
-        at = pc.index_in(distinct, value_set=self.units)
-        hot = pc.is_valid(at).to_numpy(zero_copy_only=False)
-        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
-        rest = np.nonzero(~hot)[0]
+        at = self.hot(distinct)
+        hot, rest = np.nonzero(at >= 0)[0], np.nonzero(at < 0)[0]
         others = [answers[u] if u in answers else self.model.encode_unit(u.decode().replace(" ", MARK)) if len(u) > LONG else None for u in distinct.take(pa.array(rest)).to_pylist()]
         if any(x is None for x in others):
             raise RuntimeError("a unit has no answer")
@@ -218,6 +226,10 @@ class Encoder:
         return ids, np.diff(after[np.concatenate([[0], np.cumsum(n)])])
 
 
+def hashed(units: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(u) for u in units.to_pylist()], np.uint64)
+
+
 def beyond(units: pa.Array) -> np.ndarray:
     """Which units are too long for the lattice."""
     return np.greater(pc.binary_length(units).to_numpy(zero_copy_only=False), LONG)
@@ -308,22 +320,22 @@ def encode_units(spark: SparkSession, units: DataFrame, path: str) -> DataFrame:
     return solved.select("unit", "n", F.expr(ids).alias("ids"))
 
 
-def folded(spark: SparkSession, coded: DataFrame) -> DataFrame:
-    """The encoded units, written. A task's units are few enough for a hash table, so it needn't fall back on sorting the edges."""
+def folded(spark: SparkSession, coded: DataFrame, name: str) -> DataFrame:
+    """What the fold gives, written. A task's units are few enough for a hash table, so it needn't fall back on sorting the edges."""
     fallback = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(fallback)
     spark.conf.set(fallback, str(2 * UNITS_A_TASK))
     try:
-        return staged(spark, coded, "coded")
+        return staged(spark, coded, name)
     finally:
         spark.conf.set(fallback, before)
 
 
-def hot_from(coded: DataFrame, most: int) -> int:
+def hot_from(units: DataFrame, most: int) -> int:
     """The least count such that all units of that count or more take at most ``most`` bytes, from a histogram of counts."""
     size = F.length(F.bin("n")) * 8 + F.call_function("shiftright", F.col("n") * 8, F.length(F.bin("n")) - 1) % 8  # eight steps for each doubling
     held, least = 0, 1 << 62
-    for r in coded.groupBy(size.alias("k")).agg(F.sum(F.octet_length("unit") + F.lit(UNIT_BYTES)).alias("b"), F.min("n").alias("least")).orderBy(F.desc("least")).collect():
+    for r in units.groupBy(size.alias("k")).agg(F.sum(F.octet_length("unit") + F.lit(UNIT_BYTES)).alias("b"), F.min("n").alias("least")).orderBy(F.desc("least")).collect():
         if held + r.b > most:
             break
         held, least = held + r.b, r.least
@@ -353,10 +365,12 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
     ship(spark)
     path = path or model_path()
     units = staged(spark, count_units(docs, path, text), "units")
-    n = units.count()
-    coded = folded(spark, encode_units(spark, units.repartition(max(1, -(-n // UNITS_A_TASK)), "unit"), path))
-    least = hot_from(coded, hot_bytes)
-    shared = spark.sparkContext.broadcast(packed(coded.where(F.col("n") >= least)))
+    least = hot_from(units, hot_bytes)
+    tasks = lambda df: max(1, -(-df.count() // UNITS_A_TASK))
+    known, unknown = units.where(F.col("n") >= least), units.where(F.col("n") < least)
+    hot = folded(spark, encode_units(spark, known.repartition(tasks(known), "unit"), path), "hot")
+    shared = spark.sparkContext.broadcast(packed(hot))
+    discard(spark, hot)
 
     def encoder() -> Encoder:
         if _LOADED.get("for") is not shared.value:
@@ -371,7 +385,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
         for whole in batches:
-            for b in slices(whole, own, SLICE_BYTES // 4 if rare else SLICE_BYTES):
+            for b in slices(whole, own, SLICE_BYTES // 2 if rare else SLICE_BYTES):
                 texts = b.column(own).to_pylist()
                 if rare:
                     texts = [t and zstandard.decompress(t) for t in texts]
@@ -387,7 +401,6 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
     b_type = {text: pa.binary() if docs.schema[text].dataType.typeName() == "binary" else pa.string()}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` array<int>", *([f"`{back}` string"] if back else [])])
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("binary").alias(own))
-    unknown = coded.where(F.col("n") < least)
     rare = not unknown.isEmpty()
     if not rare:
         return rows.mapInArrow(finish, schema)
@@ -407,14 +420,19 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
                 yield pa.record_batch([b.column(key).take(pa.array(who)), asked], names=["key", "unit"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeezer = zstandard.ZstdCompressor(level=3)
+        squeezer = zstandard.ZstdCompressor(level=6)
         for whole in batches:
             for b in slices(whole, own, SLICE_BYTES):
                 small = pa.array([t and squeezer.compress(t) for t in b.column(own).to_pylist()], pa.binary())
                 yield b.set_column(b.schema.names.index(own), own, small)
 
-    asked = rows.select(own, key).mapInArrow(ask, "key long, unit string")
-    answers = asked.join(unknown.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias(found)).withColumnRenamed("key", key)
+    # both sides are dealt by unit in the same way, so the fold's result meets the asking rows where it is
+    n = tasks(unknown)
+    asked = rows.select(own, key).mapInArrow(ask, "key long, unit string").repartition(n, "unit")
+    coded = encode_units(spark, unknown.repartition(n, "unit"), path).select("unit", "ids")
+    answers = folded(spark, asked.join(coded, "unit").select("key", "unit", "ids"), "answers")
+    discard(spark, units)
+    answers = answers.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias(found)).withColumnRenamed("key", key)
     return rows.mapInArrow(squeeze, rows.schema).join(answers, key, "left").mapInArrow(finish, schema)
 
 

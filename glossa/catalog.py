@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import losses
 from .functions import text as T
 from .operators import lexicon, linear, selection, sequence, stats, subspace, templates, vocab
@@ -175,10 +176,10 @@ def vocab_union(spark, sf_dir):
     return a.union(read(spark, sf_dir, "nation").select(F.lower("n_name").alias("term"))).distinct()
 
 
-@query(f"WITH {FEATURES} SELECT doc_id, fid::BIGINT AS fid, val FROM feats WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, fid::BIGINT AS fid, val FROM feats WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+@query(f"WITH {FEATURES} SELECT doc_id, fid::BIGINT AS fid, val, l.doc_id IS NOT NULL AS known FROM feats f LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)".replace("SELECT doc_id, fid::BIGINT", "SELECT f.doc_id, fid::BIGINT"))
 def dataset_merge(spark, sf_dir):
     f, known = raw_features(spark, sf_dir), read(spark, sf_dir, "labels").select("doc_id")
-    return vocab.merge(f.join(known, "doc_id", "left_semi"), f.join(known, "doc_id", "left_anti"))
+    return vocab.merge(f.join(known, "doc_id", "left_semi").withColumn("known", F.lit(True)), f.join(known, "doc_id", "left_anti").withColumn("known", F.lit(False)))
 
 
 # ---------------------------------------------------------------- statistics and selection
@@ -229,9 +230,10 @@ def freq_select(spark, sf_dir):
     return selection.frequency_selector(raw_features(spark, sf_dir), 10)
 
 
-@query()
+@query(f"WITH {FEATURES}, o AS (SELECT DISTINCT fid, md5(fid::VARCHAR || ':7:0') AS key FROM feats) SELECT fid::BIGINT AS fid, row_number() OVER (ORDER BY key, fid) - 1 AS place FROM o")
 def random_select(spark, sf_dir):
-    return selection.random_selector(raw_features(spark, sf_dir), 7)
+    chosen = selection.random_selector(raw_features(spark, sf_dir), 7)
+    return vocab.dense_ids(chosen.withColumn("key", vocab.shuffled(7, key="fid")), "key", "place").drop("key")
 
 
 @query(f"WITH {FEATURES} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats WHERE fid IN (SELECT fid FROM voc WHERE starts_with(term, 'th')) GROUP BY fid HAVING count(*) >= 3")
@@ -240,13 +242,12 @@ def preselection(spark, sf_dir):
     return selection.frequency_selector(raw_features(spark, sf_dir), 3, pre)
 
 
-@query()
+@query(f"WITH {QUALITY} SELECT doc_id, y::INTEGER AS y, md5(doc_id::VARCHAR || ':13:0') AS place FROM ex")
 def seeded_shuffle(spark, sf_dir):
-    ex = quality(spark, sf_dir)
-    return ex.select("doc_id", "y", vocab.shuffled(ex, 13).alias("place"))
+    return quality(spark, sf_dir).select("doc_id", "y", vocab.shuffled(13).alias("place"))
 
 
-@query()
+@query(f"WITH {QUALITY} SELECT doc_id, y::INTEGER AS y FROM ex ORDER BY md5(doc_id::VARCHAR || ':0:0'), doc_id::VARCHAR LIMIT (SELECT greatest(1, count(*) // 10) FROM ex)")
 def sample_probe(spark, sf_dir):
     return selection.sample_probe(quality(spark, sf_dir))
 
@@ -254,7 +255,7 @@ def sample_probe(spark, sf_dir):
 @query("SELECT doc_id, line_no::BIGINT AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) WHERE line_no < 2")
 def line_limit(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where("line_no < 2").withColumn("line_no", F.col("line_no").cast("long"))
+    return readers.first_lines(lines, 2).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 # ---------------------------------------------------------------- string functions
@@ -346,9 +347,8 @@ def bow_window(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, n AS (SELECT *, lag(word, 1, '<s>') OVER s AS pre FROM tokens {WIN}) SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word FROM n WHERE ({NUM('pre')}) IN ('the.', 'of.', 'and.', 'a.') AND {TITLE(f'({NUM(chr(119) + chr(111) + chr(114) + chr(100))})')}")
 def trigger_words(spark, sf_dir):
-    t = templates.with_neighbours(tokens(spark, sf_dir))
-    hit = T.numify(templates.at("word", "pre")).isin("the.", "of.", "and.", "a.") & T.istitle(T.numify(F.col("word")))
-    return t.where(hit).select("doc_id", "sent_id", "tok_idx", "word")
+    t = templates.with_neighbours(tokens(spark, sf_dir), kind="num")
+    return t.where(templates.trigger("pre", words=("the.", "of.", "and.", "a."))).select("doc_id", "sent_id", "tok_idx", "word")
 
 
 def gaz_sql(code: str) -> str:
@@ -403,15 +403,9 @@ rows AS (SELECT unnest(['uword_cur', 'uword_pre', 'uword_2pre', 'uword_post', 'u
 fn AS (SELECT ftype || '=' || fval AS fname, count(*) AS n FROM rows GROUP BY ALL HAVING count(*) >= 5), fvoc AS (SELECT fname, n, row_number() OVER (ORDER BY encode(fname)) - 1 AS fid FROM fn)"""
 
 
-def word_features(spark, sf_dir):
-    """The word templates of the subspace set, counted."""
-    rows = sequence.named(templates.features(tokens(spark, sf_dir), "rr09_aso")).where(F.col("ftype").startswith("uword") | F.col("ftype").startswith("bword"))
-    return rows
-
-
 def word_vocab(spark, sf_dir):
-    n = word_features(spark, sf_dir).groupBy("fname").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    return vocab.dense_ids(n, "fname", "fid")
+    """The word templates of the subspace set that occur five times or more."""
+    return sequence.feature_vocabulary([(tokens(spark, sf_dir), 5)], "rr09_aso", wanted=lambda n: n.startswith(("uword_", "bword_")), counts=True)
 
 
 @query(f"WITH {FNAMES} SELECT fname, n, fid::BIGINT AS fid FROM fvoc")
@@ -421,15 +415,16 @@ def feature_vocab(spark, sf_dir):
 
 def _template_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = tokens(spark, sf_dir).withColumn("pos", F.upper(T.suffix(F.col("word"), 2))).withColumn("chunk", F.when(F.col("tag") == "O", "O").otherwise("I-NP"))
+        t = tokens(spark, sf_dir).withColumn("pos", T.suffix(F.col("word"), 2)).withColumn("chunk", F.when(F.col("tag") == "O", "O").otherwise("I-NP"))
         lex = {"brown": distinct_words(spark, sf_dir).where(F.length("word") > 3).select(F.col("word").alias("token"), F.translate(F.md5("word"), "0123456789abcdef", "0101010101010101").alias("bits")), "places": lexicon.gazetteer(parts(spark, sf_dir), "bilou"), "orgs": lexicon.gazetteer(parts(spark, sf_dir), "bilou"), "firstnames": lexicon.simple_gazetteer(read(spark, sf_dir, "nation").select(F.initcap(F.lower("n_name")).alias("entry"))), "lastnames": lexicon.simple_gazetteer(read(spark, sf_dir, "region").select(F.initcap(F.lower("r_name")).alias("entry")))}
         return templates.features(t, name, lex).groupBy("ftype").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("fval")).alias("chars"))
 
     return run
 
 
-for _name in templates.SETS:
+for _name in tuple(templates.SETS):
     QUERIES[f"templates_{_name}"] = _template_query(_name)
+    ORACLES[f"templates_{_name}"] = oracles.templates_sql(_name, TOKENS, gaz_sql(BILOU), BITS)
 
 
 @query(f"WITH {FNAMES} SELECT list_extract(string_split(fname, '='), 1) AS ftype, min(fid)::BIGINT AS f_min, max(fid)::BIGINT AS f_max, count(*) AS n, max(fid) - min(fid) + 1 = count(*) AS contiguous FROM fvoc GROUP BY 1")
@@ -458,15 +453,6 @@ def pos_prefix_filter(spark, sf_dir):
     return selection.pos_filter(t, ["TH", "E"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def feature_examples(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    tags = ["B-CAP", "I-CAP", "O"]
-    voc = sequence.feature_vocabulary([(t, 10)], "zj03", None, tags, True)
-    rows, labels = sequence.examples(t, "zj03", voc, tags, None, True)
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("val"), 6).alias("total")).join(labels.groupBy("doc_id").agg(F.sum("y").alias("y")), "doc_id")
-
-
 # ---------------------------------------------------------------- across languages
 
 PAIRS = f"{SIDES}, rs AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM s), rt AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM t), pairs AS (SELECT rs.term AS ws, upper(rt.term) || ' x' AS wt FROM rs JOIN rt USING (r) WHERE regexp_matches(rt.term, '^[a-z]+$'))"
@@ -555,6 +541,23 @@ def history_counts(spark, sf_dir):
     return sequence.extended_history(tokens(spark, sf_dir), ["B-CAP", "I-CAP"])
 
 
+_EXAMPLES = f"""WITH {EPH}, bare AS (SELECT *, NULL::VARCHAR AS pos, NULL::VARCHAR AS chunk FROM tokens), {oracles.window_sql("zj03", "bare")}, {oracles.rows_sql("zj03")},
+tagged AS (SELECT doc_id, word, lag(tag, 1, '<s>') OVER s AS one, lag(tag, 2, '<s>') OVER s AS two FROM tokens {WIN}), past AS (SELECT doc_id, unnest(['pre_tag', 'pre_pre_tag', 'pre_tag_w', 'tag_bigram']) AS ftype, unnest([one, two, one || '/' || word, two || '/' || one]) AS fval FROM tagged),
+every AS (SELECT doc_id, ftype || '=' || fval AS fname FROM (SELECT * FROM frows UNION ALL SELECT * FROM past)), names AS (SELECT fname FROM every GROUP BY fname HAVING count(*) >= 10 UNION SELECT unnest(['eph=B-CAP', 'eph=I-CAP', 'eph=O'])),
+hist AS (SELECT doc_id, unnest(['eph=B-CAP', 'eph=I-CAP']) AS fname, unnest([b, i])::DOUBLE AS val FROM eph),
+rows AS (SELECT doc_id, fname, 1.0::DOUBLE AS val FROM every UNION ALL SELECT * FROM hist WHERE val > 0), r AS (SELECT doc_id, count(*) AS n, round(sum(val), 6) AS total FROM rows JOIN names USING (fname) GROUP BY doc_id),
+y AS (SELECT doc_id, sum(CASE tag WHEN 'B-CAP' THEN 0 WHEN 'I-CAP' THEN 1 ELSE 2 END)::BIGINT AS y FROM tokens GROUP BY doc_id) SELECT * FROM r JOIN y USING (doc_id)"""
+
+
+@query(_EXAMPLES)
+def feature_examples(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    tags = ["B-CAP", "I-CAP", "O"]
+    voc = sequence.feature_vocabulary([(t, 10)], "zj03", None, tags, True)
+    rows, labels = sequence.examples(t, "zj03", voc, tags, None, True)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("val"), 6).alias("total")).join(labels.groupBy("doc_id").agg(F.sum("y").alias("y")), "doc_id")
+
+
 @query(f"WITH {EPH} SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word, b, i FROM eph")
 def eph_counts(spark, sf_dir):
     return history_counts(spark, sf_dir).select("doc_id", "sent_id", "tok_idx", "word", F.col("eph_B-CAP").alias("b"), F.col("eph_I-CAP").alias("i"))
@@ -653,11 +656,24 @@ def top_weights(spark, sf_dir):
     return selection.top_weights(weights(spark, sf_dir).withColumn("class_id", F.col("fid") % 3), 10).select("class_id", "fid", F.round("w", 6).alias("w"), "rank")
 
 
-@query()
+@query("""WITH d AS (SELECT unnest(range(max(len(embedding))))::INTEGER AS i FROM embeddings), v AS (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL)
+SELECT a.i AS i, b.i AS j, (a.i = b.i)::INT::DOUBLE AS left_vectors, (a.i = b.i)::INT::DOUBLE AS right_vectors, round(sqrt((SELECT sum(x * x) FROM v)), 4) AS energy FROM d a CROSS JOIN d b""")
 def truncated_svd(spark, sf_dir):
-    w = subspace.to_sparse(vectors(spark, sf_dir)).select(F.col("doc_id").alias("fid"), F.col("fid").alias("task_id"), F.col("val").alias("w"))
-    t, _ = subspace.truncated_svd(spark, w, 5)
-    return t.select("fid", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))
+    """What makes a decomposition one: left vectors u_i are orthonormal, so are W^T u_i / s_i, and all s_i^2 add up to the energy of W."""
+    w = subspace.to_sparse(vectors(spark, sf_dir)).select(F.col("doc_id").alias("fid"), F.col("fid").alias("task_id"), F.col("val").alias("w")).persist()
+    t, spectra = subspace.truncated_svd(spark, w, w.select("task_id").distinct().count())
+    u = t.select("fid", F.posexplode("vec").alias("i", "u")).persist()
+    s = F.array(*[F.lit(x) for x in spectra[0]])
+    if spectra[0] != sorted(spectra[0], reverse=True):
+        raise ValueError("the spectrum is not in order")
+    right = w.join(u, "fid").groupBy("task_id", "i").agg((F.sum(F.col("w") * F.col("u")) / F.element_at(s, F.col("i") + 1)).alias("u"))
+
+    def products(rows: DataFrame, key: str, name: str) -> DataFrame:
+        other = rows.select(key, F.col("i").alias("j"), F.col("u").alias("o"))
+        return rows.join(other, key).groupBy("i", "j").agg((F.round(F.sum(F.col("u") * F.col("o")), 4) + 0.0).alias(name))
+
+    out = products(u, "fid", "left_vectors").join(products(right, "task_id", "right_vectors"), ["i", "j"])
+    return out.withColumn("energy", F.round(F.lit(sum(x * x for x in spectra[0]) ** 0.5), 4))
 
 
 # ---------------------------------------------------------------- learners
@@ -674,66 +690,63 @@ def loss_table(spark, sf_dir):
     return g.select("p", "y", *((F.round(f(p, y), 6) + 0.0).alias(n) for name, loss in losses.LOSSES.items() for n, f in ((name, loss.loss), (f"{name}_pull", loss.pull))))
 
 
-def _rows(spark, sf_dir, lang: str = "en", mindf: int = 20) -> tuple[linear.Rows, DataFrame]:
-    v = vocab.dense_ids(vocab.document_frequency(bow(spark, sf_dir, lang), mindf).select("term"), "term", "fid").persist()
-    f = vocab.l2_normalize(vocab.vectorize(bow(spark, sf_dir, lang), v)).join(read(spark, sf_dir, "labels").where("toxic is not null").select("doc_id"), "doc_id", "left_semi")
-    return linear.gather(f, v.count()), read(spark, sf_dir, "labels")
+def _vector_rows(spark, sf_dir, scaled: bool = False):
+    """All embeddings as rows in the order of their ids, with their labels."""
+    v = vectors(spark, sf_dir)
+    rows = linear.gather(subspace.to_sparse(stats.standardize(v, stats.column_stats(v)) if scaled else v), int(v.agg(F.max(F.size("vec"))).first()[0]))
+    known = {r.doc_id: int(r.label) for r in v.select("doc_id", "label").collect()}  # as bounded as the rows
+    return rows, np.array([known[i] for i in rows.ids.tolist()])
 
 
-def _learned(learn: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    @functools.wraps(learn)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, labels = _rows(spark, sf_dir)
-        toxic = {r.doc_id: r.toxic for r in labels.select("doc_id", "toxic").collect()}
-        import numpy as np
+def _weights(spark, w, b=None):
+    cells = [(int(j), float(x)) for j, x in enumerate(w)] + ([] if b is None else [(-1, float(b))])
+    return spark.createDataFrame(cells, "fid long, w double").withColumn("w", F.round("w", 6) + 0.0)
 
-        y = np.array([1.0 if toxic[int(i)] else -1.0 for i in rows.ids])
-        score, name = learn(rows, y)
-        return spark.createDataFrame([(name, int(rows.n), float(100 * (score == y).mean()), float(100 * (y == -1).mean()))], "learner string, n long, accuracy double, majority double")
 
-    QUERIES[learn.__name__] = run
-    return run
+def _class_weights(spark, w, b=None):
+    cells = [(int(c), int(j), float(x)) for c, row in enumerate(w) for j, x in enumerate(row)] + [(c, -1, float(x)) for c, x in enumerate(b if b is not None else [])]
+    return spark.createDataFrame(cells, "class_id long, fid long, w double").withColumn("w", F.round("w", 6) + 0.0)
 
 
-@_learned
-def sgd(rows, y):
-    w, b = linear.sgd(rows, y, 1e-4, 20, seed=1, bias=True)
-    return (2 * ((rows.dot(w) + b) > 0) - 1), "sgd"
+@query(oracles.sgd_sql(1e-3, 2))
+def sgd(spark, sf_dir):
+    rows, y = _vector_rows(spark, sf_dir)
+    return _weights(spark, *linear.sgd(rows, np.where(y % 2 == 0, 1.0, -1.0), 1e-3, 2, bias=True))
 
 
-@_learned
-def sgd_elastic(rows, y):
-    w, b = linear.sgd(rows, y, 1e-5, 20, norm="elastic", alpha=0.85, seed=1, bias=True)
-    return (2 * ((rows.dot(w) + b) > 0) - 1), "sgd_elastic"
+@query(oracles.sgd_sql(1e-3, 2, 0.85))
+def sgd_elastic(spark, sf_dir):
+    rows, y = _vector_rows(spark, sf_dir)
+    return _weights(spark, *linear.sgd(rows, np.where(y % 2 == 0, 1.0, -1.0), 1e-3, 2, norm="elastic", alpha=0.85, bias=True))
 
 
-@_learned
-def pegasos(rows, y):
-    w, b = linear.pegasos(rows, y, 1e-3, 20, seed=1, bias=True)
-    return (2 * ((rows.dot(w) + b) > 0) - 1), "pegasos"
+@query(oracles.pegasos_sql(1e-2, 2))
+def pegasos(spark, sf_dir):
+    rows, y = _vector_rows(spark, sf_dir)
+    return _weights(spark, *linear.pegasos(rows, np.where(y % 2 == 0, 1.0, -1.0), 1e-2, 2, bias=True))
 
 
-@_learned
-def averaged_perceptron(rows, y):
-    w = linear.averaged_perceptron(rows, (y > 0).astype(int), 2, 20, seed=1)
-    return (2 * (rows.dot(w[1]) >= rows.dot(w[0])) - 1), "averaged_perceptron"
+@query(oracles.perceptron_sql(10, 2))
+def averaged_perceptron(spark, sf_dir):
+    rows, y = _vector_rows(spark, sf_dir)
+    return _class_weights(spark, linear.averaged_perceptron(rows, y, 10, 2))
 
 
-@_learned
-def maxent(rows, y):
-    w, b = linear.maxent(rows, (y > 0).astype(int), 2, 1e-4, 5)
-    return (2 * (rows.dot(w[1]) + b[1] >= rows.dot(w[0]) + b[0]) - 1), "maxent"
+@query(oracles.maxent_sql(10, 1e-3, 2, 0.1))
+def maxent(spark, sf_dir):
+    rows, y = _vector_rows(spark, sf_dir)
+    return _class_weights(spark, *linear.maxent(rows, y, 10, 1e-3, 2, seed=None, first_rates=(0.1,)))
 
 
-@query()
+@query(oracles.one_vs_all_sql(1e-3, 2))
 def one_vs_all(spark, sf_dir):
+    """Classifiers of one class against all, each with its bias, held against the labels of all rows."""
+    rows, y = _vector_rows(spark, sf_dir, scaled=True)
+    w = linear.one_vs_all(spark, rows, y, sorted(set(y.tolist())), 1e-3, 2, seed=None)
     v = vectors(spark, sf_dir)
-    rows = linear.gather(subspace.to_sparse(stats.standardize(v, stats.column_stats(v))), 64)
-    y = v.orderBy("doc_id").select("label").toPandas()["label"].to_numpy()
-    w = linear.one_vs_all(spark, rows, y, sorted(set(y.tolist())), 1e-3, 5)
-    sparse = subspace.to_sparse(stats.standardize(v, stats.column_stats(v)))
-    pred = subspace.argmax_class(sparse, w.where("fid >= 0"))
-    return sequence.accuracy(pred.join(v.select("doc_id", F.col("label").cast("long").alias("gold")), "doc_id"), "gold", "class_id")
+    pred = subspace.argmax_class(subspace.to_sparse(stats.standardize(v, stats.column_stats(v))), w)
+    gold = v.select("doc_id", F.col("label").cast("long").alias("gold"))
+    return sequence.accuracy(pred.join(gold, "doc_id"), "gold", "class_id").withColumn("accuracy", F.round("accuracy", 6))
 
 
 # ---------------------------------------------------------------- reading, writing, evaluation

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .stats import contingency, mutual_information
-from .vocab import feature_counts, one_vs_rest
+from .vocab import dense_ids, feature_counts, one_vs_rest, shuffled
 
 
 def preselected(ranking: DataFrame, fids: DataFrame | None) -> DataFrame:
@@ -21,7 +21,7 @@ def frequency_selector(features: DataFrame, support: int, preselection: DataFram
 
 def random_selector(features: DataFrame, seed: int = 0, preselection: DataFrame | None = None) -> DataFrame:
     """(fid) in a seeded random order."""
-    return preselected(features.select("fid").distinct(), preselection).orderBy(F.xxhash64("fid", F.lit(seed)), "fid")
+    return preselected(features.select("fid").distinct(), preselection).orderBy(shuffled(seed, key="fid"), "fid")
 
 
 def mi_selector(features: DataFrame, examples: DataFrame, preselection: DataFrame | None = None) -> DataFrame:
@@ -73,11 +73,15 @@ def with_prefix(vocab: DataFrame, prefix: str) -> DataFrame:
     return vocab.where(F.col("fname").startswith(prefix))
 
 
-def auxiliary_tasks(counts: DataFrame, prefixes: list[str], m: int) -> DataFrame:
-    """(prefix, fid, fname, n, rank): the m most frequent features of each prefix; each must have m. counts: (fid, fname, n)."""
+def auxiliary_tasks(counts: DataFrame, prefixes: list[str], m: int, strict: bool = False) -> DataFrame:
+    """(prefix, fid, fname, n, rank): the m most frequent features of each prefix. counts: (fid, fname, n). strict: each prefix must have m."""
     prefix = F.coalesce(*[F.when(F.col("fname").startswith(p), F.lit(p)) for p in prefixes])
     ranked = counts.withColumn("prefix", prefix).where("prefix is not null")
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("prefix").orderBy(F.desc("n"), "fid"))).where(F.col("rank") <= m)
+    if strict:
+        found = {r.prefix: r["count"] for r in ranked.groupBy("prefix").count().collect()}
+        if short := [p for p in prefixes if found.get(p, 0) < m]:
+            raise ValueError(f"fewer than {m} features of {', '.join(short)}")
     return ranked.select("prefix", "fid", "fname", "n", "rank")
 
 
@@ -107,5 +111,6 @@ def top_weights(weights: DataFrame, k: int, group: str = "class_id") -> DataFram
 
 
 def sample_probe(examples: DataFrame, seed: int = 0, share: int = 10, key: str = "doc_id") -> DataFrame:
-    """About one in ``share`` of the examples, by hash."""
-    return examples.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(share)) == 0)
+    """One in ``share`` of the examples, to the row, one at least: the first in a seeded order."""
+    placed = dense_ids(examples.withColumn("_order", F.concat_ws(":", shuffled(seed, key=key), key)), "_order", "_place")
+    return placed.where(F.col("_place") < max(1, examples.count() // share)).drop("_order", "_place")

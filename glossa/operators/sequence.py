@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, deque
+from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .selection import pos_filter
 from .templates import features, history
 from .vocab import dense_ids
 
@@ -39,11 +41,22 @@ def corpus_order(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("_own", own).join(before, "doc_id").withColumn("_events", F.col("_before") + F.col("_own")).drop("_own", "_before")
 
 
-def extended_history(tokens: DataFrame, tags: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """Adds eph_<tag>: how often the word had the tag among the last ``capacity`` entities before the token."""
-    ordered = corpus_order(tokens)
-    w = W.partitionBy("word").orderBy("_events").rangeBetween(-capacity, -1)
-    return ordered.withColumns({f"eph_{t}": F.coalesce(F.sum(F.when(F.col("tag") == t, 1)).over(w), F.lit(0)).cast("long") for t in tags}).drop("_events")
+#: So many entities of the corpus make a range; a frequent word is dealt out by ranges.
+RANGE = 1_000_000
+
+
+def extended_history(tokens: DataFrame, tags: list[str], capacity: int = CAPACITY, range_: int = RANGE) -> DataFrame:
+    """Adds eph_<tag>: how often the word had the tag among the last ``capacity`` entities before the token; 0 for tags of no entity.
+
+    The frame never reaches back further than ``capacity`` entities, so a range of the corpus needs no more of the range
+    before than its last entities; with these repeated, a word is one partition for each range, not one for all.
+    """
+    entity = ~F.col("tag").isin(OUTSIDE, UNKNOWN)
+    ordered = corpus_order(tokens).withColumn("_range", F.floor(F.col("_events") / range_)).withColumn("_again", F.lit(False))
+    again = ordered.where(entity & (F.col("_events") % range_ >= range_ - capacity)).withColumn("_range", F.col("_range") + 1).withColumn("_again", F.lit(True))
+    w = W.partitionBy("word", "_range").orderBy("_events").rangeBetween(-capacity, -1)
+    count = lambda t: F.coalesce(F.sum(F.when((F.col("tag") == t) & entity, 1)).over(w), F.lit(0)).cast("long")
+    return ordered.unionByName(again).withColumns({f"eph_{t}": count(t) for t in tags}).where("not _again").drop("_events", "_range", "_again")
 
 
 def history_distribution(tokens: DataFrame, tags: list[str]) -> DataFrame:
@@ -77,18 +90,25 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fname", F.concat("ftype", F.lit("="), "fval"))
 
 
-def feature_vocabulary(readers: list[tuple[DataFrame, int]], detector: str, lexicons: dict[str, DataFrame] | None = None, tags: list[str] | None = None, use_eph: bool = False) -> DataFrame:
-    """(fname, fid): the features with at least the reader's least count, in any reader; ids by name."""
+def feature_vocabulary(readers: list[tuple[DataFrame, int]], detector: str, lexicons: dict[str, DataFrame] | None = None, tags: list[str] | None = None, use_eph: bool = False, pos_prefixes: tuple[str, ...] = (), wanted: Callable[[str], bool] | None = None, counts: bool = False) -> DataFrame:
+    """(fname, fid): the features with at least the reader's least count, in any reader; ids by name.
+
+    pos_prefixes: only tokens whose part of speech starts so are counted (their neighbours are seen all the same). wanted:
+    only features of these names. counts: also n, over the readers in which the feature is frequent enough.
+    """
     names = None
     for tokens, least in readers:
-        rows = features(tokens, detector, lexicons)
+        rows = features(tokens, detector, lexicons, wanted=wanted)
         if "tag" in tokens.columns and tags:
             rows = rows.unionByName(history(tokens, detector))
-        part = named(rows).groupBy("fname").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("fname")
+        if pos_prefixes:
+            rows = rows.join(pos_filter(tokens, list(pos_prefixes)).select("doc_id", "sent_id", "tok_idx"), ["doc_id", "sent_id", "tok_idx"], "left_semi")
+        part = named(rows).groupBy("fname").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         names = part if names is None else names.union(part)
     if use_eph and tags:
-        names = names.union(readers[0][0].sparkSession.createDataFrame([(f"eph={t}",) for t in tags], "fname string"))
-    return dense_ids(names.distinct(), "fname", "fid")
+        names = names.union(readers[0][0].sparkSession.createDataFrame([(f"eph={t}", 0) for t in tags], "fname string, n long"))
+    voc = dense_ids(names.groupBy("fname").agg(F.sum("n").alias("n")), "fname", "fid")
+    return voc if counts else voc.drop("n")
 
 
 def examples(tokens: DataFrame, detector: str, vocab: DataFrame, tags: list[str], lexicons: dict[str, DataFrame] | None = None, use_eph: bool = False, gold: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -20,8 +20,9 @@ def autolabel(examples: DataFrame, features: DataFrame, tasks: DataFrame) -> Dat
 
 
 def masked(features: DataFrame, masks: DataFrame) -> DataFrame:
-    """The features without those of the mask (fid)."""
-    return features.join(masks.select("fid"), "fid", "left_anti")
+    """The features without those of the mask: (fid) for all rows, or (task_id, fid) for rows that belong to a task."""
+    keys = ["task_id", "fid"] if "task_id" in features.columns and "task_id" in masks.columns else ["fid"]
+    return features.join(masks.select(*keys), keys, "left_anti")
 
 
 def sparse_dot(features: DataFrame, weights: DataFrame, bias: float = 0.0) -> DataFrame:
@@ -30,8 +31,12 @@ def sparse_dot(features: DataFrame, weights: DataFrame, bias: float = 0.0) -> Da
 
 
 def argmax_class(features: DataFrame, weights: DataFrame) -> DataFrame:
-    """(doc_id, class_id): the class of the greatest score; of equals the greater id. weights: (class_id, fid, w)."""
-    scores = features.join(weights, "fid").groupBy("doc_id", "class_id").agg(F.round(F.sum(F.col("w") * F.col("val")), 9).alias("s"))
+    """(doc_id, class_id): the class of the greatest score; of equals the greater id. weights: (class_id, fid, w); fid -1 holds a bias."""
+    part = features.join(weights.where("fid >= 0"), "fid").groupBy("doc_id", "class_id").agg(F.sum(F.col("w") * F.col("val")).alias("s"))
+    # a few classes: each row starts from their biases, so a class without a feature of the row takes part too
+    start = F.array(*[F.struct(F.lit(r.class_id).alias("class_id"), F.lit(float(r.b)).alias("b")) for r in weights.groupBy("class_id").agg(F.coalesce(F.sum(F.when(F.col("fid") < 0, F.col("w"))), F.lit(0.0)).alias("b")).orderBy("class_id").collect()])
+    every = features.select("doc_id").distinct().select("doc_id", F.inline(start))
+    scores = every.join(part, ["doc_id", "class_id"], "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)) + F.col("b"), 9))
     return scores.groupBy("doc_id").agg(F.max(F.struct("s", "class_id")).alias("b")).select("doc_id", "b.class_id")
 
 

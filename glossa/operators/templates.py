@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lexicon import brown_features, gazetteer_features, member
+from .lexicon import BROWN_PREFIXES, member, small
 
 WINDOW = {"cur": 0, "pre": -1, "2pre": -2, "post": 1, "2post": 2}
 NEAR = ("cur", "pre", "post")
@@ -38,13 +38,18 @@ def _derive(kind: str) -> dict[str, Callable[[Column], Column]]:
     return out | {f"suffix{n}": of(lambda w, n=n: T.suffix(w, n)) for n in (1, 2, 3, 4)} | {f"prefix{n}": of(lambda w, n=n: T.prefix(w, n)) for n in (1, 2, 3, 4)}
 
 
-def with_neighbours(tokens: DataFrame, fields: tuple[str, ...] = ("word",), keys: tuple[str, ...] = ("doc_id", "sent_id"), kind: str | None = None) -> DataFrame:
-    """Adds a struct @position for each of the five positions: the fields, and what is derived of the word by ``kind``."""
+def with_neighbours(tokens: DataFrame, fields: tuple[str, ...] = ("word",), keys: tuple[str, ...] = ("doc_id", "sent_id"), kind: str | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a struct @position for each of the five positions: the fields, what is derived of the word by ``kind``, and columns that are null beyond the sentence."""
     derived = {} if kind is None else _derive(kind)
-    pack = lambda get: F.struct(*[get(f).alias(f) for f in fields], *[f(get("word")).alias(n) for n, f in derived.items()])
-    packed = tokens.withColumn("@cur", pack(F.col))
+    types = {c: tokens.schema[c].dataType for c in beside}
+
+    def pack(get: Callable[[str], Column], absent: bool) -> Column:
+        more = [(F.lit(None).cast(t) if absent else F.col(c)).alias(c) for c, t in types.items()]
+        return F.struct(*[get(f).alias(f) for f in fields], *[f(get("word")).alias(n) for n, f in derived.items()], *more)
+
+    packed = tokens.withColumn("@cur", pack(F.col, False))
     w = W.partitionBy(*keys).orderBy("tok_idx")
-    edge = {-1: pack(lambda f: F.lit(T.START)), 1: pack(lambda f: F.lit(T.END))}
+    edge = {-1: pack(lambda f: F.lit(T.START), True), 1: pack(lambda f: F.lit(T.END), True)}
     shifted = {f"@{p}": F.lag("@cur", -k).over(w) if k < 0 else F.lead("@cur", k).over(w) for p, k in WINDOW.items() if k}
     out = packed.withColumns(shifted)
     return out.withColumns({f"@{p}": F.coalesce(F.col(f"@{p}"), edge[-1 if k < 0 else 1]) for p, k in WINDOW.items() if k})
@@ -128,7 +133,7 @@ def az05() -> list[Template]:
 
 
 def best(lang: str) -> list[Template]:
-    """The sets without parts of speech; the gazetteer flags are columns firstname@p and, in English, lastname@p."""
+    """The sets without parts of speech; the gazetteer flags are fields firstname and, in English, lastname."""
     out = _words("word_unigram_", "word_bigram_")
     shapes = {"islower": "lower", "istitle": "title", "isdigit": "digit", "isupper": "upper", "isalnum": "alnum", "mixedcase": "mixed", "ccwp": "ccwp", "abstract": "abstract", "ispunctuation": "punct", "tcsh": "tcsh"}
     for p in WINDOW:
@@ -136,13 +141,13 @@ def best(lang: str) -> list[Template]:
     out += _affixes("prefix_{n}_{p}", "suffix_{n}_{p}")
     out += [(f"trg_name_{p}", trigger(p, lang)) for p in ("pre", "2pre")]
     for flag in ("firstname", "lastname") if lang == "en" else ("firstname",):
-        out += [(f"gaz_{flag}_{p}", F.col(f"`{flag}@{p}`")) for p in NEAR]
+        out += [(f"gaz_{flag}_{p}", at(flag, p)) for p in NEAR]
     return out
 
 
-def trigger(position: str, lang: str = "en") -> Column:
-    """A title before a word in title case."""
-    return _num(position).isin(*TRIGGERS[lang]) & at("title", "cur")
+def trigger(position: str, lang: str = "en", words: tuple[str, ...] | None = None) -> Column:
+    """A title, or one of the given words, before a word in title case."""
+    return _num(position).isin(*(TRIGGERS[lang] if words is None else words)) & at("title", "cur")
 
 
 #: Template sets by name. The demo sets are the best sets.
@@ -155,44 +160,63 @@ LEXICONS = {"rr09_brown": ("brown",), "en_best_v1": ("brown", "places", "firstna
 FIELDS = {"rr09": ("word", "pos", "chunk"), "rr09_brown": ("word", "pos", "chunk"), "rr09_aso": ("word", "pos", "chunk"), "zj03": ("word", "pos", "chunk"), "az05": ("word", "pos", "chunk")}
 
 
+#: The bags of words of the oldest set: first and last offset.
+BAGS = ((-4, -1), (1, 4))
+
+
 def bag_window(tokens: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("doc_id", "sent_id")) -> DataFrame:
     """A row (ftype, fval) for each word from offset ``first`` to offset ``last``."""
     w = W.partitionBy(*keys).orderBy("tok_idx").rowsBetween(first, last)
     return tokens.withColumn("_bag", F.collect_list("word").over(w)).select(*tokens.columns, F.lit(f"bow{first}-{last}").alias("ftype"), F.explode("_bag").alias("fval"))
 
 
-def features(tokens: DataFrame, name: str, lexicons: dict[str, DataFrame] | None = None, keys: tuple[str, ...] = ("doc_id", "sent_id")) -> DataFrame:
-    """(keys, tok_idx, ftype, fval): the features of a template set, absent values left out."""
-    lexicons = lexicons or {}
-    ids = [*keys, "tok_idx"]
-    base = tokens.select(*ids, *[F.col(f) if f in tokens.columns else F.lit(None).cast("string").alias(f) for f in FIELDS.get(name, ("word",))])
-    kind = {"zj03": "date", "az05": "word"}.get(name, "num")
-    shifted = with_neighbours(base, FIELDS.get(name, ("word",)), keys, kind)
+def register(name: str, build: Callable[[], list[Template]], fields: tuple[str, ...] = ("word",), lexicons: tuple[str, ...] = ()) -> None:
+    """A template set of one's own. build: gives (name, column) pairs over ``at`` and the derived fields; fields: the token columns that it reads."""
+    if name in SETS:
+        raise ValueError(f"there is a template set {name!r} already")
+    SETS[name], FIELDS[name], LEXICONS[name] = build, fields, lexicons
+
+
+def _with_lexicons(base: DataFrame, own: tuple[str, ...], lexicons: dict[str, DataFrame], kind: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Looks each token up once, before the window; its neighbours get what was found with it."""
+    beside: list[str] = []
     for flag, lexicon in (("firstname", "firstnames"), ("lastname", "lastnames")):
-        if lexicon in LEXICONS.get(name, ()):
-            for p in NEAR:
-                column = f"{flag}@{p}"
-                if lexicon in lexicons:
-                    shifted = member(shifted.withColumn("_n", _num(p)), lexicons[lexicon], "_n", column).drop("_n")
-                else:
-                    shifted = shifted.withColumn(column, F.lit(False))
-    each = F.array(*[F.struct(F.lit(n).alias("ftype"), value(v).alias("fval")) for n, v in SETS[name]()])
-    out = shifted.select(*ids, F.inline(each)).where("fval is not null")
-    parts = []
-    for p in WINDOW:
-        here = shifted.select(*ids, at("word", p).alias("word"))
-        if name == "rr09_aso":
-            parts.append(here.select(*ids, F.lit(f"shape_{p}").alias("ftype"), F.explode(T.shapes(F.col("word"))).alias("fval")))
-        if "brown" in lexicons and "brown" in LEXICONS.get(name, ()):
-            parts.append(brown_features(here, lexicons["brown"], p).select(*ids, "ftype", "fval"))
-        for lexicon, kind in (("places", "gaz_place"), ("orgs", "gaz_org")):
-            if p in NEAR and lexicon in lexicons and lexicon in LEXICONS.get(name, ()):
-                parts.append(gazetteer_features(here, lexicons[lexicon], f"{kind}_{p}").select(*ids, "ftype", "fval"))
+        if lexicon in own:
+            base = member(base.withColumn("_n", _kept(F.col("word"), kind)), lexicons[lexicon], "_n", flag).drop("_n") if lexicon in lexicons else base.withColumn(flag, F.lit(False))
+            beside.append(flag)
+    for lexicon, code in (("brown", "bits"), ("places", "codes"), ("orgs", "codes")):
+        if lexicon in own and lexicon in lexicons:
+            found = small(lexicons[lexicon].select(F.col("token").alias("_token"), F.col(code).alias(lexicon)))
+            base = base.join(found, F.col("word") == F.col("_token"), "left").drop("_token")
+            beside.append(lexicon)
+    return base, tuple(beside)
+
+
+def features(tokens: DataFrame, name: str, lexicons: dict[str, DataFrame] | None = None, keys: tuple[str, ...] = ("doc_id", "sent_id"), wanted: Callable[[str], bool] | None = None) -> DataFrame:
+    """(keys, tok_idx, ftype, fval): the features of a template set, absent values left out.
+
+    wanted: of which names; the others are never built. One lookup of each token, one window, one explode.
+    """
+    ids, wanted = [*keys, "tok_idx"], wanted or (lambda n: True)
+    fields, kind = FIELDS.get(name, ("word",)), {"zj03": "date", "az05": "word"}.get(name, "num")
+    base = tokens.select(*ids, *[F.col(f) if f in tokens.columns else F.lit(None).cast("string").alias(f) for f in fields])
+    base, beside = _with_lexicons(base, LEXICONS.get(name, ()), lexicons or {}, kind)
+    shifted = with_neighbours(base, fields, keys, kind, beside)
+    pair = lambda n, v: F.struct(F.lit(n).alias("ftype"), v.alias("fval"))
+    single = [pair(n, value(v)) for n, v in SETS[name]() if wanted(n)]
+    if "brown" in beside:
+        single += [pair(n, F.substring(at("brown", p), 1, k)) for p in WINDOW for k in BROWN_PREFIXES if wanted(n := f"brown_{k}_{p}")]
+    several = [(f"gaz_{label}_{p}", F.filter(F.split(at(lexicon, p), ""), lambda c: c != "")) for lexicon, label in (("places", "place"), ("orgs", "org")) if lexicon in beside for p in NEAR]
+    if name == "rr09_aso":
+        several += [(f"shape_{p}", T.shapes(at("word", p))) for p in WINDOW]
     if name == "az05":
-        parts += [bag_window(base, a, b, keys).select(*ids, "ftype", "fval") for a, b in ((-4, -1), (1, 4))]
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+        w = W.partitionBy(*keys).orderBy("tok_idx")
+        several += [(f"bow{i}-{j}", F.col(f"`@bow{i}`")) for i, j in BAGS]
+        shifted = shifted.withColumns({f"@bow{i}": F.collect_list("word").over(w.rowsBetween(i, j)) for i, j in BAGS})
+    none = F.array().cast("array<struct<ftype: string, fval: string>>")
+    under = lambda n: lambda x: pair(n, x)
+    lists = [F.coalesce(F.transform(v, under(n)), none) for n, v in several if wanted(n)]
+    return shifted.select(*ids, F.inline(F.concat(F.array(*single) if single else none, *lists))).where("fval is not null")
 
 
 def value(v: Column) -> Column:

@@ -89,9 +89,9 @@ def size_mb(features: DataFrame) -> DataFrame:
     return rows.agg((F.sum("b") / (1024.0 * 1024.0)).alias("mb"))
 
 
-def shuffled(df: DataFrame, seed: int, epoch: int = 0, key: str = "doc_id") -> Column:
-    """Sort key of a seeded permutation."""
-    return F.xxhash64(F.col(key), F.lit(seed), F.lit(epoch))
+def shuffled(seed: int, epoch: int = 0, key: str = "doc_id") -> Column:
+    """Sort key of a seeded permutation: a digest that any engine gives alike."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(epoch))))
 
 
 def merge(*datasets: DataFrame) -> DataFrame:

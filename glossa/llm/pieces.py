@@ -49,9 +49,9 @@ UNIT_BYTES = 24
 #: Text bytes that are encoded together.
 SLICE_BYTES = 2 << 20
 #: Distinct units that a task counts before it hands them on.
-COUNTED_UNITS = 800_000
+COUNTED_UNITS = 500_000
 #: Distinct units that one task folds.
-UNITS_A_TASK = 20_000
+UNITS_A_TASK = 8_000
 LONG = 20_000
 #: Places of the parts of a packed segment: its length, when it came about, the next merge, the highest merge by then.
 LENGTH, BORN, NEXT, HIGHEST = 54, 36, 18, 0
@@ -263,6 +263,8 @@ def count_units(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                         held, size = [], 0
         if held:
             yield from sent(summed())
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task; its memory needn't
 
     return docs.select(F.col(text).cast("binary").alias("_t")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 

@@ -842,5 +842,31 @@ def ner_tagging(spark, sf_dir):
 
 @query()
 def aso_subspace(spark, sf_dir):
-    theta, blocks = tagger.aso(spark, tokens(spark, sf_dir, "benchmark", "item_id"), 3, 2, least=5, visits=5e3)
+    found = tagger.aso(spark, tokens(spark, sf_dir, "benchmark", "item_id"), 3, 2, least=5, visits=5e3, strict=False)
+    theta, blocks = found.theta, found.blocks
     return theta.join(blocks, theta["fid"].between(blocks["f_min"], blocks["f_max"])).groupBy("ftype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("vec", 1) ** 2), 4).alias("first"))
+
+
+@query(f"""WITH {FNAMES}, th AS (SELECT fid, fname, (dense_rank() OVER (ORDER BY encode(list_extract(string_split(fname, '='), 1))) - 1) * 2 AS base FROM fvoc),
+rowed AS (SELECT doc_id, sent_id, tok_idx, unnest(['uword_cur', 'uword_pre', 'uword_2pre', 'uword_post', 'uword_2post', 'bword_pre_cur', 'bword_cur_post']) AS ftype, unnest([a, b, c, d, e, b || '/' || a, a || '/' || d]) AS fval FROM (SELECT doc_id, sent_id, tok_idx, {NUM('word')} AS a, {NUM('pre')} AS b, {NUM('pre2')} AS c, {NUM('post')} AS d, {NUM('post2')} AS e FROM nb)),
+p AS (SELECT doc_id, sent_id, tok_idx, base + dim AS dim, sum(((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM rowed JOIN th ON fname = ftype || '=' || fval CROSS JOIN (SELECT unnest([0, 1]) AS dim) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM tokens), m AS (SELECT dim, sum(v) / any_value(n) AS mean, sqrt(greatest(sum(v * v) / any_value(n) - pow(sum(v) / any_value(n), 2), 0)) AS sd FROM p CROSS JOIN n GROUP BY dim)
+SELECT 'aso' || dim || '_cur' AS fname, doc_id, round(sum((v - mean) / sd) - (any_value(t) - count(*)) * any_value(mean / sd), 3) + 0.0 AS total FROM p JOIN m USING (dim) JOIN (SELECT doc_id, count(*) AS t FROM tokens GROUP BY doc_id) USING (doc_id) GROUP BY dim, doc_id""")
+def aso_features(spark, sf_dir):
+    """Every token through a given subspace of the word features, block by block, standardised over all tokens; sums by document."""
+    t, voc = tokens(spark, sf_dir), word_vocab(spark, sf_dir).persist()
+    blocks = selection.feature_type_blocks(voc).orderBy("f_min").collect()
+    numbered = spark.createDataFrame([(i, r.ftype, r.f_min, r.f_max) for i, r in enumerate(blocks)], "block_id int, ftype string, f_min long, f_max long")
+    theta = voc.select("fid", F.transform(F.array(F.lit(0), F.lit(1)), lambda d: ((F.col("fid") * 31 + d * 17) % 101) / F.lit(101.0)).alias("vec"))
+    found = tagger.Subspace(voc.select("fname", "fid"), theta, numbered, 2).fitted(t).features(t)
+    seen = found.groupBy("fname", "doc_id").agg((F.round(F.sum("val"), 3) + 0.0).alias("total"))
+    used = word_rows(t, voc)  # documents that have a feature of the block
+    return seen.join(used, ["fname", "doc_id"], "left_semi").select("fname", "doc_id", "total")
+
+
+def word_rows(t: DataFrame, voc: DataFrame) -> DataFrame:
+    """(fname, doc_id): the dimensions for which a document has a feature."""
+    block = {n: i for i, n in enumerate(sorted(r.ftype for r in selection.feature_type_blocks(voc).select("ftype").collect()))}
+    which = F.coalesce(*[F.when(F.col("ftype") == n, F.lit(i)) for n, i in block.items()])
+    rows = sequence.named(templates.features(t, "rr09_aso", wanted=lambda n: n in block)).join(voc.select("fname"), "fname", "left_semi")
+    return rows.select(F.explode(F.array(which * 2, which * 2 + 1)).alias("dim"), "doc_id").distinct().select(F.concat(F.lit("aso"), F.col("dim"), F.lit("_cur")).alias("fname"), "doc_id")

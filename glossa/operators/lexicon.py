@@ -46,10 +46,22 @@ def member(tokens: DataFrame, words: DataFrame, column: str = "word", out: str =
     return tokens.join(marked, key == F.col("_k"), "left").withColumn(out, F.coalesce("_m", F.lit(False))).drop("_k", "_m")
 
 
-def gazetteer_features(tokens: DataFrame, codes: DataFrame, name: str, column: str = "word") -> DataFrame:
-    """A row (ftype, fval) for each code of the token; lookup is by the token as it is."""
-    joined = tokens.join(small(codes), F.col(column) == codes["token"]).drop(codes["token"])
-    return joined.select(*[c for c in tokens.columns], F.lit(name).alias("ftype"), F.explode(F.filter(F.split("codes", ""), lambda c: c != "")).alias("fval"))
+def lookup(tokens: DataFrame, codes: DataFrame, column: str = "word", out: str = "codes", case_sensitive: bool = True) -> DataFrame:
+    """Adds the codes of the word in a coded gazetteer, null if it isn't there; looked up as it is or in lower case."""
+    key = F.col(column) if case_sensitive else F.lower(F.col(column))
+    found = small(codes.select(F.col("token").alias("_k"), F.col("codes").alias("_c")))
+    return tokens.join(found, key == F.col("_k"), "left").withColumn(out, F.col("_c")).drop("_k", "_c")
+
+
+def size(lexicon: DataFrame) -> int:
+    """How many words a gazetteer or a table of clusters holds."""
+    return lexicon.select("token").distinct().count()
+
+
+def gazetteer_features(tokens: DataFrame, codes: DataFrame, name: str, column: str = "word", case_sensitive: bool = True) -> DataFrame:
+    """A row (ftype, fval) for each code of the token."""
+    found = lookup(tokens, codes, column, "_codes", case_sensitive).where("_codes is not null")
+    return found.select(*tokens.columns, F.lit(name).alias("ftype"), F.explode(F.filter(F.split("_codes", ""), lambda c: c != "")).alias("fval"))
 
 
 def brown_features(tokens: DataFrame, clusters: DataFrame, location: str = "cur", column: str = "word", prefixes: tuple[int, ...] = BROWN_PREFIXES) -> DataFrame:

@@ -129,13 +129,13 @@ def examples(tokens: DataFrame, detector: str, vocab: DataFrame, tags: list[str]
 def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str], float], tags: list[str], detector: str, use_eph: bool = False, scope: str = "document") -> DataFrame:
     """Adds pred: each sentence from left to right, with the tags just given as history.
 
-    rows: (doc_id, sent_id, tok_idx, ftype, fval), the features that don't depend on tags. weights: by (class, feature
+    rows: (doc_id, sent_id, tok_idx, fname, val), the features that don't depend on tags. weights: by (class, feature
     name). The extended history is kept by document (parallel), or with scope ``corpus`` by the whole corpus, which is one
     sequence and so one task.
     """
     ship(tokens.sparkSession)
     ids = ["doc_id", "sent_id", "tok_idx"]
-    feats = named(rows).groupBy(*ids).agg(F.collect_list("fname").alias("fnames"))
+    feats = rows.groupBy(*ids).agg(F.collect_list("fname").alias("fnames"), F.collect_list("val").alias("vals"))
     joined = tokens.join(feats, ids, "left")
     by_name: dict[str, list[tuple[int, float]]] = {}
     for (c, name), w in weights.items():
@@ -163,9 +163,10 @@ def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str
                 else:
                     names = [f"{unigram}pre={one}", f"{unigram}2pre={two}", *(f"{word_name}{p}={one}/{number(w)}" for p, w in around.items())]
                 score = np.zeros(len(tags))
-                for f in [*(r.fnames if r.fnames is not None else ()), *names, f"{bigram}={two}/{one}"]:
+                seen_here = zip(r.fnames, r.vals, strict=True) if r.fnames is not None else ()
+                for f, x in [*seen_here, *((n, 1.0) for n in names), (f"{bigram}={two}/{one}", 1.0)]:
                     for c, w in model.get(f, ()):
-                        score[c] += w
+                        score[c] += w * x
                 if use_eph:
                     for t, n in seen.get(r.word).items():
                         for c, w in model.get(f"eph={t}", ()):
@@ -178,7 +179,7 @@ def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str
 
     key = F.lit(0) if use_eph and scope == "corpus" else F.col("doc_id") if use_eph else F.xxhash64("doc_id", "sent_id") % 4096
     types = {f.name: f.dataType.simpleString() for f in tokens.schema}
-    pred = joined.select(*ids, "word", "fnames").groupBy(key.alias("_k")).applyInPandas(tagged, f"doc_id {types['doc_id']}, sent_id {types['sent_id']}, tok_idx {types['tok_idx']}, pred string")
+    pred = joined.select(*ids, "word", "fnames", "vals").groupBy(key.alias("_k")).applyInPandas(tagged, f"doc_id {types['doc_id']}, sent_id {types['sent_id']}, tok_idx {types['tok_idx']}, pred string")
     return tokens.join(pred, ids)
 
 

@@ -91,10 +91,11 @@ def truncated_svd(spark: SparkSession, weights: DataFrame, k: int, blocks: DataF
         if grouped.isEmpty():
             spectra.append([])
             continue
-        svd = matrix.computeSVD(min(k, m), computeU=True)
-        spectrum = [float(s) for s in svd.s]
+        # of few columns all vectors of a third are asked for, which the library then takes from a full decomposition
+        svd = matrix.computeSVD(min(m, max(k, -(-m // 3)) if m < 100 else k), computeU=True)
+        spectrum = [float(s) for s in svd.s][:k]
         spectra.append(spectrum)
-        u = svd.U.rows.map(lambda r, k=k: (int(r.index), [float(x) for x in r.vector] + [0.0] * (k - len(r.vector)))).toDF("fid long, vec array<double>")
+        u = svd.U.rows.map(lambda r, k=k: (int(r.index), ([float(x) for x in r.vector] + [0.0] * k)[:k])).toDF("fid long, vec array<double>")
         extremes = u.select(F.posexplode("vec").alias("d", "v")).groupBy("d").agg(F.max_by("v", F.struct(F.abs("v"), "v")).alias("v")).collect()
         signs = np.ones(k)
         for r in extremes:

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexicon, linear, selection, stats, subspace, vocab
-from ..session import ship
+from ..session import ship, written
+from ..sources.readers import load_model, save_model
+from ..timing import timed
 
 
 @dataclass
@@ -30,27 +32,39 @@ class Model:
         rows = vocab.l2_normalize(vocab.vectorize(bow, self.vocabulary.where(F.col("side") == side)))
         return stats.standardize(subspace.dense(subspace.project(rows, self.theta), self.dims), self.stats, 1 / self.beta)
 
+    def save(self, path: str) -> None:
+        save_model({"vocabulary": self.vocabulary, "theta": self.theta, "stats": self.stats, "pivots": self.pivots}, path, {"dims": self.dims, "beta": self.beta})
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        t, facts = load_model(spark, path)
+        return cls(t["vocabulary"], t["theta"], facts["dims"], t["stats"], facts["beta"], t["pivots"])
+
+
+@timed
 def train(spark: SparkSession, source: DataFrame, labels: DataFrame, source_free: DataFrame, target_free: DataFrame, dictionary: DataFrame, m: int = 450, phi: int = 30, k: int = 100, reg: float = 1e-5, alpha: float = 0.85, visits: float = 1e6, mindf: int = 2) -> Model:
     """source, source_free, target_free: bags of words (doc_id, term, freq) with ids of their own; labels: (doc_id, y)."""
     if not 0 < k <= m:
         raise ValueError("k must be above zero and at most m")
-    voc = vocab.disjoint_vocabularies(vocab.document_frequency(source.unionByName(source_free), mindf), vocab.document_frequency(target_free, mindf)).persist()
+    voc = vocab.disjoint_vocabularies(vocab.document_frequency(source.unionByName(source_free), mindf), vocab.document_frequency(target_free, mindf))
+    voc = written(spark, voc, "vocabulary")
     s_voc, t_voc = (voc.where(F.col("side") == x) for x in "st")
-    rows = vocab.l2_normalize(vocab.vectorize(source, s_voc)).persist()
+    rows = written(spark, vocab.l2_normalize(vocab.vectorize(source, s_voc)), "rows")
     free_s, free_t = vocab.l2_normalize(vocab.vectorize(source_free, s_voc)), vocab.l2_normalize(vocab.vectorize(target_free, t_voc))
-    free = free_s.unionByName(free_t).persist()
+    free = written(spark, free_s.unionByName(free_t), "free")
     ranking = selection.mi_selector(rows, labels)
-    pivots = selection.select_pivots(ranking, lexicon.translate(dictionary, s_voc, t_voc), free, m, phi).persist()
+    pivots = selection.select_pivots(ranking, lexicon.translate(dictionary, s_voc, t_voc), free, m, phi)
+    pivots = written(spark, pivots, "pivots")
     found = pivots.orderBy(F.desc(F.round("mi", 9)), "fid_s").collect()
     every = linear.gather(vocab.merge(rows, free), voc.count())
     tasks = {i: [int(r.fid_s), int(r.fid_t)] for i, r in enumerate(found)}
-    w = linear.auxiliary_weights(spark, every, tasks, trainer="elastic", reg=reg, alpha=alpha, visits=visits, seed=13).persist()
+    w = linear.auxiliary_weights(spark, every, tasks, trainer="elastic", reg=reg, alpha=alpha, visits=visits, seed=13)
+    w = written(spark, w, "auxiliary")
     k = min(k, max(1, len(tasks)))
     theta, _ = subspace.truncated_svd(spark, w, k)
-    theta = theta.persist()
-    projected = subspace.dense(subspace.project(vocab.merge(rows, free), theta), k).persist()
-    table = stats.column_stats(projected).persist()
+    theta = written(spark, theta, "theta")
+    projected = written(spark, subspace.dense(subspace.project(vocab.merge(rows, free), theta), k), "projected")
+    table = written(spark, stats.column_stats(projected), "moments")
     own = stats.standardize(projected.join(labels.select("doc_id"), "doc_id", "left_semi"), table)
     beta = stats.average_norm(own).first().beta or 1.0
     return Model(voc, theta, k, table, float(beta), pivots)

@@ -1,4 +1,4 @@
-"""The extended prediction history on a stream: counts of tags among a key's last events, kept in the state store."""
+"""The extended prediction history on a stream: counts of tags among the last entities, kept in the state store."""
 
 from __future__ import annotations
 
@@ -7,25 +7,34 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def running_history(stream: DataFrame, capacity: int = 1000, key: str = "word", tag: str = "tag", at: str = "at") -> DataFrame:
-    """(key, at, tag, seen): before each event, how often each tag occurred among the key's last ``capacity`` events.
+OUTSIDE = ("O", "Unk")
 
-    Works on streams and on tables alike. State holds at most ``capacity`` tags of a key.
+
+def running_history(stream: DataFrame, capacity: int = 1000, key: str = "word", tag: str = "tag", at: str = "at", outside: tuple[str, ...] = OUTSIDE, scope: str = "key") -> DataFrame:
+    """(key, at, tag, seen): before each event, how often each tag occurred for the key.
+
+    scope ``key`` looks at the key's own last ``capacity`` entities, in parallel; ``corpus`` at those of the key among the
+    last ``capacity`` entities of all keys, which is one sequence and so one state. Events whose tag is ``outside`` are no
+    entities. Works on streams and on tables alike; events of one batch are taken in the order of ``at``.
     """
 
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0].split("\x1f")) if state.exists and state.get[0] else []
+    def update(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, tags = (x.split("\x1f") if x else [] for x in (state.get if state.exists else ("", "")))
         rows = pd.concat(list(batches)).sort_values([at, tag], kind="stable")
         out = []
         for r in rows.itertuples(index=False):
-            counts = Counter(held)
-            out.append((k[0], getattr(r, at), getattr(r, tag), ",".join(f"{t}:{n}" for t, n in sorted(counts.items()))))
-            held = [*held, getattr(r, tag)][-capacity:]
-        state.update(("\x1f".join(held),))
+            k, t = getattr(r, key), getattr(r, tag)
+            counts = Counter(x for y, x in zip(keys, tags, strict=True) if y == str(k))
+            out.append((k, getattr(r, at), t, ",".join(f"{x}:{n}" for x, n in sorted(counts.items()))))
+            if t not in outside:
+                keys, tags = [*keys, str(k)][-capacity:], [*tags, t][-capacity:]
+        state.update(("\x1f".join(keys), "\x1f".join(tags)))
         yield pd.DataFrame(out, columns=[key, at, tag, "seen"])
 
     kind = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {at} {kind[at]}, {tag} string, seen string", "held string", "append", GroupStateTimeout.NoTimeout)
+    by = F.col(key) if scope == "key" else F.lit(0)
+    return stream.withColumn("_scope", by).groupBy("_scope").applyInPandasWithState(update, f"{key} {kind[key]}, {at} {kind[at]}, {tag} string, seen string", "keys string, tags string", "append", GroupStateTimeout.NoTimeout)

@@ -163,3 +163,56 @@ def test_model_folder(spark, tmp_path):
     readers.save_model({"weights": w}, str(tmp_path / "m"), {"detector": "zj03"})
     tables, facts = readers.load_model(spark, str(tmp_path / "m"))
     assert facts == {"detector": "zj03"} and tables["weights"].first().w == 1.5
+
+
+def test_history_is_a_queue_over_ranges(spark):
+    """Against a queue fed token by token; ranges of 7 entities, so that words are dealt out several times."""
+    import random
+
+    from glossa.operators import sequence
+
+    rnd = random.Random(3)
+    t = [(d, s, k, rnd.choice("abcd"), rnd.choice(["O", "O", "B-X", "I-X", "Unk"])) for d in range(6) for s in range(3) for k in range(5)]
+    q, want = sequence.History(5), {}
+    for d, s, k, w, g in t:
+        want[d, s, k] = (q.get(w).get("B-X", 0), q.get(w).get("I-X", 0), 0)
+        q.push(w, g)
+    df = spark.createDataFrame(t, "doc_id long, sent_id long, tok_idx int, word string, tag string").repartition(4)
+    got = sequence.extended_history(df, ["B-X", "I-X", "O"], 5, 7).collect()
+    assert {(r.doc_id, r.sent_id, r.tok_idx): (r["eph_B-X"], r["eph_I-X"], r["eph_O"]) for r in got} == want and len(got) == len(t)
+
+
+def test_running_history_of_the_corpus(spark, tmp_path):
+    from glossa.streaming.history import running_history
+
+    rows = [("a", "X", 0), ("b", "X", 1), ("a", "O", 2), ("a", "Y", 3), ("a", "X", 4), ("b", "Y", 5)]
+    spark.createDataFrame(rows, "word string, tag string, at long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    want = {"corpus": ["", "", "X:1", "X:1", "Y:1", ""], "key": ["", "", "X:1", "X:1", "X:1,Y:1", "X:1"]}
+    for scope, seen in want.items():
+        stream = spark.readStream.schema("word string, tag string, at long").parquet(f"{tmp_path}/in")
+        out = running_history(stream, 2, scope=scope).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{scope}-c")
+        out.outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/{scope}").awaitTermination()
+        assert [r.seen for r in spark.read.parquet(f"{tmp_path}/{scope}").orderBy("at").collect()] == seen
+
+
+def test_biases_masks_lookups_and_samples(spark, tmp_path):
+    from glossa.operators import lexicon, selection, subspace
+    from glossa.sources import readers
+
+    f = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0), (3, 9, 1.0)], "doc_id long, fid long, val double")
+    w = spark.createDataFrame([(0, 0, 2.0), (0, -1, -1.0), (1, 1, 1.0), (1, -1, 0.5)], "class_id long, fid long, w double")
+    assert {r.doc_id: r.class_id for r in subspace.argmax_class(f, w).collect()} == {1: 0, 2: 1, 3: 1}
+    tasks = f.withColumn("task_id", F.explode(F.array(F.lit(7), F.lit(8))))
+    left = subspace.masked(tasks, spark.createDataFrame([(7, 0), (8, 1)], "task_id int, fid long"))
+    assert {(r.task_id, r.fid) for r in left.collect()} == {(7, 1), (7, 9), (8, 0), (8, 9)}
+    codes = lexicon.gazetteer(spark.createDataFrame([("New York",), ("york",)], "entry string"), "bilou", False)
+    words = spark.createDataFrame([("York",), ("new",), ("x",)], "word string")
+    assert {r.word: r.codes for r in lexicon.lookup(words, codes, case_sensitive=False).collect()} == {"York": "LU", "new": "B", "x": None} and lexicon.size(codes) == 2
+    assert {r.word: r.codes for r in lexicon.lookup(words, codes).collect()}["York"] is None
+    examples = spark.range(57).withColumnRenamed("id", "doc_id")
+    a, b = ({r.doc_id for r in selection.sample_probe(examples, seed).collect()} for seed in (0, 1))
+    assert len(a) == len(b) == 5 and a != b
+    (tmp_path / "clusters").write_text("0101\tWien\t12\nbad line\n0111\tRom\t3\n0000\tWien\t1\n")
+    (tmp_path / "dict").write_text("good\tGut sein\nbad\tSchlecht\n\nodd\n")
+    assert {r.token: r.bits for r in readers.read_clusters(spark, str(tmp_path / "clusters")).collect()} == {"Wien": "0000", "Rom": "0111"}
+    assert {r.ws: r.wt for r in readers.read_dictionary(spark, str(tmp_path / "dict")).collect()} == {"good": "Gut sein", "bad": "Schlecht"}

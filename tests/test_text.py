@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,8 +24,50 @@ def test_fixtures(spark, f, value, expected):
     assert one(spark, value, f) == expected
 
 
+ENDS, STARTS = set("?!)\";}]*:@'({["), set("(\"`{[:;&#*@)}]-,")
+
+
+def by_hand(text):
+    """The tokens, by a walk over the characters."""
+
+    def several(i):
+        for c in "-.":
+            if text.startswith(c * 2, i):
+                return i + len(text[i:]) - len(text[i:].lstrip(c))
+        j, n = i, 0
+        while text[j : j + 1] == "." and text[j + 1 : j + 2].isspace():
+            j, n = j + 2, n + 1
+        while n >= 2:  # dots with blanks between, and a last dot
+            if text[j : j + 1] == ".":
+                return j + 1
+            j, n = j - 2, n - 1
+        return None
+
+    def over(i, mark=True):
+        return i == len(text) or text[i].isspace() or text[i] in ENDS or several(i) is not None or (mark and text[i] in ",." and over(i + 1, False))
+
+    out, i = [], 0
+    while i < len(text):
+        j = several(i)
+        if j is None and text[i] not in STARTS and not text[i].isspace():
+            j = i + 1
+            while not over(j):
+                j += 1
+        if j is None and not text[i].isspace():
+            j = i + 1
+        if j is not None:
+            out.append(text[i:j])
+        i = j or i + 1
+    return out
+
+
 def test_tokenizer(spark):
-    assert one(spark, "Here's a url\nwww.bitly.com.", T.tokenize) == ["Here", "'s", "a", "url", "www.bitly.com", "."]
+    rnd = random.Random(5)
+    parts = ["word", "Mr", "it's", ",", ".", "...", "--", "-", " ", "  ", "\n", "(", ")", "'", "\"", "1.5", "a,b", "www.x.org", "!", "?", ";", ":", "[", "]", "{", "}", "*", "@", "&", "#", "`", ". . .", "é", "x-y", "$3"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)] + ["See (the) shop's page, at www.shop.org... or -- well -- don't."]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.tokenize(F.col("t")).alias("x")).collect()
+    assert all(r.x == by_hand(texts[r.i]) for r in got), [(texts[r.i], r.x, by_hand(texts[r.i])) for r in got if r.x != by_hand(texts[r.i])][:3]
+    assert by_hand(texts[-1]) == ["See", "(", "the", ")", "shop", "'s", "page", ",", "at", "www.shop.org", "...", "or", "--", "well", "--", "don", "'t", "."]
 
 
 def test_shapes_like_python(spark):

@@ -49,7 +49,7 @@ UNIT_BYTES = 24
 #: Text bytes that are encoded together.
 SLICE_BYTES = 2 << 20
 #: Distinct units that a task counts before it hands them on.
-COUNTED_UNITS = 500_000
+COUNTED_UNITS = 400_000
 #: Distinct units that one task folds.
 UNITS_A_TASK = 8_000
 LONG = 20_000
@@ -186,10 +186,10 @@ def runs(base: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts from the hot units and those that answers name."""
 
-    def __init__(self, model: Pieces, units: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+    def __init__(self, model: Pieces, units: pa.Array, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
         self.model, self.units, self.ids = model, units, ids
         self.start, self.count = ends[:-1], np.diff(ends)
-        self.places = Lookup(hashed(units), np.arange(len(units), dtype=np.float64))
+        self.places = Lookup(hashes, np.arange(len(units), dtype=np.float32 if len(units) < 1 << 24 else np.float64))
 
     def hot(self, units: pa.Array) -> np.ndarray:
         """Where each of the units stands among the hot ones, or -1. A hash finds the place, the bytes decide."""
@@ -344,22 +344,23 @@ def hot_from(units: DataFrame, most: int) -> int:
     return least
 
 
-def packed(hot: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Units, their ends, their ids and the ends of those, of a bounded table; the tasks pack it, so the driver holds no rows."""
+def packed(hot: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units, their ends and hashes, their ids and the ends of those, of a bounded table; the tasks pack it, so the driver holds no rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = pc.replace_substring(b.column("unit"), MARK, " ").to_pylist()
+            units = [x.encode() for x in pc.replace_substring(b.column("unit"), MARK, " ").to_pylist()]
             lists = b.column("ids")
             ends = np.asarray(lists.offsets)
-            row = [b"".join(u := [x.encode() for x in units]), np.array([len(x) for x in u], np.int32).tobytes(), np.asarray(lists.values)[ends[0] : ends[-1]].astype(np.uint32).tobytes(), np.diff(ends).astype(np.int32).tobytes()]
-            yield pa.record_batch([pa.array([x], pa.binary()) for x in row], names=["u", "un", "i", "n"])
+            ids = np.asarray(lists.values)[ends[0] : ends[-1]]
+            row = [b"".join(units), np.array([len(x) for x in units], np.int32).tobytes(), hashed(pa.array(units, pa.binary())).tobytes(), ids.astype(np.uint32).tobytes(), np.diff(ends).astype(np.int32).tobytes()]
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in row], names=["u", "un", "h", "i", "n"])
 
-    got = hot.select("unit", "ids").mapInArrow(pack, "u binary, un binary, i binary, n binary").collect()
-    whole = [b"".join(bytes(r[k]) for r in got) for k in range(4)]
-    ends = lambda x: np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int32))])
-    ids = np.frombuffer(whole[2], np.uint32)
-    return whole[0], ends(whole[1]).astype(np.int32), ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, ends(whole[3]).astype(np.int64)
+    got = hot.select("unit", "ids").mapInArrow(pack, "u binary, un binary, h binary, i binary, n binary").collect()
+    whole = [b"".join(bytes(r[k]) for r in got) for k in range(5)]
+    ends = lambda x: np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int32))]).astype(np.int32)
+    ids = np.frombuffer(whole[3], np.uint32)
+    return whole[0], ends(whole[1]), np.frombuffer(whole[2], np.uint64), ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, ends(whole[4])
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -376,9 +377,9 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
 
     def encoder() -> Encoder:
         if _LOADED.get("for") is not shared.value:
-            raw, ends, ids, id_ends = shared.value
+            raw, ends, hashes, ids, id_ends = shared.value
             hot = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            _LOADED.update({"for": shared.value, "encoder": Encoder(pieces(path), hot, ids, id_ends)})
+            _LOADED.update({"for": shared.value, "encoder": Encoder(pieces(path), hot, hashes, ids, id_ends)})
         return _LOADED["encoder"]
 
     own, key, found = spare(docs, "_t"), spare(docs, "_key"), spare(docs, "_found")

@@ -15,7 +15,7 @@ from .functions import losses
 from .functions import text as T
 from .operators import lexicon, linear, selection, sequence, stats, subspace, templates, vocab
 from .plans import clscl, tagger
-from .session import shared_dir
+from .session import shared_dir, written
 from .sources import readers
 from .streaming.history import running_history
 
@@ -85,7 +85,14 @@ WORDS = f"{TOKENS}, words AS (SELECT DISTINCT word FROM tokens)"
 
 
 def global_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.dense_ids(vocab.document_frequency(bow(spark, sf_dir)).select("term"), "term", "fid")
+    return vocabulary_and_rows(spark, sf_dir)[0]
+
+
+def vocabulary_and_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary and the sparse rows; texts are read and split once, and the bags written."""
+    bag = written(spark, bow(spark, sf_dir), "bow")
+    v = vocab.dense_ids(vocab.document_frequency(bag).select("term"), "term", "fid")
+    return v, vocab.vectorize(bag, v)
 
 
 VOCAB = bow_sql() + ", voc AS (SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS fid FROM (SELECT term FROM bow GROUP BY term HAVING count(*) >= 2))"
@@ -93,7 +100,7 @@ FEATURES = VOCAB + ", feats AS (SELECT doc_id, fid, freq::DOUBLE AS val FROM bow
 
 
 def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.vectorize(bow(spark, sf_dir), global_vocab(spark, sf_dir))
+    return vocabulary_and_rows(spark, sf_dir)[1]
 
 
 def normal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +168,8 @@ def feature_counts(spark, sf_dir):
 
 @query(f"WITH {FEATURES} SELECT doc_id, fid::BIGINT AS fid, val FROM feats UNION ALL SELECT doc_id, fid + (SELECT count(*) FROM voc), val FROM feats")
 def view_concat(spark, sf_dir):
-    f, n = raw_features(spark, sf_dir), global_vocab(spark, sf_dir).count()
-    return vocab.concat_views(f, f, n)
+    v, f = vocabulary_and_rows(spark, sf_dir)
+    return vocab.concat_views(f, f, v.count())
 
 
 @query(f"WITH {FEATURES} SELECT round(sum(b) / (1024.0 * 1024.0), 6) AS mb FROM (SELECT 8 * count(*) + 8 AS b FROM feats GROUP BY doc_id)")
@@ -238,8 +245,8 @@ def random_select(spark, sf_dir):
 
 @query(f"WITH {FEATURES} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats WHERE fid IN (SELECT fid FROM voc WHERE starts_with(term, 'th')) GROUP BY fid HAVING count(*) >= 3")
 def preselection(spark, sf_dir):
-    pre = global_vocab(spark, sf_dir).where(F.col("term").startswith("th"))
-    return selection.frequency_selector(raw_features(spark, sf_dir), 3, pre)
+    v, f = vocabulary_and_rows(spark, sf_dir)
+    return selection.frequency_selector(f, 3, v.where(F.col("term").startswith("th")))
 
 
 @query(f"WITH {QUALITY} SELECT doc_id, y::INTEGER AS y, md5(doc_id::VARCHAR || ':13:0') AS place FROM ex")
@@ -458,10 +465,26 @@ def pos_prefix_filter(spark, sf_dir):
 PAIRS = f"{SIDES}, rs AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM s), rt AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM t), pairs AS (SELECT rs.term AS ws, upper(rt.term) || ' x' AS wt FROM rs JOIN rt USING (r) WHERE regexp_matches(rt.term, '^[a-z]+$'))"
 
 
-def dictionary(spark, sf_dir):
-    """The i-th most frequent terms of the two languages, as pairs of a made-up dictionary."""
-    ranked = [vocab.document_frequency(bow(spark, sf_dir, x)).withColumn("r", F.row_number().over(W.orderBy(F.desc("df"), "term"))) for x in ("en", "de")]
-    return ranked[0].select(F.col("term").alias("ws"), "r").join(ranked[1].select("term", "r").where(F.col("term").rlike("^[a-z]+$")), "r").select("ws", F.concat(F.upper("term"), F.lit(" x")).alias("wt"))
+class Languages:
+    """Bags, vocabularies, dictionary and rows of the two languages, each made once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.bags = [written(spark, bow(spark, sf_dir, x), "bow") for x in ("en", "de")]
+        self.df = [written(spark, vocab.document_frequency(b), "df") for b in self.bags]
+        self.vocabulary = written(spark, vocab.disjoint_vocabularies(*self.df), "voc")
+        self.sides = [self.vocabulary.where(F.col("side") == x) for x in "st"]
+
+    def dictionary(self) -> DataFrame:
+        """The i-th most frequent terms of the two languages, as pairs of a made-up dictionary."""
+        order = F.concat(F.lpad((F.lit(1 << 40) - F.col("df")).cast("string"), 13, "0"), F.col("term"))
+        ranked = [vocab.dense_ids(d.withColumn("_o", order), "_o", "r") for d in self.df]
+        return ranked[0].select(F.col("term").alias("ws"), "r").join(ranked[1].select("term", "r").where(F.col("term").rlike("^[a-z]+$")), "r").select("ws", F.concat(F.upper("term"), F.lit(" x")).alias("wt"))
+
+    def rows(self) -> list[DataFrame]:
+        return [vocab.vectorize(b, v) for b, v in zip(self.bags, self.sides, strict=True)]
+
+    def translated(self) -> DataFrame:
+        return lexicon.translate(self.dictionary(), *self.sides)
 
 
 TRANSLATED = f"{PAIRS}, tr AS (SELECT a.fid AS fid_s, b.fid AS fid_t, ws, lower(list_extract(string_split(wt, ' '), 1)) AS wt FROM pairs JOIN voc a ON a.side = 's' AND a.term = ws JOIN voc b ON b.side = 't' AND b.term = lower(list_extract(string_split(wt, ' '), 1)))"
@@ -469,21 +492,15 @@ TRANSLATED = f"{PAIRS}, tr AS (SELECT a.fid AS fid_s, b.fid AS fid_t, ws, lower(
 
 @query(f"WITH {TRANSLATED} SELECT fid_s::BIGINT AS fid_s, fid_t::BIGINT AS fid_t, ws, wt FROM tr")
 def dict_translate(spark, sf_dir):
-    v = sides(spark, sf_dir).persist()
-    return lexicon.translate(dictionary(spark, sf_dir), *(v.where(F.col("side") == x) for x in "st"))
+    return Languages(spark, sf_dir).translated()
 
 
 BOTH = "feats AS (SELECT doc_id, fid, freq::DOUBLE AS val FROM bs JOIN voc ON side = 's' AND voc.term = bs.term UNION ALL SELECT doc_id, fid, freq::DOUBLE FROM bt JOIN voc ON side = 't' AND voc.term = bt.term)"
 
 
-def both_features(spark, sf_dir):
-    v = sides(spark, sf_dir).persist()
-    return v, vocab.merge(*(vocab.vectorize(bow(spark, sf_dir, x), v.where(F.col("side") == y)) for x, y in (("en", "s"), ("de", "t"))))
-
-
 @query(f"WITH {SIDES}, {BOTH} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats GROUP BY fid HAVING count(*) >= 5")
 def pivot_support(spark, sf_dir):
-    return vocab.feature_counts(both_features(spark, sf_dir)[1]).where("n >= 5")
+    return vocab.feature_counts(vocab.merge(*Languages(spark, sf_dir).rows())).where("n >= 5")
 
 
 PIVOTS = f"""{TRANSLATED}, {BOTH}, {QUALITY}, tot AS (SELECT sum((y = 1)::INT) AS n_pos, sum((y <> 1)::INT) AS n_neg FROM ex WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
@@ -496,10 +513,11 @@ def english_labels(spark, sf_dir):
 
 
 def pivots(spark, sf_dir, m: int = 40):
-    v, every = both_features(spark, sf_dir)
-    rows = vocab.vectorize(bow(spark, sf_dir, "en"), v.where("side = 's'"))
-    ranking = selection.mi_selector(rows, english_labels(spark, sf_dir))
-    return every, selection.select_pivots(ranking, lexicon.translate(dictionary(spark, sf_dir), *(v.where(F.col("side") == x) for x in "st")), every, m, 5)
+    """All rows, and the pivots."""
+    both = Languages(spark, sf_dir)
+    own, other = both.rows()
+    every = vocab.merge(own, other)
+    return every, written(spark, selection.select_pivots(selection.mi_selector(own, english_labels(spark, sf_dir)), both.translated(), every, m, 5), "pivots")
 
 
 @query(f"WITH {PIVOTS} SELECT fid_s::BIGINT AS fid_s, fid_t::BIGINT AS fid_t, round(mi, 6) AS mi FROM pivots")
@@ -517,13 +535,14 @@ def tasks(p: DataFrame) -> DataFrame:
 @query(f"WITH {TASKS} SELECT task_id::BIGINT AS task_id, count(DISTINCT doc_id) AS n, min(doc_id) AS low, max(doc_id) AS high FROM feats JOIN tasks USING (fid) GROUP BY task_id")
 def inverted_index(spark, sf_dir):
     every, p = pivots(spark, sf_dir)
-    return subspace.inverted_index(every, tasks(p)).select("task_id", F.size("doc_ids").cast("long").alias("n"), F.array_min("doc_ids").alias("low"), F.array_max("doc_ids").alias("high"))
+    held = subspace.inverted_index(every, tasks(p))
+    return held.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
 
 
 @query(f"WITH {TASKS}, h AS (SELECT DISTINCT task_id, doc_id FROM feats JOIN tasks USING (fid)) SELECT t.task_id::BIGINT AS task_id, doc_id, CASE WHEN h.task_id IS NULL THEN -1 ELSE 1 END::INTEGER AS y FROM (SELECT DISTINCT task_id FROM tasks) t CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN h USING (task_id, doc_id)")
 def autolabel(spark, sf_dir):
     every, p = pivots(spark, sf_dir)
-    return subspace.autolabel(read(spark, sf_dir, "documents").select("doc_id"), every, tasks(p.persist()))
+    return subspace.autolabel(read(spark, sf_dir, "documents").select("doc_id"), every, tasks(p))
 
 
 @query(f"WITH {TASKS} SELECT doc_id, fid::BIGINT AS fid, val FROM feats WHERE fid NOT IN (SELECT fid FROM tasks)")
@@ -587,28 +606,31 @@ def eph_stream(spark, sf_dir):
 WEIGHT = "((fid * 31) % 101 - 50) / 101.0"
 
 
-def weights(spark, sf_dir):
-    return global_vocab(spark, sf_dir).select("fid", (((F.col("fid") * 31) % 101 - 50) / 101.0).alias("w"))
+def weights(voc: DataFrame) -> DataFrame:
+    return voc.select("fid", (((F.col("fid") * 31) % 101 - 50) / 101.0).alias("w"))
 
 
 @query(f"WITH {NORMAL} SELECT doc_id, round(sum(val * {WEIGHT}) + 0.5, 6) AS score FROM normed GROUP BY doc_id")
 def sparse_dot(spark, sf_dir):
-    return subspace.sparse_dot(normal_features(spark, sf_dir), weights(spark, sf_dir), 0.5).withColumn("score", F.round("score", 6))
+    v, f = vocabulary_and_rows(spark, sf_dir)
+    return subspace.sparse_dot(vocab.l2_normalize(f), weights(v), 0.5).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {NORMAL}, p AS (SELECT doc_id, dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL) SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p")
 def project_theta(spark, sf_dir):
-    return subspace.project(normal_features(spark, sf_dir), theta(spark, sf_dir)).withColumn("v", F.round("v", 6))
+    v, f = vocabulary_and_rows(spark, sf_dir)
+    return subspace.project(vocab.l2_normalize(f), theta(v)).withColumn("v", F.round("v", 6))
 
 
-def theta(spark, sf_dir):
-    return global_vocab(spark, sf_dir).select("fid", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((F.col("fid") * 31 + d * 17) % 101) / F.lit(101.0)).alias("vec"))
+def theta(voc: DataFrame) -> DataFrame:
+    return voc.select("fid", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((F.col("fid") * 31 + d * 17) % 101) / F.lit(101.0)).alias("vec"))
 
 
 @query(f"WITH {NORMAL}, b AS (SELECT 0 AS block_id, 0 AS f_min, 999 AS f_max UNION ALL SELECT 1, 1000, 100000000), p AS (SELECT doc_id, block_id * 4 + dim AS dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed JOIN b ON fid BETWEEN f_min AND f_max CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL) SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p")
 def project_blocks(spark, sf_dir):
     blocks = spark.createDataFrame([(0, 0, 999), (1, 1000, 100_000_000)], "block_id int, f_min long, f_max long")
-    return subspace.project(normal_features(spark, sf_dir), theta(spark, sf_dir), blocks).withColumn("v", F.round("v", 6))
+    v, f = vocabulary_and_rows(spark, sf_dir)
+    return subspace.project(vocab.l2_normalize(f), theta(v), blocks).withColumn("v", F.round("v", 6))
 
 
 def vectors(spark, sf_dir):
@@ -641,19 +663,20 @@ def scaling_factor(spark, sf_dir):
 
 @query(f"WITH {VOCAB}, w AS (SELECT {WEIGHT} AS w FROM voc) SELECT count(*) FILTER (w <> 0) AS nnz, round(count(*) FILTER (w <> 0) / (count(*) * 1.0), 6) AS density FROM w")
 def weight_density(spark, sf_dir):
-    w = weights(spark, sf_dir)
+    w = weights(global_vocab(spark, sf_dir))
     return stats.density(w, w.count(), 1).withColumn("density", F.round("density", 6))
 
 
 @query(f"WITH {NORMAL}, sc AS (SELECT doc_id, class_id, round(sum(val * (((fid * 31 + class_id * 17) % 101) / 101.0)), 9) AS s FROM normed CROSS JOIN (SELECT unnest([0, 1, 2]) AS class_id) GROUP BY ALL) SELECT doc_id, class_id::INTEGER AS class_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, class_id DESC) AS r FROM sc) WHERE r = 1")
 def argmax_class(spark, sf_dir):
-    w = global_vocab(spark, sf_dir).select("fid", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("class_id")).withColumn("w", ((F.col("fid") * 31 + F.col("class_id") * 17) % 101) / F.lit(101.0))
-    return subspace.argmax_class(normal_features(spark, sf_dir), w)
+    v, f = vocabulary_and_rows(spark, sf_dir)
+    w = v.select("fid", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("class_id")).withColumn("w", ((F.col("fid") * 31 + F.col("class_id") * 17) % 101) / F.lit(101.0))
+    return subspace.argmax_class(vocab.l2_normalize(f), w)
 
 
 @query(f"WITH {VOCAB}, w AS (SELECT fid % 3 AS class_id, fid, {WEIGHT} AS w FROM voc), r AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY w DESC, fid) AS rank FROM w) SELECT class_id::BIGINT AS class_id, fid::BIGINT AS fid, round(w, 6) AS w, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def top_weights(spark, sf_dir):
-    return selection.top_weights(weights(spark, sf_dir).withColumn("class_id", F.col("fid") % 3), 10).select("class_id", "fid", F.round("w", 6).alias("w"), "rank")
+    return selection.top_weights(weights(global_vocab(spark, sf_dir)).withColumn("class_id", F.col("fid") % 3), 10).select("class_id", "fid", F.round("w", 6).alias("w"), "rank")
 
 
 @query("""WITH d AS (SELECT unnest(range(max(len(embedding))))::INTEGER AS i FROM embeddings), v AS (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL)
@@ -828,7 +851,7 @@ def clscl_accuracy(spark, sf_dir):
     labels = quality(spark, sf_dir)
     known = labels.select("doc_id")
     source = en.join(known, "doc_id", "left_semi")
-    model = clscl.train(spark, source, english_labels(spark, sf_dir), en.join(known, "doc_id", "left_anti"), de, dictionary(spark, sf_dir), m=20, phi=5, k=8, visits=5e3)
+    model = clscl.train(spark, source, english_labels(spark, sf_dir), en.join(known, "doc_id", "left_anti"), de, Languages(spark, sf_dir).dictionary(), m=20, phi=5, k=8, visits=5e3)
     return clscl.evaluate(spark, model, source, labels, de.join(known, "doc_id", "left_semi"), labels, 3, visits=2e4)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 from .selection import pos_filter
 from .templates import features, history
 from .vocab import dense_ids
@@ -29,7 +29,7 @@ def corpus_order(tokens: DataFrame) -> DataFrame:
     event = (~F.col("tag").isin(OUTSIDE, UNKNOWN)).cast("long")
     per = tokens.groupBy("doc_id").agg(F.sum(event).alias("_n"))
     # documents by ranges of ids, so that no task sees all of them; ranges are as many as partitions
-    placed = per.repartitionByRange("doc_id").withColumn("_p", F.shiftright(F.monotonically_increasing_id(), 33)).persist()
+    placed = written(tokens.sparkSession, per.repartitionByRange("doc_id").withColumn("_p", F.shiftright(F.monotonically_increasing_id(), 33)), "events")
     base, rows = 0, []
     for r in placed.groupBy("_p").agg(F.sum("_n").alias("n"), F.min("doc_id").alias("low")).orderBy("low").collect():
         rows.append((r["_p"], base))

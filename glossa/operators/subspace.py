@@ -6,15 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexicon import small
+
 
 def inverted_index(features: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(task_id, doc_ids): the documents that hold a feature of the task. tasks: (task_id, fid)."""
-    return features.select("doc_id", "fid").join(tasks, "fid").groupBy("task_id").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    """(task_id, doc_id): the documents that hold a feature of the task, a row each, so no list outgrows a row. tasks: (task_id, fid)."""
+    return features.select("doc_id", "fid").join(small(tasks.select("task_id", "fid")), "fid").select("task_id", "doc_id").distinct()
 
 
 def autolabel(examples: DataFrame, features: DataFrame, tasks: DataFrame) -> DataFrame:
     """(task_id, doc_id, y): +1 for documents with a feature of the task, else -1, for every task of a bounded list."""
-    hits = features.select("doc_id", "fid").join(F.broadcast(tasks), "fid").select("task_id", "doc_id").distinct().withColumn("hit", F.lit(1))
+    hits = inverted_index(features, tasks).withColumn("hit", F.lit(1))
     every = examples.select("doc_id").withColumn("task_id", F.explode(F.array(*[F.lit(int(r.task_id)).cast("long") for r in tasks.select("task_id").distinct().orderBy("task_id").collect()])))
     return every.join(hits, ["task_id", "doc_id"], "left").select("task_id", "doc_id", F.when(F.col("hit") == 1, 1).otherwise(-1).alias("y"))
 
@@ -43,21 +45,19 @@ def argmax_class(features: DataFrame, weights: DataFrame) -> DataFrame:
 def project(features: DataFrame, theta: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(doc_id, dim, v): sum of val * theta[fid]. With blocks (block_id, f_min, f_max) each block has dimensions of its own.
 
-    theta: (fid, vec array<double>).
+    theta: (fid, vec array<double>), vectors of one size. A feature stays one row until the sums: a sum for each dimension,
+    partly made before the shuffle, and only the sums are laid out by dimension.
     """
-    rows = features.join(theta, "fid")
-    slot = F.col("d")
+    if (first := theta.select(F.size("vec").alias("k")).first()) is None:
+        return features.sparkSession.createDataFrame([], f"doc_id {features.schema['doc_id'].dataType.simpleString()}, dim int, v double")
+    rows, by, base = features.join(small(theta), "fid"), ["doc_id"], F.lit(0)
     if blocks is not None:
-        # a few blocks: their bounds become one sorted array, the block of a feature is found in the row
-        k = F.size("vec")
+        # a few blocks: their bounds become one expression, the block of a feature is found in the row
         bounds = [(r.block_id, r.f_min, r.f_max) for r in blocks.orderBy("f_min").collect()]
-        block = F.coalesce(*[F.when(F.col("fid").between(low, high), F.lit(b)) for b, low, high in bounds])
-        rows = rows.withColumn("_b", block).where("_b is not null")
-        slot = F.col("_b") * k + F.col("d")
-        rows = rows.select("doc_id", "val", "vec", "_b", F.posexplode("vec").alias("d", "t"))
-    else:
-        rows = rows.select("doc_id", "val", F.posexplode("vec").alias("d", "t"))
-    return rows.groupBy("doc_id", slot.cast("int").alias("dim")).agg(F.sum(F.col("val") * F.col("t")).alias("v"))
+        rows = rows.withColumn("_b", F.coalesce(*[F.when(F.col("fid").between(low, high), F.lit(b)) for b, low, high in bounds])).where("_b is not null")
+        by, base = ["doc_id", "_b"], F.col("_b") * first.k
+    sums = rows.groupBy(*by).agg(*[F.sum(F.col("val") * F.col("vec")[i]).alias(f"_{i}") for i in range(first.k)])
+    return sums.select(*by, F.posexplode(F.array(*[F.col(f"_{i}") for i in range(first.k)])).alias("_d", "v")).select("doc_id", (base + F.col("_d")).cast("int").alias("dim"), "v")
 
 
 def dense(projected: DataFrame, dims: int) -> DataFrame:

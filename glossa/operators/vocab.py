@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def dense_ids(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
     """Adds ids from ``start`` in the order of a column of distinct values.
 
     Two levels: rows of a range are numbered within their range, and ranges (as many as partitions) get running bases, so
-    no task sees the whole table.
+    no task sees the whole table. The rows are written with their places, so all readers see the same numbers.
     """
     spark = df.sparkSession
-    placed = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.persist()
+    placed = written(spark, df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "ids")
     base, bases = start, []
     for r in placed.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect():
         bases.append((r["_p"], base))

@@ -14,7 +14,8 @@ Items travel to the tasks in portions of at most ITEM_WORDS words, so what is br
 documents are read once for each portion and never shuffled.
 
 Defined cases: null and empty documents and items match nothing; items below five words are one shingle and match only
-as a whole; repeated documents and items each give their rows; empty tables give an empty result; other columns are
+as a whole; of windows of equal similarity the first is given; texts of any length are searched whole; repeated documents
+each give their rows, repeated items one for their item_id; empty tables give an empty result; other columns are
 ignored, or kept by ``clean``.
 """
 

@@ -14,7 +14,7 @@ the corpus, seen in training or not, gets its probability where its context is.
 tasks (bounded), and what a text holds beyond them is joined to the full tables and added up by document.
 
 Defined cases: null and empty texts hold the end alone; an empty training set gives base scores of N = 0, V = 0 and even
-odds for every bit; repeated rows are each scored (and each counted, if they train); a null doc_id trains; an empty table
+odds for every bit; texts of any length are scored whole; repeated rows are each scored (and each counted, if they train); a null doc_id trains; an empty table
 gives an empty result; other columns are ignored.
 """
 

@@ -6,7 +6,8 @@ random but public (a digest of a usual length, a UUID) or a name made of words o
 characters need more tokens, the shorter the more, as chance weighs more. A run of key characters is tested whole, and
 otherwise by the stretches between its words, so a key behind a path is found.
 
-Defined cases: null and empty texts hold no spans; repeated rows are each searched; an empty table gives an empty
+Defined cases: null and empty texts hold no spans; texts of any length are searched whole, in time that grows with them;
+repeated rows are each searched; an empty table gives an empty
 result; other columns are ignored (op6) or kept (redact).
 """
 

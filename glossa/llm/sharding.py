@@ -9,7 +9,7 @@ linked rows than its share. Documents without links fill what is left.
 Places follow from two global ranks (range partitions, sorted, with a bounded table of offsets): of a document within its
 group, and within its shard. A group beyond any size is spread over tasks like other rows.
 
-Defined cases: a null text has size 1 and the CRC of the empty text, and nulls form one group; repeated rows each get a
+Defined cases: a null text has size 1 and the CRC of the empty text, and nulls form one group; texts of any length have their own size; repeated rows each get a
 slot of their own; a null doc_id sorts first; an empty table gives an empty result; other columns are ignored.
 """
 

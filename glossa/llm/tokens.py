@@ -8,8 +8,7 @@ documents, or the metadata without any ids. ``local_start`` counts ids within th
 the whole stream is one bounded table of shard totals away.
 
 Defined cases: null and empty texts hold the end id alone; repeated doc_ids keep all rows, in order of the hash of their
-text and of the text; a null
-doc_id sorts first; an empty table writes no rows; other columns are ignored.
+text and of the text; a null doc_id sorts first; texts of any length are encoded whole; an empty table writes no rows; other columns are ignored.
 """
 
 from __future__ import annotations

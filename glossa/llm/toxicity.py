@@ -7,7 +7,7 @@ EFFECT become features, scaled by the log-ratio of their smoothed counts. A logi
 the same rows. So the labels that travel are bounded and the texts aren't shuffled.
 
 Defined cases: null and empty texts are scored by the intercept; without labelled rows of both classes the score is 0;
-repeated label rows count as often as they occur; a label that is null or belongs to no document is left out; repeated
+repeated label rows count as often as they occur; texts of any length are scored whole; a label that is null or belongs to no document is left out; repeated
 documents are each scored; an empty table gives an empty result; other columns are ignored or passed through.
 """
 

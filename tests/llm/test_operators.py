@@ -178,6 +178,30 @@ def test_near_dedup_joins_groups_and_finds_all_pairs(spark):
     assert kept == Counter(set(group))
 
 
+def test_near_dedup_against_all_pairs(spark):
+    """On the prose of the test tables: the groups are those of all pairs of similarity 0.8, and one of each stays."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in d.select("doc_id", "text").collect()}
+    sets = {i: frozenset(simhash.set_hashes(t).tolist()) for i, t in texts.items()}
+    by = {}
+    for i, x in sets.items():
+        for h in x:
+            by.setdefault(h, []).append(i)
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    shared = Counter((a, b) for ids in by.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in pairs:
+        label[max(root(a), root(b))] = min(root(a), root(b))
+    kept = Counter(root(r.doc_id) for r in simhash.near_dedup(spark, d).collect())
+    assert len(pairs) > 100 and kept == Counter({root(i) for i in sets})
+
+
 def test_token_files(spark, tables, odd_docs, tmp_path):
     from tokenizers import Tokenizer
 
@@ -196,6 +220,33 @@ def test_token_files(spark, tables, odd_docs, tmp_path):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_token_files_are_read_in_parts(spark, tmp_path):
+    """Dictionary-coded lists in several row groups with page indexes; a few documents, or figures alone, without the rest."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(1)
+    d = spark.createDataFrame([(i, prose(rnd, 400)) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    path = f"{tmp_path}/tokens"
+    tokens.write_tokens(spark, d, path)
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{path}/*.parquet")]
+    for f in files:
+        for k in range(f.metadata.num_row_groups):
+            columns = {c.path_in_schema: c for c in (f.metadata.row_group(k).column(j) for j in range(f.metadata.num_columns))}
+            ids = next(c for n, c in columns.items() if n.startswith("tokens"))
+            assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(ids.encodings) and ids.total_uncompressed_size < 2.4 * ids.num_values
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert columns["n_tokens"].total_compressed_size < ids.total_compressed_size / 20
+    some = tokens.read_tokens(spark, path).where("doc_id between 1200 and 1203")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,1200), LessThanOrEqual(doc_id,1203)" in plan
+    assert sorted(r.doc_id for r in some.collect()) == [1200, 1201, 1202, 1203]
+    figures = tokens.read_tokens(spark, path, ()).select("doc_id", "start")
+    assert "tokens:" not in figures._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert figures.where("start = 0").count() == 1
+
+
 def test_word_encoder_is_the_library():
     e = tokens.WordEncoder(tokens.tokenizer_path())
     rnd = random.Random(2)
@@ -522,6 +573,54 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score(spark, d.limit(3), none).collect()} == {0.0}
 
 
+def test_toxicity_is_its_dense_version(spark):
+    """The same features, ratios and descent, on sets of n-grams in plain Python; labels that occur twice count twice."""
+    rnd = random.Random(18)
+    data = [(i, prose(rnd, rnd.randint(5, 60)) + (f" {rnd.choice(['nitwit', 'DIMWIT', 'halfwit'])} \n" + prose(rnd, 5) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    labels = [(i, y) for i, _, y in data] + [(i, y) for i, _, y in data[:40]] + [(4, 0), (None, 1), (9999, 1), (8, None)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    model = toxicity.train(spark, d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(spark, d, model).collect()}
+
+    def grams(t):
+        words = [b" " + w + b" " for w in t.encode().lower().split()]
+        found = set()
+        for w in words:
+            for n in toxicity.SIZES:
+                found |= {w[k : k + n] for k in range(len(w) - n + 1)}
+        return found
+
+    def place(g):
+        key = int.from_bytes(g, "little") ^ len(g)
+        return (key * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.PLACES_LOG2)
+
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in data}
+    texts = {i: {place(g) for g in grams(t)} for i, t, _ in data}
+    n = Counter((i, int(y > 0)) for i, y in labels if i in texts and y is not None and not held[i])
+    size = [sum(c for (_, y), c in n.items() if y == k) for k in (0, 1)]
+    p, q = (Counter(g for (i, y), c in n.items() if y == k for g in texts[i] for _ in range(c)) for k in (1, 0))
+    kept = []
+    for g in sorted(p | q):
+        share = (p[g] + q[g] + 1) / (sum(size) + 2)
+        z = abs(p[g] / size[1] - q[g] / size[0]) / math.sqrt(share * (1 - share) * (1 / size[1] + 1 / size[0]))
+        ratio = math.log((p[g] + 1) / (size[1] + 2)) - math.log((q[g] + 1) / (size[0] + 2))
+        if z > toxicity.Z and abs(ratio) > math.log(toxicity.EFFECT):
+            kept.append((g, ratio))
+    rows = sorted(n)
+    x = np.array([[r * (g in texts[i]) for g, r in kept] for i, _ in rows])
+    y, weight = np.array([y for _, y in rows], float), np.array([n[r] for r in rows], float)
+    w, b, sw, sb = np.zeros(len(kept)), 0.0, np.full(len(kept), 1e-8), 1e-8
+    for _ in range(400):
+        g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y) / weight.sum()
+        gw = x.T @ g + toxicity.RIDGE * w / len(kept)
+        sw, sb = sw + gw**2, sb + g.sum() ** 2
+        w, b = w - 0.5 * gw / np.sqrt(sw), b - 0.5 * g.sum() / np.sqrt(sb)
+    assert len(kept) > 5
+    for i, t, _ in data:
+        z = b + sum(v * r for v, (g, r) in zip(w, kept, strict=True) if g in texts[i])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
 def test_toxicity_query_defines_odd_rows(spark, tables, odd_docs):
     got = toxicity.op8(spark, tables[0]).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in odd_docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
@@ -568,6 +667,15 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     assert sorted((r.doc_id, r.item_id, r.start_word, r.end_word, round(r.similarity, 6)) for r in got) == [(0, 1, 0, 59, round(55 / 56, 6)), (1, 1, 0, 59, round(55 / 56, 6)), (2, 1, 0, 50, round(46 / 56, 6)), (5, 1, 0, 59, round(51 / 60, 6))]
 
 
+def test_decontamination_takes_the_first_of_equal_windows(spark):
+    w = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(["x", *w, "y", *w])), (1, " ".join(w)), (None, " ".join(w)), (2, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(w)), (7, " ".join(w)), (8, None)], "item_id long, text string")
+    got = decontaminate.matches(spark, docs, items).collect()
+    assert Counter((r.doc_id, r.item_id, r.start_word, r.end_word) for r in got) == Counter([(1, 7, 1, 13), (1, 7, 0, 12), (None, 7, 0, 12)])
+    assert Counter(r.doc_id for r in decontaminate.clean(spark, docs, items).collect()) == Counter([2, 3])
+
+
 def test_block_lookup_finds_the_whole_radius():
     s = decontaminate.Sized()
     r = np.random.default_rng(3)
@@ -590,6 +698,26 @@ def test_sharding(spark, tables, odd_docs):
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in odd_docs)
 
 
+def test_sharding_cuts_few_links(spark):
+    """Cut links against the start, which is a placement by hash, and against the least that quotas allow."""
+    rnd = random.Random(2)
+    sizes = [rnd.choice([2, 3, 5, 8, 13]) for _ in range(150)] + [1] * 400
+    data = [(g, i) for i, (g, _) in enumerate((g, k) for g, n in enumerate(sizes) for k in range(n))]
+    df = spark.createDataFrame(data, "g long, doc_id long").repartition(4)
+
+    def cut(rounds):
+        rows = sharding.shard_rows(spark, df, rounds=rounds).collect()
+        n = Counter(r.shard for r in rows)
+        assert len(rows) == len(data) and max(n.values()) - min(n.values()) <= 1
+        cells = Counter((r.g, r.shard) for r in rows)
+        return sum(k * (k - 1) // 2 for k in sizes) - sum(k * (k - 1) // 2 for k in cells.values())
+
+    start, end = cut(0), cut(sharding.ROUNDS)
+    # all groups fit whole: shards filled one after the other split seven groups at most
+    least = sum(sorted((n // 2) * (n - n // 2) for n in sizes)[-7:])
+    assert end <= start / 6 and end <= 6 * least
+
+
 def test_sharding_keeps_groups_and_splits_a_giant(spark):
     sizes = [400, *[5] * 60, *[1] * 300]
     data = [(k, i) for i, (k, g) in enumerate((k, g) for g, s in enumerate(sizes) for k in [g] * s)]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+if TYPE_CHECKING:  # workers that never see a frame needn't load the library
+    import pandas as pd
+
 #: White space between words: the six ASCII characters, nothing else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"

@@ -47,9 +47,9 @@ MARK = "▁"
 HOT_BYTES = 48 << 20
 UNIT_BYTES = 24
 #: Text bytes that are encoded together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct units that a task counts before it hands them on.
-COUNTED_UNITS = 400_000
+COUNTED_UNITS = 1_500_000
 #: Distinct units that one task folds.
 UNITS_A_TASK = 8_000
 LONG = 20_000

@@ -75,7 +75,10 @@ def evaluate(spark: SparkSession, model: Model, train_bow: DataFrame, train_labe
     ship(spark)
     held = []
     for bow, labels, side in ((train_bow, train_labels, "s"), (test_bow, test_labels, "t")):
-        pdf = model.project(bow, side).join(labels.select("doc_id", "y"), "doc_id").orderBy("doc_id").toPandas()
+        rows = model.project(bow, side).join(labels.select("doc_id", "y"), "doc_id")
+        if (n := rows.count()) * model.dims > linear.BROADCAST_VALUES:
+            raise ValueError(f"{n} rows of {model.dims} values are too many for one task")
+        pdf = rows.orderBy("doc_id").toPandas()
         held.append((np.array(pdf["vec"].tolist()).reshape(len(pdf), -1), pdf["y"].to_numpy(float)))
     shared = spark.sparkContext.broadcast(held)
 

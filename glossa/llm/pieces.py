@@ -235,10 +235,17 @@ def beyond(units: pa.Array) -> np.ndarray:
     return np.greater(pc.binary_length(units).to_numpy(zero_copy_only=False), LONG)
 
 
+def forget() -> None:
+    """A worker outlives a job; what it has loaded for one needn't."""
+    _LOADED.pop("encoder", None)
+    _LOADED.pop("for", None)
+
+
 def count_units(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(unit, n): the distinct units of all texts, word marks in place of spaces, and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model, held, size = pieces(path), [], 0
 
         def summed() -> pa.Table:
@@ -363,8 +370,12 @@ def packed(hot: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, n
     return whole[0], ends(whole[1]), np.frombuffer(whole[2], np.uint64), ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, ends(whole[4])
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """Adds the ids of a text column to all columns of ``docs``; with ``back`` also the text decoded from them, in the same pass."""
+def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None, hot_bytes: int = HOT_BYTES, digest: bool = False) -> DataFrame:
+    """Adds the ids of a text column to all columns of ``docs``; with ``back`` also the text decoded from them, in the same pass.
+
+    digest: (n_tokens, ids_crc32, decoded_crc32, exact) in place of text and ids, which then never leave the pass; exact
+    tells whether the decoded text is the text.
+    """
     ship(spark)
     path = path or model_path()
     units = staged(spark, count_units(docs, path, text), "units")
@@ -377,6 +388,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
 
     def encoder() -> Encoder:
         if _LOADED.get("for") is not shared.value:
+            forget()  # before the next one is built beside it
             raw, ends, hashes, ids, id_ends = shared.value
             hot = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
             _LOADED.update({"for": shared.value, "encoder": Encoder(pieces(path), hot, hashes, ids, id_ends)})
@@ -395,14 +407,20 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
                 answers = {a["unit"].replace(MARK, " ").encode(): a["ids"] for x in b.column(found).to_pylist() if x for a in x} if rare else {}
                 ids, count = enc.encode([t or b"" for t in texts], answers)
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                made = {text: pa.array(texts, pa.binary()).cast(b_type[text]), out: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+                if digest:
+                    made = digests(enc.model, texts, ids, ends)
+                else:
+                    made = {text: pa.array(texts, pa.binary()).cast(text_type), out: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
                 if back:
                     made[back] = pa.array([t.decode(errors="replace") for t in decoded(enc.model, ids, ends)])
                 yield pa.record_batch([made[c] if c in made else b.column(c) for c in names], names=names)
 
-    names = [*docs.columns, out, *([back] if back else [])]
-    b_type = {text: pa.binary() if docs.schema[text].dataType.typeName() == "binary" else pa.string()}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` array<int>", *([f"`{back}` string"] if back else [])])
+    text_type = pa.binary() if docs.schema[text].dataType.typeName() == "binary" else pa.string()
+    fields = [f for f in docs.schema if not digest or f.name != text]
+    more = DIGEST if digest else {out: "array<int>"}
+    more = more | ({back: "string"} if back else {})
+    names = [*(f.name for f in fields), *more]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` {t}" for n, t in more.items())])
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("binary").alias(own))
     rare = not unknown.isEmpty()
     if not rare:
@@ -470,27 +488,16 @@ def decode(spark: SparkSession, df: DataFrame, path: str | None = None, ids: str
     return df.mapInArrow(run, schema)
 
 
-def digest(df: DataFrame, path: str | None = None) -> DataFrame:
-    """(n_tokens, ids_crc32, decoded_crc32, exact) in place of text and ids; the ids are decoded on the way."""
-    path = path or model_path()
-    keep = [c for c in df.columns if c not in ("text", "ids")]
+DIGEST = {"n_tokens": "long", "ids_crc32": "long", "decoded_crc32": "long", "exact": "boolean"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
-        for whole in batches:
-            for b in slices(whole, "text", SLICE_BYTES):
-                lists = b.column("ids")
-                ends = np.asarray(lists.offsets)
-                ids, ends = np.asarray(lists.values)[ends[0] : ends[-1]].astype("<u4"), ends - ends[0]
-                texts = decoded(model, ids, ends)
-                crc = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                exact = [(t or b"").replace(MARK.encode(), b" ") == d for t, d in zip(b.column("text").to_pylist(), texts, strict=True)]
-                yield pa.record_batch([*(b.column(c) for c in keep), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(exact)], names=[*keep, "n_tokens", "ids_crc32", "decoded_crc32", "exact"])
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, ids_crc32 long, decoded_crc32 long, exact boolean"])
-    return df.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
+def digests(model: Pieces, texts: list[bytes | None], ids: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
+    back = decoded(model, ids, ends)
+    plain = ids.astype("<u4")
+    crc = [zlib.crc32(plain[i:j].tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    exact = [(t or b"").replace(MARK.encode(), b" ") == d for t, d in zip(texts, back, strict=True)]
+    return {"n_tokens": pa.array(np.diff(ends).astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array([zlib.crc32(t) for t in back], pa.int64()), "exact": pa.array(exact)}
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = clip_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return digest(encode(spark, docs))
+    return encode(spark, clip_columns(table(spark, sf_dir, "documents"), "doc_id", "text"), digest=True)

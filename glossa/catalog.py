@@ -131,10 +131,12 @@ def disjoint_vocab(spark, sf_dir):
     return sides(spark, sf_dir)
 
 
-LINE = "SELECT doc_id, string_agg(term || ':' || freq, ' ' ORDER BY encode(term)) || ' #label#:' || (CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END) AS line FROM bow GROUP BY doc_id"
+LINE = """SELECT doc_id, string_agg(term || ':' || freq, ' '
+ORDER BY encode(term)) || ' #label#:' || (CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END) AS line FROM bow GROUP BY doc_id"""
 
 
-@query(f"WITH {bow_sql()} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label, term, freq::INTEGER AS freq FROM bow WHERE position(':' IN term) = 0")
+@query(f"""WITH {bow_sql()} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label, term, freq::INTEGER AS freq FROM bow
+WHERE position(':' IN term) = 0""")
 def bow_parse(spark, sf_dir):
     label = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
     items = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "term", "freq"))), " ")
@@ -225,7 +227,8 @@ pairs AS (SELECT fid, class, coalesce(p, 0) AS p, c - coalesce(p, 0) AS q, c, n_
 {mi_sql('fid, class', 'pairs')}, ranked AS (SELECT fid, class, row_number() OVER (PARTITION BY class ORDER BY round(mi, 9) DESC, fid) AS rank FROM mi)"""
 
 
-@query(f"WITH {MULTI} SELECT fid::BIGINT AS fid, t.rank::INTEGER AS rank, t.class AS class FROM (SELECT fid, min({{'rank': rank, 'class': class}}) AS t FROM ranked WHERE rank <= 1000 GROUP BY fid)")
+@query(f"""WITH {MULTI} SELECT fid::BIGINT AS fid, t.rank::INTEGER AS rank, t.class AS class FROM (SELECT fid, min({{'rank': rank, 'class': class}}) AS t
+FROM ranked WHERE rank <= 1000 GROUP BY fid)""")
 def mi_multiclass_roundrobin(spark, sf_dir):
     ex = read(spark, sf_dir, "documents").where("lang is not null").select("doc_id", F.col("lang").alias("label"))
     classes = [r.label for r in ex.select("label").distinct().collect()]
@@ -237,13 +240,15 @@ def freq_select(spark, sf_dir):
     return selection.frequency_selector(raw_features(spark, sf_dir), 10)
 
 
-@query(f"WITH {FEATURES}, o AS (SELECT DISTINCT fid, md5(fid::VARCHAR || ':7:0') AS key FROM feats) SELECT fid::BIGINT AS fid, row_number() OVER (ORDER BY key, fid) - 1 AS place FROM o")
+@query(f"""WITH {FEATURES}, o AS (SELECT DISTINCT fid, md5(fid::VARCHAR || ':7:0') AS key FROM feats)
+SELECT fid::BIGINT AS fid, row_number() OVER (ORDER BY key, fid) - 1 AS place FROM o""")
 def random_select(spark, sf_dir):
     chosen = selection.random_selector(raw_features(spark, sf_dir), 7)
     return vocab.dense_ids(chosen.withColumn("key", vocab.shuffled(7, key="fid")), "key", "place").drop("key")
 
 
-@query(f"WITH {FEATURES} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats WHERE fid IN (SELECT fid FROM voc WHERE starts_with(term, 'th')) GROUP BY fid HAVING count(*) >= 3")
+@query(f"""WITH {FEATURES} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats WHERE fid IN (SELECT fid FROM voc WHERE starts_with(term, 'th'))
+GROUP BY fid HAVING count(*) >= 3""")
 def preselection(spark, sf_dir):
     v, f = vocabulary_and_rows(spark, sf_dir)
     return selection.frequency_selector(f, 3, v.where(F.col("term").startswith("th")))
@@ -254,12 +259,15 @@ def seeded_shuffle(spark, sf_dir):
     return quality(spark, sf_dir).select("doc_id", "y", vocab.shuffled(13).alias("place"))
 
 
-@query(f"WITH {QUALITY} SELECT doc_id, y::INTEGER AS y FROM ex ORDER BY md5(doc_id::VARCHAR || ':0:0'), doc_id::VARCHAR LIMIT (SELECT greatest(1, count(*) // 10) FROM ex)")
+@query(f"""WITH {QUALITY} SELECT doc_id, y::INTEGER AS y FROM ex
+ORDER BY md5(doc_id::VARCHAR || ':0:0'), doc_id::VARCHAR LIMIT (SELECT greatest(1, count(*) // 10) FROM ex)""")
 def sample_probe(spark, sf_dir):
     return selection.sample_probe(quality(spark, sf_dir))
 
 
-@query("SELECT doc_id, line_no::BIGINT AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) WHERE line_no < 2")
+@query("""SELECT doc_id, line_no::BIGINT AS line_no, line
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+WHERE text IS NOT NULL) WHERE line_no < 2""")
 def line_limit(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return readers.first_lines(lines, 2).withColumn("line_no", F.col("line_no").cast("long"))
@@ -284,7 +292,8 @@ def caseabstract(spark, sf_dir):
     return distinct_words(spark, sf_dir).select("word", T.caseabstract(F.col("word")).alias("abstract"))
 
 
-@query(f"WITH {WORDS}, dated AS (SELECT word FROM words UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders) SELECT word, CASE WHEN regexp_matches(word, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '*date*' ELSE word END AS dated FROM dated")
+@query(f"""WITH {WORDS}, dated AS (SELECT word FROM words UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders)
+SELECT word, CASE WHEN regexp_matches(word, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '*date*' ELSE word END AS dated FROM dated""")
 def datify(spark, sf_dir):
     dated = distinct_words(spark, sf_dir).union(read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd")))
     return dated.select("word", T.datify(F.col("word")).alias("dated"))
@@ -298,12 +307,14 @@ def shape_flags(spark, sf_dir):
     return distinct_words(spark, sf_dir).select("word", T.istitle(w).alias("istitle"), T.isupper(w).alias("isupper"), T.islower(w).alias("islower"), T.isdigit(w).alias("isdigit"), T.isalnum(w).alias("isalnum"), T.inner_hyphen(w).alias("hyphen"), T.mixedcase(w).alias("mixedcase"), T.capital_period(w).alias("ccwp"), T.title_hyphen(w).alias("tcsh"), T.ispunctuation(w).alias("punct"), T.isdigit(w, 2).alias("is2digit"), T.isdigit(w, 4).alias("is4digit"), F.length(w).alias("wlen"))
 
 
-@query(f"WITH {WORDS}, t AS (SELECT word, [{{'k': 'istitle', 'b': {TITLE('word')}}}, {{'k': 'isdigit', 'b': regexp_matches(word, '^[0-9]+$')}}, {{'k': 'isupper', 'b': {UPPER('word')}}}, {{'k': 'inhyphen', 'b': {HYPHEN('word')}}}, {{'k': 'isalnum', 'b': regexp_matches(word, '^[A-Za-z0-9]+$')}}] AS x FROM words) SELECT word, s.k AS shape FROM (SELECT word, unnest(x) AS s FROM t) WHERE s.b")
+@query(f"""WITH {WORDS}, t AS (SELECT word, [{{'k': 'istitle', 'b': {TITLE('word')}}}, {{'k': 'isdigit', 'b': regexp_matches(word, '^[0-9]+$')}}, {{'k': 'isupper', 'b': {UPPER('word')}}}, {{'k': 'inhyphen', 'b': {HYPHEN('word')}}}, {{'k': 'isalnum', 'b': regexp_matches(word, '^[A-Za-z0-9]+$')}}] AS x
+FROM words) SELECT word, s.k AS shape FROM (SELECT word, unnest(x) AS s FROM t) WHERE s.b""")
 def shape_extractor(spark, sf_dir):
     return distinct_words(spark, sf_dir).select("word", F.explode(T.shapes(F.col("word"))).alias("shape"))
 
 
-@query(f"WITH {WORDS}, n AS (SELECT word, {NUM('word')} AS w FROM words) SELECT word, right(w, 1) AS s1, right(w, 2) AS s2, right(w, 3) AS s3, right(w, 4) AS s4, left(w, 3) AS p3, left(w, 4) AS p4 FROM n")
+@query(f"""WITH {WORDS}, n AS (SELECT word, {NUM('word')} AS w FROM words)
+SELECT word, right(w, 1) AS s1, right(w, 2) AS s2, right(w, 3) AS s3, right(w, 4) AS s4, left(w, 3) AS p3, left(w, 4) AS p4 FROM n""")
 def affixes(spark, sf_dir):
     w = T.numify(F.col("word"))
     return distinct_words(spark, sf_dir).select("word", *(T.suffix(w, n).alias(f"s{n}") for n in (1, 2, 3, 4)), *(T.prefix(w, n).alias(f"p{n}") for n in (3, 4)))
@@ -329,7 +340,9 @@ def dictionary_normalize(spark, sf_dir):
 WIN = "WINDOW s AS (PARTITION BY doc_id, sent_id ORDER BY tok_idx)"
 
 
-@query(f"WITH {TOKENS} SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word, lag(word, 1, '<s>') OVER s AS pre, lag(word, 2, '<s>') OVER s AS pre2, lead(word, 1, '</s>') OVER s AS post, lead(word, 2, '</s>') OVER s AS post2 FROM tokens {WIN}")
+@query(f"""WITH {TOKENS}
+SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word, lag(word, 1, '<s>') OVER s AS pre, lag(word, 2, '<s>') OVER s AS pre2, lead(word, 1, '</s>') OVER s AS post, lead(word, 2, '</s>') OVER s AS post2
+FROM tokens {WIN}""")
 def context_window(spark, sf_dir):
     t = templates.with_neighbours(tokens(spark, sf_dir))
     return t.select("doc_id", "sent_id", "tok_idx", "word", *(templates.at("word", p).alias(n) for p, n in (("pre", "pre"), ("2pre", "pre2"), ("post", "post"), ("2post", "post2"))))
@@ -341,18 +354,22 @@ def word_bigrams(spark, sf_dir):
     return t.select(T.joined(templates.at("num", "pre"), templates.at("num", "cur")).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TOKENS}, h AS (SELECT lag(tag, 1, '<s>') OVER s AS one, lag(tag, 2, '<s>') OVER s AS two FROM tokens {WIN}) SELECT one AS pre, two AS pre2, two || '/' || one AS bigram, count(*) AS n FROM h GROUP BY ALL")
+@query(f"""WITH {TOKENS}, h AS (SELECT lag(tag, 1, '<s>') OVER s AS one, lag(tag, 2, '<s>') OVER s AS two FROM tokens {WIN})
+SELECT one AS pre, two AS pre2, two || '/' || one AS bigram, count(*) AS n FROM h GROUP BY ALL""")
 def history_gold(spark, sf_dir):
     h = templates.history(tokens(spark, sf_dir), "zj03").groupBy("doc_id", "sent_id", "tok_idx").agg(*(F.max(F.when(F.col("ftype") == f, F.col("fval"))).alias(n) for f, n in (("pre_tag", "pre"), ("pre_pre_tag", "pre2"), ("tag_bigram", "bigram"))))
     return h.groupBy("pre", "pre2", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TOKENS}, b AS (SELECT unnest(list(word) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS fval FROM tokens) SELECT 'bow-4--1' AS ftype, fval, count(*) AS n FROM b GROUP BY fval")
+@query(f"""WITH {TOKENS}, b AS (SELECT unnest(list(word) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS fval
+FROM tokens) SELECT 'bow-4--1' AS ftype, fval, count(*) AS n FROM b GROUP BY fval""")
 def bow_window(spark, sf_dir):
     return templates.bag_window(tokens(spark, sf_dir), -4, -1).groupBy("ftype", "fval").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TOKENS}, n AS (SELECT *, lag(word, 1, '<s>') OVER s AS pre FROM tokens {WIN}) SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word FROM n WHERE ({NUM('pre')}) IN ('the.', 'of.', 'and.', 'a.') AND {TITLE(f'({NUM(chr(119) + chr(111) + chr(114) + chr(100))})')}")
+@query(f"""WITH {TOKENS}, n AS (SELECT *, lag(word, 1, '<s>') OVER s AS pre FROM tokens {WIN})
+SELECT doc_id, sent_id::BIGINT AS sent_id, tok_idx::INTEGER AS tok_idx, word FROM n
+WHERE ({NUM('pre')}) IN ('the.', 'of.', 'and.', 'a.') AND {TITLE(f'({NUM(chr(119) + chr(111) + chr(114) + chr(100))})')}""")
 def trigger_words(spark, sf_dir):
     t = templates.with_neighbours(tokens(spark, sf_dir), kind="num")
     return t.where(templates.trigger("pre", words=("the.", "of.", "and.", "a."))).select("doc_id", "sent_id", "tok_idx", "word")
@@ -386,7 +403,8 @@ def simple_gazetteer(spark, sf_dir):
     return lexicon.member(c.select("c_custkey", "c_mktsegment"), words, "c_mktsegment")
 
 
-@query(f"{gaz_sql(BILOU)}, w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT p_partkey, word, 'gaz_cur' AS ftype, unnest(string_split(codes, '')) AS fval FROM w JOIN gaz ON word = token")
+@query(f"""{gaz_sql(BILOU)}, w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)
+SELECT p_partkey, word, 'gaz_cur' AS ftype, unnest(string_split(codes, '')) AS fval FROM w JOIN gaz ON word = token""")
 def gazetteer_features(spark, sf_dir):
     w = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
     return lexicon.gazetteer_features(w, lexicon.gazetteer(parts(spark, sf_dir), "bilou"), "gaz_cur")
@@ -395,7 +413,8 @@ def gazetteer_features(spark, sf_dir):
 BITS = "translate(md5(word), '0123456789abcdef', '0101010101010101')"
 
 
-@query(f"WITH {WORDS}, b AS (SELECT word, {BITS} AS bits FROM words WHERE length(word) > 3) SELECT word, 'brown_' || p || '_cur' AS ftype, left(bits, p) AS fval FROM b CROSS JOIN (SELECT unnest([4, 6, 10, 20]) AS p)")
+@query(f"""WITH {WORDS}, b AS (SELECT word, {BITS} AS bits FROM words WHERE length(word) > 3)
+SELECT word, 'brown_' || p || '_cur' AS ftype, left(bits, p) AS fval FROM b CROSS JOIN (SELECT unnest([4, 6, 10, 20]) AS p)""")
 def brown_prefixes(spark, sf_dir):
     w = distinct_words(spark, sf_dir)
     bits = F.translate(F.md5("word"), "0123456789abcdef", "0101010101010101")
@@ -434,7 +453,9 @@ for _name in tuple(templates.SETS):
     ORACLES[f"templates_{_name}"] = oracles.templates_sql(_name, TOKENS, gaz_sql(BILOU), BITS)
 
 
-@query(f"WITH {FNAMES} SELECT list_extract(string_split(fname, '='), 1) AS ftype, min(fid)::BIGINT AS f_min, max(fid)::BIGINT AS f_max, count(*) AS n, max(fid) - min(fid) + 1 = count(*) AS contiguous FROM fvoc GROUP BY 1")
+@query(f"""WITH {FNAMES}
+SELECT list_extract(string_split(fname, '='), 1) AS ftype, min(fid)::BIGINT AS f_min, max(fid)::BIGINT AS f_max, count(*) AS n, max(fid) - min(fid) + 1 = count(*) AS contiguous
+FROM fvoc GROUP BY 1""")
 def feature_type_blocks(spark, sf_dir):
     return selection.feature_type_blocks(word_vocab(spark, sf_dir))
 
@@ -444,7 +465,9 @@ def location_masks(spark, sf_dir):
     return selection.location_mask(word_vocab(spark, sf_dir), "pre").select("fid", "fname")
 
 
-@query(f"WITH {FNAMES}, k AS (SELECT *, CASE WHEN starts_with(fname, 'uword_cur=') THEN 'uword_cur=' WHEN starts_with(fname, 'uword_pre=') THEN 'uword_pre=' WHEN starts_with(fname, 'uword_post=') THEN 'uword_post=' END AS prefix FROM fvoc), r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, fid) AS rank FROM k WHERE prefix IS NOT NULL) SELECT prefix, fid::BIGINT AS fid, fname, n, rank::INTEGER AS rank FROM r WHERE rank <= 20")
+@query(f"""WITH {FNAMES}, k AS (SELECT *, CASE WHEN starts_with(fname, 'uword_cur=') THEN 'uword_cur=' WHEN starts_with(fname, 'uword_pre=') THEN 'uword_pre=' WHEN starts_with(fname, 'uword_post=') THEN 'uword_post=' END AS prefix
+FROM fvoc), r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, fid) AS rank FROM k WHERE prefix IS NOT NULL)
+SELECT prefix, fid::BIGINT AS fid, fname, n, rank::INTEGER AS rank FROM r WHERE rank <= 20""")
 def aux_tasks(spark, sf_dir):
     return selection.auxiliary_tasks(word_vocab(spark, sf_dir), ["uword_cur=", "uword_pre=", "uword_post="], 20)
 
@@ -462,7 +485,9 @@ def pos_prefix_filter(spark, sf_dir):
 
 # ---------------------------------------------------------------- across languages
 
-PAIRS = f"{SIDES}, rs AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM s), rt AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r FROM t), pairs AS (SELECT rs.term AS ws, upper(rt.term) || ' x' AS wt FROM rs JOIN rt USING (r) WHERE regexp_matches(rt.term, '^[a-z]+$'))"
+PAIRS = f"""{SIDES}, rs AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r
+FROM s), rt AS (SELECT term, row_number() OVER (ORDER BY df DESC, encode(term)) AS r
+FROM t), pairs AS (SELECT rs.term AS ws, upper(rt.term) || ' x' AS wt FROM rs JOIN rt USING (r) WHERE regexp_matches(rt.term, '^[a-z]+$'))"""
 
 
 class Languages:
@@ -487,7 +512,8 @@ class Languages:
         return lexicon.translate(self.dictionary(), *self.sides)
 
 
-TRANSLATED = f"{PAIRS}, tr AS (SELECT a.fid AS fid_s, b.fid AS fid_t, ws, lower(list_extract(string_split(wt, ' '), 1)) AS wt FROM pairs JOIN voc a ON a.side = 's' AND a.term = ws JOIN voc b ON b.side = 't' AND b.term = lower(list_extract(string_split(wt, ' '), 1)))"
+TRANSLATED = f"""{PAIRS}, tr AS (SELECT a.fid AS fid_s, b.fid AS fid_t, ws, lower(list_extract(string_split(wt, ' '), 1)) AS wt FROM pairs
+JOIN voc a ON a.side = 's' AND a.term = ws JOIN voc b ON b.side = 't' AND b.term = lower(list_extract(string_split(wt, ' '), 1)))"""
 
 
 @query(f"WITH {TRANSLATED} SELECT fid_s::BIGINT AS fid_s, fid_t::BIGINT AS fid_t, ws, wt FROM tr")
@@ -495,7 +521,8 @@ def dict_translate(spark, sf_dir):
     return Languages(spark, sf_dir).translated()
 
 
-BOTH = "feats AS (SELECT doc_id, fid, freq::DOUBLE AS val FROM bs JOIN voc ON side = 's' AND voc.term = bs.term UNION ALL SELECT doc_id, fid, freq::DOUBLE FROM bt JOIN voc ON side = 't' AND voc.term = bt.term)"
+BOTH = """feats AS (SELECT doc_id, fid, freq::DOUBLE AS val FROM bs JOIN voc ON side = 's' AND voc.term = bs.term UNION ALL SELECT doc_id, fid, freq::DOUBLE
+FROM bt JOIN voc ON side = 't' AND voc.term = bt.term)"""
 
 
 @query(f"WITH {SIDES}, {BOTH} SELECT fid::BIGINT AS fid, count(*) AS n FROM feats GROUP BY fid HAVING count(*) >= 5")
@@ -532,14 +559,17 @@ def tasks(p: DataFrame) -> DataFrame:
     return p.select(F.col("fid_s").alias("task_id"), F.explode(F.array("fid_s", "fid_t")).alias("fid"))
 
 
-@query(f"WITH {TASKS} SELECT task_id::BIGINT AS task_id, count(DISTINCT doc_id) AS n, min(doc_id) AS low, max(doc_id) AS high FROM feats JOIN tasks USING (fid) GROUP BY task_id")
+@query(f"""WITH {TASKS} SELECT task_id::BIGINT AS task_id, count(DISTINCT doc_id) AS n, min(doc_id) AS low, max(doc_id) AS high FROM feats JOIN tasks USING (fid)
+GROUP BY task_id""")
 def inverted_index(spark, sf_dir):
     every, p = pivots(spark, sf_dir)
     held = subspace.inverted_index(every, tasks(p))
     return held.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
 
 
-@query(f"WITH {TASKS}, h AS (SELECT DISTINCT task_id, doc_id FROM feats JOIN tasks USING (fid)) SELECT t.task_id::BIGINT AS task_id, doc_id, CASE WHEN h.task_id IS NULL THEN -1 ELSE 1 END::INTEGER AS y FROM (SELECT DISTINCT task_id FROM tasks) t CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN h USING (task_id, doc_id)")
+@query(f"""WITH {TASKS}, h AS (SELECT DISTINCT task_id, doc_id FROM feats JOIN tasks USING (fid))
+SELECT t.task_id::BIGINT AS task_id, doc_id, CASE WHEN h.task_id IS NULL THEN -1 ELSE 1 END::INTEGER AS y FROM (SELECT DISTINCT task_id FROM tasks) t
+CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN h USING (task_id, doc_id)""")
 def autolabel(spark, sf_dir):
     every, p = pivots(spark, sf_dir)
     return subspace.autolabel(read(spark, sf_dir, "documents").select("doc_id"), every, tasks(p))
@@ -553,7 +583,9 @@ def mask_antijoin(spark, sf_dir):
 
 # ---------------------------------------------------------------- prediction history
 
-EPH = f"{TOKENS}, o AS (SELECT *, coalesce(sum((tag <> 'O')::INT) OVER (ORDER BY doc_id, sent_id, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k FROM tokens), eph AS (SELECT doc_id, sent_id, tok_idx, word, tag, coalesce(sum((tag = 'B-CAP')::INT) OVER w, 0)::BIGINT AS b, coalesce(sum((tag = 'I-CAP')::INT) OVER w, 0)::BIGINT AS i FROM o WINDOW w AS (PARTITION BY word ORDER BY k RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING))"
+EPH = f"""{TOKENS}, o AS (SELECT *, coalesce(sum((tag <> 'O')::INT) OVER (ORDER BY doc_id, sent_id, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k
+FROM tokens), eph AS (SELECT doc_id, sent_id, tok_idx, word, tag, coalesce(sum((tag = 'B-CAP')::INT) OVER w, 0)::BIGINT AS b, coalesce(sum((tag = 'I-CAP')::INT) OVER w, 0)::BIGINT AS i
+FROM o WINDOW w AS (PARTITION BY word ORDER BY k RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING))"""
 
 
 def history_counts(spark, sf_dir):
@@ -616,7 +648,8 @@ def sparse_dot(spark, sf_dir):
     return subspace.sparse_dot(vocab.l2_normalize(f), weights(v), 0.5).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {NORMAL}, p AS (SELECT doc_id, dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL) SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p")
+@query(f"""WITH {NORMAL}, p AS (SELECT doc_id, dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed CROSS
+JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL) SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p""")
 def project_theta(spark, sf_dir):
     v, f = vocabulary_and_rows(spark, sf_dir)
     return subspace.project(vocab.l2_normalize(f), theta(v)).withColumn("v", F.round("v", 6))
@@ -626,7 +659,10 @@ def theta(voc: DataFrame) -> DataFrame:
     return voc.select("fid", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((F.col("fid") * 31 + d * 17) % 101) / F.lit(101.0)).alias("vec"))
 
 
-@query(f"WITH {NORMAL}, b AS (SELECT 0 AS block_id, 0 AS f_min, 999 AS f_max UNION ALL SELECT 1, 1000, 100000000), p AS (SELECT doc_id, block_id * 4 + dim AS dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed JOIN b ON fid BETWEEN f_min AND f_max CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL) SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p")
+@query(f"""WITH {NORMAL}, b AS (SELECT 0 AS block_id, 0 AS f_min, 999 AS f_max UNION ALL
+SELECT 1, 1000, 100000000), p AS (SELECT doc_id, block_id * 4 + dim AS dim, sum(val * ((fid * 31 + dim * 17) % 101) / 101.0) AS v FROM normed
+JOIN b ON fid BETWEEN f_min AND f_max CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS dim) GROUP BY ALL)
+SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS v FROM p""")
 def project_blocks(spark, sf_dir):
     blocks = spark.createDataFrame([(0, 0, 999), (1, 1000, 100_000_000)], "block_id int, f_min long, f_max long")
     v, f = vocabulary_and_rows(spark, sf_dir)
@@ -637,7 +673,8 @@ def vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
-FLAT = "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE embedding IS NOT NULL), st AS (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS std FROM v GROUP BY dim)"
+FLAT = """v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings
+WHERE embedding IS NOT NULL), st AS (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS std FROM v GROUP BY dim)"""
 
 
 @query(f"WITH {FLAT} SELECT dim::INTEGER AS dim, round(mean, 6) AS mean, round(std, 6) AS std FROM st")
@@ -656,25 +693,31 @@ def avg_norm(spark, sf_dir):
     return stats.average_norm(vectors(spark, sf_dir)).select(F.round("beta", 6).alias("beta"))
 
 
-@query(f"WITH {FEATURES}, {FLAT} SELECT round((SELECT avg(n) FROM (SELECT sqrt(sum(val * val)) AS n FROM feats GROUP BY doc_id)) / (SELECT avg(n) FROM (SELECT sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id)) * 10, 6) AS scale")
+@query(f"""WITH {FEATURES}, {FLAT} SELECT round((SELECT avg(n) FROM (SELECT sqrt(sum(val * val)) AS n FROM feats GROUP BY doc_id)) / (SELECT avg(n)
+FROM (SELECT sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id)) * 10, 6) AS scale""")
 def scaling_factor(spark, sf_dir):
     return stats.scaling_factor(raw_features(spark, sf_dir), vectors(spark, sf_dir)).select(F.round("scale", 6).alias("scale"))
 
 
-@query(f"WITH {VOCAB}, w AS (SELECT {WEIGHT} AS w FROM voc) SELECT count(*) FILTER (w <> 0) AS nnz, round(count(*) FILTER (w <> 0) / (count(*) * 1.0), 6) AS density FROM w")
+@query(f"""WITH {VOCAB}, w AS (SELECT {WEIGHT} AS w FROM voc)
+SELECT count(*) FILTER (w <> 0) AS nnz, round(count(*) FILTER (w <> 0) / (count(*) * 1.0), 6) AS density FROM w""")
 def weight_density(spark, sf_dir):
     w = weights(global_vocab(spark, sf_dir))
     return stats.density(w, w.count(), 1).withColumn("density", F.round("density", 6))
 
 
-@query(f"WITH {NORMAL}, sc AS (SELECT doc_id, class_id, round(sum(val * (((fid * 31 + class_id * 17) % 101) / 101.0)), 9) AS s FROM normed CROSS JOIN (SELECT unnest([0, 1, 2]) AS class_id) GROUP BY ALL) SELECT doc_id, class_id::INTEGER AS class_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, class_id DESC) AS r FROM sc) WHERE r = 1")
+@query(f"""WITH {NORMAL}, sc AS (SELECT doc_id, class_id, round(sum(val * (((fid * 31 + class_id * 17) % 101) / 101.0)), 9) AS s FROM normed CROSS
+JOIN (SELECT unnest([0, 1, 2]) AS class_id) GROUP BY ALL) SELECT doc_id, class_id::INTEGER AS class_id
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, class_id DESC) AS r FROM sc) WHERE r = 1""")
 def argmax_class(spark, sf_dir):
     v, f = vocabulary_and_rows(spark, sf_dir)
     w = v.select("fid", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("class_id")).withColumn("w", ((F.col("fid") * 31 + F.col("class_id") * 17) % 101) / F.lit(101.0))
     return subspace.argmax_class(vocab.l2_normalize(f), w)
 
 
-@query(f"WITH {VOCAB}, w AS (SELECT fid % 3 AS class_id, fid, {WEIGHT} AS w FROM voc), r AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY w DESC, fid) AS rank FROM w) SELECT class_id::BIGINT AS class_id, fid::BIGINT AS fid, round(w, 6) AS w, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+@query(f"""WITH {VOCAB}, w AS (SELECT fid % 3 AS class_id, fid, {WEIGHT} AS w FROM voc), r AS (SELECT *, row_number() OVER (PARTITION BY class_id
+ORDER BY w DESC, fid) AS rank FROM w) SELECT class_id::BIGINT AS class_id, fid::BIGINT AS fid, round(w, 6) AS w, rank::INTEGER AS rank FROM r
+WHERE rank <= 10""")
 def top_weights(spark, sf_dir):
     return selection.top_weights(weights(global_vocab(spark, sf_dir)).withColumn("class_id", F.col("fid") % 3), 10).select("class_id", "fid", F.round("w", 6).alias("w"), "rank")
 
@@ -781,7 +824,8 @@ def sentences(spark, sf_dir):
     return s.select("doc_id", "sent_id", F.size("tokens").cast("long").alias("n"), F.array_join(F.transform("tokens", lambda t: t["word"]), " ").alias("words"))
 
 
-@query(f"WITH {TOKENS}, st AS (SELECT doc_id, sent_id, '<s> ' || string_agg(word, ' ' ORDER BY tok_idx) || ' </s>' AS s FROM tokens GROUP BY doc_id, sent_id) SELECT doc_id, string_agg(s, ' ' ORDER BY sent_id) AS words FROM st GROUP BY doc_id")
+@query(f"""WITH {TOKENS}, st AS (SELECT doc_id, sent_id, '<s> ' || string_agg(word, ' ' ORDER BY tok_idx) || ' </s>' AS s FROM tokens GROUP BY doc_id, sent_id)
+SELECT doc_id, string_agg(s, ' ' ORDER BY sent_id) AS words FROM st GROUP BY doc_id""")
 def documents_marked(spark, sf_dir):
     return readers.documents(tokens(spark, sf_dir)).select("doc_id", F.array_join("words", " ").alias("words"))
 
@@ -794,7 +838,9 @@ def predicted(spark, sf_dir):
     return t.withColumn("pred", F.when(F.col("_e") & F.col("_b"), "I-CAP").when(F.col("_e"), "B-CAP").otherwise("O")).drop("_e", "_b")
 
 
-PRED = f"{TOKENS}, pm AS (SELECT *, regexp_matches(word, '^[A-Z][a-z]{{4,}}$') AS e FROM tokens), pr AS (SELECT doc_id, sent_id, tok_idx, word, tag, CASE WHEN e AND coalesce(lag(e) OVER s, false) THEN 'I-CAP' WHEN e THEN 'B-CAP' ELSE 'O' END AS pred FROM pm {WIN})"
+PRED = f"""{TOKENS}, pm AS (SELECT *, regexp_matches(word, '^[A-Z][a-z]{{4,}}$') AS e
+FROM tokens), pr AS (SELECT doc_id, sent_id, tok_idx, word, tag, CASE WHEN e AND coalesce(lag(e) OVER s, false) THEN 'I-CAP' WHEN e THEN 'B-CAP' ELSE 'O' END AS pred
+FROM pm {WIN})"""
 
 
 def chunk_sql(tag: str, name: str) -> str:
@@ -817,12 +863,16 @@ def token_accuracy(spark, sf_dir):
     return sequence.accuracy(predicted(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(f"WITH {PRED}, o AS (SELECT *, row_number() OVER d AS n FROM pr WINDOW d AS (PARTITION BY doc_id ORDER BY sent_id, tok_idx)), m AS (SELECT *, (tag <> 'O' AND (starts_with(tag, 'B') OR coalesce(lag(tag) OVER d, 'O') = 'O'))::INT AS new FROM o WINDOW d AS (PARTITION BY doc_id ORDER BY n)), c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS c FROM m) SELECT doc_id, min(n)::INTEGER AS start, string_agg(word, ' ' ORDER BY n) AS phrase FROM c WHERE tag <> 'O' GROUP BY doc_id, c")
+@query(f"""WITH {PRED}, o AS (SELECT *, row_number() OVER d AS n FROM pr WINDOW d AS (PARTITION BY doc_id
+ORDER BY sent_id, tok_idx)), m AS (SELECT *, (tag <> 'O' AND (starts_with(tag, 'B') OR coalesce(lag(tag) OVER d, 'O') = 'O'))::INT AS new FROM o
+WINDOW d AS (PARTITION BY doc_id ORDER BY n)), c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS c FROM m)
+SELECT doc_id, min(n)::INTEGER AS start, string_agg(word, ' ' ORDER BY n) AS phrase FROM c WHERE tag <> 'O' GROUP BY doc_id, c""")
 def entities(spark, sf_dir):
     return sequence.entities(tokens(spark, sf_dir))
 
 
-@query(f"WITH {PRED} SELECT doc_id, sent_id::BIGINT AS sent_id, chr(10) || string_agg(word || ' ' || tag || ' ' || pred, chr(10) ORDER BY tok_idx) AS text FROM pr GROUP BY doc_id, sent_id")
+@query(f"""WITH {PRED} SELECT doc_id, sent_id::BIGINT AS sent_id, chr(10) || string_agg(word || ' ' || tag || ' ' || pred, chr(10) ORDER BY tok_idx) AS text
+FROM pr GROUP BY doc_id, sent_id""")
 def conll_write(spark, sf_dir):
     t = predicted(spark, sf_dir).withColumn("pos", F.lit(None).cast("string")).withColumn("chunk", F.lit(None).cast("string"))
     return readers.prediction_lines(t)

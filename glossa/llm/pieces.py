@@ -44,10 +44,10 @@ from .common import Lookup, clip_columns, discard, slices, spare, staged, table
 
 MARK = "▁"
 #: Bytes of units that travel to the tasks, with UNIT_BYTES more for each unit.
-HOT_BYTES = 48 << 20
+HOT_BYTES = 24 << 20
 UNIT_BYTES = 24
 #: Text bytes that are encoded together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct units that a task counts before it hands them on.
 COUNTED_UNITS = 1_500_000
 #: Distinct units that one task folds.
@@ -180,7 +180,11 @@ def cut_units(model: Pieces, texts: list[bytes]) -> tuple[pa.DictionaryArray, np
 def runs(base: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Positions base[i], base[i] + 1, ... (count[i] of them), for all i in a row."""
     after = np.cumsum(count)
-    return np.repeat(base - (after - count), count) + np.arange(int(after[-1]) if len(after) else 0)
+    n = int(after[-1]) if len(after) else 0
+    size = np.int32 if n < 1 << 31 and (not len(base) or int(base.max()) + n < 1 << 31) else np.int64  # half the memory to move
+    out = np.repeat((base - (after - count)).astype(size), count)
+    out += np.arange(n, dtype=size)
+    return out
 
 
 class Encoder:
@@ -221,8 +225,9 @@ class Encoder:
         flat[runs(base[hot], count[hot])] = self.ids[runs(self.start[at[hot]], count[hot])]
         flat[runs(base[rest], count[rest])] = np.fromiter(chain.from_iterable(others), np.int32, int(count[rest].sum()))
         index = np.asarray(units.indices)
-        ids = flat[runs(base[index], count[index])]
-        after = np.concatenate([[0], np.cumsum(count[index])])
+        each = count[index]
+        ids = flat[runs(base[index], each)]
+        after = np.concatenate([[0], np.cumsum(each)])
         return ids, np.diff(after[np.concatenate([[0], np.cumsum(n)])])
 
 
@@ -441,7 +446,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
                 yield pa.record_batch([b.column(key).take(pa.array(who)), asked], names=["key", "unit"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeezer = zstandard.ZstdCompressor(level=6)
+        squeezer = zstandard.ZstdCompressor(level=4)
         for whole in batches:
             for b in slices(whole, own, SLICE_BYTES):
                 small = pa.array([t and squeezer.compress(t) for t in b.column(own).to_pylist()], pa.binary())

@@ -367,7 +367,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     placed = met.withColumn("at", alone + F.row_number().over(Window.partitionBy("id").orderBy("m", "s")) - 1).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-6))
     placed = staged(spark, placed.withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "placed")
     company = placed.groupBy("id").agg((F.sum(F.log("m")) / F.first("n")).alias("company"))
-    buckets = staged(spark, placed.drop("m").join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).drop("company"), "buckets")
+    buckets = staged(spark, placed.join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).drop("company"), "buckets")
     discard(spark, met, placed)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,20 +385,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return staged(spark, labels.join(roots, "c", "left").select("id", F.coalesce("root", "c").alias("c")), "labels")
 
     labels = joined(wanted.withColumn("c", F.col("id")), close)
-    low, high, open_ = 1, 2, buckets
+
+    def held(leads: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs of a lead and a member that isn't joined to it, if sizes and positions let them be similar."""
+        leads = leads.select("s", *(F.col(x).alias(f"lead_{x}") for x in ("id", "n", "at", "k", "c")))
+        # shared shingles: this one, those before it in both, those behind it in both; 4/5 of the union means 9 shared >= 4 (n + n)
+        most = F.least("at", "lead_at") + F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at"))
+        fits = (F.col("k") > F.col("lead_k")) & (F.col("c") != F.col("lead_c")) & (9 * most >= 4 * (F.col("n") + F.col("lead_n")))
+        return staged(spark, leads.join(members, "s").where(fits).select("id", F.col("lead_id").alias("other")).distinct(), "pairs")
+
+    # first each set in its fullest bucket only: a large group is joined by one comparison a set, not by one in every bucket
+    fullest = buckets.groupBy("id").agg(F.max(F.struct("m", "s", "n", "at", "k")).alias("x")).select("id", "x.s", "x.n", "x.at", "x.k")
+    named = lambda rows: rows.join(labels, "id")
+    labels = joined(labels, held(named(buckets.where("k = 1")), named(fullest)))
+    low, high, open_ = 1, 2, buckets.drop("m")
     while True:
         # a bucket that is done stays done, as components only grow
         before, mixed = open_, open_.drop("c").join(labels, "id").withColumn("mixed", F.min("c").over(own) < F.max("c").over(own)).where("mixed").drop("mixed")
         open_ = staged(spark, mixed, "open")
-        discard(spark, before)
+        discard(spark, buckets if low == 1 else before)
         if not open_.where(F.col("k") > low).limit(1).count():
             break
-        leads = open_.where((F.col("k") >= low) & (F.col("k") < high)).select("s", *(F.col(x).alias(f"lead_{x}") for x in ("id", "n", "at", "k", "c")))
-        # shared shingles: this one, those before it in both, those behind it in both; 4/5 of the union means 9 shared >= 4 (n + n)
-        most = F.least("at", "lead_at") + 1 + F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")) - 1
-        fits = (F.col("k") > F.col("lead_k")) & (F.col("c") != F.col("lead_c")) & (9 * most >= 4 * (F.col("n") + F.col("lead_n")))
-        pairs = leads.join(open_, "s").where(fits).select("id", F.col("lead_id").alias("other")).distinct()
-        labels = joined(labels, staged(spark, pairs, "pairs"))
+        labels = joined(labels, held(open_.where((F.col("k") >= low) & (F.col("k") < high)), open_))
         low, high = high, high * MORE_LEADS
     gone = staged(spark, labels.where("id <> c").select(F.col("id").alias("row")).union(copies).withColumnRenamed("row", number), "gone")
     gone = gone if (small := bounded_rows(gone, BROADCAST_ROWS)) is None else small

@@ -375,6 +375,13 @@ def packed(hot: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, n
     return whole[0], ends(whole[1]), np.frombuffer(whole[2], np.uint64), ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, ends(whole[4])
 
 
+def answered(found: pa.ListArray) -> dict[bytes, list[int]]:
+    """The answers of all rows together."""
+    every = found.flatten()
+    units = pc.replace_substring(every.field("unit"), MARK, " ").cast(pa.binary())
+    return dict(zip(units.to_pylist(), every.field("ids").to_pylist(), strict=True))
+
+
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None, hot_bytes: int = HOT_BYTES, digest: bool = False) -> DataFrame:
     """Adds the ids of a text column to all columns of ``docs``; with ``back`` also the text decoded from them, in the same pass.
 
@@ -409,7 +416,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
                 texts = b.column(own).to_pylist()
                 if rare:
                     texts = [t and zstandard.decompress(t) for t in texts]
-                answers = {a["unit"].replace(MARK, " ").encode(): a["ids"] for x in b.column(found).to_pylist() if x for a in x} if rare else {}
+                answers = answered(b.column(found)) if rare else {}
                 ids, count = enc.encode([t or b"" for t in texts], answers)
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 if digest:
@@ -456,7 +463,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
     n = tasks(unknown)
     asked = rows.select(own, key).mapInArrow(ask, "key long, unit string").repartition(n, "unit")
     coded = encode_units(spark, unknown.repartition(n, "unit"), path).select("unit", "ids")
-    answers = folded(spark, asked.join(coded, "unit").select("key", "unit", "ids"), "answers")
+    # a task holds UNITS_A_TASK units at most, so they can be a hash table, whatever asks for them
+    answers = folded(spark, asked.join(coded.hint("shuffle_hash"), "unit").select("key", "unit", "ids"), "answers")
     discard(spark, units)
     answers = answers.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias(found)).withColumnRenamed("key", key)
     return rows.mapInArrow(squeeze, rows.schema).join(answers, key, "left").mapInArrow(finish, schema)

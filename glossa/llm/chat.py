@@ -20,10 +20,12 @@ the text, repeated ones included.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clip_columns, discard, staged, table
+from .common import clip_columns, staged, table
 from .sharding import global_rank
 
 START = "<s>"
@@ -110,16 +112,19 @@ def branches(spark: SparkSession, replies: DataFrame) -> tuple[DataFrame, list[D
 
     replies: (row, up, score), up the row of the parent or null.
     """
-    state = staged(spark, replies.select("row", "up", F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")), "replies")
-    n, jumps = state.count(), []
-    while state.where("up is not null").limit(1).count():
+    state = replies.select("row", "up", F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
+    n, ended, going = replies.count(), [state.where("up is null")], staged(spark, state.where("up is not null"), "pointers")
+    jumps = []
+    while going.limit(1).count():
         if 1 << len(jumps) > n:
             raise ValueError("the replies form a cycle")
-        jumps.append(state.where("up is not null").select("row", "up"))
-        above = state.select(F.col("row").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        more = state.join(above, "up", "left")
-        state = staged(spark, more.select("row", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "replies")
-    return state.select("row", "depth", "total"), jumps
+        jumps.append(going.select("row", "up"))
+        # only messages that aren't at their root yet are joined and written again
+        above = reduce(DataFrame.union, [*ended, going]).select(F.col("row").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        moved = staged(spark, going.join(above, "up").select("row", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total")), "pointers")
+        ended.append(moved.where("up is null"))
+        going = moved.where("up is not null")
+    return reduce(DataFrame.union, ended).select("row", "depth", "total"), jumps
 
 
 def conversations(spark: SparkSession, messages: DataFrame, best: int | None = 1) -> DataFrame:
@@ -131,20 +136,20 @@ def conversations(spark: SparkSession, messages: DataFrame, best: int | None = 1
     rows = messages.select("tree", "id", "parent", text("role").alias("role"), text("text").alias("text"), "score").withColumn("row", F.monotonically_increasing_id())
     rows = staged(spark, rows, "messages")
     first = rows.where("id is not null").groupBy("id").agg(F.min_by("row", F.struct("role", F.xxhash64("text"), "row")).alias("up"))
-    replies = rows.select("row", "score", F.col("parent").alias("id")).join(first, "id", "left").select("row", "up", "score")
-    replies = staged(spark, replies, "parents")
+    named = rows.where("parent is not null").select("row", "score", F.col("parent").alias("id")).join(first, "id", "left").select("row", "up", "score")
+    replies = staged(spark, named.union(rows.where("parent is null").select("row", F.lit(None).cast("long"), "score")), "parents")
     paths, jumps = branches(spark, replies)
-    leaves = paths.join(replies.select(F.col("up").alias("row")), "row", "left_anti").join(rows.select("row", "tree", "id"), "row")
+    leaves = paths.join(replies.where("up is not null").select(F.col("up").alias("row")), "row", "left_anti").join(rows.select("row", "tree", "id"), "row")
     leaves = staged(spark, leaves.select("tree", (F.col("total") / F.col("depth")).alias("score"), "id", F.col("row").alias("leaf")), "branches")
     ranked = staged(spark, global_rank(spark, leaves, [F.col("tree"), F.desc("score"), F.col("id"), F.col("leaf")], "rank"), "ranked")
     firsts = ranked.groupBy("tree").agg(F.min("rank").alias("first")).withColumnRenamed("tree", "_tree")
     chosen = ranked.join(firsts, F.col("tree").eqNullSafe(F.col("_tree"))).withColumn("branch", F.col("rank") - F.col("first")).select("tree", "branch", "score", "leaf")
     chosen = staged(spark, chosen if best is None else chosen.where(F.col("branch") < best), "chosen")
-    path = chosen.select("leaf", F.col("leaf").alias("row"), F.lit(0).cast("long").alias("back"))
+    parts = [chosen.select("leaf", F.col("leaf").alias("row"), F.lit(0).cast("long").alias("back"))]
     for k, jump in enumerate(jumps):
-        further = path.join(jump, "row").select("leaf", F.col("up").alias("row"), (F.col("back") + (1 << k)).alias("back"))
-        before, path = path, staged(spark, path.union(further), "paths")
-        discard(spark, before)
+        further = reduce(DataFrame.union, parts).join(jump, "row").select("leaf", F.col("up").alias("row"), (F.col("back") + (1 << k)).alias("back"))
+        parts.append(staged(spark, further, "paths"))
+    path = reduce(DataFrame.union, parts)
     turns = path.join(rows.select("row", "role", "text"), "row").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text"))).alias("turns"))
     whole, mask = formatted("turns")
     out = chosen.join(turns, "leaf")

@@ -892,6 +892,25 @@ def conll_read(spark, sf_dir):
     return n.join(names, "doc_id").select(F.col("original").alias("doc_id"), "tokens", "sentences", "entities")
 
 
+@query(f"""WITH {TOKENS} SELECT doc_id, count(*) AS tokens, count(DISTINCT sent_id) AS sentences, count(*) FILTER (tag <> 'O') AS entities, md5(string_agg(word || ' ' || tag, chr(10) ORDER BY sent_id, tok_idx)) AS digest,
+row_number() OVER (ORDER BY doc_id) - 1 AS place, (sum(count(DISTINCT sent_id)) OVER (ORDER BY doc_id))::BIGINT AS sentences_so_far FROM tokens GROUP BY doc_id""")
+def conll_files(spark, sf_dir):
+    """The tokens written as a folder of files, in the order of the documents, and read again in that order."""
+    t = tokens(spark, sf_dir)
+    s = readers.sentences(t).select("doc_id", "sent_id", F.array_join(F.transform("tokens", lambda x: F.concat_ws(" ", x["word"], F.lit("NN"), F.lit("O"), x["tag"])), "\n").alias("s"))
+    d = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "s"))), lambda x: x["s"]), "\n\n").alias("text"))
+    names = vocab.dense_ids(d, "doc_id", "place")
+    folder = f"{shared_dir(spark)}/conll-{uuid.uuid4().hex}"
+    names.select("doc_id", F.concat(F.lit("-DOCSTART- -X- O O\n\n"), F.col("text"), F.lit("\n")).alias("text")).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(folder)
+    got = written(spark, readers.read_conll(spark, folder, encoding="UTF-8"), "tokens")
+    words = F.array_sort(F.collect_list(F.struct("sent_id", "tok_idx", F.concat_ws(" ", "word", "tag").alias("w"))))
+    n = got.groupBy(F.col("doc_id").alias("place")).agg(
+        F.count(F.lit(1)).alias("tokens"), F.countDistinct("sent_id").alias("sentences"), F.count(F.when(F.col("tag") != "O", 1)).alias("entities"), F.md5(F.array_join(F.transform(words, lambda x: x["w"]), "\n")).alias("digest"),
+    )
+    so_far = vocab.running_totals(n.select("place", "sentences"), ["place"], "sentences", "before").select("place", (F.col("before") + F.col("sentences")).alias("sentences_so_far"))
+    return names.select("doc_id", "place").join(n, "place").join(so_far, "place").select("doc_id", "tokens", "sentences", "entities", "digest", "place", "sentences_so_far")
+
+
 # ---------------------------------------------------------------- whole plans
 
 

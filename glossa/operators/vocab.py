@@ -25,6 +25,22 @@ def dense_ids(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame
     return placed.withColumn("_p", F.shiftright("_id", 33)).join(at, "_p").withColumn(name, F.col("_base") + F.col("_id") - F.shiftleft("_p", 33)).drop("_p", "_id", "_base")
 
 
+def running_totals(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before a row, in the order of columns that tell rows apart.
+
+    Two levels: sums within ranges, and running bases of the ranges, as many as partitions.
+    """
+    spark = df.sparkSession
+    placed = written(spark, df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33)), "totals")
+    base, bases = 0, []
+    for r in placed.groupBy("_p").agg(F.sum(value).alias("n")).orderBy("_p").collect():
+        bases.append((r["_p"], base))
+        base += r.n
+    before = F.sum(value).over(W.partitionBy("_p").orderBy("_id").rowsBetween(W.unboundedPreceding, -1))
+    at = F.broadcast(spark.createDataFrame(bases, "_p long, _base long"))
+    return placed.withColumn(name, F.coalesce(before, F.lit(0))).join(at, "_p").withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_p", "_id", "_base")
+
+
 def bag_of_words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, term, freq) of blank-separated terms in lower case."""
     terms = F.filter(F.split(F.lower(F.col(text)), "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")

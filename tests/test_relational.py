@@ -216,3 +216,62 @@ def test_biases_masks_lookups_and_samples(spark, tmp_path):
     (tmp_path / "dict").write_text("good\tGut sein\nbad\tSchlecht\n\nodd\n")
     assert {r.token: r.bits for r in readers.read_clusters(spark, str(tmp_path / "clusters")).collect()} == {"Wien": "0000", "Rom": "0111"}
     assert {r.ws: r.wt for r in readers.read_dictionary(spark, str(tmp_path / "dict")).collect()} == {"good": "Gut sein", "bad": "Schlecht"}
+
+
+@pytest.fixture
+def narrow_splits(spark):
+    """Splits of some kilobytes, and several in a task."""
+    keys = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "100", "spark.sql.files.minPartitionNum": "2"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lines_of_files_beyond_a_split_keep_their_order(spark, tmp_path, narrow_splits):
+    rnd = random.Random(1)
+    folder, want = tmp_path / "files", []
+    folder.mkdir()
+    for name, n in (("a.txt", 7000), ("b.txt", 5000), ("c.txt", 3), ("d.txt", 0), ("e.txt", 9000)):
+        lines = [f"{name} {i} " + "x" * rnd.randrange(12) if rnd.random() < 0.9 else "" for i in range(n)]
+        (folder / name).write_text("".join(x + "\n" for x in lines))
+        want += lines
+    got = readers.numbered_lines(spark, str(folder))
+    assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+    assert [(r.line_no, r.line) for r in got.orderBy("line_no").collect()] == list(enumerate(want))
+
+
+def test_a_folder_reads_as_one_file(spark, tmp_path, narrow_splits):
+    """Sentences, documents, and the last pair of a word, whatever the splits; blank lines and bytes beyond ASCII stay."""
+    rnd = random.Random(2)
+    parts = []
+    for _ in range(4):
+        rows = ["-DOCSTART- -X- O O", ""]
+        for _ in range(600):
+            rows += [f"{rnd.choice(['Käse', 'ein', 'Haus'])}{i} NN O {rnd.choice(['O', 'B-LOC'])}" for i in range(rnd.randrange(1, 9))] + [""]
+        parts.append("\n".join(rows) + "\n")
+    (tmp_path / "many").mkdir()
+    for i, x in enumerate(parts):
+        (tmp_path / "many" / f"{i}.conll").write_bytes(x.encode("iso-8859-1"))
+    (tmp_path / "one").write_bytes("".join(parts).encode("iso-8859-1"))
+    columns = "doc_id", "sent_id", "tok_idx", "word", "tag"
+    many, one = (sorted(map(tuple, readers.read_conll(spark, str(tmp_path / x)).select(*columns).collect())) for x in ("many", "one"))
+    assert many == one and {r[0] for r in many} == {0, 1, 2, 3} and any(r[3].startswith("Käse") for r in many)
+    blocks = [b for x in parts for b in x.split("\n\n") if b.strip() and not b.startswith("-DOC")]
+    assert len({r[1] for r in many}) == len(blocks) and len(many) == sum(len(b.strip().split("\n")) for b in blocks)
+    (tmp_path / "pairs").mkdir()
+    last = {}
+    for i in range(3):
+        pairs = [(f"w{rnd.randrange(900)}", f"t{i}-{k}") for k in range(4000)]
+        last |= dict(pairs)
+        (tmp_path / "pairs" / f"{i}").write_text("".join(f"{a}\t{b}\n" for a, b in pairs))
+    assert {r.ws: r.wt for r in readers.read_dictionary(spark, str(tmp_path / "pairs")).collect()} == last
+
+
+def test_running_totals(spark):
+    df = spark.range(1000).selectExpr("id AS k", "id % 7 AS v").repartition(5)
+    got = {r.k: r.s for r in vocab.running_totals(df, ["k"], "v", "s").collect()}
+    assert got == {k: sum(i % 7 for i in range(k)) for k in range(1000)}
+    assert vocab.running_totals(df.limit(0), ["k"], "v", "s").count() == 0

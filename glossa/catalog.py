@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import losses
 from .functions import text as T
-from .operators import lexicon, linear, selection, sequence, stats, subspace, templates, vocab
+from .operators import lexicon, linear, mixing, selection, sequence, stats, subspace, templates, vocab
 from .plans import clscl, tagger
 from .session import shared_dir, written
 from .sources import readers
@@ -756,10 +756,16 @@ def loss_table(spark, sf_dir):
     return g.select("p", "y", *((F.round(f(p, y), 6) + 0.0).alias(n) for name, loss in losses.LOSSES.items() for n, f in ((name, loss.loss), (f"{name}_pull", loss.pull))))
 
 
+def scaled_vectors(spark, sf_dir):
+    """(doc_id, fid, val): standardised embeddings of unit length. Steps on longer rows would make much of rounding."""
+    v = vectors(spark, sf_dir)
+    return vocab.l2_normalize(subspace.to_sparse(stats.standardize(v, stats.column_stats(v))))
+
+
 def _vector_rows(spark, sf_dir, scaled: bool = False):
     """All embeddings as rows in the order of their ids, with their labels."""
     v = vectors(spark, sf_dir)
-    rows = linear.gather(subspace.to_sparse(stats.standardize(v, stats.column_stats(v)) if scaled else v), int(v.agg(F.max(F.size("vec"))).first()[0]))
+    rows = linear.gather(scaled_vectors(spark, sf_dir) if scaled else subspace.to_sparse(v), int(v.agg(F.max(F.size("vec"))).first()[0]))
     known = {r.doc_id: int(r.label) for r in v.select("doc_id", "label").collect()}  # as bounded as the rows
     return rows, np.array([known[i] for i in rows.ids.tolist()])
 
@@ -810,11 +816,40 @@ def one_vs_all(spark, sf_dir):
     rows, y = _vector_rows(spark, sf_dir, scaled=True)
     w = linear.one_vs_all(spark, rows, y, sorted(set(y.tolist())), 1e-3, 2, seed=None)
     v = vectors(spark, sf_dir)
-    pred = subspace.argmax_class(subspace.to_sparse(stats.standardize(v, stats.column_stats(v))), w)
+    pred = subspace.argmax_class(scaled_vectors(spark, sf_dir), w)
     gold = v.select("doc_id", F.col("label").cast("long").alias("gold"))
     return sequence.accuracy(pred.join(gold, "doc_id"), "gold", "class_id").withColumn("accuracy", F.round("accuracy", 6))
 
 
+FREQUENT = "kept AS (SELECT fid FROM feats GROUP BY fid HAVING count(*) >= 20)"
+
+
+def frequent_rows(spark, sf_dir):
+    """(doc_id, fid, val): the unit rows of all documents, only features of 20 documents or more."""
+    f = written(spark, normal_features(spark, sf_dir), "features")
+    return f.join(vocab.feature_counts(f).where("n >= 20").select("fid"), "fid", "left_semi")
+
+
+@query(oracles.mixing_sql(f"{NORMAL}, {FREQUENT}", "SELECT doc_id, 0 AS task, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS y, -1 AS own FROM (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL)", 1e-3, 4, 1.0, True,
+"SELECT fid::BIGINT AS fid, round(w, 6) + 0.0 AS w FROM mixed WHERE round(w, 6) <> 0"))
+def mixing_round(spark, sf_dir):
+    """A round of parameter mixing over the labelled documents, in four blocks."""
+    packed = mixing.pack(frequent_rows(spark, sf_dir), quality(spark, sf_dir), blocks=4)
+    w = mixing.train(spark, packed, [mixing.Task(0)], mixing.Descent(1e-3, bias=True), 1)
+    return w.select("fid", (F.round("w", 6) + 0.0).alias("w")).where("w <> 0")
+
+
+@query(oracles.mixing_sql(f"{NORMAL}, {FREQUENT}, chosen AS (SELECT fid, row_number() OVER (ORDER BY count(*) DESC, fid) - 1 AS task FROM feats GROUP BY fid ORDER BY task LIMIT 5)",
+"SELECT doc_id, task, CASE WHEN bool_or(normed.fid = chosen.fid) THEN 1.0 ELSE -1.0 END AS y, any_value(dims.d) AS own FROM normed CROSS JOIN chosen JOIN dims ON dims.fid = chosen.fid GROUP BY doc_id, task", 1e-3, 4, 0.85, False,
+"SELECT task::BIGINT AS task_id, fid::BIGINT AS fid, round(w, 6) + 0.0 AS w FROM mixed WHERE round(w, 6) <> 0"))
+def auxiliary_round(spark, sf_dir):
+    """A round for five auxiliary classifiers at once: which documents hold one of the five most frequent features, told from their other ones."""
+    f = written(spark, frequent_rows(spark, sf_dir), "frequent")
+    top = [r.fid for r in vocab.feature_counts(f).orderBy(F.desc("n"), "fid").limit(5).collect()]
+    w = mixing.train(spark, mixing.pack(f, blocks=4), [mixing.Task(i, fids=(fid,)) for i, fid in enumerate(top)], mixing.Descent(1e-3, alpha=0.85), 1, width=3)
+    return w.select("task_id", "fid", (F.round("w", 6) + 0.0).alias("w")).where("w <> 0")
+
+
 # ---------------------------------------------------------------- reading, writing, evaluation
 
 

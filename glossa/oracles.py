@@ -187,12 +187,39 @@ c AS (SELECT unnest(range({classes})) AS class_id, unnest(w) AS w, unnest(b) AS
 
 
 def one_vs_all_sql(reg: float, epochs: int) -> str:
-    """(n, accuracy) of classifiers of one class against all on standardised rows, each with its bias."""
+    """(n, accuracy) of classifiers of one class against all on standardised rows of unit length, each with its bias."""
     rate = f"(1.0 / ({reg}::DOUBLE * ({1 / (reg * first_rate(reg))!r}::DOUBLE + st.s)))"
     flat = "flat AS (SELECT k, unnest(x) AS a, generate_subscripts(x, 1) AS dim FROM raw), moments AS (SELECT dim, avg(a) AS m, CASE WHEN stddev_pop(a) = 0 THEN 1 ELSE stddev_pop(a) END AS sd FROM flat GROUP BY dim)"
-    rows = ROWS.replace("v AS MATERIALIZED", "raw AS MATERIALIZED").replace("FROM v)", "FROM raw)") + f", {flat}, v AS MATERIALIZED (SELECT k, list((a - m) / sd ORDER BY dim) AS x, any_value(label) AS label FROM flat JOIN moments USING (dim) JOIN raw USING (k) GROUP BY k)"
+    rows = ROWS.replace("v AS MATERIALIZED", "raw AS MATERIALIZED").replace("FROM v)", "FROM raw)") + f", {flat}, scaled AS (SELECT k, list((a - m) / sd ORDER BY dim) AS x, any_value(label) AS label FROM flat JOIN moments USING (dim) JOIN raw USING (k) GROUP BY k), v AS MATERIALIZED (SELECT k, list_transform(x, lambda a: a / sqrt(list_inner_product(x, x))) AS x, label FROM scaled)"
     seen = f"SELECT st.*, x, CASE WHEN label = c THEN 1.0 ELSE -1.0 END AS y, list_inner_product(w, x) + b AS p, {rate} AS rate FROM st JOIN v ON v.k = st.s % (SELECT n FROM size) WHERE st.s < {epochs} * (SELECT n FROM size)"
     pulled = f"SELECT *, {HUBER} AS g FROM (SELECT *, p * y AS z FROM ({seen}))"
     step = f"SELECT c, s + 1, list_transform(list_zip(w, x), lambda t: (t[1] + rate * g * t[2]) * (1 - rate * {reg}::DOUBLE)), b + 0.01 * rate * g FROM ({pulled})"
     return f"""WITH RECURSIVE {rows}, st(c, s, w, b) AS (SELECT c, 0::BIGINT, {ZERO}, 0.0::DOUBLE FROM size CROSS JOIN (SELECT DISTINCT label AS c FROM raw) UNION ALL {step}), e AS (SELECT * FROM st WHERE s = (SELECT max(s) FROM st)),
 p AS (SELECT label, c, row_number() OVER (PARTITION BY k ORDER BY round(list_inner_product(w, x) + b, 9) DESC, c DESC) AS r FROM v CROSS JOIN e) SELECT count(*) AS n, round(100.0 - 100.0 * avg((label <> c)::INT), 6) AS accuracy FROM p WHERE r = 1"""
+
+
+def mixing_sql(parts: str, tasks: str, reg: float, blocks: int, elastic: float, bias: bool, out: str) -> str:
+    """One round of parameter mixing from zero. parts: the tables normed (doc_id, fid, val) and kept (fid), the features.
+
+    tasks: SELECT of doc_id, task, y, own: a row's sign for each task, and the feature that the task doesn't see, or -1.
+    """
+    rows = f"""dims AS MATERIALIZED (SELECT fid, row_number() OVER (ORDER BY fid) AS d FROM kept), cells AS (SELECT doc_id, d, val FROM normed JOIN dims USING (fid)), held AS (SELECT DISTINCT doc_id FROM cells),
+dense AS MATERIALIZED (SELECT doc_id, list(coalesce(val, 0.0) ORDER BY d) AS x FROM held CROSS JOIN dims LEFT JOIN cells USING (doc_id, d) GROUP BY doc_id), signs AS MATERIALIZED ({tasks}),
+dealt AS (SELECT *, h % {blocks} AS block FROM (SELECT doc_id, ('0x' || left(md5(doc_id || ':0:0'), 15))::BIGINT AS h FROM dense) WHERE doc_id IN (SELECT doc_id FROM signs)),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY block ORDER BY h) - 1 AS k FROM dealt), sizes AS MATERIALIZED (SELECT block, count(*) AS n, sum(count(*)) OVER () AS every FROM placed GROUP BY block),
+v AS MATERIALIZED (SELECT block, k, task, y, list_transform(list_zip(x, range(1, len(x) + 1)), lambda t: CASE WHEN t[2] = own THEN 0.0 ELSE t[1] END) AS x FROM placed JOIN dense USING (doc_id) JOIN signs USING (doc_id))"""
+    first = repr(1 / (reg * first_rate(reg)))
+    seen = f"SELECT st.*, x, y, y * (list_inner_product(w, x) + b) AS z, 1.0 / ({reg}::DOUBLE * ({first}::DOUBLE + st.s)) AS rate FROM st JOIN v ON v.block = st.block AND v.task = st.task AND v.k = st.s"
+    moved = f"SELECT block, task, s, x, b + {0.01 if bias else 0.0} * rate * ({HUBER}) AS b, due + rate * {(1 - elastic) * reg!r}::DOUBLE AS due, paid, list_transform(list_zip(w, x), lambda t: (t[1] + rate * ({HUBER}) * t[2]) * (1 - rate * {elastic * reg!r}::DOUBLE)) AS w FROM ({seen})"
+    cut = "CASE WHEN t[3] = 0 OR t[1] = 0 THEN t[1] WHEN t[1] > 0 THEN greatest(0.0, t[1] - (due + t[2])) ELSE least(0.0, t[1] + (due - t[2])) END"
+    end = "CASE WHEN t[1] = 0 THEN 0.0 WHEN t[1] > 0 THEN greatest(0.0, t[1] - (due + t[2])) ELSE least(0.0, t[1] + (due - t[2])) END"
+    if elastic == 1:
+        step, settled = f"SELECT block, task, s + 1, w, b, due, paid FROM ({moved})", "w"
+    else:
+        step = f"SELECT block, task, s + 1, list_transform(list_zip(w, paid, x), lambda t: {cut}), b, due, list_transform(list_zip(w, paid, x), lambda t: t[2] + ({cut}) - t[1]) FROM ({moved})"
+        settled = f"list_transform(list_zip(w, paid), lambda t: {end})"
+    zero = "list_transform(range((SELECT count(*) FROM dims)), lambda i: 0.0::DOUBLE)"
+    start = f"SELECT block, task, 0::BIGINT, {zero}, 0.0::DOUBLE, 0.0::DOUBLE, {zero} FROM sizes CROSS JOIN (SELECT DISTINCT task FROM signs)"
+    each = f"ends AS (SELECT task, {settled} AS w, b, n::DOUBLE / every AS part FROM st JOIN sizes ON sizes.block = st.block AND st.s = n)"
+    return f"""WITH RECURSIVE {parts}, {rows}, st(block, task, s, w, b, due, paid) AS ({start} UNION ALL {step}), {each},
+flat AS (SELECT task, part * unnest(w) AS w, generate_subscripts(w, 1) AS d FROM ends), mixed AS (SELECT task, fid, sum(w) AS w FROM flat JOIN dims USING (d) GROUP BY task, fid UNION ALL SELECT task, -1, sum(part * b) FROM ends GROUP BY task) {out}"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import losses
 from .functions import text as T
-from .operators import lexicon, linear, mixing, selection, sequence, stats, subspace, templates, vocab
+from .operators import decomposition, lexicon, linear, mixing, selection, sequence, stats, subspace, templates, vocab
 from .plans import clscl, tagger
 from .session import shared_dir, written
 from .sources import readers
@@ -727,7 +727,7 @@ SELECT a.i AS i, b.i AS j, (a.i = b.i)::INT::DOUBLE AS left_vectors, (a.i = b.i)
 def truncated_svd(spark, sf_dir):
     """What makes a decomposition one: left vectors u_i are orthonormal, so are W^T u_i / s_i, and all s_i^2 add up to the energy of W."""
     w = subspace.to_sparse(vectors(spark, sf_dir)).select(F.col("doc_id").alias("fid"), F.col("fid").alias("task_id"), F.col("val").alias("w")).persist()
-    t, spectra = subspace.truncated_svd(spark, w, w.select("task_id").distinct().count())
+    t, spectra = decomposition.truncated_svd(spark, w, w.select("task_id").distinct().count())
     u = t.select("fid", F.posexplode("vec").alias("i", "u")).persist()
     s = F.array(*[F.lit(x) for x in spectra[0]])
     if spectra[0] != sorted(spectra[0], reverse=True):

@@ -1,9 +1,8 @@
-"""Structural correspondence: inverted index, labels of auxiliary tasks, SVD of their weights, projections."""
+"""Structural correspondence: inverted index, labels of auxiliary tasks, projections."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import small
@@ -69,37 +68,3 @@ def dense(projected: DataFrame, dims: int) -> DataFrame:
 def to_sparse(rows: DataFrame, vec: str = "vec") -> DataFrame:
     """(doc_id, fid, val) of the values that aren't zero."""
     return rows.select("doc_id", F.posexplode(vec).alias("fid", "val")).where("val <> 0").select("doc_id", F.col("fid").cast("long").alias("fid"), "val")
-
-
-def truncated_svd(spark: SparkSession, weights: DataFrame, k: int, blocks: DataFrame | None = None) -> tuple[DataFrame, list[list[float]]]:
-    """theta (fid, vec) and the spectrum of each block: left singular vectors of W (fid, task_id, w).
-
-    Signs: the greatest component of a vector is positive. Ranks below k are filled with zeros; blocks without weights
-    have no rows.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    columns = {r.task_id: i for i, r in enumerate(weights.select("task_id").distinct().orderBy("task_id").collect())}
-    bounds = [(None, None)] if blocks is None else [(r.f_min, r.f_max) for r in blocks.orderBy("f_min").collect()]
-    out, spectra = None, []
-    for low, high in bounds:
-        part = weights if low is None else weights.where(F.col("fid").between(low, high))
-        grouped = part.where("w <> 0").groupBy("fid").agg(F.collect_list(F.struct("task_id", "w")).alias("x")).rdd
-        m = len(columns)
-        matrix = IndexedRowMatrix(grouped.map(lambda r, c=columns, m=m: IndexedRow(r.fid, Vectors.sparse(m, {c[e.task_id]: e.w for e in r.x}))))
-        if grouped.isEmpty():
-            spectra.append([])
-            continue
-        # of few columns all vectors of a third are asked for, which the library then takes from a full decomposition
-        svd = matrix.computeSVD(min(m, max(k, -(-m // 3)) if m < 100 else k), computeU=True)
-        spectrum = [float(s) for s in svd.s][:k]
-        spectra.append(spectrum)
-        u = svd.U.rows.map(lambda r, k=k: (int(r.index), ([float(x) for x in r.vector] + [0.0] * k)[:k])).toDF("fid long, vec array<double>")
-        extremes = u.select(F.posexplode("vec").alias("d", "v")).groupBy("d").agg(F.max_by("v", F.struct(F.abs("v"), "v")).alias("v")).collect()
-        signs = np.ones(k)
-        for r in extremes:
-            signs[r.d] = -1.0 if r.v < 0 else 1.0
-        u = u.withColumn("vec", F.zip_with("vec", F.array(*[F.lit(float(s)) for s in signs]), lambda a, b: a * b))
-        out = u if out is None else out.unionByName(u)
-    return (spark.createDataFrame([], "fid long, vec array<double>") if out is None else out), spectra

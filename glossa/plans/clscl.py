@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexicon, linear, selection, stats, subspace, vocab
+from ..operators import decomposition, lexicon, linear, mixing, selection, stats, subspace, vocab
 from ..session import ship, written
 from ..sources.readers import load_model, save_model
 from ..timing import timed
@@ -61,7 +61,7 @@ def train(spark: SparkSession, source: DataFrame, labels: DataFrame, source_free
     w = linear.auxiliary_weights(spark, every, tasks, trainer="elastic", reg=reg, alpha=alpha, visits=visits, seed=13)
     w = written(spark, w, "auxiliary")
     k = min(k, max(1, len(tasks)))
-    theta, _ = subspace.truncated_svd(spark, w, k)
+    theta, _ = decomposition.truncated_svd(spark, w, k)
     theta = written(spark, theta, "theta")
     projected = written(spark, subspace.dense(subspace.project(vocab.merge(rows, free), theta), k), "projected")
     table = written(spark, stats.column_stats(projected), "moments")

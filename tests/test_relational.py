@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import lexicon, selection, sequence, stats, subspace, vocab
+from glossa.operators import decomposition, lexicon, selection, sequence, stats, subspace, vocab
 from glossa.sources import readers
 
 
@@ -110,7 +110,7 @@ def test_svd_against_numpy(spark):
     rnd = np.random.default_rng(0)
     m = rnd.normal(size=(40, 6)) * (rnd.random((40, 6)) < 0.5)
     w = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "fid long, task_id long, w double")
-    theta, (spectrum,) = subspace.truncated_svd(spark, w, 4)
+    theta, (spectrum,) = decomposition.truncated_svd(spark, w, 4)
     u, s, _ = np.linalg.svd(m, full_matrices=False)
     assert np.allclose(spectrum, s[:4])
     got = {r.fid: r.vec for r in theta.collect()}

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decomposition, lexicon, linear, mixing, selection, stats, subspace, vocab
-from ..session import ship, written
+from ..session import written
 from ..sources.readers import load_model, save_model
 from ..timing import timed
 
@@ -56,11 +53,10 @@ def train(spark: SparkSession, source: DataFrame, labels: DataFrame, source_free
     pivots = selection.select_pivots(ranking, lexicon.translate(dictionary, s_voc, t_voc), free, m, phi)
     pivots = written(spark, pivots, "pivots")
     found = pivots.orderBy(F.desc(F.round("mi", 9)), "fid_s").collect()
-    every = linear.gather(vocab.merge(rows, free), voc.count())
-    tasks = {i: [int(r.fid_s), int(r.fid_t)] for i, r in enumerate(found)}
-    w = linear.auxiliary_weights(spark, every, tasks, trainer="elastic", reg=reg, alpha=alpha, visits=visits, seed=13)
+    tasks = spark.createDataFrame([(i, int(f)) for i, r in enumerate(found) for f in (r.fid_s, r.fid_t)], "task_id long, fid long")
+    w = mixing.auxiliary(spark, vocab.merge(rows, free), tasks, reg=reg, alpha=alpha, visits=visits, seed=13)
     w = written(spark, w, "auxiliary")
-    k = min(k, max(1, len(tasks)))
+    k = min(k, max(1, len(found)))
     theta, _ = decomposition.truncated_svd(spark, w, k)
     theta = written(spark, theta, "theta")
     projected = written(spark, subspace.dense(subspace.project(vocab.merge(rows, free), theta), k), "projected")
@@ -72,22 +68,11 @@ def train(spark: SparkSession, source: DataFrame, labels: DataFrame, source_free
 
 def evaluate(spark: SparkSession, model: Model, train_bow: DataFrame, train_labels: DataFrame, test_bow: DataFrame, test_labels: DataFrame, repetitions: int = 10, reg: float = 0.01, visits: float = 1e6) -> DataFrame:
     """(repetition, accuracy): a classifier on projected source rows, held against target rows, by shuffles of the source."""
-    ship(spark)
-    held = []
-    for bow, labels, side in ((train_bow, train_labels, "s"), (test_bow, test_labels, "t")):
-        rows = model.project(bow, side).join(labels.select("doc_id", "y"), "doc_id")
-        if (n := rows.count()) * model.dims > linear.BROADCAST_VALUES:
-            raise ValueError(f"{n} rows of {model.dims} values are too many for one task")
-        pdf = rows.orderBy("doc_id").toPandas()
-        held.append((np.array(pdf["vec"].tolist()).reshape(len(pdf), -1), pdf["y"].to_numpy(float)))
-    shared = spark.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (x, y), (xt, yt) = shared.value
-        rows = linear.Rows(np.arange(len(x)), np.arange(len(x) + 1) * x.shape[1], np.tile(np.arange(x.shape[1]), len(x)), x.ravel(), x.shape[1])
-        for b in batches:
-            for seed in b["id"].tolist():
-                w, _ = linear.sgd(rows, y, reg, linear.epochs_for(visits, rows.n), seed=int(seed))
-                yield pd.DataFrame({"repetition": [seed], "accuracy": [100 * float((np.where(xt @ w > 0, 1, -1) == yt).mean())]})
-
-    return spark.range(repetitions).repartition(repetitions).mapInPandas(run, "repetition long, accuracy double")
+    own, test = (written(spark, subspace.to_sparse(model.project(bow, side)), "projected") for bow, side in ((train_bow, "s"), (test_bow, "t")))
+    packed = mixing.pack(own, train_labels)
+    weights = mixing.by_seed(spark, packed, list(range(repetitions)), mixing.Descent(reg), linear.epochs_for(visits, packed.rows))
+    score = test.join(F.broadcast(weights), "fid").groupBy("task_id", "doc_id").agg(F.sum(F.col("w") * F.col("val")).alias("s"))
+    # a row without any weight scores zero, which counts as below
+    every = test_labels.join(test_bow.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "y", F.explode(F.array(*[F.lit(i).cast("long") for i in range(repetitions)])).alias("task_id"))
+    right = (F.coalesce(F.col("s"), F.lit(0.0)) > 0) == (F.col("y") > 0)
+    return every.join(score, ["task_id", "doc_id"], "left").groupBy(F.col("task_id").alias("repetition")).agg((100 * F.avg(right.cast("int"))).alias("accuracy"))

@@ -429,9 +429,9 @@ rows AS (SELECT unnest(['uword_cur', 'uword_pre', 'uword_2pre', 'uword_post', 'u
 fn AS (SELECT ftype || '=' || fval AS fname, count(*) AS n FROM rows GROUP BY ALL HAVING count(*) >= 5), fvoc AS (SELECT fname, n, row_number() OVER (ORDER BY encode(fname)) - 1 AS fid FROM fn)"""
 
 
-def word_vocab(spark, sf_dir):
+def word_vocab(spark, sf_dir, t=None):
     """The word templates of the subspace set that occur five times or more."""
-    return sequence.feature_vocabulary([(tokens(spark, sf_dir), 5)], "rr09_aso", wanted=lambda n: n.startswith(("uword_", "bword_")), counts=True)
+    return sequence.feature_vocabulary([(tokens(spark, sf_dir) if t is None else t, 5)], "rr09_aso", wanted=lambda n: n.startswith(("uword_", "bword_")), counts=True)
 
 
 @query(f"WITH {FNAMES} SELECT fname, n, fid::BIGINT AS fid FROM fvoc")
@@ -602,7 +602,7 @@ y AS (SELECT doc_id, sum(CASE tag WHEN 'B-CAP' THEN 0 WHEN 'I-CAP' THEN 1 ELSE 2
 
 @query(_EXAMPLES)
 def feature_examples(spark, sf_dir):
-    t = tokens(spark, sf_dir)
+    t = written(spark, tokens(spark, sf_dir), "tokens")
     tags = ["B-CAP", "I-CAP", "O"]
     voc = sequence.feature_vocabulary([(t, 10)], "zj03", None, tags, True)
     rows, labels = sequence.examples(t, "zj03", voc, tags, None, True)
@@ -981,7 +981,8 @@ n AS (SELECT count(*) AS n FROM tokens), m AS (SELECT dim, sum(v) / any_value(n)
 SELECT 'aso' || dim || '_cur' AS fname, doc_id, round(sum((v - mean) / sd) - (any_value(t) - count(*)) * any_value(mean / sd), 3) + 0.0 AS total FROM p JOIN m USING (dim) JOIN (SELECT doc_id, count(*) AS t FROM tokens GROUP BY doc_id) USING (doc_id) GROUP BY dim, doc_id""")
 def aso_features(spark, sf_dir):
     """Every token through a given subspace of the word features, block by block, standardised over all tokens; sums by document."""
-    t, voc = tokens(spark, sf_dir), word_vocab(spark, sf_dir).persist()
+    t = written(spark, tokens(spark, sf_dir), "tokens")
+    voc = written(spark, word_vocab(spark, sf_dir, t), "vocabulary")
     blocks = selection.feature_type_blocks(voc).orderBy("f_min").collect()
     numbered = spark.createDataFrame([(i, r.ftype, r.f_min, r.f_max) for i, r in enumerate(blocks)], "block_id int, ftype string, f_min long, f_max long")
     theta = voc.select("fid", F.transform(F.array(F.lit(0), F.lit(1)), lambda d: ((F.col("fid") * 31 + d * 17) % 101) / F.lit(101.0)).alias("vec"))
@@ -993,7 +994,9 @@ def aso_features(spark, sf_dir):
 
 def word_rows(t: DataFrame, voc: DataFrame) -> DataFrame:
     """(fname, doc_id): the dimensions for which a document has a feature."""
-    block = {n: i for i, n in enumerate(sorted(r.ftype for r in selection.feature_type_blocks(voc).select("ftype").collect()))}
-    which = F.coalesce(*[F.when(F.col("ftype") == n, F.lit(i)) for n, i in block.items()])
-    rows = sequence.named(templates.features(t, "rr09_aso", wanted=lambda n: n in block)).join(voc.select("fname"), "fname", "left_semi")
-    return rows.select(F.explode(F.array(which * 2, which * 2 + 1)).alias("dim"), "doc_id").distinct().select(F.concat(F.lit("aso"), F.col("dim"), F.lit("_cur")).alias("fname"), "doc_id")
+    blocks = selection.feature_type_blocks(voc).orderBy("f_min").collect()
+    which = F.coalesce(*[F.when(F.col("fid").between(r.f_min, r.f_max), F.lit(i)) for i, r in enumerate(blocks)])
+    types = {r.ftype for r in blocks}
+    rows = sequence.known(templates.contexts(t, "rr09_aso", wanted=lambda n: n in types), voc)
+    seen = rows.select(which.alias("b"), "doc_id").distinct().select(F.explode(F.array(F.col("b") * 2, F.col("b") * 2 + 1)).alias("dim"), "doc_id")
+    return seen.select(F.concat(F.lit("aso"), F.col("dim"), F.lit("_cur")).alias("fname"), "doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Callable
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, written
 from .selection import pos_filter
-from .templates import features, history
+from .templates import Contexts, contexts
 from .vocab import dense_ids
 
 CAPACITY = 1000
@@ -98,12 +99,9 @@ def feature_vocabulary(readers: list[tuple[DataFrame, int]], detector: str, lexi
     """
     names = None
     for tokens, least in readers:
-        rows = features(tokens, detector, lexicons, wanted=wanted)
-        if "tag" in tokens.columns and tags:
-            rows = rows.unionByName(history(tokens, detector))
-        if pos_prefixes:
-            rows = rows.join(pos_filter(tokens, list(pos_prefixes)).select("doc_id", "sent_id", "tok_idx"), ["doc_id", "sent_id", "tok_idx"], "left_semi")
-        part = named(rows).groupBy("fname").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        only = (lambda t: pos_filter(t, list(pos_prefixes), "`@cur`.pos")) if pos_prefixes else None
+        found = contexts(tokens, detector, lexicons, wanted=wanted, gold="tag" in tokens.columns and bool(tags), only=only).counts()
+        part = named(found).groupBy("fname").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         names = part if names is None else names.union(part)
     if use_eph and tags:
         names = names.union(readers[0][0].sparkSession.createDataFrame([(f"eph={t}", 0) for t in tags], "fname string, n long"))
@@ -111,19 +109,25 @@ def feature_vocabulary(readers: list[tuple[DataFrame, int]], detector: str, lexi
     return voc if counts else voc.drop("n")
 
 
+def known(found: Contexts, vocab: DataFrame) -> DataFrame:
+    """(keys, tok_idx, fid): the features of the vocabulary (fname, fid) that tokens have. Names are looked up once for each distinct context."""
+    voc = vocab.select("fname", "fid")
+    rows = [found.looked_up(g, found.tokens, voc, F.collect_list("fid").alias("found")).select(*found.ids, F.explode("found").alias("fid")) for g in found.groups]
+    if found.bags is not None:
+        rows.append(named(found.bags).join(voc, "fname").select(*found.ids, "fid"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def examples(tokens: DataFrame, detector: str, vocab: DataFrame, tags: list[str], lexicons: dict[str, DataFrame] | None = None, use_eph: bool = False, gold: bool = True) -> tuple[DataFrame, DataFrame]:
     """(features, labels): (doc_id, sent_id, tok_idx, fid, val) and (doc_id, sent_id, tok_idx, y); unlabelled tokens have y = -1."""
     ids = ["doc_id", "sent_id", "tok_idx"]
-    rows = features(tokens, detector, lexicons)
-    if gold:
-        rows = rows.unionByName(history(tokens, detector))
-    rows = named(rows).select(*ids, "fname", F.lit(1.0).alias("val"))
+    rows = known(contexts(tokens, detector, lexicons, gold=gold), vocab).withColumn("val", F.lit(1.0))
     if use_eph and gold:
         eph = extended_history(tokens, tags)
         each = F.array(*[F.struct(F.lit(f"eph={t}").alias("fname"), F.col(f"eph_{t}").cast("double").alias("val")) for t in tags])
-        rows = rows.unionByName(eph.select(*ids, F.inline(F.filter(each, lambda x: x["val"] > 0))))
+        rows = rows.unionByName(eph.select(*ids, F.inline(F.filter(each, lambda x: x["val"] > 0))).join(F.broadcast(vocab.where(F.col("fname").startswith("eph=")).select("fname", "fid")), "fname").select(*ids, "fid", "val"))
     number = F.coalesce(*[F.when(F.col("tag") == t, F.lit(i)) for i, t in enumerate(tags)], F.lit(-1))
-    return rows.join(vocab, "fname").select(*ids, "fid", "val"), tokens.select(*ids, number.alias("y"))
+    return rows, tokens.select(*ids, number.alias("y"))
 
 
 def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str], float], tags: list[str], detector: str, use_eph: bool = False, scope: str = "document") -> DataFrame:

@@ -8,12 +8,15 @@ A template set is a list of (name, column) over a token row with its neighbours;
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 from .lexicon import BROWN_PREFIXES, member, small
 
 WINDOW = {"cur": 0, "pre": -1, "2pre": -2, "post": 1, "2post": 2}
@@ -38,15 +41,17 @@ def _derive(kind: str) -> dict[str, Callable[[Column], Column]]:
     return out | {f"suffix{n}": of(lambda w, n=n: T.suffix(w, n)) for n in (1, 2, 3, 4)} | {f"prefix{n}": of(lambda w, n=n: T.prefix(w, n)) for n in (1, 2, 3, 4)}
 
 
-def with_neighbours(tokens: DataFrame, fields: tuple[str, ...] = ("word",), keys: tuple[str, ...] = ("doc_id", "sent_id"), kind: str | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
-    """Adds a struct @position for each of the five positions: the fields, what is derived of the word by ``kind``, and columns that are null beyond the sentence."""
+def _packed(fields: tuple[str, ...], kind: str | None, types: dict, get: Callable[[str], Column], absent: bool) -> Column:
+    """A position: the fields, what is derived of the word by ``kind``, and the columns beside it."""
+    more = [(F.lit(None).cast(t) if absent else get(c)).alias(c) for c, t in types.items()]
     derived = {} if kind is None else _derive(kind)
-    types = {c: tokens.schema[c].dataType for c in beside}
+    return F.struct(*[get(f).alias(f) for f in fields], *[f(get("word")).alias(n) for n, f in derived.items()], *more)
 
-    def pack(get: Callable[[str], Column], absent: bool) -> Column:
-        more = [(F.lit(None).cast(t) if absent else F.col(c)).alias(c) for c, t in types.items()]
-        return F.struct(*[get(f).alias(f) for f in fields], *[f(get("word")).alias(n) for n, f in derived.items()], *more)
 
+def with_neighbours(tokens: DataFrame, fields: tuple[str, ...] = ("word",), keys: tuple[str, ...] = ("doc_id", "sent_id"), kind: str | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a struct @position for each of the five positions: the fields, what is derived of the word by ``kind``, and columns that are null beyond the sentence."""
+    types = {c: tokens.schema[c].dataType for c in beside}
+    pack = lambda get, absent: _packed(fields, kind, types, get, absent)
     packed = tokens.withColumn("@cur", pack(F.col, False))
     w = W.partitionBy(*keys).orderBy("tok_idx")
     edge = {-1: pack(lambda f: F.lit(T.START), True), 1: pack(lambda f: F.lit(T.END), True)}
@@ -192,31 +197,144 @@ def _with_lexicons(base: DataFrame, own: tuple[str, ...], lexicons: dict[str, Da
     return base, tuple(beside)
 
 
-def features(tokens: DataFrame, name: str, lexicons: dict[str, DataFrame] | None = None, keys: tuple[str, ...] = ("doc_id", "sent_id"), wanted: Callable[[str], bool] | None = None) -> DataFrame:
-    """(keys, tok_idx, ftype, fval): the features of a template set, absent values left out.
+def _pair(n: str, v: Column) -> Column:
+    return F.struct(F.lit(n).alias("ftype"), v.alias("fval"))
 
-    wanted: of which names; the others are never built. One lookup of each token, one window, one explode.
-    """
-    ids, wanted = [*keys, "tok_idx"], wanted or (lambda n: True)
+
+def _base(tokens: DataFrame, name: str, lexicons: dict[str, DataFrame] | None, keys: tuple[str, ...], more: tuple[str, ...] = ()) -> tuple[DataFrame, tuple[str, ...], str, tuple[str, ...]]:
+    """The tokens with what their lexicons know; the fields, the kind of words, and the lexicons' columns."""
     fields, kind = FIELDS.get(name, ("word",)), {"zj03": "date", "az05": "word"}.get(name, "num")
-    base = tokens.select(*ids, *[F.col(f) if f in tokens.columns else F.lit(None).cast("string").alias(f) for f in fields])
+    base = tokens.select(*keys, "tok_idx", *more, *[F.col(f) if f in tokens.columns else F.lit(None).cast("string").alias(f) for f in fields])
     base, beside = _with_lexicons(base, LEXICONS.get(name, ()), lexicons or {}, kind)
-    shifted = with_neighbours(base, fields, keys, kind, beside)
-    pair = lambda n, v: F.struct(F.lit(n).alias("ftype"), v.alias("fval"))
-    single = [pair(n, value(v)) for n, v in SETS[name]() if wanted(n)]
+    return base, fields, kind, beside
+
+
+def _valued(name: str, beside: tuple[str, ...], wanted: Callable[[str], bool]) -> tuple[list[Template], list[Template]]:
+    """(templates of one value, templates of a list of values) that a set makes of a token and its neighbours."""
+    single = [(n, value(v)) for n, v in SETS[name]() if wanted(n)]
     if "brown" in beside:
-        single += [pair(n, F.substring(at("brown", p), 1, k)) for p in WINDOW for k in BROWN_PREFIXES if wanted(n := f"brown_{k}_{p}")]
+        single += [(n, F.substring(at("brown", p), 1, k)) for p in WINDOW for k in BROWN_PREFIXES if wanted(n := f"brown_{k}_{p}")]
     several = [(f"gaz_{label}_{p}", F.filter(F.split(at(lexicon, p), ""), lambda c: c != "")) for lexicon, label in (("places", "place"), ("orgs", "org")) if lexicon in beside for p in NEAR]
     if name == "rr09_aso":
         several += [(f"shape_{p}", T.shapes(at("word", p))) for p in WINDOW]
+    return single, [(n, v) for n, v in several if wanted(n)]
+
+
+def _made(single: list[Template], several: list[Template]) -> Column:
+    """The array of a row's features, absent ones among them."""
+    none = F.array().cast("array<struct<ftype: string, fval: string>>")
+    under = lambda n: lambda x: _pair(n, x)
+    return F.concat(F.array(*[_pair(n, v) for n, v in single]) if single else none, *[F.coalesce(F.transform(v, under(n)), none) for n, v in several])
+
+
+def features(tokens: DataFrame, name: str, lexicons: dict[str, DataFrame] | None = None, keys: tuple[str, ...] = ("doc_id", "sent_id"), wanted: Callable[[str], bool] | None = None) -> DataFrame:
+    """(keys, tok_idx, ftype, fval): the features of a template set, absent values left out.
+
+    wanted: of which names; the others are never built. One lookup of each token, one window, one explode.
+    """
+    ids, wanted = [*keys, "tok_idx"], wanted or (lambda n: True)
+    base, fields, kind, beside = _base(tokens, name, lexicons, keys)
+    shifted = with_neighbours(base, fields, keys, kind, beside)
+    single, several = _valued(name, beside, wanted)
     if name == "az05":
         w = W.partitionBy(*keys).orderBy("tok_idx")
-        several += [(f"bow{i}-{j}", F.col(f"`@bow{i}`")) for i, j in BAGS]
-        shifted = shifted.withColumns({f"@bow{i}": F.collect_list("word").over(w.rowsBetween(i, j)) for i, j in BAGS})
-    none = F.array().cast("array<struct<ftype: string, fval: string>>")
-    under = lambda n: lambda x: pair(n, x)
-    lists = [F.coalesce(F.transform(v, under(n)), none) for n, v in several if wanted(n)]
-    return shifted.select(*ids, F.inline(F.concat(F.array(*single) if single else none, *lists))).where("fval is not null")
+        bags = [(f"bow{i}-{j}", i, j) for i, j in BAGS if wanted(f"bow{i}-{j}")]
+        several += [(n, F.col(f"`@bow{i}`")) for n, i, _ in bags]
+        shifted = shifted.withColumns({f"@bow{i}": F.collect_list("word").over(w.rowsBetween(i, j)) for _, i, j in bags})
+    return shifted.select(*ids, F.inline(_made(single, several))).where("fval is not null")
+
+
+@dataclass(frozen=True)
+class Contexts:
+    """The templates of a set, told apart by the positions that they read, so that each distinct context is made once.
+
+    A template of one word has as many values as there are words, not tokens; one of two words, as many as there are
+    pairs. tokens: (keys, tok_idx, @position of raw fields), written. groups: for each tuple of positions its templates of
+    one value and of lists. bags: rows (keys, tok_idx, ftype, fval) of templates that read whole windows, or None.
+    """
+
+    tokens: DataFrame
+    ids: tuple[str, ...]
+    groups: dict[tuple[str, ...], tuple[list[Template], list[Template]]]
+    fields: tuple[str, ...]
+    kind: str
+    beside: tuple[str, ...]
+    bags: DataFrame | None = None
+    _made: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
+
+    def made(self, group: tuple[str, ...]) -> DataFrame:
+        """(raw0, ..., n, ftype, fval, fname) of a group, written once."""
+        if group not in self._made:
+            self._made[group] = written(self.tokens.sparkSession, self.of(group).withColumn("fname", F.concat("ftype", F.lit("="), "fval")), "contexts")
+        return self._made[group]
+
+    def names(self, group: tuple[str, ...]) -> list[str]:
+        return [n for part in self.groups[group] for n, _ in part]
+
+    def of(self, group: tuple[str, ...]) -> DataFrame:
+        """(@positions, n, ftype, fval): the distinct contexts of a group with their number of tokens, a row for each feature."""
+        at_ = [f"@{p}" for p in group]
+        found = self.tokens.groupBy(*[F.col(f"`{a}`") for a in at_]).agg(F.count(F.lit(1)).alias("n"))
+        schema = self.tokens.schema
+
+        def full(a: str) -> Column:
+            raw = F.col(f"`{a}`")
+            types = {c: schema[a].dataType[c].dataType for c in self.beside}
+            return _packed(self.fields, self.kind, types, lambda f: raw[f], False)
+
+        # the raw contexts stay beside, to be joined with the tokens
+        kept = found.select("n", *[F.col(f"`{a}`").alias(f"raw{i}") for i, a in enumerate(at_)], *[(full(a) if a != "@tags" else F.col("`@tags`")).alias(a) for a in at_])
+        made = _made(*self.groups[group])
+        return kept.select(*[f"raw{i}" for i in range(len(at_))], "n", F.inline(made)).where("fval is not null")
+
+    def counts(self) -> DataFrame:
+        """(ftype, fval, n): parts of the numbers of tokens with each feature, to be added up."""
+        parts = [self.made(g).select("ftype", "fval", "n") for g in self.groups]
+        if self.bags is not None:
+            parts.append(self.bags.select("ftype", "fval", F.lit(1).cast("long").alias("n")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def looked_up(self, group: tuple[str, ...], rows: DataFrame, table: DataFrame, found: Column, how: str = "inner", most: int = 300_000) -> DataFrame:
+        """Rows of tokens with ``found``, an aggregate of what a table (fname, ...) has for the features of a group; made once for each context.
+
+        most: rows of a table that is broadcast; a row holds a few words or numbers.
+        """
+        raws = [f"raw{i}" for i in range(len(group))]
+        lists = written(self.tokens.sparkSession, self.made(group).join(small(table, most), "fname").groupBy(*raws).agg(found), "known")
+        keyed = rows.select("*", *[F.col(f"`@{p}`").alias(r) for p, r in zip(group, raws, strict=True)])
+        return keyed.join(small(lists, most), raws, how).drop(*raws)
+
+
+def contexts(tokens: DataFrame, name: str, lexicons: dict[str, DataFrame] | None = None, keys: tuple[str, ...] = ("doc_id", "sent_id"), wanted: Callable[[str], bool] | None = None, gold: bool = False, only: Callable[[DataFrame], DataFrame] | None = None) -> Contexts:
+    """The features of a set as contexts. gold: with those of the given tags before a token. only: which tokens count, of those with their neighbours."""
+    wanted = wanted or (lambda n: True)
+    base, fields, kind, beside = _base(tokens, name, lexicons, keys, ("tag",) if gold else ())
+    ids = (*keys, "tok_idx")
+    single, several = _valued(name, beside, wanted)
+    single += [(n, v) for n, v in _history(name) if wanted(n)] if gold else []
+    known = (name, keys, gold, tuple(n for n, _ in single + several), *sorted((k, id(v)) for k, v in (lexicons or {}).items()))
+    if only is None and known in (memo := tokens.__dict__.setdefault("_contexts", {})):
+        return memo[known]
+    shifted = with_neighbours(base, fields, keys, None, beside)
+    if gold:
+        w = W.partitionBy(*keys).orderBy("tok_idx")
+        shifted = shifted.withColumn("@tags", F.struct(F.lag("tag", 1, T.START).over(w).alias("one"), F.lag("tag", 2, T.START).over(w).alias("two")))
+    bags = None
+    if name == "az05" and any(wanted(f"bow{i}-{j}") for i, j in BAGS):
+        bags = reduce(DataFrame.unionByName, [bag_window(tokens.select(*ids, "word"), i, j, keys).select(*ids, "ftype", "fval") for i, j in BAGS if wanted(f"bow{i}-{j}")])
+    if only is not None:
+        shifted = only(shifted)
+        bags = None if bags is None else bags.join(shifted.select(*ids), list(ids), "left_semi")
+    groups: dict[tuple[str, ...], tuple[list[Template], list[Template]]] = {}
+    for which, templates in enumerate((single, several)):
+        for n, v in templates:
+            group = tuple(p for p in (*WINDOW, "tags") if f"@{p}[" in str(v))
+            groups.setdefault(group, ([], []))[which].append((n, v))
+    shifted = shifted.select(*ids, *[f"`@{p}`" for p in (*WINDOW, "tags") if any(p in g for g in groups)])
+    out = Contexts(written(tokens.sparkSession, shifted, "neighbours"), ids, groups, fields, kind, beside, bags)
+    if only is None:  # the same table of tokens is asked for its vocabulary, and again for its rows
+        memo[known] = out
+    return out
 
 
 def value(v: Column) -> Column:
@@ -226,14 +344,18 @@ def value(v: Column) -> Column:
     return F.when(s.isNotNull() & ~s.isin("", "false", "0"), s)
 
 
+def _history(name: str) -> list[Template]:
+    """The templates of the tags before a token, over @tags and the words around; the words are as ``numify`` keeps them."""
+    tags = F.col("`@tags`")
+    one, two = tags["one"], tags["two"]
+    if name in ("zj03", "az05"):
+        return [("pre_tag", one), ("pre_pre_tag", two), ("pre_tag_w", T.joined(one, at("word", "cur"))), ("tag_bigram", T.joined(two, one))]
+    unigram, word, bigram = ("utag_", "btagw_pre_", "btagw_2pre_pre") if name == "rr09_aso" else ("tag_tag_", "tag_pretagword_", "tag_bigram_2pre_pre")
+    return [(unigram + "pre", one), (unigram + "2pre", two), *((word + p, T.joined(one, T.numify(at("word", p)))) for p in WINDOW), (bigram, T.joined(two, one))]
+
+
 def history(tokens: DataFrame, name: str, tag: str = "tag", keys: tuple[str, ...] = ("doc_id", "sent_id")) -> DataFrame:
     """(keys, tok_idx, ftype, fval): features of the tags before a token, from the given tags."""
     w = W.partitionBy(*keys).orderBy("tok_idx")
-    shifted = with_neighbours(tokens, ("word",), keys, "num").withColumn("_1", F.lag(tag, 1, T.START).over(w)).withColumn("_2", F.lag(tag, 2, T.START).over(w))
-    one, two = F.col("_1"), F.col("_2")
-    if name in ("zj03", "az05"):
-        each = [("pre_tag", one), ("pre_pre_tag", two), ("pre_tag_w", T.joined(one, F.col("word"))), ("tag_bigram", T.joined(two, one))]
-    else:
-        unigram, word, bigram = ("utag_", "btagw_pre_", "btagw_2pre_pre") if name == "rr09_aso" else ("tag_tag_", "tag_pretagword_", "tag_bigram_2pre_pre")
-        each = [(unigram + "pre", one), (unigram + "2pre", two), *((word + p, T.joined(one, _num(p))) for p in WINDOW), (bigram, T.joined(two, one))]
-    return shifted.select(*keys, "tok_idx", F.inline(F.array(*[F.struct(F.lit(n).alias("ftype"), v.alias("fval")) for n, v in each])))
+    shifted = with_neighbours(tokens, ("word",), keys).withColumn("@tags", F.struct(F.lag(tag, 1, T.START).over(w).alias("one"), F.lag(tag, 2, T.START).over(w).alias("two")))
+    return shifted.select(*keys, "tok_idx", F.inline(F.array(*[_pair(n, v) for n, v in _history(name)])))

@@ -45,11 +45,13 @@ BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 def tokens(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
     """Lines of documents as sentences, blank-separated tokens; a token in title case after the first is an entity."""
     d = read(spark, sf_dir, table).where("text is not null").select(F.col(key).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
-    t = d.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.posexplode(F.filter(F.split("line", BLANKS), lambda x: x != "")).alias("tok_idx", "word"))
-    entity = (F.col("tok_idx") > 0) & F.col("word").rlike("^[A-Z][a-z]+$")
-    w = W.partitionBy("doc_id", "sent_id").orderBy("tok_idx")
-    t = t.withColumn("_e", entity).withColumn("_b", F.coalesce(F.lag("_e").over(w), F.lit(False)))
-    return t.select("doc_id", "sent_id", "tok_idx", "word", F.when(F.col("_e") & F.col("_b"), "I-CAP").when(F.col("_e"), "B-CAP").otherwise("O").alias("tag"))
+    lines = d.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.filter(F.split("line", BLANKS), lambda x: x != "").alias("ws"))
+    # a token leaves its line together with the word before it, so nothing is shuffled
+    t = lines.select("doc_id", "sent_id", F.posexplode(F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.get(F.col("ws"), i - 1).alias("before")))).alias("tok_idx", "t"))
+    title = "^[A-Z][a-z]+$"
+    entity = (F.col("tok_idx") > 0) & F.col("t.word").rlike(title)
+    follows = (F.col("tok_idx") > 1) & F.col("t.before").rlike(title)
+    return t.select("doc_id", "sent_id", "tok_idx", "t.word", F.when(entity & follows, "I-CAP").when(entity, "B-CAP").otherwise("O").alias("tag"))
 
 
 TOKENS = r"""
@@ -934,14 +936,15 @@ def conll_files(spark, sf_dir):
     t = tokens(spark, sf_dir)
     s = readers.sentences(t).select("doc_id", "sent_id", F.array_join(F.transform("tokens", lambda x: F.concat_ws(" ", x["word"], F.lit("NN"), F.lit("O"), x["tag"])), "\n").alias("s"))
     d = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "s"))), lambda x: x["s"]), "\n\n").alias("text"))
-    names = vocab.dense_ids(d, "doc_id", "place")
     folder = f"{shared_dir(spark)}/conll-{uuid.uuid4().hex}"
-    names.select("doc_id", F.concat(F.lit("-DOCSTART- -X- O O\n\n"), F.col("text"), F.lit("\n")).alias("text")).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(folder)
-    got = written(spark, readers.read_conll(spark, folder, encoding="UTF-8"), "tokens")
+    d.select("doc_id", F.concat(F.lit("-DOCSTART- -X- O O\n\n"), F.col("text"), F.lit("\n")).alias("text")).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(folder)
+    names = vocab.dense_ids(t.select("doc_id").distinct(), "doc_id", "place")
+    got = readers.read_conll(spark, folder, encoding="UTF-8")
     words = F.array_sort(F.collect_list(F.struct("sent_id", "tok_idx", F.concat_ws(" ", "word", "tag").alias("w"))))
     n = got.groupBy(F.col("doc_id").alias("place")).agg(
         F.count(F.lit(1)).alias("tokens"), F.countDistinct("sent_id").alias("sentences"), F.count(F.when(F.col("tag") != "O", 1)).alias("entities"), F.md5(F.array_join(F.transform(words, lambda x: x["w"]), "\n")).alias("digest"),
     )
+    n = written(spark, n, "documents")
     so_far = vocab.running_totals(n.select("place", "sentences"), ["place"], "sentences", "before").select("place", (F.col("before") + F.col("sentences")).alias("sentences_so_far"))
     return names.select("doc_id", "place").join(n, "place").join(so_far, "place").select("doc_id", "tokens", "sentences", "entities", "digest", "place", "sentences_so_far")
 

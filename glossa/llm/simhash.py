@@ -237,6 +237,8 @@ PREFIX = 0.3
 PEELS = 4
 #: In each round, so many times as many members of a bucket lead.
 MORE_LEADS = 4
+#: A bucket of so many members is large: a pair meets in its first one only. So many large buckets of a set are remembered.
+LARGE, REMEMBERED = 16, 24
 #: Row numbers are broadcast up to so many; beyond that the join is dealt out.
 BROADCAST_ROWS = 2_000_000
 
@@ -317,7 +319,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     all their shingles. Sets that are left meet in the bucket of each of their rarest shingles that could be the first
     shared one. In rounds, members of a bucket lead, those with the most company first, and all members that aren't joined
     to a lead yet are held against it, unless sizes and positions rule the similarity out. Components join what is similar;
-    a bucket whose members are all joined is done, and every other one ends with all its pairs held.
+    a bucket whose members are all joined is done, and every other one ends with all its pairs held, except for pairs that
+    meet in an earlier large bucket.
 
     Defined cases: null, empty and blank texts are one group; equal texts go without a comparison; a text of fewer than
     five words is one shingle; of a group the least doc_id stays (null ids last), of equal ids the first row; texts of any
@@ -367,8 +370,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     placed = met.withColumn("at", alone + F.row_number().over(Window.partitionBy("id").orderBy("m", "s")) - 1).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-6))
     placed = staged(spark, placed.withColumn("m", F.count(F.lit(1)).over(own)).where("m > 1"), "placed")
     company = placed.groupBy("id").agg((F.sum(F.log("m")) / F.first("n")).alias("company"))
-    buckets = staged(spark, placed.join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).drop("company"), "buckets")
-    discard(spark, met, placed)
+    # a set's first large buckets: what is in both sets' lists, before the bucket at hand, has brought them together already
+    crowded = placed.where(F.col("m") >= LARGE).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("at"))).where(F.col("r") <= REMEMBERED)
+    lists = staged(spark, crowded.groupBy("id").agg(F.collect_list(F.struct("at", "s")).alias("large")), "lists")
+    earlier = F.when(F.col("m") >= LARGE, F.transform(F.filter("large", lambda x: x["at"] < F.col("at")), lambda x: x["s"])).alias("earlier")
+    ranked = placed.join(company, "id").withColumn("k", F.row_number().over(own.orderBy(F.desc("company"), "id"))).join(lists, "id", "left")
+    buckets = staged(spark, ranked.select("id", "n", "s", "at", "m", "k", earlier), "buckets")
+    discard(spark, met, placed, lists)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for whole in batches for b in slices(whole, "a")):
@@ -386,18 +394,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     labels = joined(wanted.withColumn("c", F.col("id")), close)
 
-    def held(leads: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs of a lead and a member that isn't joined to it, if sizes and positions let them be similar."""
-        leads = leads.select("s", *(F.col(x).alias(f"lead_{x}") for x in ("id", "n", "at", "k", "c")))
+    def held(leads: DataFrame, members: DataFrame, once: bool = True) -> DataFrame:
+        """Pairs of a lead and a member that isn't joined to it, if sizes and positions let them be similar.
+
+        once: not where both have an earlier large bucket in common, as that one holds them against each other; the first
+        one in common is never left out, so no pair is lost.
+        """
+        leads = leads.select("s", *(F.col(x).alias(f"lead_{x}") for x in ("id", "n", "at", "k", "c", "earlier")))
         # shared shingles: this one, those before it in both, those behind it in both; 4/5 of the union means 9 shared >= 4 (n + n)
         most = F.least("at", "lead_at") + F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at"))
         fits = (F.col("k") > F.col("lead_k")) & (F.col("c") != F.col("lead_c")) & (9 * most >= 4 * (F.col("n") + F.col("lead_n")))
+        if once:
+            fits = fits & ~F.coalesce(F.arrays_overlap("earlier", "lead_earlier"), F.lit(False))
         return staged(spark, leads.join(members, "s").where(fits).select("id", F.col("lead_id").alias("other")).distinct(), "pairs")
 
     # first each set in its fullest bucket only: a large group is joined by one comparison a set, not by one in every bucket
-    fullest = buckets.groupBy("id").agg(F.max(F.struct("m", "s", "n", "at", "k")).alias("x")).select("id", "x.s", "x.n", "x.at", "x.k")
+    fullest = buckets.groupBy("id").agg(F.max(F.struct("m", "s", "n", "at", "k")).alias("x")).select("id", "x.s", "x.n", "x.at", "x.k", F.lit(None).alias("earlier"))
     named = lambda rows: rows.join(labels, "id")
-    labels = joined(labels, held(named(buckets.where("k = 1")), named(fullest)))
+    labels = joined(labels, held(named(buckets.where("k = 1")), named(fullest), False))
     low, high, open_ = 1, 2, buckets.drop("m")
     while True:
         # a bucket that is done stays done, as components only grow

@@ -167,8 +167,11 @@ def test_near_dedup_joins_groups_and_finds_all_pairs(spark):
     chain = [[f"c{rnd.random()}" for _ in range(204)]]
     for k in range(5):
         chain.append(edited(chain[-1], 10 + 30 * k, 12))
-    texts += star + chain
-    group += [1000] * len(star) + [1001] * len(chain)
+    long = [[f"d{rnd.random()}" for _ in range(204)]]
+    for k in range(40):  # large buckets, most of whose pairs aren't near
+        long.append(edited(long[-1], 5 + 37 * k % 190, 12))
+    texts += star + chain + long
+    group += [1000] * len(star) + [1001] * len(chain) + [1002] * len(long)
     a, b = (" ".join(x).encode() for x in (star[0], star[1]))
     assert not simhash.similar(a, b) and simhash.similar(a, " ".join(w).encode())
     line = [f"l{k}" for k in range(120)]  # a common passage is no similarity

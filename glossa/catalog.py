@@ -635,6 +635,23 @@ def eph_stream(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select(F.col("at").alias("event_id"), F.col("word").alias("user_id"), F.when(seen == "", 0).otherwise(seen.cast("long")).cast("long").alias("purchases"))
 
 
+#: For ``corpus_decoding``: what speaks for a tag, by hand; earlier tags of a word count for as much as its form.
+DECODING = {
+    (0, "form=other"): 3.0, (1, "form=title"): 1.0, (2, "form=title"): 1.0, (0, "form=title"): 1.2, (1, "pre_tag=O"): 0.5, (2, "pre_tag=B-CAP"): 0.75, (2, "pre_tag=I-CAP"): 0.25,
+    (0, "pre_tag=<s>"): 0.6, (1, "eph=B-CAP"): 0.25, (2, "eph=I-CAP"): 0.25, (1, "eph=I-CAP"): -0.125,
+}
+
+
+@query()
+def corpus_decoding(spark, sf_dir):
+    """Tags of all tokens with the history of the whole corpus, decoded in ranges; counts by document. Each tag hangs on those before it, so no SQL; held against a plain loop."""
+    t = written(spark, tokens(spark, sf_dir), "tokens")
+    form = F.concat(F.lit("form="), F.when(F.col("word").rlike("^[A-Z][a-z]+$"), "title").otherwise("other"))
+    rows = t.select("doc_id", "sent_id", "tok_idx", form.alias("fname"), F.lit(1.0).alias("val"))
+    got = sequence.greedy_tags(t, rows, DECODING, ["O", "B-CAP", "I-CAP"], "zj03", True, "corpus")
+    return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("pred") == p).cast("long")).alias(c) for p, c in (("B-CAP", "b"), ("I-CAP", "i"))))
+
+
 # ---------------------------------------------------------------- vectors
 
 WEIGHT = "((fid * 31) % 101 - 50) / 101.0"

@@ -9,7 +9,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -130,12 +130,64 @@ def examples(tokens: DataFrame, detector: str, vocab: DataFrame, tags: list[str]
     return rows, tokens.select(*ids, number.alias("y"))
 
 
-def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str], float], tags: list[str], detector: str, use_eph: bool = False, scope: str = "document") -> DataFrame:
+#: So many tokens make a range that one task decodes from an assumed history.
+DECODED = 200_000
+EVENTS = "array<struct<word:string,tag:string>>"
+
+
+def by_ranges(spark: SparkSession, joined: DataFrame, decode: Callable[[pd.DataFrame, list], tuple[list, list]], schema: str, range_tokens: int) -> DataFrame:
+    """The decoder's rows over the whole corpus, range by range, each from the history that the ranges before it leave.
+
+    All ranges are first decoded from an empty history. A range whose assumed history isn't what the range before it now
+    leaves is decoded again from that, until none is. The first n ranges are right after n rounds, whatever the data, and
+    as a history reaches back only so many entities, most settle after two or three. Histories stay in tables; the driver
+    sees the numbers of the ranges, one for every range_tokens tokens.
+
+    decode: rows of a range in any order and the history before it, as (word, tag); gives the rows and the history behind.
+    """
+    n = -(-joined.count() // range_tokens) or 1
+    placed = written(spark, joined.repartitionByRange(n, "doc_id", "sent_id").withColumn("_k", F.shiftright(F.monotonically_increasing_id(), 33)), "ranges")
+    there = sorted(r["_k"] for r in placed.select("_k").distinct().collect())
+    if not there:
+        return spark.createDataFrame([], schema)
+    follows = spark.createDataFrame(list(zip(there, [None, *there], strict=False)), "_k long, _before long")
+    fields = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def settle(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        events = [(e["word"], e["tag"]) for e in given["_in"].iloc[0]]
+        out, behind = decode(own, events)
+        out = pd.DataFrame(out, columns=fields, dtype=object)
+        last = pd.DataFrame([{f: None for f in fields}], dtype=object)
+        out["_out"], last["_out"] = None, [[{"word": w, "tag": t} for w, t in behind]]
+        both = pd.concat([out, last], ignore_index=True)
+        both.insert(0, "_k", given["_k"].iloc[0])
+        return both[["_k", "_out", *fields]]
+
+    none = F.array().cast(EVENTS)
+    todo, state, done = follows.select("_k", none.alias("_in")), None, []
+    while True:
+        todo = written(spark, todo, "assumed")
+        if todo.limit(1).count() == 0:
+            break
+        found = placed.join(todo.select("_k"), "_k", "left_semi").groupBy("_k").cogroup(todo.groupBy("_k")).applyInPandas(settle, f"_k long, _out {EVENTS}, {schema}")
+        found = written(spark, found.withColumn("_round", F.lit(len(done))), "decoded")
+        done.append(found)
+        fresh = found.where(F.col("_out").isNotNull()).select("_k", "_round", "_out").join(todo, "_k")
+        if state is not None:
+            fresh = fresh.unionByName(state.join(todo.select("_k"), "_k", "left_anti"))
+        state = written(spark, fresh, "histories")
+        behind = state.select(F.col("_k").alias("_before"), F.col("_out").alias("_true"))
+        now = follows.join(behind, "_before", "left").select("_k", F.coalesce("_true", none).alias("_true"))
+        todo = state.join(now, "_k").where(F.col("_in") != F.col("_true")).select("_k", F.col("_true").alias("_in"))
+    return reduce(DataFrame.unionByName, done).where(F.col("_out").isNull()).join(state.select("_k", "_round"), ["_k", "_round"]).select(*fields)
+
+
+def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str], float], tags: list[str], detector: str, use_eph: bool = False, scope: str = "document", range_tokens: int = DECODED, capacity: int = CAPACITY) -> DataFrame:
     """Adds pred: each sentence from left to right, with the tags just given as history.
 
     rows: (doc_id, sent_id, tok_idx, fname, val), the features that don't depend on tags. weights: by (class, feature
-    name). The extended history is kept by document (parallel), or with scope ``corpus`` by the whole corpus, which is one
-    sequence and so one task.
+    name). The extended history, of ``capacity`` entities, is kept by document, or with scope ``corpus`` by the whole
+    corpus, in ranges of about range_tokens tokens (``by_ranges``); both give what one task from left to right would give.
     """
     ship(tokens.sparkSession)
     ids = ["doc_id", "sent_id", "tok_idx"]
@@ -153,8 +205,10 @@ def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str
     def number(s: str) -> str:
         return s if sum(not "0" <= c <= "9" for c in s) > 2 else "".join("*d*" if "0" <= c <= "9" else c for c in s)
 
-    def tagged(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, seen, out = shared.value, History(), []
+    def decode(pdf: pd.DataFrame, before: list) -> tuple[list, list]:
+        model, seen, out = shared.value, History(capacity), []
+        for w, t in before:
+            seen.push(w, t)
         pdf = pdf.sort_values(ids)
         for (d, s), g in groupby(pdf.itertuples(), key=lambda r: (r.doc_id, r.sent_id)):
             g = list(g)
@@ -179,11 +233,16 @@ def greedy_tags(tokens: DataFrame, rows: DataFrame, weights: dict[tuple[int, str
                 given.append(tags[best])
                 seen.push(r.word, tags[best])
                 out.append((d, s, r.tok_idx, tags[best]))
-        return pd.DataFrame(out, columns=fields)
+        return out, list(seen.events)
 
-    key = F.lit(0) if use_eph and scope == "corpus" else F.col("doc_id") if use_eph else F.xxhash64("doc_id", "sent_id") % 4096
     types = {f.name: f.dataType.simpleString() for f in tokens.schema}
-    pred = joined.select(*ids, "word", "fnames", "vals").groupBy(key.alias("_k")).applyInPandas(tagged, f"doc_id {types['doc_id']}, sent_id {types['sent_id']}, tok_idx {types['tok_idx']}, pred string")
+    schema = f"doc_id {types['doc_id']}, sent_id {types['sent_id']}, tok_idx {types['tok_idx']}, pred string"
+    joined = joined.select(*ids, "word", "fnames", "vals")
+    if use_eph and scope == "corpus":
+        pred = by_ranges(tokens.sparkSession, joined, decode, schema, range_tokens)
+    else:
+        key = F.col("doc_id") if use_eph else F.xxhash64("doc_id", "sent_id") % 4096
+        pred = joined.groupBy(key.alias("_k")).applyInPandas(lambda pdf: pd.DataFrame(decode(pdf, [])[0], columns=fields), schema)
     return tokens.join(pred, ids)
 
 

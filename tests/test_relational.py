@@ -1,4 +1,5 @@
 import random
+import re
 from collections import deque
 
 import numpy as np
@@ -182,6 +183,51 @@ def test_history_is_a_queue_over_ranges(spark):
     assert {(r.doc_id, r.sent_id, r.tok_idx): (r["eph_B-X"], r["eph_I-X"], r["eph_O"]) for r in got} == want and len(got) == len(t)
 
 
+def test_decoding_by_ranges_is_decoding_in_one_task(spark):
+    """Weights that make a tag depend on the word's earlier tags, so that a wrong history would show far behind."""
+    rnd = random.Random(8)
+    toks = [(d, s, k, rnd.choice("abcdefgh"), "Unk") for d in range(60) for s in range(2) for k in range(6)]
+    t = spark.createDataFrame(toks, "doc_id long, sent_id long, tok_idx int, word string, tag string").repartition(3)
+    tags = ["O", "X", "Y"]
+    weights = {(c, f"w={w}"): rnd.uniform(-1, 1) for c in range(3) for w in "abcdefgh"}
+    weights |= {(c, f"eph={a}"): rnd.uniform(-0.6, 0.6) for c in range(3) for a in tags[1:]} | {(c, f"pre_tag={a}"): rnd.uniform(-0.5, 0.5) for c in range(3) for a in tags}
+    rows = t.select("doc_id", "sent_id", "tok_idx", F.concat(F.lit("w="), "word").alias("fname"), F.lit(1.0).alias("val"))
+    q, want, given = sequence.History(20), {}, []
+    for d, s, k, w, _ in toks:
+        given = given if k else []
+        score = [weights[c, f"w={w}"] + (weights[c, f"pre_tag={given[-1]}"] if given else 0) + sum(weights.get((c, f"eph={a}"), 0) * n for a, n in q.get(w).items()) for c in range(3)]
+        best = max(range(3), key=lambda c: (score[c], c))
+        given.append(tags[best])
+        q.push(w, tags[best])
+        want[d, s, k] = tags[best]
+    assert len(set(want.values())) > 1
+    for size in (10_000, 100, 15):
+        got = sequence.greedy_tags(t, rows, weights, tags, "zj03", True, "corpus", size, 20).collect()
+        assert {(r.doc_id, r.sent_id, r.tok_idx): r.pred for r in got} == want and len(got) == len(toks)
+    assert sequence.greedy_tags(t.limit(0), rows, weights, tags, "zj03", True, "corpus").count() == 0
+
+
+def test_corpus_decoding(spark, monkeypatch):
+    """The query against a plain loop; with small ranges the same."""
+    from glossa import catalog
+
+    sf, tags = "/root/testdata/sf0.001", ["O", "B-CAP", "I-CAP"]
+    q, want, last = sequence.History(), {}, None
+    for r in catalog.tokens(spark, sf).orderBy("doc_id", "sent_id", "tok_idx").collect():
+        before = before if last == (r.doc_id, r.sent_id) else "<s>"  # noqa: F821
+        last = (r.doc_id, r.sent_id)
+        title = re.fullmatch("[A-Z][a-z]+", r.word) is not None
+        score = [sum(catalog.DECODING.get((c, f), 0) * n for f, n in [("form=title" if title else "form=other", 1), (f"pre_tag={before}", 1), *((f"eph={a}", n) for a, n in q.get(r.word).items())]) for c in range(3)]
+        before = tags[max(range(3), key=lambda c: (score[c], c))]
+        q.push(r.word, before)
+        n, b, i = want.get(r.doc_id, (0, 0, 0))
+        want[r.doc_id] = (n + 1, b + (before == "B-CAP"), i + (before == "I-CAP"))
+    one = sequence.greedy_tags
+    monkeypatch.setattr(sequence, "greedy_tags", lambda *a: one(*a, range_tokens=12_000))
+    assert {r.doc_id: (r.n, r.b, r.i) for r in catalog.corpus_decoding(spark, sf).collect()} == want
+    assert sum(b for _, b, _ in want.values()) > 10
+
+
 def test_running_history_of_the_corpus(spark, tmp_path):
     from glossa.streaming.history import running_history
 

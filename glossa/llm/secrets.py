@@ -89,9 +89,9 @@ def is_name(s: str, path: str) -> bool:
     return all(is_word(p, path) for p in letters)
 
 
-def plain(s: str) -> bool:
-    """Without digits and in one case, or with one capital in front: no key."""
-    return s.isalpha() and (s.islower() or s.isupper() or s[1:].islower())
+def plain(s: str, path: str) -> bool:
+    """Letters of one case, perhaps with one capital in front, that the vocabulary spells well: no key."""
+    return s.isalpha() and (s.islower() or s.isupper() or s[1:].islower()) and random_ratio(s, path) is None
 
 
 def random_ratio(s: str, path: str) -> float | None:
@@ -104,10 +104,10 @@ def random_spans(text: str, held: list[Span], path: str) -> list[Span]:
     """Strings that the vocabulary spells badly."""
     found = []
     for m in RUN.finditer(text):
-        if plain(m[0]):
+        if plain(m[0], path):
             continue
         # parts that hold no key; a long or public one ends a stretch, a short one may stand within a key
-        parts = [(p.start(), p.end(), public(p[0]), public(p[0]) or plain(p[0]) or NUMBER.fullmatch(p[0]) is not None or is_name(p[0], path)) for p in PART.finditer(m[0])]
+        parts = [(p.start(), p.end(), public(p[0]), public(p[0]) or plain(p[0], path) or NUMBER.fullmatch(p[0]) is not None or is_name(p[0], path)) for p in PART.finditer(m[0])]
         known = any(p[2] for p in parts)
         whole, stretches = [p for p in parts if not p[3]], [[]]
         if not whole:

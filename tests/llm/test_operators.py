@@ -381,6 +381,19 @@ def test_boosting_beats_the_majority():
     assert ((m.logit(x[1500:]) > 0) == y[1500:]).mean() > 0.9
 
 
+def test_pii_examples_leave_in_portions(spark, monkeypatch):
+    """A long text of numbers gives the same examples in small portions; no list of all of them is made."""
+    rnd = random.Random(13)
+    d = spark.createDataFrame([(i, " ".join(f"+1 415 555 {rnd.randrange(10**4):04}" for _ in range(n))) for i, n in enumerate((40, 3, 0, 5))], "doc_id long, text string")
+    models = []
+    for portion in (10_000, 7):
+        monkeypatch.setattr(pii, "PORTION", portion)
+        models.append(pii.fit(spark, d))
+    assert repr(models[0].thresholds) == repr(models[1].thresholds)
+    rows = pii.examples("+1 415 555 0100 " * 4000, 1)
+    assert iter(rows) is rows and len([next(rows) for _ in range(5)]) == 5
+
+
 def test_secrets():
     find = secrets.finder()
     assert find('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"')[0] == [("assign", 0, 49), ("hex", 9, 49)]
@@ -406,7 +419,14 @@ def test_random_strings_of_all_forms():
 
     for alphabet, n, before, least in ((base62, 20, "", 0.98), (base62, 24, "", 0.98), (base62, 32, "", 0.98), (base62 + "+/", 20, "", 0.95), (base62 + "+/", 32, "", 0.95), (base62, 16, "", 0.9), (base62, 24, "services/notifications/incoming/", 0.95), (base62, 24, "documents/downloads/", 0.95)):
         assert share(alphabet, n, before) >= least, (len(alphabet), n, before)
-    for name in ("services/notifications/incoming/handler", "files/123e4567-e89b-12d3-a456-426614174000/report", "2021-03-04T12", "MAX_RETRY_COUNT_2", "XMLHttpRequest", "https/example/page2"):
+    # letters of one case are tested as all others are
+    def whole(alphabet, n):
+        return sum(any(i <= 6 and j >= n + 2 for _, i, j in find(f"key {x} end")[1]) for x in ("".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(300))) / 300
+
+    lower, upper = base62[26:52], base62[:26]
+    for alphabet, n, least in ((lower, 24, 0.88), (lower, 32, 0.92), (lower, 40, 0.95), (upper, 24, 0.96), (upper, 32, 0.97), (upper + "234567", 24, 0.97), (upper + "234567", 32, 0.97), (lower + upper, 24, 0.97), (base62[52:] + "ABCDEF", 24, 0.88)):
+        assert whole(alphabet, n) >= least, (alphabet, n)
+    for name in ("internationalization", "ANTIDISESTABLISHMENTARIANISM", "Donaudampfschifffahrtsgesellschaft", "hahahahahahahahahahaha", "docs/counterrevolutionaries", "services/notifications/incoming/handler", "files/123e4567-e89b-12d3-a456-426614174000/report", "2021-03-04T12", "MAX_RETRY_COUNT_2", "XMLHttpRequest", "https/example/page2"):
         assert find(name)[1] == [], name
 
 

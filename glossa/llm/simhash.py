@@ -402,7 +402,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         """
         leads = leads.select("s", *(F.col(x).alias(f"lead_{x}") for x in ("id", "n", "at", "k", "c", "earlier")))
         # shared shingles: this one, those before it in both, those behind it in both; 4/5 of the union means 9 shared >= 4 (n + n)
-        most = F.least("at", "lead_at") + F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at"))
+        behind = F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at"))
+        # a similar pair also meets in the very first shingle that it shares, with none before it
+        most = behind if once else behind + F.least("at", "lead_at")
         fits = (F.col("k") > F.col("lead_k")) & (F.col("c") != F.col("lead_c")) & (9 * most >= 4 * (F.col("n") + F.col("lead_n")))
         if once:
             fits = fits & ~F.coalesce(F.arrays_overlap("earlier", "lead_earlier"), F.lit(False))

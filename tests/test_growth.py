@@ -1,6 +1,5 @@
 """What keeps work in proportion to the input: what is shuffled, written, and held."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from glossa import catalog
@@ -38,3 +37,21 @@ def test_counts_of_contexts_need_no_table_of_neighbours(spark, monkeypatch):
     # words that look like the marks beyond a sentence are known to lexicons, the marks aren't
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "neighbours" not in names
+
+
+def test_learners_go_from_range_to_range(spark):
+    import numpy as np
+
+    from glossa.operators import linear
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)).round(3)
+    y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    features = spark.createDataFrame([(i * 7 % 60, j, float(x[i * 7 % 60, j])) for i in range(60) for j in range(5)], "doc_id long, fid long, val double")
+    labels = spark.createDataFrame([(i, float(y[i]), float(i % 3)) for i in range(60)], "doc_id long, y0 double, y1 double")
+    rows = linear.gather(features, 5)
+    made = {0: linear.Descent(5, 1e-3, alpha=0.85), 1: linear.Perceptron(3, 5)}
+    got = linear.in_order(spark, features, labels, made, 2, most=70)  # five ranges
+    w, b = linear.sgd(rows, y, 1e-3, 2, norm="elastic", alpha=0.85, bias=True)
+    assert np.array_equal(got[0].found()[0], w) and got[0].found()[1] == b
+    assert np.array_equal(got[1].found()[0], linear.averaged_perceptron(rows, np.arange(60) % 3, 3, 2))

@@ -55,3 +55,27 @@ def test_learners_go_from_range_to_range(spark):
     w, b = linear.sgd(rows, y, 1e-3, 2, norm="elastic", alpha=0.85, bias=True)
     assert np.array_equal(got[0].found()[0], w) and got[0].found()[1] == b
     assert np.array_equal(got[1].found()[0], linear.averaged_perceptron(rows, np.arange(60) % 3, 3, 2))
+
+
+def test_terms_are_not_shuffled(spark):
+    from glossa.operators import vocab
+
+    docs = spark.createDataFrame([(1, "b A  a"), (2, ""), (1, "a c")], "doc_id long, text string")
+    got = vocab.bag_of_words(docs)
+    text = plan(got)
+    assert text.count("Exchange") == 1 and text.rindex("Generate") < text.index("Exchange")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 3), (1, "b", 1), (1, "c", 1)]
+
+
+def test_only_rows_of_rare_keys_are_shuffled(spark):
+    from glossa.operators import vocab
+
+    rows = spark.createDataFrame([(i, k) for i in range(40) for k in ("the", "of", f"w{i % 20}", f"x{i}") if k], "doc_id long, term string")
+    df = vocab.document_frequency(rows)  # the, of: 40 each; w0 to w19: 2 each
+    table = vocab.dense_ids(df, "term", "fid")
+    want = sorted(map(tuple, rows.join(table.select("term", "fid"), "term").collect()))
+    for counted in (table, table.drop("df")):
+        for most in (0, 2, 5, 100):
+            assert sorted(map(tuple, vocab.joined(rows, counted, "term", most).collect())) == want
+    text = plan(vocab.joined(rows, table, "term", 5))
+    assert text.count("BroadcastHashJoin") >= 2 and "LeftAnti" in text

@@ -79,3 +79,17 @@ def test_only_rows_of_rare_keys_are_shuffled(spark):
             assert sorted(map(tuple, vocab.joined(rows, counted, "term", most).collect())) == want
     text = plan(vocab.joined(rows, table, "term", 5))
     assert text.count("BroadcastHashJoin") >= 2 and "LeftAnti" in text
+
+
+def test_words_and_pairs_leave_their_sentence_once(spark):
+    from glossa.operators import sequence
+
+    texts = [["Anna", "12", "Anna", "12"], ["</s>"], ["<s>", "a/b", "c"], ["a", "b/c"], [], ["<s>", "Anna"], ["12", "</s>"], ["x1", "Anna", "12"]]
+    lines = spark.createDataFrame([(0, i, ws) for i, ws in enumerate(texts)], "doc_id long, sent_id long, ws array<string>")
+    t = lines.select("doc_id", "sent_id", F.posexplode("ws").alias("tok_idx", "word"))
+    for least in (1, 2, 3):
+        want = sequence.feature_vocabulary([(t, least)], "rr09_aso", wanted=lambda n: n.startswith(("uword_", "bword_")), counts=True)
+        got = sequence.word_vocabulary(lines, least)
+        assert sorted(map(tuple, got.select("fname", "n", "fid").collect())) == sorted(map(tuple, want.select("fname", "n", "fid").collect()))
+    text = plan(catalog.word_vocab(spark, DIR))
+    assert "Expand" not in text and "Window" not in text

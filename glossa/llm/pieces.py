@@ -53,6 +53,8 @@ COUNTED_UNITS = 1_500_000
 #: Distinct units that one task folds.
 UNITS_A_TASK = 8_000
 LONG = 20_000
+#: Characters that tell which lengths a piece can have.
+FRONT = 4
 #: Places of the parts of a packed segment: its length, when it came about, the next merge, the highest merge by then.
 LENGTH, BORN, NEXT, HIGHEST = 54, 36, 18, 0
 NEVER = (1 << 18) - 1
@@ -131,6 +133,14 @@ class Pieces:
         self.merges(unit)
         return list(chain.from_iterable([i] if (i := self.id.get(p)) is not None else [self.byte[b] for b in p.encode()] for p in self.parts))
 
+    def lengths(self) -> dict[str, set[int]]:
+        """By their first FRONT characters, the lengths of all pieces of so many or more, and all shorter ones."""
+        found: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) >= FRONT:
+                found.setdefault(p[:FRONT], set(range(1, FRONT))).add(len(p))
+        return found
+
     def segments(self, piece: str) -> tuple[list[int], list[int]]:
         """Segments that stand at the left and the right border of a piece while it is merged, packed."""
         log = self.merges(piece)
@@ -208,22 +218,29 @@ class Encoder:
         """Numbers of the units that aren't hot and have to be asked for."""
         return np.nonzero((self.hot(units) < 0) & ~beyond(units))[0]
 
-    def encode(self, texts: list[bytes], answers: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and how many each text has."""
+    def encode(self, texts: list[bytes], answers: tuple[pa.Array, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and how many each text has. answers: units, the ids of all, and where those of each end."""
         units, n = cut_units(self.model, texts)
         distinct = units.dictionary
         at = self.hot(distinct)
         hot, rest = np.nonzero(at >= 0)[0], np.nonzero(at < 0)[0]
-        others = [answers[u] if u in answers else self.model.encode_unit(u.decode().replace(" ", MARK)) if len(u) > LONG else None for u in distinct.take(pa.array(rest)).to_pylist()]
-        if any(x is None for x in others):
+        named, told, ends = answers
+        asked = distinct.take(pa.array(rest))
+        place = pc.fill_null(pc.index_in(asked, value_set=named), -1).to_numpy(zero_copy_only=False)
+        given, answer = rest[place >= 0], place[place >= 0]
+        long = rest[place < 0]
+        merged = [self.model.encode_unit(u.decode().replace(" ", MARK)) if len(u) > LONG else None for u in distinct.take(pa.array(long)).to_pylist()]
+        if any(x is None for x in merged):
             raise RuntimeError("a unit has no answer")
         count = np.zeros(len(distinct), np.int64)
         count[hot] = self.count[at[hot]]
-        count[rest] = [len(x) for x in others]
+        count[given] = np.diff(ends)[answer]
+        count[long] = [len(x) for x in merged]
         base = np.cumsum(count) - count
         flat = np.zeros(int(count.sum()), np.int32)
         flat[runs(base[hot], count[hot])] = self.ids[runs(self.start[at[hot]], count[hot])]
-        flat[runs(base[rest], count[rest])] = np.fromiter(chain.from_iterable(others), np.int32, int(count[rest].sum()))
+        flat[runs(base[given], count[given])] = told[runs(ends[answer], count[given])]
+        flat[runs(base[long], count[long])] = np.fromiter(chain.from_iterable(merged), np.int32, int(count[long].sum()))
         index = np.asarray(units.indices)
         each = count[index]
         ids = flat[runs(base[index], each)]
@@ -282,18 +299,26 @@ def count_units(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def lattice(spark: SparkSession, units: DataFrame, path: str) -> DataFrame:
-    """(unit, n, edges): by end, the longest first; a character that is no piece has an edge without id."""
+    """(unit, n, edges): by end, the longest first; a character that is no piece has an edge without id.
+
+    Only lengths that some piece has behind the same FRONT characters are looked up. Segments at an edge of the unit have
+    no neighbour and are left out.
+    """
     model = pieces(path)
     key = ("table", path)
     if key not in _LOADED:
-        _LOADED[key] = model.table()
-    names = F.broadcast(spark.createDataFrame(_LOADED[key], "piece string, id int, rank int, l array<long>, r array<long>"))  # as many rows as the vocabulary
+        _LOADED[key] = model.table(), [(p, sorted(k)) for p, k in model.lengths().items()]
+    table_, lengths = _LOADED[key]
+    # as many rows as the vocabulary, or fewer
+    names = F.broadcast(spark.createDataFrame(table_, "piece string, id int, rank int, l array<long>, r array<long>"))
+    fronts = F.broadcast(spark.createDataFrame(lengths, "front string, ks array<int>"))
     starts = units.select("unit", "n", F.length("unit").alias("size"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.expr(f"sequence(1, least({model.longest}, size - s))")).alias("k"))
-    spans = spans.select("unit", "n", "s", (F.col("s") + F.col("k")).alias("e"), F.expr("substring(unit, s + 1, k)").alias("piece"))
+    ways = starts.withColumn("front", F.expr(f"substring(unit, s + 1, {FRONT})")).join(fronts, "front", "left")
+    spans = ways.select("unit", "n", "size", "s", F.explode(F.coalesce("ks", F.array(*map(F.lit, range(1, FRONT))))).alias("k")).where("k <= size - s")
+    spans = spans.select("unit", "n", "size", "s", (F.col("s") + F.col("k")).alias("e"), F.expr("substring(unit, s + 1, k)").alias("piece"))
     edges = spans.join(names, "piece", "left").where("id is not null or e - s = 1")
     # the partitioning by unit serves the grouping
-    each = F.struct("e", "s", "id", "rank", "l", "r")
+    each = F.struct("e", "s", "id", "rank", F.when(F.col("s") > 0, F.col("l")).alias("l"), F.when(F.col("e") < F.col("size"), F.col("r")).alias("r"))
     return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(each)).alias("edges"))
 
 
@@ -375,11 +400,46 @@ def packed(hot: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, n
     return whole[0], ends(whole[1]), np.frombuffer(whole[2], np.uint64), ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, ends(whole[4])
 
 
-def answered(found: pa.ListArray) -> dict[bytes, list[int]]:
-    """The answers of all rows together."""
+#: An answer in bytes: how long the unit is, the unit with spaces for word marks, its ids.
+ID = np.dtype("<u4")
+SHORT_ID = np.dtype("<u2")
+
+
+def id_type(model: Pieces) -> np.dtype:
+    return SHORT_ID if len(model.names) <= 1 << 16 else ID
+
+
+def as_bytes(units: pa.Array, lists: pa.ListArray, kind: np.dtype) -> pa.Array:
+    """Each unit with its ids as one value, so that little more than these travels."""
+    units = pc.replace_substring(units, MARK, " ").cast(pa.binary())
+    size = pc.binary_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    ids = np.asarray(lists.values)[ends[0] : ends[-1]].astype(kind).view(np.uint8)
+    count = np.diff(ends) * kind.itemsize
+    after = np.concatenate([[0], np.cumsum(2 + size + count)])
+    at, out = after[:-1], np.zeros(after[-1], np.uint8)
+    out[at], out[at + 1] = size & 255, size >> 8
+    out[runs(at + 2, size)] = np.frombuffer(b"".join(units.to_pylist()), np.uint8)
+    out[runs(at + 2 + size, count)] = ids
+    return pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(after.astype(np.int32)), pa.py_buffer(out)])
+
+
+def answered(found: pa.ListArray, kind: np.dtype) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The answers of all rows together: units, the ids of all, and where those of each end."""
     every = found.flatten()
-    units = pc.replace_substring(every.field("unit"), MARK, " ").cast(pa.binary())
-    return dict(zip(units.to_pylist(), every.field("ids").to_pylist(), strict=True))
+    if not len(every):
+        return pa.array([], pa.binary()), np.zeros(0, kind), np.zeros(1, np.int64)
+    ends = np.frombuffer(every.buffers()[1], np.int32)[every.offset : every.offset + len(every) + 1].astype(np.int64)
+    raw = np.frombuffer(every.buffers()[2], np.uint8)
+    at = ends[:-1]
+    size = raw[at].astype(np.int64) | raw[at + 1].astype(np.int64) << 8
+    count = np.diff(ends) - size - 2
+    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    units = pa.Array.from_buffers(pa.binary(), len(every), [None, pa.py_buffer(cut), pa.py_buffer(raw[runs(at + 2, size)])])
+    return units, raw[runs(at + 2 + size, count)].view(kind), np.concatenate([[0], np.cumsum(count // kind.itemsize)])
+
+
+NO_ANSWERS = (pa.array([], pa.binary()), np.zeros(0, SHORT_ID), np.zeros(1, np.int64))
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None, hot_bytes: int = HOT_BYTES, digest: bool = False) -> DataFrame:
@@ -406,6 +466,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
             _LOADED.update({"for": shared.value, "encoder": Encoder(pieces(path), hot, hashes, ids, id_ends)})
         return _LOADED["encoder"]
 
+    kind = id_type(pieces(path))
     own, key, found = spare(docs, "_t"), spare(docs, "_key"), spare(docs, "_found")
     kept = [c for c in docs.columns if c != text]
 
@@ -416,7 +477,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
                 texts = b.column(own).to_pylist()
                 if rare:
                     texts = [t and zstandard.decompress(t) for t in texts]
-                answers = answered(b.column(found)) if rare else {}
+                answers = answered(b.column(found), kind) if rare else NO_ANSWERS
                 ids, count = enc.encode([t or b"" for t in texts], answers)
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 if digest:
@@ -459,6 +520,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
                 small = pa.array([t and squeezer.compress(t) for t in b.column(own).to_pylist()], pa.binary())
                 yield b.set_column(b.schema.names.index(own), own, small)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("key"), as_bytes(b.column("unit"), b.column("ids"), kind)], names=["key", "answer"])
+
     # both sides are dealt by unit in the same way, so the fold's result meets the asking rows where it is
     n = tasks(unknown)
     asked = rows.select(own, key).mapInArrow(ask, "key long, unit string").repartition(n, "unit")
@@ -466,7 +531,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, text:
     # a task holds UNITS_A_TASK units at most, so they can be a hash table, whatever asks for them
     answers = folded(spark, asked.join(coded.hint("shuffle_hash"), "unit").select("key", "unit", "ids"), "answers")
     discard(spark, units)
-    answers = answers.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias(found)).withColumnRenamed("key", key)
+    answers = answers.mapInArrow(pack, "key long, answer binary").groupBy("key").agg(F.collect_list("answer").alias(found)).withColumnRenamed("key", key)
     return rows.mapInArrow(squeeze, rows.schema).join(answers, key, "left").mapInArrow(finish, schema)
 
 

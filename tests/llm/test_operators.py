@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from .conftest import prose
@@ -520,6 +521,33 @@ def test_decode_gives_back_the_texts(spark, docs):
     assert all(r.decoded == (r.text or "") for r in back) and "shard" in back[0]
 
 
+def test_lattice_looks_up_few_spans_and_misses_no_edge(spark):
+    path = pieces.model_path()
+    model = pieces.pieces(path)
+    units = ["▁information", "▁internationalization", "▁zqxjkvw", "x", "▁", "▁漢字", "▁the"]
+    found = {r.unit: r.edges for r in pieces.lattice(spark, spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), path).collect()}
+    for u in units:
+        want = {(j, i) for i in range(len(u)) for j in range(i + 1, len(u) + 1) if u[i:j] in model.id or j == i + 1}
+        assert [(e.e, e.s) for e in found[u]] == sorted(want)
+        assert all(e.l is None for e in found[u] if e.s == 0) and all(e.r is None for e in found[u] if e.e == len(u))
+        assert all(e.l and e.r for e in found[u] if 0 < e.s < e.e - 1 and e.e < len(u))
+    assert all(set(range(1, pieces.FRONT)) <= k for k in model.lengths().values())
+
+
+def test_answers_of_pieces_travel_packed():
+    units, ids = ["▁plain", "ünı▁t", "", "▁" + "y" * 19_000], [[5, 31_999], [], [0], [7] * 300]
+    for kind in (pieces.SHORT_ID, pieces.ID):
+        every = pieces.as_bytes(pa.array(["skipped", *units]).slice(1), pa.array([[1], *ids], pa.list_(pa.int32())).slice(1), kind)
+        # a length, the unit, its ids, and nothing else
+        assert [len(x) for x in every.to_pylist()] == [2 + len(u.replace("▁", " ").encode()) + kind.itemsize * len(i) for u, i in zip(units, ids, strict=True)]
+        for rows in ([[0, 1], [], [2, 3]], [[]], [[3]]):
+            at = [i for r in rows for i in r]
+            found = pa.array([[b"cut off"], *([every[i].as_py() for i in r] for r in rows)], pa.list_(pa.binary())).slice(1)
+            named, told, ends = pieces.answered(found, kind)
+            assert named.to_pylist() == [units[i].replace("▁", " ").encode() for i in at]
+            assert [told[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)] == [ids[i] for i in at]
+
+
 def test_ctw_base(spark, tables, odd_docs):
     got = lm.op7(spark, tables[0]).collect()
     c = Counter()

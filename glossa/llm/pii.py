@@ -9,8 +9,9 @@ supports are negatives, with dates, times, prices, versions and numbers put in t
 threshold is the lowest at which held-out rows reach PRECISION; without it the kind adds nothing. Added spans never
 overlap those of the fixed patterns, which always stay.
 
-The model is fitted on at most SAMPLE_DOCS documents and SAMPLE_ROWS candidates, both chosen by hash, the candidates by
-equal shares for each kind and label and weighted back to their numbers; every text is searched whole.
+The model is fitted on all candidates of all documents. Equal vectors are one row with their numbers; cuts are exact
+quantiles, in which each kind and label weighs the same; every level of a tree is one pass over the rows, which stay on
+the executors (``boosting.boost_rows``). Thresholds come from counts of all held-out rows by steps of log-odds.
 
 Defined cases: null and empty texts hold no spans; texts of any length are searched whole, in time that grows
 with them; a corpus without any fixed-pattern span gets no added spans; repeated
@@ -31,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .boosting import Boosted, boost
-from .common import clip_columns, picked, staged, table
+from .boosting import BINS, Boosted, boost_rows, codes, stepped
+from .common import clip_columns, discard, staged, table
 from .spans import Span, Taken, found_in, free_of
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000
-SAMPLE_ROWS = 60_000
 PRECISION = 0.98
+#: Steps of a unit of log-odds that thresholds are made of.
+STEPS = 256
+#: Distinct examples that a task holds before it hands their numbers on.
+COUNTED = 20_000
 LEAST_POSITIVES = 20
 #: Examples of one text leave the worker in portions of so many.
 PORTION = 10_000
@@ -246,43 +249,78 @@ class Model:
         return base, free_of([(p, s) for p, s in zip(z.tolist(), open_, strict=True) if p >= self.thresholds[s[0]]], base)
 
 
-def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """docs: (doc_id, text)."""
-    ship(spark)
+def counted(docs: DataFrame) -> DataFrame:
+    """(x, y, kind, held, n): the examples of all texts and how often a task saw them. docs: (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bytes, int, str, bool], int] = {}
+
+        def sent() -> pa.RecordBatch:
+            x = np.frombuffer(b"".join(k[0] for k in held), np.float32)
+            wide = len(x) // len(held)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, wide, dtype=np.int32)), pa.array(x))
+            return pa.record_batch([lists, pa.array([k[1] for k in held], pa.int32()), pa.array([k[2] for k in held]), pa.array([k[3] for k in held]), pa.array(list(held.values()), pa.int64())], names=["x", "y", "kind", "held", "n"])
+
         for t in (t for b in batches for t in b.column("text").to_pylist() if t):
             seed = zlib.crc32(t.encode())
-            rows, at = examples(t, seed), 0
+            rows = examples(t, seed)
             while part := list(islice(rows, PORTION)):  # a long text may give very many
-                u = [zlib.crc32(b"%d %d" % (seed, at + k)) for k in range(len(part))]
-                yield pa.record_batch([pa.array([r[0] for r in part], pa.list_(pa.float32())), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part]), pa.array([seed % 3 == 0] * len(part)), pa.array(u, pa.int64())], names=["x", "y", "kind", "held", "u"])
-                at += len(part)
-
-    sample = picked(docs, F.xxhash64("doc_id", "text"), sample_docs)
-    rows = staged(spark, sample.select("text").mapInArrow(run, "x array<float>, y int, kind string, held boolean, u long"), "examples")
-    counts = {(r.kind, r.y): r["count"] for r in rows.groupBy("kind", "y").count().collect()}
-    share = {c: min(1.0, sample_rows / (2 * len(KINDS)) / m) for c, m in counts.items()}
-    chosen = F.lit(False)
-    for (kind, y), f in share.items():
-        chosen = chosen | ((F.col("kind") == kind) & (F.col("y") == y) & (F.col("u") < int(f * (1 << 32))))
-    got = rows.where(chosen).toPandas()
-    if not got["y"].sum():
+                x = np.array([r[0] for r in part], np.float32)
+                for v, (_, y, kind) in zip(x, part, strict=True):
+                    key = v.tobytes(), y, kind, seed % 3 == 0
+                    held[key] = held.get(key, 0) + 1
+                if len(held) >= COUNTED:
+                    yield sent()
+                    held.clear()
+        if held:
+            yield sent()
+
+    return docs.mapInArrow(run, "x array<float>, y int, kind string, held boolean, n long")
+
+
+def fit(spark: SparkSession, docs: DataFrame) -> Model:
+    """docs: (doc_id, text)."""
+    ship(spark)
+    rows = staged(spark, counted(docs.select("text")), "examples")
+    counts = {(r.kind, r.y): r.n for r in rows.groupBy("kind", "y").agg(F.sum("n").alias("n")).collect()}
+    if not any(y for _, y in counts):
         return Model(Boosted(), {})
-    x, y, held = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["held"].to_numpy()
-    weight = np.array([1 / share[c] for c in zip(got["kind"], got["y"], strict=True)])
-    learn = ~held if held.any() and y[~held].any() else np.ones(len(y), bool)
-    trees = boost(x[learn], y[learn], weight[learn])
-    z, thresholds = trees.logit(x), {}
-    for k, kind in enumerate(KINDS):
-        on = held & (x[:, 0] == k)
-        if y[on].sum() < LEAST_POSITIVES:
+    wide = rows.select(F.size("x").alias("n")).first().n
+    most = max(counts.values())
+    often = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("y") == y), F.col("n") * (most // m)) for (k, y), m in counts.items()])
+    at = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    values = rows.select(often.alias("often"), F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(F.sum("often").alias("often"))
+    cuts = [np.unique(np.array(r.q)) for r in values.groupBy("f").agg(F.percentile("v", at, F.col("often")).alias("q")).orderBy("f").collect()]
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column("x").flatten()).reshape(-1, wide)
+            code = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1).astype(np.uint8)
+            y, n = b.column("y").to_numpy(), b.column("n").to_numpy()
+            yield pa.record_batch([pa.array([r.tobytes() for r in code], pa.binary()), b.column("kind"), b.column("held"), pa.array(n * y), b.column("n")], names=["b", "kind", "held", "p", "n"])
+
+    binned = rows.mapInArrow(bins, "b binary, kind string, held boolean, p long, n long").groupBy("b", "kind", "held").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    binned = staged(spark, binned, "binned")
+    discard(spark, rows)
+    sides = {r.held: r.p for r in binned.groupBy("held").agg(F.sum("p").alias("p")).collect()}
+    trees, steps = boost_rows(spark, binned.where(~F.col("held")) if True in sides and sides.get(False) else binned, cuts)
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = stepped(steps, codes(b, wide), np.full(b.num_rows, trees.start))
+            yield pa.record_batch([b.column("kind"), pa.array(np.floor(z * STEPS).astype(np.int64)), b.column("p"), b.column("n")], names=["kind", "step", "p", "n"])
+
+    by_step = binned.where("held").mapInArrow(levels, "kind string, step long, p long, n long").groupBy("kind", "step").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    found = by_step.orderBy(F.desc("step")).toPandas()  # a few thousand rows: log-odds of so many trees are bounded
+    discard(spark, binned)
+    thresholds = {}
+    for kind in KINDS:
+        own = found[found["kind"] == kind]
+        if own["p"].sum() < LEAST_POSITIVES:
             continue
-        order = np.argsort(-z[on], kind="stable")
-        right = np.cumsum((weight * y)[on][order]) / np.cumsum(weight[on][order])
-        good = np.nonzero(right >= PRECISION)[0]
+        good = np.nonzero(np.cumsum(own["p"].to_numpy()) >= PRECISION * np.cumsum(own["n"].to_numpy()))[0]
         if len(good):
-            thresholds[kind] = max(0.0, float(z[on][order][good[-1]]))
+            thresholds[kind] = max(0.0, float(own["step"].to_numpy()[good[-1]]) / STEPS)
     return Model(trees, thresholds)
 
 

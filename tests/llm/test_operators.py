@@ -382,6 +382,39 @@ def test_boosting_beats_the_majority():
     assert ((m.logit(x[1500:]) > 0) == y[1500:]).mean() > 0.9
 
 
+def test_boosting_over_rows_equals_one_table(spark, monkeypatch):
+    """Trees of rows on the executors, whatever their partitions, are those of the table in one piece."""
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(0, 9, (1500, 4)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 2] > 6) | (rnd.random(1500) < 0.05)).astype(float)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, boosting.BINS + 1)[1:-1])) for f in range(4)]
+    code = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1).astype(np.uint8)
+    want = boosting.boost(x, y, np.ones(1500), trees=7).logit(x)
+    found = {}
+    for b, v in zip(code, y, strict=True):
+        p, n = found.get(b.tobytes(), (0, 0))
+        found[b.tobytes()] = p + int(v), n + 1
+    rows = spark.createDataFrame([(bytearray(b), int(p), int(n)) for b, (p, n) in found.items()], "b binary, p long, n long")
+    models = []
+    for size, kept in ((10**6, 3), (300, 10)):
+        monkeypatch.setattr(boosting, "ROWS_A_TASK", size)
+        monkeypatch.setattr(boosting, "KEPT", kept)
+        model, steps = boosting.boost_rows(spark, rows, cuts, trees=7)
+        models.append(model.logit(x))
+        assert np.abs(boosting.stepped(steps, code, np.full(1500, model.start)) - models[-1]).max() < 1e-12
+    assert (models[0] == models[1]).all() and np.abs(models[0] - want).max() < 1e-4
+
+
+def test_pii_learns_from_every_document(spark, monkeypatch):
+    """No document is left out of the examples, and a task's portions add up."""
+    texts = [f"call +1 415 555 {i:04} or 10.0.{i % 250}.7 on 2021-03-04" for i in range(300)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((kind, y) for t in texts if t for _, y, kind in pii.examples(t, zlib.crc32(t.encode())))
+    for most in (10**6, 3):
+        monkeypatch.setattr(pii, "COUNTED", most)
+        assert {(r.kind, r.y): r.n for r in pii.counted(d.select("text")).groupBy("kind", "y").agg(F.sum("n").alias("n")).collect()} == want
+
+
 def test_pii_examples_leave_in_portions(spark, monkeypatch):
     """A long text of numbers gives the same examples in small portions; no list of all of them is made."""
     rnd = random.Random(13)

@@ -207,6 +207,23 @@ def test_decoding_by_ranges_is_decoding_in_one_task(spark):
     assert sequence.greedy_tags(t.limit(0), rows, weights, tags, "zj03", True, "corpus").count() == 0
 
 
+def test_a_range_with_another_history_is_decoded_again_over_its_head_only(spark, monkeypatch):
+    """The rounds write what they change, not all rows of all ranges once more."""
+    from glossa import catalog
+
+    one, write, rows = sequence.greedy_tags, sequence.written, {}
+
+    def counted(spark, df, name):
+        out = write(spark, df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(sequence, "written", counted)
+    monkeypatch.setattr(sequence, "greedy_tags", lambda *a: one(*a, range_tokens=12_000, capacity=20))
+    n = sum(r.n for r in catalog.corpus_decoding(spark, "/root/testdata/sf0.001").collect())
+    assert rows["decoded"] and sum(rows["decoded"]) < n / 10
+
+
 def test_corpus_decoding(spark, monkeypatch):
     """The query against a plain loop; with small ranges the same."""
     from glossa import catalog

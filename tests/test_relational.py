@@ -224,6 +224,19 @@ def test_a_range_with_another_history_is_decoded_again_over_its_head_only(spark,
     assert rows["decoded"] and sum(rows["decoded"]) < n / 10
 
 
+def test_positions_share_their_contexts(spark):
+    """A word is one context for all positions that it stands in, a pair one for both of its templates; the counts stay those of the features."""
+    from glossa.operators import templates
+
+    t = spark.createDataFrame([(1, 0, i, w) for i, w in enumerate("abcabc")] + [(2, 0, 0, "</s>"), (2, 0, 1, "a")], "doc_id long, sent_id long, tok_idx int, word string")
+    wanted = lambda n: n.startswith(("uword", "bword"))
+    found = templates.contexts(t, "rr09_aso", wanted=wanted)
+    # a, b, c and both edges; the pairs of these, of which the second sentence has two more and an edge behind a
+    assert found.distinct().count() == 5 + 8
+    count = lambda df, n: sorted(map(tuple, df.groupBy("ftype", "fval").agg(n).collect()))
+    assert count(found.counts(), F.sum("n")) == count(templates.features(t, "rr09_aso", wanted=wanted), F.count("*"))
+
+
 def test_corpus_decoding(spark, monkeypatch):
     """The query against a plain loop; with small ranges the same."""
     from glossa import catalog

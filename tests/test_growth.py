@@ -93,3 +93,24 @@ def test_words_and_pairs_leave_their_sentence_once(spark):
         assert sorted(map(tuple, got.select("fname", "n", "fid").collect())) == sorted(map(tuple, want.select("fname", "n", "fid").collect()))
     text = plan(catalog.word_vocab(spark, DIR))
     assert "Expand" not in text and "Window" not in text
+
+
+def test_cross_language_query_keeps_the_whole_method(spark, monkeypatch):
+    import inspect
+
+    from glossa import catalog
+    from glossa.plans import clscl
+
+    asked = {}
+    for name in ("train", "evaluate"):
+        sig = inspect.signature(getattr(clscl, name))
+
+        def noted(*args, _sig=sig, _name=name, **kw):
+            bound = _sig.bind(*args, **kw)
+            bound.apply_defaults()
+            asked[_name] = bound.arguments
+
+        monkeypatch.setattr(clscl, name, noted)
+    catalog.clscl_accuracy(spark, "/root/testdata/sf0.001")
+    assert {p: asked["train"][p] for p in ("m", "phi", "k", "visits")} == {"m": 450, "phi": 30, "k": 100, "visits": 1e6}
+    assert {p: asked["evaluate"][p] for p in ("repetitions", "visits")} == {"repetitions": 10, "visits": 1e6}

@@ -114,3 +114,19 @@ def test_cross_language_query_keeps_the_whole_method(spark, monkeypatch):
     catalog.clscl_accuracy(spark, "/root/testdata/sf0.001")
     assert {p: asked["train"][p] for p in ("m", "phi", "k", "visits")} == {"m": 450, "phi": 30, "k": 100, "visits": 1e6}
     assert {p: asked["evaluate"][p] for p in ("repetitions", "visits")} == {"repetitions": 10, "visits": 1e6}
+
+
+def test_words_are_derived_once_for_all_positions(spark, monkeypatch):
+    from glossa.operators import lexicon, templates
+
+    rows = [(1, 0, i, w) for i, w in enumerate("Dr. Anna 0 false true </s> U-S 12 Ab-Cd".split())] + [(1, 1, 0, "0"), (2, 0, 0, "x.")]
+    t = spark.createDataFrame(rows, "doc_id long, sent_id long, tok_idx int, word string")
+    lex = {"brown": spark.createDataFrame([("Anna", "0"), ("x.", ""), ("</s>", "0101010101010101010101")], "token string, bits string"), "places": lexicon.gazetteer(spark.createDataFrame([("Anna 12",)], "entry string"))}
+    looked, real = [], templates._with_lexicons
+    monkeypatch.setattr(templates, "_with_lexicons", lambda base, own, *rest: looked.append(own) or real(base, own, *rest))
+    found = templates.contexts(t, "de_best_v1", lex)
+    counted = found.counts()
+    assert len([own for own in looked if own]) == 1  # it was once for each position
+    got = counted.groupBy("ftype", "fval").agg(F.sum("n").alias("n"))
+    want = templates.features(t, "de_best_v1", lex).groupBy("ftype", "fval").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
